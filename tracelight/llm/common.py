@@ -64,6 +64,15 @@ def flat_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def stretches(offsets: np.ndarray, size: int):
+    """(first, end) of runs of rows of about `size` bytes, one row at least."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
+        yield at, end
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, flat_text, whole_text
+from tracelight.llm.common import doc_crc, flat_text, stretches, whole_text
 
 ORDER = 3
 #: Whole documents and bytes that a language's tree learns from at most (one document at least).
@@ -142,13 +142,9 @@ def identify(docs: DataFrame, trees: dict[str, Tree], keep: tuple[str, ...] = ("
     def rows(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            at = 0
             data, offsets = flat_text(batch["__text"])
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 4_000_000, "right")) - 1)
-                end = min(end, batch.num_rows)
+            for at, end in stretches(offsets, 4_000_000):
                 yield score(batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], scorer)
-                at = end
 
     def score(batch, data, offsets, scorer):
         n = batch.num_rows
