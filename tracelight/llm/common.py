@@ -152,7 +152,8 @@ def roll(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64((salt * int(ODD) + size) % (1 << 64)))
+        base = np.uint64((BASE + 2 * salt * int(ODD)) % (1 << 64))  # odd, another one for each salt
+        out = np.full(n, np.uint64(size))
         for i in range(size):
-            out = out * np.uint64(BASE) + words[i : i + n]
+            out = out * base + words[i : i + n]
         return mix64(out)

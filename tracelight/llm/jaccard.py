@@ -163,6 +163,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+#: The side of rows that are compared among themselves.
+WITHIN = 2
 OUT = "node string, texts long, documents long, root string"
 
 
@@ -185,7 +187,7 @@ def _compare(threshold: float):
             rows = rows[np.r_[True, node[lo + 1 : hi] != node[lo : hi - 1]]] if hi - lo > 1 else rows  # repeated rows
             if len(rows) < 2:
                 continue
-            two = side[rows].any()
+            two = side[lo] != WITHIN
             x, y = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
             if not len(x) or not len(y):
                 continue
@@ -227,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     small = member.filter(F.col("members") <= block)
     n_small = max(1, math.ceil(small.count() / bucket))
     none = F.lit(-1)
-    parts = small.select("node", "text_id", "copies", "bands", F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(n_small)).cast("string")).alias("part"), F.col("root").alias("label"), none.alias("band"), F.lit(0).alias("side"))
+    parts = small.select("node", "text_id", "copies", "bands", F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(n_small)).cast("string")).alias("part"), F.col("root").alias("label"), none.alias("band"), F.lit(WITHIN).alias("side"))
     # a component beyond one block: its band buckets, cut into blocks, each pair of blocks once
     large = member.filter(F.col("members") > block).select("node", "text_id", "copies", "bands", F.posexplode("bands").alias("band", "hash"))
     counts = large.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     pair = F.concat_ws("-", F.col("hash").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
     tiny = (F.col("blocks") == 1)
     whole = F.when(tiny, F.concat(F.lit("b"), F.pmod(F.xxhash64("hash"), F.lit(n_large)).cast("string"))).otherwise(pair)
-    parts = parts.unionByName(large.select("node", "text_id", "copies", "bands", whole.alias("part"), pair.alias("label"), "band", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")))
+    parts = parts.unionByName(large.select("node", "text_id", "copies", "bands", whole.alias("part"), pair.alias("label"), "band", F.when(F.col("own") == F.col("other"), WITHIN).when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")))
     text = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("text_id"), whole_text().alias("text")).withColumn("node", F.md5("text"))
     block_rows = parts.join(text, ["node", "text_id"]).drop("text_id")
     verified = materialize(block_rows.groupBy("part").applyInArrow(_compare(threshold), OUT), "verified")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.llm import decontam, jaccard, langid, packing, pii, quality, topk
+from tracelight.llm import decontam, jaccard, langid, packing, pii, quality, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op4_jaccard": op4_jaccard,
         "op5_quality": op5_quality,
+        "op6_substring": op6_substring,
         "op7_language": op7_language,
         "op8_topk": op8_topk,
         "op9_packing": op9_packing,
