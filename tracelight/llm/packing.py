@@ -13,6 +13,7 @@ clashing names are no matter: pieces are told apart by a row number of their own
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from tracelight.llm.common import materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of a group, rounds of exchange at most, cached words of a worker.
-GROUP_PIECES, ROUNDS, CACHE_WORDS = 60_000, 4, 400_000
+GROUP_PIECES, ROUNDS, CACHE_WORDS = 60_000, 4, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,38 +37,73 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters by which a byte-level BPE writes bytes: visible Latin-1 characters stand for
+    themselves, the other bytes take the code points from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in visible)
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordCache:
     """Token ids of whole texts, word by word: no token of a byte-level BPE spans the place
-    before a blank that a visible character follows, so words are encoded once and joined."""
+    before a blank that a visible character follows, nor the one between a letter and
+    punctuation, so words are encoded once and joined. Of two generations of words, the older
+    goes when the newer is full."""
 
     ODD = re.compile(r" \s| $")
     CUT = re.compile(r" (?=\S)")
+    MARKS = ".,;:!?"
 
     def __init__(self, json: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.first, self.later = most, {}, {}
-
-    def _learn(self, known: dict, words: set, lead: str) -> None:
-        words = [w for w in words if w not in known]
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            encoded = self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.most, self.new, self.old = most, {}, {}
+
+    def _whole(self, unit: str) -> bytes:
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def _ids(self, unit: str) -> bytes:
+        """Ids of a text that begins with a blank and holds no other place to cut."""
+        core = unit.rstrip(self.MARKS)
+        if not core[1:].isalpha():
+            return self._whole(unit)
+        own = self._known(core) if core != unit else None
+        if own is None:
+            letters = core.encode().decode("latin-1").translate(self.letters)
+            own = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.new[core] = own
+        return own + self._tail(unit[len(core) :]) if core != unit else own
+
+    def _known(self, unit: str) -> bytes | None:
+        own = self.new.get(unit)
+        if own is None:
+            own = self.old.get(unit)
+        return own
+
+    def _tail(self, marks: str) -> bytes:
+        own = self.new.get(marks)
+        if own is None:
+            own = self.new[marks] = self._whole(marks)
+        return own
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit words."""
-        cut = [self.CUT.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.later) > self.most:
-            self.later.clear()
-        if len(self.first) > self.most:
-            self.first.clear()
-        self._learn(self.first, {c[0] for c in cut}, "")
-        self._learn(self.later, {w for c in cut for w in c[1:]}, " ")
-        head, tail = self.first, self.later.__getitem__
-        return [head[c[0]] + b"".join(map(tail, c[1:])) for c in cut]
+        out = []
+        for text in texts:
+            if len(self.new) > self.most:
+                self.new, self.old = {}, self.new
+            head, *words = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
+            words = [" " + w for w in words]
+            new = self.new
+            for word in set(words).difference(new):
+                new[word] = self._known(word) or self._ids(word)
+            out.append((self._whole(head) if head else b"") + b"".join(map(new.__getitem__, words)))
+        return out
 
 
 _CACHE: dict[int, WordCache] = {}
