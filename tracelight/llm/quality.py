@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, flat_text, mix64, roll, whole_text, word_hashes, word_spans
+from tracelight.llm.common import doc_crc, flat_text, mix64, roll, stretches, whole_text, word_hashes, word_spans
 
 BUCKET_BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 4, 0.5, 7
 #: Labelled documents and bytes that the model learns from at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 12_000, 40_000_000
+SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 20_000_000
 #: The last two buckets are kept for the repeat markers.
 WORD_AGAIN, TRIPLE_AGAIN = (1 << BUCKET_BITS) - 1, (1 << BUCKET_BITS) - 2
 
@@ -81,13 +81,14 @@ def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> tuple[np.
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BUCKET_BITS, WIDTH))
     output, bias = np.zeros((WIDTH, 2)), np.zeros(2)
-    parts, word_again, triple_again = _parts(data, offsets)
     features = []
-    for i in range(len(label)):
-        own = np.concatenate([b[bounds[i] : bounds[i + 1]].astype(np.int64) for b, bounds in parts])
-        bucket, count = np.unique(own, return_counts=True)
-        bucket, count = np.r_[bucket, WORD_AGAIN, TRIPLE_AGAIN], np.r_[count, word_again[i], triple_again[i]].astype(float)
-        features.append((bucket.astype(np.int32), (count / max(1.0, count.sum())).astype(np.float32)))
+    for lo, hi in stretches(offsets, 2_000_000):
+        parts, word_again, triple_again = _parts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        for i in range(hi - lo):
+            own = np.concatenate([b[bounds[i] : bounds[i + 1]].astype(np.int32) for b, bounds in parts])
+            bucket, count = np.unique(own, return_counts=True)
+            bucket, count = np.r_[bucket, WORD_AGAIN, TRIPLE_AGAIN], np.r_[count, word_again[i], triple_again[i]].astype(float)
+            features.append((bucket.astype(np.int32), (count / max(1.0, count.sum())).astype(np.float32)))
     steps, done = EPOCHS * len(label), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(label)):
@@ -135,12 +136,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
         weight, bias = shared.value
         for batch in batches:
             data, offsets = flat_text(batch["__text"])
-            at = 0
-            while at < batch.num_rows:
-                end = min(batch.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + 4_000_000, "right")) - 1))
+            for at, end in stretches(offsets, 2_000_000):
                 values = score_texts(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], weight, bias)
                 yield pa.record_batch([*[batch[c].slice(at, end - at) for c in keep], pa.array(values)], names=[*keep, "score"])
-                at = end
 
     return source.mapInArrow(rows, schema)
 
