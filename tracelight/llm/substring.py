@@ -42,6 +42,19 @@ def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(np.ascontiguousarray(cut * values.itemsize, np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def by_range(part: np.ndarray, chunk: np.ndarray, key: np.ndarray, aligned: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row for each range: its keys with their chunks, in order of chunk, and of the keys
+    those that are aligned."""
+    order = np.argsort(part << 32 | chunk, kind="stable")
+    part, chunk, key = part[order], chunk[order].astype(np.uint32), key[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+    columns = {"range": pa.array(part[cut[:-1]], pa.int32()), "chunks": _packed(chunk, cut), "probes": _packed(key, cut)}
+    if aligned is not None:
+        aligned = aligned[order]
+        columns["blocks"] = _packed(key[aligned], np.r_[0, np.cumsum(aligned)][cut])
+    return pa.record_batch(list(columns.values()), names=list(columns))
+
+
 class Words:
     """Words, rolling hashes and bounds of a stretch of documents."""
 
@@ -61,19 +74,13 @@ class Words:
 
 
 def fingerprints(docs: DataFrame, bits: int) -> DataFrame:
-    """(range, chunk, blocks, probes) from docs (chunk, text): the top `bits` bits of a hash are
+    """(range, chunks, probes, blocks) from docs (chunk, text): the top `bits` bits of a hash are
     its range, the next 32 its fingerprint."""
 
     def send(held):
         chunk, probe, aligned = (np.concatenate(x) for x in zip(*held, strict=True))
         part = (probe >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(probe), np.int64)
-        key = (probe >> np.uint64(32 - bits)).astype(np.uint32)
-        code = part << 32 | chunk
-        order = np.argsort(code, kind="stable")
-        code, key, aligned = code[order], key[order], aligned[order]
-        cut = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)]
-        head, upto = code[cut[:-1]], np.r_[0, np.cumsum(aligned)][cut]
-        return pa.record_batch([pa.array(head >> 32, pa.int32()), pa.array(head & 0xFFFFFFFF, pa.int32()), _packed(key[aligned], upto), _packed(key, cut)], names=["range", "chunk", "blocks", "probes"])
+        return by_range(part, chunk, (probe >> np.uint64(32 - bits)).astype(np.uint32), aligned)
 
     def rows(batches):
         held, size = [], 0
@@ -92,15 +99,13 @@ def fingerprints(docs: DataFrame, bits: int) -> DataFrame:
         if size:
             yield send(held)
 
-    return docs.select("chunk", "text").mapInArrow(rows, "range int, chunk int, blocks binary, probes binary")
+    return docs.select("chunk", "text").mapInArrow(rows, "range int, chunks binary, probes binary, blocks binary")
 
 
 def _hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one range, the fingerprints that are a block and occur more than once, by chunk."""
-    probe, lens = _blobs(table["probes"], "<u4")
-    block, _ = _blobs(table["blocks"], "<u4")
-    chunk = np.repeat(table["chunk"].to_numpy().astype(np.uint64), lens)
-    both = np.sort(probe.astype(np.uint64) << np.uint64(32) | chunk)
+    probe, chunk, block = (_blobs(table[c], "<u4")[0] for c in ("probes", "chunks", "blocks"))
+    both = np.sort(probe.astype(np.uint64) << np.uint64(32) | chunk.astype(np.uint64))
     own = both >> np.uint64(32)
     first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
     run = np.cumsum(first) - 1

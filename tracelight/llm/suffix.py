@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import CHUNK_BYTES, _inverse_powers, _powers, chunk_count, chunk_of, flat_text, materialize, mix64, stretches, whole_text
-from tracelight.llm.substring import LAST, _blobs, _packed
+from tracelight.llm.substring import LAST, _blobs, _packed, by_range
 
 WINDOW, ANCHOR = 100, 32
 #: Text bytes whose repeats a shard gets, bytes of one suffix array, stretches that make an anchor hot.
@@ -86,7 +86,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _fingerprints(docs: DataFrame, bits: int) -> DataFrame:
-    """(range, chunk, probes): packed fingerprints of anchors. A run that holds its anchor in two
+    """(range, chunks, probes): packed fingerprints of anchors and their chunks. A run that holds its anchor in two
     places, and so may repeat within itself, sends it twice."""
 
     def rows(batches):
@@ -95,23 +95,17 @@ def _fingerprints(docs: DataFrame, bits: int) -> DataFrame:
             doc, _, _, anchor, again = anchored(data, offsets)
             chunk = batch["chunk"].to_numpy().astype(np.int64)[np.r_[doc, doc[again]]]
             anchor = np.r_[anchor, anchor[again]]
-            code = (anchor >> np.uint64(64 - bits)).astype(np.int64) << 32 | chunk if bits else chunk
-            key = (anchor >> np.uint64(32 - bits)).astype(np.uint32)
-            order = np.argsort(code, kind="stable")
-            code, key = code[order], key[order]
-            cut = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)] if len(code) else np.zeros(1, np.int64)
-            head = code[cut[:-1]]
-            yield pa.record_batch([pa.array(head >> 32, pa.int32()), pa.array(head & 0xFFFFFFFF, pa.int32()), _packed(key, cut)], names=["range", "chunk", "probes"])
+            part = (anchor >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(anchor), np.int64)
+            yield by_range(part, chunk, (anchor >> np.uint64(32 - bits)).astype(np.uint32))
 
-    return docs.select("chunk", "text").mapInArrow(rows, "range int, chunk int, probes binary")
+    return docs.select("chunk", "text").mapInArrow(rows, "range int, chunks binary, probes binary")
 
 
 def _repeated(hot: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one range, the fingerprints that occur again, by chunk, each with a mark if hot."""
-        probe, lens = _blobs(table["probes"], "<u4")
-        chunk = np.repeat(table["chunk"].to_numpy().astype(np.uint64), lens)
-        both = np.sort(probe.astype(np.uint64) << np.uint64(32) | chunk)
+        probe, chunk = (_blobs(table[c], "<u4")[0] for c in ("probes", "chunks"))
+        both = np.sort(probe.astype(np.uint64) << np.uint64(32) | chunk.astype(np.uint64))
         if not len(both):
             return pa.table({"chunk": pa.array([], pa.int32()), "range": pa.array([], pa.int32()), "body": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
         own = both >> np.uint64(32)
