@@ -1,17 +1,506 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries, each over whole tables, and their SQL oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelight.functions import patterns as P
+from tracelight.operators import evidence, leaks, runs, timeline, transcripts
+from tracelight.plans.fixtures import view, with_views
+from tracelight.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    def keep(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = (with_views(*views) + sql) if views and not sql.startswith("+") else (with_views(*views) + ", " + sql[1:] if views else sql)
+        return query
+
+    return keep
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _join(column: str) -> F.Column:
+    return F.array_join(column, ",")
+
+
+# --- leaks, scope, commands -------------------------------------------------------------------
+
+_BEFORE, _AFTER = r"(^|[^\pL\pN_])", r"([^\pL\pN_]|$)"
+_SQL_LEAKS = {
+    "windows_drive_path": r"[A-Za-z]:\\|[A-Za-z]:/",
+    "evidence_ext_or_format": rf"(?i)\.e01{_AFTER}|{_BEFORE}(E01|RAW|VMDK){_AFTER}",
+    "bitlocker": r"(?i)bitlocker",
+    "raw_users_path": rf"(?i){_BEFORE}Users\\[A-Za-z0-9_. -]+",
+    "credential_word": r"(?i)password|credential|secret",
+    "home_path": r"/home/[A-Za-z0-9_.-]+",
+}
+_FLAGS = ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in _SQL_LEAKS.items())
+_ANY = " OR ".join(f"regexp_matches(text, '{p}')" for p in _SQL_LEAKS.values())
+
+
+@register("flt1_leak_flags", f"SELECT doc_id, {_FLAGS}, {_ANY} AS any_leak FROM scan_text", ("scan_text",))
+def flt1(spark, sf):
+    return leaks.leak_flags(view(spark, sf, "scan_text")).drop("path", "text")
+
+
+_OWNER = "[A-Za-z0-9._-]+"
+_HOMES = [("Linux home path", f"/home/({_OWNER})/", False), ("macOS home path", f"/Users/({_OWNER})/", False), ("WSL-mounted Windows user path", f"(?i)/mnt/[a-z]/Users/({_OWNER})/", True), ("Windows user path", rf"[A-Za-z]:\\Users\\({_OWNER})\\", False)]
+_LEAK_ROWS = " UNION ".join(
+    f"SELECT path, '{label}' AS label, m AS match FROM (SELECT path, unnest(regexp_extract_all(text, '{p}')) AS m FROM files) WHERE "
+    + (f"lower(regexp_extract(m, '{p}', 1)) NOT IN ('name','user','analyst')" if ci else f"regexp_extract(m, '{p}', 1) NOT IN ('name','user','USER','ANALYST')")
+    for label, p, ci in _HOMES)
+_FORBIDDEN = """SELECT path, 'scratch probe files should not be committed' AS reason FROM files WHERE path = '.tmp_test_probe.py'
+UNION SELECT path, 'workstation-specific VS Code tasks should stay local' FROM files WHERE path = '.vscode/tasks.json'
+UNION SELECT path, 'scratch files should not be committed' FROM files WHERE path LIKE '.tmp\\_%' ESCAPE '\\' AND NOT contains(path, '/')"""
+_VIOLATIONS = f"SELECT path, 'forbidden path' AS label, reason AS match FROM ({_FORBIDDEN}) UNION {_LEAK_ROWS}"
+
+
+@register("flt2_local_path_leaks", _LEAK_ROWS, ("files",))
+def flt2(spark, sf):
+    return leaks.local_path_leaks(view(spark, sf, "files"))
+
+
+@register("flt3_forbidden_paths", _FORBIDDEN, ("files",))
+def flt3(spark, sf):
+    return leaks.forbidden_paths(view(spark, sf, "files"))
+
+
+@register("set1_violations", _VIOLATIONS, ("files",))
+def set1(spark, sf):
+    return leaks.hygiene_violations(view(spark, sf, "files"))
+
+
+@register("ag5_hygiene_verdict", f"SELECT coalesce(label, 'ALL') AS label, count(*) AS violations, count(DISTINCT path) AS paths, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM ({_VIOLATIONS}) GROUP BY ROLLUP (label)", ("files",))
+def ag5(spark, sf):
+    return leaks.hygiene_verdict(leaks.hygiene_violations(view(spark, sf, "files")))
+
+
+WINDOW = ("2024-01-05 00:00:00", "2024-01-12 06:00:00")
+
+
+@register("flt4_fixed_window", f"SELECT event_id, source FROM ev WHERE ts >= TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}'", ("ev",))
+def flt4(spark, sf):
+    return timeline.fixed_window(view(spark, sf, "ev"), *WINDOW).select("event_id", "source")
+
+
+BOUNDARIES = [("input", "/home/user1"), ("compute", "/home/user2/"), ("output", "/home/user11"), ("input", "/home"), ("compute", "/home/user3/doc9")]
+
+
+@register("flt5_scope_check", "SELECT event_id, CASE WHEN starts_with(path, '/home/user11/') THEN 'output' WHEN starts_with(path, '/home/user2/') THEN 'compute' ELSE 'input' END AS scope FROM ev", ("ev",))
+def flt5(spark, sf):
+    return leaks.scope_check(view(spark, sf, "ev"), BOUNDARIES).select("event_id", "scope")
+
+
+@register("flt6_unsafe_commands", "SELECT cmd_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(command, '{t}') THEN '{t}' END" for t in P.UNSAFE_TOKENS) + ") AS unsafe FROM cmds", ("cmds",))
+def flt6(spark, sf):
+    return leaks.unsafe_command_flags(view(spark, sf, "cmds")).select("cmd_id", _join("unsafe").alias("unsafe"))
+
+
+RULES = [("*", "ask"), ("powershell.exe *", "allow"), ("powershell.exe * Get-Service*", "deny"), ("git status*", "allow"), ("git *", "ask"), ("rm *", "deny"), ("Get-Date*", "allow")]
+
+
+@register("flt7_command_policy", """SELECT cmd_id, CASE WHEN command GLOB 'powershell.exe * Get-Service*' OR command GLOB 'rm *' THEN 'deny' WHEN command GLOB 'powershell.exe *' OR command GLOB 'git status*' OR command GLOB 'Get-Date*' THEN 'allow' ELSE 'ask' END AS action FROM cmds""", ("cmds",))
+def flt7(spark, sf):
+    return leaks.command_policy(view(spark, sf, "cmds"), RULES).select("cmd_id", "action")
+
+
+# --- redaction, features, leads ---------------------------------------------------------------
+
+_RED = "text"
+_COUNTS = [f"len(regexp_extract_all(text, '{P.PLACEHOLDERS}')) AS n_placeholder"]
+for _name, _pattern, _mark in P.REDACTIONS:
+    _COUNTS.append(f"len(regexp_extract_all({_RED}, '{_pattern}')) AS n_{_name}")
+    _RED = f"regexp_replace({_RED}, '{_pattern}', '{_mark}', 'g')"
+_REDACTED = f"red AS (SELECT doc_id, {', '.join(_COUNTS)}, {_RED} AS redacted FROM scan_text)"
+
+
+@register("prj4_redact", f"+{_REDACTED} SELECT * FROM red", ("scan_text",))
+def prj4(spark, sf):
+    return leaks.redact(view(spark, sf, "scan_text")).drop("path", "text")
+
+
+_REAL = " + ".join(f"n_{n}" for n, _, _ in P.REDACTIONS)
+
+
+@register("ag8_release_decision", f"+{_REDACTED} SELECT doc_id, CAST({_REAL} AS BIGINT) AS identifiers, n_placeholder AS placeholders, CASE WHEN {_REAL} > 0 THEN 'blocked' WHEN n_placeholder > 0 THEN 'ready with noted placeholders' ELSE 'ready' END AS decision FROM red", ("scan_text",))
+def ag8(spark, sf):
+    return leaks.release_decision(leaks.redact(view(spark, sf, "scan_text")))
+
+
+_FEATURES = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS class, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for c, p in P.FEATURES.items())
+
+
+@register("ag7_feature_histogram", f"""SELECT class, value, documents, hits, rank FROM (SELECT class, value, count(DISTINCT doc_id) AS documents, count(*) AS hits, row_number() OVER (PARTITION BY class ORDER BY count(*) DESC, value) AS rank FROM ({_FEATURES}) GROUP BY class, value) WHERE rank <= 10""")
+def ag7(spark, sf):
+    return leaks.feature_histogram(_docs(spark, sf))
+
+
+_LEADS = " UNION ALL ".join(f"SELECT source, '{k}' AS secret_type, '{s}' AS service, sha256(unnest(regexp_extract_all(text, '{p}', 1))) AS fingerprint FROM documents" for k, s, p in P.SECRETS)
+_LEAD_ROWS = f"SELECT fingerprint, secret_type, service, count(*) AS sightings, count(DISTINCT source) AS sources, min(source) AS source_artifact, CASE WHEN service = 'cloud' THEN 'remote' ELSE 'local' END AS use, CASE WHEN count(*) > 1 THEN 'moderate' ELSE 'low' END AS confidence FROM ({_LEADS}) GROUP BY fingerprint, secret_type, service"
+
+
+@register("ag9_secret_leads", _LEAD_ROWS)
+def ag9(spark, sf):
+    return leaks.secret_leads(_docs(spark, sf))
+
+
+@register("cls6_next_action", f"SELECT fingerprint, use, CASE WHEN use = 'local' AND source_artifact <> 'src0' THEN 'proceed in scope' ELSE 'approval needed' END AS next_action FROM ({_LEAD_ROWS})")
+def cls6(spark, sf):
+    return leaks.lead_next_action(leaks.secret_leads(_docs(spark, sf)), F.col("source_artifact") != "src0").select("fingerprint", "use", "next_action")
+
+
+@register("prj5_alias_ids", "SELECT event_id, 'M' || lpad(CAST(dense_rank() OVER (ORDER BY CAST(user_id AS VARCHAR)) AS VARCHAR), 3, '0') AS user_id_alias FROM ev", ("ev",))
+def prj5(spark, sf):
+    return leaks.alias_ids(view(spark, sf, "ev").select("event_id", "user_id"), "user_id", "M")[0]
+
+
+# --- runs -------------------------------------------------------------------------------------
+
+_OBJECT = "CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END"
+_TYPE = "coalesce(nullif(json_extract_string(line, '$.type'), ''), nullif(json_extract_string(line, '$.event'), ''), nullif(json_extract_string(line, '$.kind'), ''), 'unknown')"
+
+
+@register("src3_parse_event_lines", f"SELECT run_id, line_no FROM log_lines WHERE {_OBJECT}", ("log_lines",))
+def src3(spark, sf):
+    return runs.parse_event_lines(view(spark, sf, "log_lines")).select("run_id", "line_no")
+
+
+@register("ag1_event_type_counts", f"SELECT run_id, {_TYPE} AS event_type, count(*) AS events FROM (SELECT * FROM log_lines WHERE {_OBJECT}) GROUP BY 1, 2", ("log_lines",))
+def ag1(spark, sf):
+    return runs.event_type_counts(runs.parse_event_lines(view(spark, sf, "log_lines")))
+
+
+@register("ag2_run_event_summary", f"SELECT run_id, count(*) AS parsed_events, count(*) FILTER (contains(line, 'platform-profiler') OR contains(lower(line), '\"task\"')) AS task_mentions, count(*) FILTER (contains(line, 'PLATFORM:') OR contains(line, 'HARNESS_VERDICT')) AS final_like FROM log_lines WHERE {_OBJECT} GROUP BY run_id", ("log_lines",))
+def ag2(spark, sf):
+    return runs.run_event_summary(runs.parse_event_lines(view(spark, sf, "log_lines")))
+
+
+_ROLES = """roles AS (SELECT p.session_id, p.message_id, p.ord, p.data, coalesce(CASE WHEN json_valid(m.data) THEN json_extract_string(m.data, '$.role') END, '') AS role,
+CASE WHEN json_valid(p.data) THEN coalesce(nullif(json_extract_string(p.data, '$.type'), ''), json_extract_string(p.data, '$.part.type'), 'unknown') ELSE 'unparsed' END AS part_type,
+CASE WHEN json_valid(p.data) THEN coalesce(json_extract_string(p.data, '$.text'), json_extract_string(p.data, '$.content'), json_extract_string(p.data, '$.part.text'), json_extract_string(p.data, '$.part.content'), '') ELSE '' END AS text
+FROM part p LEFT JOIN msg m ON p.message_id = m.id)"""
+
+
+def _roles(spark, sf):
+    return runs.parts_with_role(view(spark, sf, "part"), view(spark, sf, "msg"))
+
+
+@register("jn1_parts_with_role", f"+{_ROLES} SELECT session_id, message_id, ord, role FROM roles", ("part", "msg"))
+def jn1(spark, sf):
+    return _roles(spark, sf).select("session_id", "message_id", "ord", "role")
+
+
+@register("src4_session_tables", f"+{_ROLES} SELECT message_id, part_type, text FROM roles", ("part", "msg"))
+def src4(spark, sf):
+    return _roles(spark, sf).select("message_id", "part_type", "text")
+
+
+@register("ag3_part_type_counts", f"+{_ROLES} SELECT session_id, part_type, count(*) AS parts, count(*) FILTER (role = 'assistant') AS assistant_parts FROM roles GROUP BY 1, 2", ("part", "msg"))
+def ag3(spark, sf):
+    return runs.part_type_counts(_roles(spark, sf))
+
+
+_COUNT = lambda c, s: f"(length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}"
+_DIGEST = f"""+{_ROLES}, d AS (SELECT session_id, coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) ORDER BY ord, message_id), '') AS text, count(*) FILTER (text <> '') AS text_parts, CAST(sum({_COUNT('data', 'platform-profiler')} + {_COUNT('lower(data)', '"task"')}) AS BIGINT) AS task_mentions FROM roles WHERE role = 'assistant' GROUP BY session_id)
+SELECT session_id, text_parts, task_mentions, octet_length(encode(text)) AS bytes, CASE WHEN text = '' THEN '' ELSE upper(substr(sha256(text), 1, 16)) END AS sha256_prefix, {_FLAGS}, {_ANY} AS any_leak, contains(text, 'PLATFORM:') AS has_platform, contains(text, 'HARNESS_VERDICT') AS has_verdict, regexp_matches(text, '(?m)^\\s*OK\\.?\\s*$') AS has_minimal_ok FROM d"""
+
+
+@register("ag4_session_digest", _DIGEST, ("part", "msg"))
+def ag4(spark, sf):
+    return runs.session_digest(_roles(spark, sf))
+
+
+@register("win1_latest_session", "SELECT id, title, agent, time_created FROM (SELECT *, row_number() OVER (PARTITION BY title, agent ORDER BY time_created DESC, id DESC) AS rn FROM sess) WHERE rn = 1", ("sess",))
+def win1(spark, sf):
+    return runs.latest_session(view(spark, sf, "sess"))
+
+
+@register("prj1_fingerprint", "SELECT doc_id, octet_length(encode(text)) AS bytes, upper(substr(sha256(text), 1, 16)) AS sha256_prefix FROM documents")
+def prj1(spark, sf):
+    return runs.fingerprint(_docs(spark, sf)).select("doc_id", "bytes", "sha256_prefix")
+
+
+@register("prj3_output_markers", "SELECT note_id, contains(t, 'PLATFORM:') AS has_platform, contains(t, 'HARNESS_VERDICT') AS has_verdict, regexp_matches(t, '(?m)^\\s*OK\\.?\\s*$') AS has_minimal_ok FROM (SELECT note_id, body || CASE note_id % 4 WHEN 0 THEN chr(10) || ' OK. ' WHEN 1 THEN 'PLATFORM: x' WHEN 2 THEN 'HARNESS_VERDICT' ELSE ' OKAY' END AS t FROM notes)", ("notes",))
+def prj3(spark, sf):
+    text = F.expr("body || CASE note_id % 4 WHEN 0 THEN chr(10) || ' OK. ' WHEN 1 THEN 'PLATFORM: x' WHEN 2 THEN 'HARNESS_VERDICT' ELSE ' OKAY' END")
+    return runs.output_markers(view(spark, sf, "notes").withColumn("text", text)).drop("body", "text")
+
+
+@register("cls1_probe_verdict", "SELECT run_id, CASE WHEN NOT run_ok AND usable AND NOT leaks THEN 'partial_ok_process_timeout' WHEN NOT run_ok THEN 'blocked' WHEN leaks THEN 'needs_harness_adjustment' WHEN delegation_mode AND mentions = 0 THEN 'needs_harness_adjustment' ELSE 'ok' END AS verdict FROM runs", ("runs",))
+def cls1(spark, sf):
+    return runs.probe_verdict(view(spark, sf, "runs")).select("run_id", "verdict")
+
+
+@register("cls2_eval_verdict", "SELECT run_id, CASE WHEN NOT preflight_ok OR NOT run_ok THEN 'blocked' WHEN direct AND leaks THEN 'needs_harness_adjustment' WHEN comparison IN ('ok', 'skipped') THEN 'ok' ELSE 'needs_harness_adjustment' END AS verdict FROM runs", ("runs",))
+def cls2(spark, sf):
+    return runs.eval_verdict(view(spark, sf, "runs")).select("run_id", "verdict")
+
+
+@register("cls3_reply_verdict", "SELECT reply_id, CASE reply_id % 5 WHEN 0 THEN 'no choices' WHEN 1 THEN 'visible' WHEN 2 THEN 'reasoning only' WHEN 3 THEN 'nothing visible' ELSE 'visible' END AS verdict FROM replies", ("replies",))
+def cls3(spark, sf):
+    return runs.reply_verdict(view(spark, sf, "replies")).select("reply_id", "verdict")
+
+
+@register("cls7_context_fit", "SELECT conv_id AS request_id, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN sum(tokens) > 16384 THEN 'overflow' ELSE 'fits' END AS verdict FROM steps GROUP BY conv_id", ("steps",))
+def cls7(spark, sf):
+    return runs.context_fit(view(spark, sf, "steps").withColumnRenamed("conv_id", "request_id"))
+
+
+@register("jn2_compare_reports", """SELECT d.doc_id AS case_id, CASE WHEN e.expected IS NULL THEN 'skipped' WHEN NOT json_valid(e.expected) THEN 'blocked' WHEN m + f = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN e.expected IS NULL OR NOT json_valid(e.expected) THEN 0 ELSE m END AS missing, CASE WHEN e.expected IS NULL OR NOT json_valid(e.expected) THEN 0 ELSE f END AS forbidden
+FROM (SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN CASE WHEN contains(text, 'the') THEN 0 ELSE 1 END WHEN 1 THEN CASE WHEN contains(text, 'que') THEN 0 ELSE 1 END + CASE WHEN contains(text, 'zzzz') THEN 0 ELSE 1 END ELSE 0 END AS INT) AS m, CAST(CASE WHEN doc_id % 4 = 0 AND contains(text, 'token') THEN 1 ELSE 0 END AS INT) AS f FROM documents) d LEFT JOIN expectations e ON d.doc_id = e.case_id""", ("expectations",))
+def jn2(spark, sf):
+    return runs.compare_reports(_docs(spark, sf).select(F.col("doc_id").alias("case_id"), "text"), view(spark, sf, "expectations"))
+
+
+@register("ag11_run_log", "SELECT user_id % 20 AS run_id, min(ts) AS started, max(ts) AS ended, count(*) AS row_count, count(*) FILTER (k % 10 = 0) AS warnings, count(*) FILTER (k % 10 = 1) AS errors FROM ev GROUP BY 1", ("ev",))
+def ag11(spark, sf):
+    level = F.expr("CASE k % 10 WHEN 0 THEN 'warning' WHEN 1 THEN 'error' ELSE 'info' END")
+    return runs.run_log(view(spark, sf, "ev").withColumn("run_id", F.expr("user_id % 20")).withColumn("level", level))
+
+
+# --- timeline ---------------------------------------------------------------------------------
+
+
+@register("prj2_normalise_time", """SELECT event_id, ends_with(local_time, 'Z') AS label_error, CASE WHEN local_time = 'unknown' THEN NULL ELSE CASE zone WHEN 'UTC' THEN CAST(rtrim(local_time, 'Z') AS TIMESTAMP) WHEN 'Europe/Berlin' THEN CAST(rtrim(local_time, 'Z') AS TIMESTAMP) - INTERVAL 1 HOUR ELSE CAST(rtrim(local_time, 'Z') AS TIMESTAMP) + INTERVAL 5 HOUR END END AS utc FROM local_times""", ("local_times",))
+def prj2(spark, sf):
+    return timeline.normalise_time(view(spark, sf, "local_times")).select("event_id", "label_error", F.col("utc").cast("timestamp_ntz").alias("utc"))
+
+
+_SOURCES = ["session_log", "file_access", "browser", "archive_log", "transfer_log"]
+
+
+@register("win8_super_timeline", "SELECT DISTINCT event_id, ts, source, CASE WHEN source = 'browser' THEN 'unverified' ELSE 'verified' END AS status FROM ev", ("ev",))
+def win8(spark, sf):
+    ev = view(spark, sf, "ev").select("event_id", "ts", "source")
+    parts = [ev.filter(F.col("source") == s) for s in _SOURCES]
+    parts[2] = parts[2].withColumn("provisional", F.lit(True))
+    return timeline.super_timeline(*parts, ev.filter(F.col("source") == "archive_log")).drop("provisional")
+
+
+_EXPECTED = [*((s, False) for s in _SOURCES), ("registry", False), ("mail", True)]
+
+
+@register("jn4_source_status", f"""SELECT x.source, coalesce(n, 0) AS row_count, CASE WHEN coalesce(n, 0) > 0 THEN 'rows found' WHEN x.source = 'mail' THEN 'no rows: supports negative evidence' ELSE 'no rows: limitation' END AS reason FROM (SELECT unnest({[s for s, _ in _EXPECTED]}) AS source) x LEFT JOIN (SELECT source, count(*) AS n FROM ev WHERE ts >= TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}' GROUP BY source) c ON x.source = c.source""", ("ev",))
+def jn4(spark, sf):
+    return timeline.source_status(spark.createDataFrame(_EXPECTED, "source string, negative_evidence boolean"), view(spark, sf, "ev"), *WINDOW)
+
+
+@register("win4_activity_gaps", """+g AS (SELECT event_id, actor, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY actor ORDER BY ts, event_id)) / 60000000.0 AS gap FROM ev) SELECT event_id, actor, CAST(sum(CASE WHEN gap > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY ts, event_id) AS BIGINT) AS segment FROM g""", ("ev",))
+def win4(spark, sf):
+    return timeline.activity_gaps(view(spark, sf, "ev"), 120).select("event_id", "actor", "segment")
+
+
+@register("win5_trailing_activity", "SELECT event_id, count(*) OVER (PARTITION BY actor ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS trailing FROM ev", ("ev",))
+def win5(spark, sf):
+    return timeline.trailing_activity(view(spark, sf, "ev"), 3600).select("event_id", "trailing")
+
+
+@register("jn6_attribute_by_session", """+s AS (SELECT host, ts, arg_max(actor, event_id) AS actor FROM ev WHERE source = 'session_log' GROUP BY host, ts) SELECT e.event_id, e.host, coalesce(s.actor, 'unattributed') AS actor FROM (SELECT * FROM ev WHERE source <> 'session_log') e ASOF LEFT JOIN s ON e.host = s.host AND e.ts >= s.ts""", ("ev",))
+def jn6(spark, sf):
+    ev = view(spark, sf, "ev")
+    return timeline.attribute_by_session(ev.filter("source <> 'session_log'"), ev.filter("source = 'session_log'"))
+
+
+@register("jn7_corroborate", """+n AS (SELECT a.event_id, count(DISTINCT b.source) AS n FROM ev a JOIN ev b ON a.actor = b.actor AND a.source <> b.source AND b.ts BETWEEN a.ts - INTERVAL 60 MINUTE AND a.ts + INTERVAL 60 MINUTE GROUP BY a.event_id)
+SELECT ev.event_id, actor, source, coalesce(n, 0) AS sources, CASE WHEN coalesce(n, 0) >= 2 THEN 'high' WHEN n = 1 THEN 'moderate' ELSE 'low' END AS confidence FROM ev LEFT JOIN n ON ev.event_id = n.event_id""", ("ev",))
+def jn7(spark, sf):
+    return timeline.corroborate(view(spark, sf, "ev"), 60)
+
+
+@register("jn9_staging", """+a AS (SELECT event_id, actor, ts, source, count(*) FILTER (source = 'file_access') OVER (PARTITION BY actor ORDER BY ts RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS accesses FROM ev)
+SELECT event_id, actor, accesses, 'staging, not exfiltration' AS label FROM a WHERE source = 'archive_log' AND accesses >= 3 AND NOT EXISTS (SELECT 1 FROM ev t WHERE t.actor = a.actor AND t.source = 'transfer_log' AND t.ts > a.ts AND t.ts <= a.ts + INTERVAL 12 HOUR)""", ("ev",))
+def jn9(spark, sf):
+    return timeline.staging_without_transfer(view(spark, sf, "ev"), 12, 3, 4 * 3600)
+
+
+@register("jn12_server_gate", """SELECT event_id, host, CASE WHEN host IN ('host1','host4') AND source IN ('browser','file_access') AND NOT EXISTS (SELECT 1 FROM ev h WHERE h.actor = e.actor AND h.source = 'session_log' AND h.ts BETWEEN e.ts - INTERVAL 60 MINUTE AND e.ts + INTERVAL 60 MINUTE) THEN 'service_or_unknown' ELSE 'human' END AS activity FROM ev e""", ("ev",))
+def jn12(spark, sf):
+    return timeline.server_activity_gate(view(spark, sf, "ev"), spark.createDataFrame([("host1",), ("host4",)], "host string"), 60)
+
+
+@register("ag6_usage_pattern", "SELECT host, actor, count(*) AS events, count(DISTINCT CAST(ts AS DATE)) AS active_days, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT source) AS sources, CAST(grouping(host) * 2 + grouping(actor) AS BIGINT) AS level FROM ev GROUP BY GROUPING SETS ((host, actor), (host), (actor), ())", ("ev",))
+def ag6(spark, sf):
+    return timeline.usage_pattern(view(spark, sf, "ev"))
+
+
+@register("det1_match_rules", """+h AS (SELECT 'high value' AS rule, actor, ts FROM ev WHERE value > 50 UNION ALL SELECT 'archive', actor, ts FROM ev WHERE source = 'archive_log')
+SELECT rule, actor, time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) AS hits FROM h GROUP BY 1, 2, 3 HAVING count(*) >= 2""", ("ev",))
+def det1(spark, sf):
+    rules = {"high value": F.col("value") > 50, "archive": F.col("source") == "archive_log"}
+    return timeline.match_rules(view(spark, sf, "ev"), rules, 60, 2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("str1_source_counts", "SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, source, count(*) AS events FROM ev GROUP BY 1, 2", ("ev",))
+def str1(spark, sf):
+    return streams.stream_source_counts(view(spark, sf, "ev")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("str2_leak_gate", f"+{_REDACTED} SELECT doc_id, {_ANY} AS any_leak, redacted FROM red JOIN scan_text USING (doc_id)", ("scan_text",))
+def str2(spark, sf):
+    return streams.gate(view(spark, sf, "scan_text")).select("doc_id", "any_leak", "redacted")
+
+
+# --- evidence ---------------------------------------------------------------------------------
+
+
+@register("jn3_verify_hashes", "SELECT coalesce(d.doc_id, m.item_id) AS item_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN m.item_id IS NULL THEN 'unexpected' WHEN sha256(d.text) = sha256(m.text) THEN 'match' ELSE 'mismatch' END AS status FROM documents d FULL JOIN manifest m ON d.doc_id = m.item_id", ("manifest",))
+def jn3(spark, sf):
+    own = _docs(spark, sf).select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("sha256"))
+    return evidence.verify_hashes(own, view(spark, sf, "manifest").select("item_id", F.sha2("text", 256).alias("expected")))
+
+
+@register("jn10_provenance", """SELECT artifact_id, concat_ws(',', CASE WHEN source_image IS NULL THEN 'source_image' END, CASE WHEN tool = '' THEN 'tool' END, CASE WHEN command IS NULL THEN 'command' END) AS missing, source_hash IN (SELECT sha256 FROM hashes) AS source_known FROM derived""", ("derived", "hashes"))
+def jn10(spark, sf):
+    return evidence.derived_provenance(view(spark, sf, "derived"), view(spark, sf, "hashes")).withColumn("missing", _join("missing"))
+
+
+@register("val6_required_fields", "SELECT finding_id, concat_ws(',', CASE WHEN observation IS NULL THEN 'observation' END, CASE WHEN trim(inference) = '' THEN 'inference' END) AS missing FROM findings WHERE observation IS NULL OR trim(inference) = ''", ("findings",))
+def val6(spark, sf):
+    return evidence.required_fields_check(view(spark, sf, "findings"), ("observation", "inference", "confidence"), "finding_id").withColumn("missing", _join("missing"))
+
+
+_PROFILE = """v AS (SELECT evidence_id, CASE WHEN regexp_matches(path, '(?i)\\.evtx$|\\.lnk$|bitlocker|\\.xlsx$') THEN 'windows' WHEN regexp_matches(path, '(?i)\\.plist$|\\.sqlite$') THEN 'macos' WHEN regexp_matches(path, '(?i)\\.journal$|\\.zip$') THEN 'linux' END AS os, regexp_matches(path, '(?i)\\.e01$') AS image FROM artifacts),
+c AS (SELECT evidence_id, os, count(*) AS n FROM v WHERE os IS NOT NULL GROUP BY 1, 2), b AS (SELECT evidence_id, max(n) AS n FROM c GROUP BY 1), t AS (SELECT c.evidence_id, count(*) AS leaders, min(os) AS os FROM c JOIN b ON c.evidence_id = b.evidence_id AND c.n = b.n GROUP BY 1),
+prof AS (SELECT e.evidence_id, CASE WHEN t.leaders = 1 THEN t.os ELSE 'unknown' END AS os, CASE WHEN e.image THEN 'dead-box image' ELSE 'unknown' END AS mode, NOT coalesce(t.leaders = 1, false) AS discovery_needed FROM (SELECT evidence_id, bool_or(image) AS image FROM v GROUP BY 1) e LEFT JOIN t ON e.evidence_id = t.evidence_id)"""
+
+
+@register("ag10_platform_profile", f"+{_PROFILE} SELECT * FROM prof", ("artifacts",))
+def ag10(spark, sf):
+    return evidence.platform_profile(view(spark, sf, "artifacts"))
+
+
+LANES = [("event logs", "windows", r"\.evtx$", True), ("documents", "windows", r"\.xlsx$", False), ("browser", "macos", r"\.sqlite$", True), ("archives", "linux", r"\.zip$", True)]
+
+
+@register("jn5_route_artifacts", f"+{_PROFILE} SELECT artifact_id, CASE WHEN os = 'windows' AND ends_with(path, '.evtx') THEN 'event logs' WHEN os = 'macos' AND ends_with(path, '.sqlite') THEN 'browser' WHEN os = 'linux' AND ends_with(path, '.zip') THEN 'archives' ELSE 'deferred' END AS lane FROM artifacts JOIN prof USING (evidence_id)", ("artifacts",))
+def jn5(spark, sf):
+    artifacts = view(spark, sf, "artifacts")
+    return evidence.route_artifacts(artifacts, evidence.platform_profile(artifacts), LANES, True)
+
+
+LAYERS = [("file system", "any"), ("registry", "windows"), ("unified log", "macos")]
+
+
+@register("jn11_coverage", f"""+{_PROFILE}, l AS (SELECT unnest(['file system','registry','unified log']) AS layer, unnest(['any','windows','macos']) AS platform), a AS (SELECT evidence_id, CASE source WHEN 'browser' THEN 'file system' WHEN 'session_log' THEN 'registry' ELSE 'other' END AS layer, bool_or(artifact_id % 40 = 0) AS success FROM artifacts GROUP BY 1, 2)
+SELECT p.evidence_id, l.layer, CASE WHEN platform <> 'any' AND platform <> os THEN 'not possible' WHEN success IS NULL THEN 'not attempted' WHEN success THEN 'done' ELSE 'attempted-unsuccessful' END AS state FROM prof p CROSS JOIN l LEFT JOIN a ON p.evidence_id = a.evidence_id AND l.layer = a.layer""", ("artifacts",))
+def jn11(spark, sf):
+    artifacts = view(spark, sf, "artifacts")
+    attempts = artifacts.select("evidence_id", F.expr("CASE source WHEN 'browser' THEN 'file system' WHEN 'session_log' THEN 'registry' ELSE 'other' END").alias("layer"), F.expr("artifact_id % 40 = 0").alias("success"))
+    return evidence.coverage_matrix(evidence.platform_profile(artifacts), LAYERS, attempts)
+
+
+@register("jn8_finding_support", "SELECT f.finding_id, count(DISTINCT a.artifact_id) AS artifacts, count(DISTINCT a.source) AS sources, CASE WHEN count(DISTINCT a.source) >= 2 THEN 'supported' WHEN count(DISTINCT a.source) = 1 THEN 'challenged' ELSE 'missing corroboration' END AS status FROM findings f LEFT JOIN citations c ON f.finding_id = c.finding_id LEFT JOIN artifacts a ON c.artifact_id = a.artifact_id GROUP BY f.finding_id", ("findings", "citations", "artifacts"))
+def jn8(spark, sf):
+    return evidence.finding_support(view(spark, sf, "findings"), view(spark, sf, "citations"), view(spark, sf, "artifacts"))
+
+
+# --- transcripts and notes --------------------------------------------------------------------
+
+_SECTIONS = "sec AS (SELECT *, last_value(CASE WHEN starts_with(trim(line), '## ') THEN lower(trim(substr(trim(line), 4))) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, starts_with(trim(line), '## ') AS heading FROM {})"
+_NOTE_SECTIONS, _REPORT_SECTIONS = _SECTIONS.format("note_lines"), _SECTIONS.format("report_lines")
+
+
+@register("win2_markdown_sections", f"+{_NOTE_SECTIONS} SELECT doc_id, line_no, heading, section FROM sec", ("note_lines",))
+def win2(spark, sf):
+    return transcripts.markdown_sections(view(spark, sf, "note_lines")).drop("line")
+
+
+_RELEASE = f"{_NOTE_SECTIONS}, r AS (SELECT doc_id, arg_min(nullif(lower(regexp_extract(line, '(?i)(ready with caveats|not ready|ready)', 1)), ''), line_no) FILTER (section = 'release recommendation' AND NOT heading AND regexp_matches(line, '(?i)ready')) AS recommendation FROM sec GROUP BY doc_id)"
+
+
+@register("win3_release_recommendation", f"+{_RELEASE} SELECT * FROM r", ("note_lines",))
+def win3(spark, sf):
+    return transcripts.release_recommendation(view(spark, sf, "note_lines"))
+
+
+@register("cls5_release_gate", f"+{_RELEASE} SELECT *, CASE WHEN recommendation IS NULL THEN 'error' WHEN recommendation = 'ready' THEN 'export' WHEN recommendation = 'ready with caveats' THEN 'hold' ELSE 'block' END AS gate FROM r", ("note_lines",))
+def cls5(spark, sf):
+    return transcripts.release_gate(view(spark, sf, "note_lines"))
+
+
+@register("val3_report_order", f"+{_REPORT_SECTIONS}, h AS (SELECT doc_id, list(section ORDER BY line_no) AS l FROM sec WHERE heading GROUP BY doc_id) SELECT doc_id, l[1] AS first, l[2] AS second, coalesce(l[1] = 'executive summary' AND l[2] = 'findings', false) AS in_order FROM h", ("report_lines",))
+def val3(spark, sf):
+    return transcripts.report_order_check(view(spark, sf, "report_lines"))
+
+
+@register("val4_review_note", f"+{_NOTE_SECTIONS}, h AS (SELECT doc_id, list(section) FILTER (heading) AS l FROM sec GROUP BY doc_id) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT list_contains(l, '{s}') THEN '{s}' END" for s in P.SECTIONS) + ") AS missing FROM h", ("note_lines",))
+def val4(spark, sf):
+    return transcripts.review_note_check(view(spark, sf, "note_lines")).withColumn("missing", _join("missing"))
+
+
+@register("val1_helper_note", "SELECT note_id, CASE (note_id % 100) % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'no marker' WHEN 2 THEN 'empty' WHEN 3 THEN 'missing keys' ELSE 'too long' END AS verdict FROM notes", ("notes",))
+def val1(spark, sf):
+    return transcripts.helper_note_check(view(spark, sf, "notes"), "FLOW:", ("report", "time", "events"), 10, 3)
+
+
+@register("val1_script_status", "SELECT note_id, CAST(len(regexp_extract_all(body, 'SCRIPT_REVIEW: (?:approved-for-controlled-use|blocked)')) AS BIGINT) AS statuses, CASE WHEN len(regexp_extract_all(body, 'SCRIPT_REVIEW: (?:approved-for-controlled-use|blocked)')) = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM notes", ("notes",))
+def val1b(spark, sf):
+    return transcripts.script_status_check(view(spark, sf, "notes"))
+
+
+@register("val2_task_prompt", "SELECT call_id, CASE (call_id % 100) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'forbidden field' WHEN 2 THEN 'wrong fields' WHEN 3 THEN 'too long' WHEN 4 THEN 'more than one line' ELSE 'wrong fields' END AS verdict FROM calls", ("calls",))
+def val2(spark, sf):
+    return transcripts.task_prompt_check(view(spark, sf, "calls"), ("description", "prompt", "subagent_type"), ("agent", "task"))
+
+
+@register("win6_loop_order", """+t AS (SELECT conv_id, arg_min(step, turn) AS first_step, min(turn) FILTER (step = 'senior') AS a, min(turn) FILTER (step = 'researcher') AS b, min(turn) FILTER (step = 'provisioner') AS c, min(turn) FILTER (step = 'report_stub') AS s, min(turn) FILTER (step = 'collect') AS k FROM steps GROUP BY conv_id)
+SELECT conv_id, first_step = 'senior' AS first_ok, (b IS NULL OR coalesce(a < b, false)) AND (c IS NULL OR coalesce(b < c, false)) AS order_ok, k IS NULL OR coalesce(s < k, false) AS stub_ok FROM t""", ("steps",))
+def win6(spark, sf):
+    return transcripts.loop_order_check(view(spark, sf, "steps"))
+
+
+@register("win7_recent_context", "SELECT conv_id, turn, step, CAST(tokens AS BIGINT) AS tokens, running FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS running FROM steps) WHERE back <= 2 OR running <= 600", ("steps",))
+def win7(spark, sf):
+    steps = view(spark, sf, "steps").withColumn("tokens", F.col("tokens").cast("long"))
+    return transcripts.recent_context(steps, 2, 600)
+
+
+@register("val5_script_approval", "SELECT run_id, script_id FROM scripts r WHERE NOT EXISTS (SELECT 1 FROM reviews v WHERE v.script_id = r.script_id AND v.status = 'approved' AND v.ts <= r.ts)", ("scripts", "reviews"))
+def val5(spark, sf):
+    return transcripts.script_approval(view(spark, sf, "scripts"), view(spark, sf, "reviews"))
+
+
+# --- sources and sinks over given tables ------------------------------------------------------
+
+
+@register("snk2_bounded_preview", "SELECT doc_id, substr(text, 1, 1200) AS text FROM documents ORDER BY doc_id LIMIT 20")
+def snk2(spark, sf):
+    from tracelight.sources import files
+
+    return files.bounded_preview(_docs(spark, sf).select("doc_id", "text"), ("text",), "doc_id")
+
+
+@register("src2_text_files", "SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0")
+def src2(spark, sf):
+    from tracelight.sources import files
+
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(b"\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return files.text_files(_docs(spark, sf).select("doc_id", content.alias("content")))
+
+
+@register("src1_file_inventory")
+def src1(spark, sf):
+    """The files that hold the tables."""
+    from tracelight.sources import files
+
+    return files.file_inventory(spark, sf).select("path", "length", "sha256")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return ORACLES
