@@ -33,7 +33,7 @@ from tracelight.llm.substring import LAST, _blobs, _packed, by_range
 
 WINDOW, ANCHOR = 100, 32
 #: Text bytes whose repeats a shard gets, bytes of one suffix array, stretches that make an anchor hot.
-SHARD_TEXT, BLOCK_BYTES, HOT = 4_000_000, 8_000_000, 100_000
+SHARD_TEXT, BLOCK_BYTES, HOT = 2_000_000, 2_000_000, 100_000
 
 
 def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -179,17 +179,18 @@ def _send(bits: int):
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes of text in order.
 
-    Sorted by 8 bytes first; then groups that are still equal are sorted by the rank of what
+    Sorted by 5 bytes first; then groups that are still equal are sorted by the rank of what
     follows, twice as far each time, and groups of one are left alone."""
     n = len(text)
-    padded = np.r_[text, np.zeros(8, np.uint8)]
+    padded = np.r_[text, np.zeros(5, np.uint8)]
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(5):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = _in_order(key, 40)
     new = np.r_[True, key[order][1:] != key[order][:-1]]
-    have = 8
+    have = 5
     rank = np.zeros(n + 1, np.int64)  # 0: past the end
+    width = n.bit_length()
     while True:
         group = np.flatnonzero(new)[np.cumsum(new) - 1]  # each group is known by its first place in the order
         rank[order] = group + 1
@@ -199,13 +200,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
         where = order[left]
         after = rank[np.minimum(where + have, n)]
-        sub = np.argsort(group[left].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), kind="stable")
+        g = np.cumsum(new[left])
+        sub = _in_order(g.astype(np.uint64) << np.uint64(width) | after.astype(np.uint64), width + int(g[-1]).bit_length())
         order[left] = where[sub]
-        g, a = group[left], after[sub]
+        a = after[sub]
         new[left] = np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1])]
         have *= 2
 
 
+def _in_order(key: np.ndarray, width: int) -> np.ndarray:
+    """Places of keys of `width` bits in stable order. Where the place fits in beside the key, the
+    two are sorted as one number."""
+    bits = len(key).bit_length()
+    if width + bits > 64:
+        return np.argsort(key, kind="stable")
+    return (np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = WINDOW, lane: int = 64) -> np.ndarray:
     """Length, `cap` at most, that each suffix in the order shares with the one before it.
 
