@@ -3,8 +3,8 @@
 Documents are tokenised whole; those longer than a sequence are cut, the odd piece first. Full
 pieces fill sequences of their own. The rest is dealt evenly into groups, each packed by
 best-fit decreasing. Dual-feasible functions bound from below how many sequences a group needs;
-a group that meets its bound is done. Groups with a gap keep their filled sequences, pool what
-lies in the others with another group's, and pack again.
+a group that meets its bound is done. Neighbouring groups with gaps pool their documents and run
+best-fit decreasing again; the new packing counts where it takes fewer sequences.
 
 Null text counts as empty; its document is the single end id. Repeated rows, null ids and
 clashing names are no matter: pieces are told apart by a row number of their own.
@@ -28,7 +28,7 @@ from tracelight.llm.common import materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of a group, rounds of exchange at most, cached words of a worker.
-GROUP_PIECES, ROUNDS, CACHE_WORDS = 60_000, 4, 500_000
+GROUP_PIECES, ROUNDS, CACHE_WORDS = 250_000, 4, 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -190,13 +190,21 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, np.array(loads, np.int64)
 
 
-def _pack_group(capacity: int):
+PLACED = "uid long, length long, grp long, seq long, offset long, gap long"
+
+
+def _pack_group(capacity: int, stage: int):
+    """Pack one group anew, unless its pieces already have places in as few sequences."""
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable")
-        sizes = pdf["length"].to_numpy()
-        bins, offsets, loads = best_fit_decreasing(sizes, capacity)
-        gap = len(loads) - lower_bound(sizes, capacity)
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "length": sizes, "grp": pdf["grp"].to_numpy(), "bin": bins, "offset": offsets, "settled": (gap == 0) | (loads[bins] == capacity), "gap": gap})
+        sizes, seq, offsets = (pdf[c].to_numpy() for c in ("length", "seq", "offset"))
+        bins, at, loads = best_fit_decreasing(sizes, capacity)
+        before = len(np.unique(seq)) if (seq >= 0).all() else len(sizes) + 1
+        if len(loads) < before:
+            seq, offsets = (stage << 58 | int(pdf["grp"].iloc[0]) << 24) + bins, at
+        gap = min(len(loads), before) - lower_bound(sizes, capacity)
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "length": sizes, "grp": pdf["grp"].to_numpy(), "seq": seq, "offset": offsets, "gap": gap})
 
     return pack
 
@@ -204,24 +212,21 @@ def _pack_group(capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """Places for the rows of pieces (uid, length <= capacity): (uid, sequence_id, offset)."""
     full = pieces.filter(F.col("length") == capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    open_rows = pieces.filter(F.col("length") < capacity).select("uid", "length")
-    groups = max(1, math.ceil(open_rows.count() / group_pieces))
+    rest = pieces.filter(F.col("length") < capacity).select("uid", "length")
+    groups = max(1, math.ceil(rest.count() / group_pieces))
+    none = F.lit(-1).cast("long")
+    rest = rest.withColumns({"grp": F.pmod(F.xxhash64("uid"), F.lit(groups)), "seq": none, "offset": none})
     placed = [full]
-    open_rows = open_rows.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    base = 0
-    for k in range(rounds):
-        packed = materialize(open_rows.groupBy("grp").applyInPandas(_pack_group(capacity), "uid long, length long, grp long, bin long, offset long, settled boolean, gap long"), "packed")
-        last = k == rounds - 1 or groups == 1 and k > 0
-        done = packed if last else packed.filter("settled")
-        placed.append(done.select("uid", (F.shiftleft(F.col("grp") + F.lit(base), 24) + F.col("bin")).alias("sequence_id"), "offset"))
-        rest = packed.filter(~F.col("settled"))
-        left = 0 if last else rest.count()
-        if not left:
+    for stage in range(rounds):
+        packed = materialize(rest.groupBy("grp").applyInPandas(_pack_group(capacity, stage), PLACED), "packed")
+        last = stage == rounds - 1 or groups == 1
+        done = packed if last else packed.filter("gap = 0")
+        placed.append(done.select("uid", F.col("seq").alias("sequence_id"), "offset"))
+        if last or packed.filter("gap > 0").isEmpty():
             break
-        # what is left of two or more groups, never more than a group's worth, packs together
-        base += groups
-        groups = min(max(1, groups // 2), max(1, math.ceil(left / group_pieces)))
-        open_rows = rest.select("uid", "length").withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(groups)))
+        # neighbours that both have gaps pool their documents; a group at most doubles a round
+        groups = (groups + 1) // 2
+        rest = packed.filter("gap > 0").select("uid", "length", F.floor(F.col("grp") / 2).alias("grp"), "seq", "offset")
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
