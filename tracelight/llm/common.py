@@ -88,6 +88,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are hashed at a time.
+HASHED = 1_000_000
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,15 +110,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a polynomial in an odd base, taken between
     prefix sums of base**i * byte, brought to a common power and scrambled with the length."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        powers = _powers(n)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=prefix[1:])
-        value = (prefix[ends] - prefix[starts]) * _inverse_powers(n)[starts]
-        return mix64(value + (ends - starts).astype(np.uint64) * ODD)
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        # a stretch of whole words, so that the sums and the table of powers stay small
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
+        first = starts[at]
+        part = data[first : ends[end - 1]].astype(np.uint64)
+        begin, stop = starts[at:end] - first, ends[at:end] - first
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part + np.uint64(1)) * _powers(len(part))[: len(part)], out=prefix[1:])
+            value = (prefix[stop] - prefix[begin]) * _inverse_powers(len(part))[begin]
+            out[at:end] = mix64(value + (stop - begin).astype(np.uint64) * ODD)
+        at = end
+    return out
 
 
 _POWERS: dict[int, np.ndarray] = {}

@@ -26,7 +26,7 @@ from tracelight.llm.common import flat_text, materialize, mix64, roll, stretches
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Classes that one block compares with each other, classes of small components in a bucket.
-BLOCK, BUCKET = 2500, 1500
+BLOCK, BUCKET = 2000, 1000
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
             data, offsets = flat_text(batch["text"])
-            for at, end in stretches(offsets, 3_000_000):
+            for at, end in stretches(offsets, 1_000_000):
                 hashes = band_hashes(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], bands)
                 some = hashes.any(1)
                 lists = pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, bands, dtype=np.int32), pa.array(hashes.view(np.int64).reshape(-1)))
@@ -117,8 +117,8 @@ def _linked(x_key, x_bounds, y_key, y_bounds, threshold: float) -> np.ndarray:
     size_x, size_y = np.diff(x_bounds), np.diff(y_bounds)
     both = np.zeros((n, m), np.float32)
     shared = np.intersect1d(x_key, y_key)
-    for at in range(0, len(shared), 2048):
-        part = shared[at : at + 2048]
+    for at in range(0, len(shared), 1024):
+        part = shared[at : at + 1024]
         left, right = (_indicator(k, b, part) for k, b in ((x_key, x_bounds), (y_key, y_bounds)))
         both += left @ right.T
     union = size_x[:, None] + size_y[None, :] - both

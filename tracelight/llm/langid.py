@@ -94,7 +94,7 @@ class Scorer:
         self.pair[fresh] = np.arange(self.pairs, self.pairs + len(fresh))
         self.pairs += len(fresh)
         if self.pairs > self.size:
-            wider = 1 << int(self.pairs - 1).bit_length()
+            wider = -(-self.pairs // 512) * 512
             row = np.full((wider, wider), -1, np.int32)
             row[: self.size, : self.size] = self.row
             self.row, self.size = row, wider
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], keep: tuple[str, ...] = ("
         scorer = Scorer(shared.value)
         for batch in batches:
             data, offsets = flat_text(batch["__text"])
-            for at, end in stretches(offsets, 4_000_000):
+            for at, end in stretches(offsets, 1_000_000):
                 yield score(batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], scorer)
 
     def score(batch, data, offsets, scorer):
