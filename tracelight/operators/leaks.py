@@ -94,7 +94,7 @@ def feature_histogram(df: DataFrame, k: int = 10, text_col: str = "text", id_col
     per_doc = found.groupBy("class", "value", "id").agg(F.count(F.lit(1)).alias("n"))
     counts = per_doc.groupBy("class", "value").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("hits"))
     order = Window.partitionBy("class").orderBy(F.desc("hits"), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def secret_leads(df: DataFrame, text_col: str = "text", source_col: str = "source", salt: str = "") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelight.functions import patterns as P
 from tracelight.operators import evidence, leaks, runs, timeline, transcripts
 from tracelight.plans.fixtures import view, with_views
+from tracelight.sources import files
 from tracelight.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,17 +476,21 @@ def val5(spark, sf):
 # --- sources and sinks over given tables ------------------------------------------------------
 
 
+@register("snk1_write_result", "SELECT doc_id, octet_length(encode(text)) AS bytes, upper(substr(sha256(text), 1, 16)) AS sha256_prefix, (SELECT count(*) FROM documents) AS row_count FROM documents")
+def snk1(spark, sf):
+    """Fingerprints written, counted as they were written, and read again."""
+    path = files.scratch_dir(spark)
+    status = files.write_result(runs.fingerprint(_docs(spark, sf)).select("doc_id", "bytes", "sha256_prefix"), path)
+    return spark.read.parquet(path).withColumn("row_count", F.lit(status["row_count"]).cast("long"))
+
+
 @register("snk2_bounded_preview", "SELECT doc_id, substr(text, 1, 1200) AS text FROM documents ORDER BY doc_id LIMIT 20")
 def snk2(spark, sf):
-    from tracelight.sources import files
-
     return files.bounded_preview(_docs(spark, sf).select("doc_id", "text"), ("text",), "doc_id")
 
 
 @register("src2_text_files", "SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0")
 def src2(spark, sf):
-    from tracelight.sources import files
-
     content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(b"\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
     return files.text_files(_docs(spark, sf).select("doc_id", content.alias("content")))
 
@@ -493,8 +498,6 @@ def src2(spark, sf):
 @register("src1_file_inventory")
 def src1(spark, sf):
     """The files that hold the tables."""
-    from tracelight.sources import files
-
     return files.file_inventory(spark, sf).select("path", "length", "sha256")
 
 

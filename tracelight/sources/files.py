@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path in the one that the cluster shares, or in a temporary one where none
+    is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelight-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def file_inventory(spark: SparkSession, root: str, ignored_names: tuple[str, ...] = P.IGNORED_NAMES, ignored_paths: tuple[str, ...] = P.IGNORED_PATHS) -> DataFrame:
     """(path, length, modified, sha256, content) of the files under root, paths relative to it.
     Folders of an ignored name, those whose name begins with .git, and ignored relative folders
