@@ -129,6 +129,23 @@ def _distinct(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return np.unique(np.concatenate([np.unique(gram_codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)) for a, b in stretches(offsets, 2_000_000)] or [np.zeros(0, np.uint64)]))
 
 
+def _finder(code: np.ndarray):
+    """A function from codes to their places in code, which is in order and holds them all.
+    Most are found at once under a short hash; those that share it with another are searched."""
+    bits = max(8, len(code).bit_length() + 2)
+    short = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[short(code)] = np.arange(len(code))
+
+    def find(own: np.ndarray) -> np.ndarray:
+        at = table[short(own)]
+        other = np.flatnonzero(code[at] != own)
+        at[other] = np.searchsorted(code, own[other])
+        return at
+
+    return find
+
+
 def _gram_shards(code: np.ndarray, order: int, split: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of grams by shard, and their shards in that order."""
     shard = (mix64(code >> np.uint64(8 * (order + 1 - split))) % np.uint64(shards)).astype(np.int64)
@@ -156,13 +173,16 @@ def _dictionary(order: int, split: int, shards: int, word_shards: int):
         data, offsets = flat_text(table["text"])
         train = ~table["held_out"].to_numpy().astype(bool)
         ended, bounds = with_ends(data, offsets)
-        code = _distinct(ended, bounds, order)
-        count = np.zeros(len(code), np.int64)
         learned = np.repeat(train, np.diff(bounds))
+        codes, counts = [], []
         for a, b in stretches(bounds, 2_000_000):
-            own = gram_codes(ended[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], order)[learned[bounds[a] : bounds[b]]]
-            seen, n = np.unique(own, return_counts=True)
-            count[np.searchsorted(code, seen)] += n
+            own, taught = gram_codes(ended[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], order), learned[bounds[a] : bounds[b]]
+            seen, n = np.unique(own[taught], return_counts=True)
+            rest = np.unique(own[~taught])
+            codes += [seen, rest]
+            counts += [n, np.zeros(len(rest), np.int64)]
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
         by, shard = _gram_shards(code, order, split, shards)
         cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
         text = data.tobytes().lower()
@@ -298,9 +318,9 @@ def _scores(order: int, split: int, shards: int, word_shards: int):
         rows = dict(zip(told["shard"].to_pylist(), told["body"].to_pylist(), strict=True))
         logs = np.zeros(len(code), np.float32)
         logs[by] = np.concatenate([np.frombuffer(rows[s], "<f4") for s in np.unique(shard).tolist()])
-        score = np.zeros(table.num_rows)
+        score, find = np.zeros(table.num_rows), _finder(code)
         for a, b in stretches(bounds, 2_000_000):
-            at = np.searchsorted(code, gram_codes(ended[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], order))
+            at = find(gram_codes(ended[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], order))
             score[a:b] = np.add.reduceat(logs[at].astype(float), bounds[a:b] - bounds[a])
         text = data.tobytes().lower()
         docs = [text[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
