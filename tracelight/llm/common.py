@@ -64,6 +64,17 @@ def flat_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fill_level(lengths: list[int], room: int) -> int:
+    """The greatest length such that texts of these lengths, each cut to it, fit in `room`
+    bytes together; the longest text's length if all fit whole."""
+    left = room
+    for i, length in enumerate(sorted(lengths)):
+        if length * (len(lengths) - i) > left:
+            return left // (len(lengths) - i)
+        left -= length
+    return max(lengths, default=0)
+
+
 def stretches(offsets: np.ndarray, size: int):
     """(first, end) of runs of rows of about `size` bytes, one row at least."""
     at, n = 0, len(offsets) - 1
