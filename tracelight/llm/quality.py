@@ -3,21 +3,22 @@
 Every word, every run of 3 and of 4 bytes, and a marker for each word or word triple that the
 document has had before, owns a learned vector, found by hashing. A document is the mean of its
 vectors; a softmax over two classes scores it. numpy stochastic gradient descent learns vectors
-and weights in one task from a bounded sample of labelled rows. Scoring needs one number for
+and weights in one task from a bounded sample of labelled rows: where their bytes are too many,
+the longest texts are cut to a common length, so that no row pushes another out. Scoring needs one number for
 each bucket, its vector's product with the weights, so the broadcast model has a fixed size.
 
 Null text counts as empty; an empty text gets the score of the prior alone. Rows without a
-label, or with conflicting labels, teach nothing. Without any label every score is 0.5.
+label, or with conflicting labels, teach nothing; repeated rows teach once. Without any label every score is 0.5.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, flat_text, mix64, roll, stretches, whole_text, word_hashes, word_spans
+from tracelight.llm.common import doc_crc, fill_level, flat_text, mix64, roll, stretches, whole_text, word_hashes, word_spans
 
 BUCKET_BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 4, 0.5, 7
 #: Labelled documents and bytes that the model learns from at most.
@@ -114,11 +115,17 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int =
     share = min(1.0, 1.5 * sample_docs / max(1, known.count()))
     few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id")).limit(sample_docs)
     # at most sample_docs pairs of numbers
-    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(few), "doc_id")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "text")
-    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).filter(F.col("bytes") <= sample_bytes)
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("print", F.xxhash64("text"))
+    numbers = texts.select("doc_id", "print", F.octet_length("text").alias("bytes")).join(F.broadcast(few), "doc_id").distinct()
+    chosen = numbers.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "print").limit(sample_docs).select("doc_id", "print", "label", "bytes")
+    rows = chosen.collect()  # sample_docs rows of numbers
+    level = fill_level([r["bytes"] for r in rows], sample_bytes)
+    taken = docs.sparkSession.createDataFrame([(*r, n) for n, r in enumerate(rows)], chosen.schema.add("n", "integer"))
+    # the texts of the chosen rows, cut to the length at which they fit in sample_bytes together
+    sample = texts.join(F.broadcast(taken), ["doc_id", "print"]).dropDuplicates(["n"]).select("n", "label", F.substr(F.col("text").cast("binary"), F.lit(1), F.lit(level)).alias("text"))
 
     def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
         weight, bias = train(*flat_text(table["text"]), table["label"].to_numpy().astype(int))
         return pa.table({"weight": pa.array([weight.astype("<f4").tobytes()]), "bias": pa.array([bias])})
 
