@@ -44,12 +44,21 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", 0.85, "\\bip\\b|address|host|server", "version|release|section", base=True),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9]++(?:[\x20-][0-9]++)*+", "[0-9][0-9\\x20-]{11}", 0.85, "card|visa|credit|payment", "isbn|order|serial", base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", 0.85, "phone|call|tel|mobile|fax", base=True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.7, "iban|bank|account|konto|compte|cuenta"),
+    # group 1 looks ahead over all that an account number can take; _account() finds where it ends
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", "[A-Z]{2}[0-9]{2}", 0.7, "iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-", 0.4, "ssn|social security", "part|model|serial"),
     Kind("tel", r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", "[0-9]{3}[.-][0-9]{4}", 0.55, "phone|call|tel|mobile|fax", "part|model|serial|isbn"),
 )
 BASE_KINDS = tuple(k for k in KINDS if k.base)
 
+#: Lengths of account numbers by country code, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -64,6 +73,18 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
+def _account(ahead: Column) -> Column:
+    """The account number that begins the text: of the country's length, or for a country that
+    is not listed the longest of 34 down to 15 characters, that ends at a word edge and passes
+    mod-97; null if there is none."""
+    lengths = F
+    for n, countries in IBAN_LENGTHS.items():
+        lengths = lengths.when(F.substr(ahead, F.lit(1), F.lit(2)).isin(countries.split()), F.array(F.lit(n)))
+    lengths = lengths.otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+    cut = lambda n: F.call_function("regexp_extract", ahead, F.concat(F.lit(r"^[A-Z0-9](?:\x20?[A-Z0-9]){"), (n - 1).cast("string"), F.lit("}(?![A-Za-z0-9])")), F.lit(0))
+    return F.get(F.filter(F.transform(lengths, cut), lambda m: (m != "") & (_mod97(m) == 1)), F.lit(0))
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "ip":
@@ -73,8 +94,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return (F.length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34)) & (_mod97(match) == 1)
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$")
     return F.lit(True)
@@ -82,18 +101,27 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed matches of one kind as an array of (kind, start, end, score). split() and
-    regexp_extract_all() walk the same matches; the pieces' lengths give positions."""
+    regexp_extract_all() walk the same matches; the pieces' lengths give positions. The value of
+    a match is the text of its span, null if it is not confirmed; values do not overlap."""
     pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    if kind.name == "iban":
+        values = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), 1), _account)
+    else:
+        values = F.transform(matches, lambda m: F.when(_confirmed(kind.name, m), m))
     empty = F.lit([]).cast("array<struct<kind:string,start:int,end:int,match:string>>")
+    start = lambda acc, p: acc["at"] + F.length(p["piece"])
+    stands = lambda acc, p: p["value"].isNotNull() & (start(acc, p) >= acc["end"])
     step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0))).alias("at"),
+        (start(acc, p) + F.coalesce(F.length(p["match"]), F.lit(0))).alias("at"),
+        F.when(stands(acc, p), start(acc, p) + F.length(p["value"])).otherwise(acc["end"]).alias("end"),
         F.when(
-            p["match"].isNotNull() & _confirmed(kind.name, F.coalesce(p["match"], F.lit(""))),
-            F.concat(acc["found"], F.array(F.struct(F.lit(kind.name).alias("kind"), (acc["at"] + F.length(p["piece"])).alias("start"), (acc["at"] + F.length(p["piece"]) + F.length(p["match"])).alias("end"), p["match"].alias("match")))),
+            stands(acc, p),
+            F.concat(acc["found"], F.array(F.struct(F.lit(kind.name).alias("kind"), start(acc, p).alias("start"), (start(acc, p) + F.length(p["value"])).alias("end"), p["value"].alias("match")))),
         ).otherwise(acc["found"]).alias("found"),
     )
-    zipped = F.zip_with(pieces, matches, lambda a, b: F.struct(a.alias("piece"), b.alias("match")))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    both = F.zip_with(matches, values, lambda m, v: F.struct(m.alias("match"), v.alias("value")))
+    zipped = F.zip_with(pieces, both, lambda a, b: F.struct(a.alias("piece"), b["match"].alias("match"), b["value"].alias("value")))
+    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), empty.alias("found")), step, lambda acc: acc["found"])
     around = lambda s: F.lower(F.concat(
         F.substr(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))), F.lit(" "),
         F.substr(text, s["end"] + 1, F.lit(CONTEXT_CHARS))))
