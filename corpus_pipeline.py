@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelight.llm import decontam, jaccard, langid, packing, pii
-from tracelight.llm.common import materialize
+from tracelight.llm.common import materialize, whole_text
 from tracelight.llm.queries import tokenizer_path
 
 
@@ -37,12 +37,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that similarity links connect, the one with the least id
-    stays; of rows that repeat its id, one."""
-    kept = jaccard.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    with_id = docs.join(kept, "doc_id", "left_semi").withColumn("__one", one).filter("__one = 1")
-    return with_id.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of texts that similarity links connect, the one with the least id stays, in
+    one row. Rows that share an id but neither text nor links are groups of their own."""
+    held, columns = _held(docs), docs.columns
+    kept = jaccard.first_texts(held).withColumnRenamed("node", "__node")
+    one = F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("text", "lang", "source", "n_chars"))
+    with_id = held.withColumn("__node", F.md5(whole_text())).join(kept, ["doc_id", "__node"], "left_semi").withColumn("__one", one).filter("__one = 1")
+    return _freed(with_id, columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,10 +212,9 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET, recall: float = RECALL) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least id among the documents that its text is
-    connected with), text_id (least id with an equal text), n_links (other documents that are
-    equal or similar to it), n_text_links (different texts similar to its own)."""
+def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and one row for each different text of rows with an id: node, root
+    (a node that names all texts it is connected with), text_id, copies, texts, documents."""
     bands = band_count(threshold, ROWS, recall)
     signed = materialize(signatures(docs, bands), "signatures")
     classes = signed.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("some").alias("some"))
@@ -245,7 +244,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     verified = materialize(block_rows.groupBy("part").applyInArrow(_compare(threshold), OUT), "verified")
     links = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(verified.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = classes.select("node", "text_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed, classes.select("node", "text_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def first_texts(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, node): of all texts that are connected, the one of the least id, and of those the
+    least node. An id that stands for several unrelated texts comes once for each that is first."""
+    _, linked = linked_texts(docs, **options)
+    first = linked.groupBy("root").agg(F.min(F.struct("text_id", "node")).alias("first"))
+    return first.select(F.col("first.text_id").alias("doc_id"), "first.node")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET, recall: float = RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least id among the documents that its text is
+    connected with), text_id (least id with an equal text), n_links (other documents that are
+    equal or similar to it), n_text_links (different texts similar to its own)."""
+    signed, linked = linked_texts(docs, threshold, block, bucket, recall)
     heads = linked.groupBy("root").agg(F.min("text_id").alias("class_id"))
     linked = linked.join(heads, "root").select("node", "class_id", "text_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     with_id = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "node").join(linked, "node").drop("node")
