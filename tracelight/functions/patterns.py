@@ -67,6 +67,17 @@ SECRETS = (
     ("access_key", "cloud", r"(AKIA[0-9A-Z]{16})"),
 )
 
+#: Further leads, for which no SQL is given: the key words and lengths of REDACTIONS where no
+#: pattern of SECRETS finds the same value, and private keys, to their end where they have one.
+_VALUE = r" ?[=:] ?\"?([A-Za-z0-9_-]{8,})"
+MORE_SECRETS = (
+    ("api_token", "generic", r"token(?! = \"[0-9a-f]{40}\")" + _VALUE),
+    ("password", "generic", r"password(?!=[A-Za-z0-9]{8})" + _VALUE),
+    ("secret", "generic", "secret" + _VALUE),
+    ("api_key", "generic", "api_key" + _VALUE),
+    ("private_key", "generic", r"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END)?)"),
+)
+
 SECTIONS = (
     "report reviewed", "supported findings", "challenged findings", "missing corroboration",
     "alternative explanations", "required wording changes", "release recommendation",

@@ -101,7 +101,7 @@ def secret_leads(df: DataFrame, text_col: str = "text", source_col: str = "sourc
     """Leads by fingerprint: the value itself is hashed, with the salt, where it is found."""
     each = F.array(*[
         F.struct(F.lit(kind).alias("secret_type"), F.lit(service).alias("service"), F.transform(F.regexp_extract_all(F.col(text_col), F.lit(p), 1), lambda v: F.sha2(F.concat(F.lit(salt), v), 256)).alias("prints"))
-        for kind, service, p in P.SECRETS])
+        for kind, service, p in P.SECRETS + P.MORE_SECRETS])
     found = df.select(F.col(source_col).alias("source"), F.explode(each).alias("s")).select("source", "s.secret_type", "s.service", F.explode("s.prints").alias("fingerprint"))
     leads = found.groupBy("fingerprint", "secret_type", "service").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("source").alias("sources"), F.min("source").alias("source_artifact"))
     use = F.when(F.col("service") == "cloud", "remote").otherwise("local")
