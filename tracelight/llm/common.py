@@ -84,6 +84,15 @@ def stretches(offsets: np.ndarray, size: int):
         at = end
 
 
+def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each row's values, added up row by row, so that a sum does not depend on other rows."""
+    out = np.zeros(len(bounds) - 1)
+    full = bounds[1:] > bounds[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, bounds[:-1][full])
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

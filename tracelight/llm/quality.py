@@ -4,34 +4,45 @@ Every word, every run of 3 and of 4 bytes, and a marker for each word or word tr
 document has had before, owns a learned vector, found by hashing. A document is the mean of its
 vectors; a softmax over two classes scores it. numpy stochastic gradient descent learns vectors
 and weights in one task from a bounded sample of labelled rows: where their bytes are too many,
-the longest texts are cut to a common length, so that no row pushes another out. Scoring needs one number for
-each bucket, its vector's product with the weights, so the broadcast model has a fixed size.
-
-Null text counts as empty; an empty text gets the score of the prior alone. Rows without a
-label, or with conflicting labels, teach nothing; repeated rows teach once. Without any label every score is 0.5.
+the longest texts are cut to a common length, so that no row pushes another out. Scoring needs
+one number for each bucket, its vector's product with the weights, so the broadcast model has a
+fixed size. A score depends on its text alone, wherever the row stands.
+
+Null text counts as empty; an empty text gets the score of the prior alone. Texts are scored
+whole, however long. Rows without a label, or with conflicting labels, teach nothing; repeated
+rows teach once and are all scored. Without any label every score is 0.5; equal texts have equal
+scores. An empty table gives an empty result. Only doc_id, text and quality are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, fill_level, flat_text, mix64, roll, stretches, whole_text, word_hashes, word_spans
+from tracelight.llm.common import doc_crc, fill_level, flat_text, mix64, roll, row_sums, stretches, whole_text, word_hashes, word_spans
 
 BUCKET_BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 4, 0.5, 7
 #: Labelled documents and bytes that the model learns from at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 20_000_000
+#: Parts of the hash range by which labelled rows are thinned.
+SHARES = 1 << 40
 #: The last two buckets are kept for the repeat markers.
 WORD_AGAIN, TRIPLE_AGAIN = (1 << BUCKET_BITS) - 1, (1 << BUCKET_BITS) - 2
 
 
-def _runs(data: np.ndarray, size: int) -> np.ndarray:
-    """Bucket of the run of `size` bytes that starts at each place (zero bytes at the end)."""
+def _runs(data: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+    """Bucket of the run of `size` bytes that starts at each place. left counts the bytes from a
+    place to its document's end; zero bytes stand behind it, so that no run reads the next text."""
     code = np.zeros(len(data), np.uint32)
     for i in range(size):
-        code[: len(data) - i] += data[i:].astype(np.uint32) << np.uint32(8 * i)
+        own = data[i:].astype(np.uint32)
+        own[left[: len(own)] <= i] = 0
+        code[: len(own)] |= own << np.uint32(8 * i)
     code *= np.uint32(0x9E3779B1)
     code ^= np.uint32(size) << np.uint32(27)
     return code >> np.uint32(32 - BUCKET_BITS)
@@ -56,13 +67,8 @@ def _parts(data: np.ndarray, offsets: np.ndarray):
     triple = roll(words, 3)
     inside = doc[: len(triple)] == doc[2:] if len(triple) else np.zeros(0, bool)
     buckets = (mix64(words) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return [(_runs(data, 3), offsets), (_runs(data, 4), offsets), (buckets, first)], _again(words, doc, n), _again(triple[inside], doc[: len(triple)][inside], n)
-
-
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+    return [(_runs(data, left, 3), offsets), (_runs(data, left, 4), offsets), (buckets, first)], _again(words, doc, n), _again(triple[inside], doc[: len(triple)][inside], n)
 
 
 def score_texts(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
@@ -70,7 +76,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias:
     total = word_again * float(weight[WORD_AGAIN]) + triple_again * float(weight[TRIPLE_AGAIN])
     number = (word_again + triple_again).astype(float)
     for buckets, bounds in parts:
-        total += _sums(weight[buckets], bounds)
+        total += row_sums(weight[buckets].astype(float), bounds)
         number += np.diff(bounds)
     logit = bias + total / np.maximum(number, 1)
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
@@ -113,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int =
     """Fit on the labelled rows whose crc32(doc_id as text) is no multiple of folds."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (doc_crc() % folds != 0)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("__most")).filter("label = __most").drop("__most")
     share = min(1.0, 1.5 * sample_docs / max(1, known.count()))
-    few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id")).limit(sample_docs)
+    few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < math.ceil(share * SHARES)).orderBy(F.xxhash64("doc_id")).limit(sample_docs)
     # at most sample_docs pairs of numbers
     texts = docs.select("doc_id", whole_text().alias("text")).withColumn("print", F.xxhash64("text"))
     numbers = texts.select("doc_id", "print", F.octet_length("text").alias("bytes")).join(F.broadcast(few), "doc_id").distinct()
