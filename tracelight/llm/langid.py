@@ -6,24 +6,27 @@ no document pushes another out. A text costs, under each tree, the exact code le
 longest known context predicts, or escapes to the next shorter one (escape method C), down to
 256 equal chances. The trees are frozen: scoring changes no count. The shortest code wins.
 
-Null text and text without a letter get `und`. Labels that are null teach nothing. With nothing
-learned every text is `und`. Other columns of the input are never read.
+Null text and text without a letter get `und`; a text is read whole, however long. Equal code
+lengths go to the language that comes first by name. Labels that are null teach nothing; of
+repeated rows each is scored, and those of one key teach once. With nothing learned every text is
+`und`. An empty table gives an empty result. Only text, lang and doc_id are read for a prediction
+or its sample; columns named like the results are replaced.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, fill_level, flat_text, stretches, whole_text
+from tracelight.llm.common import doc_crc, fill_level, flat_text, row_sums, stretches, whole_text
 
 ORDER = 3
 #: Documents and bytes that a language's tree learns from at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 600, 3_000_000
 #: Distinct byte pairs up to which grams are found by direct addressing; grams kept by a worker.
-DENSE_PAIRS, KEPT_GRAMS = 4096, 3_000_000
+DENSE_PAIRS, KEPT_GRAMS = 4096, 1_000_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -140,42 +143,40 @@ def learn(docs: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_DOC
     return {r["lang"]: Tree(np.frombuffer(r["code"], "<u4"), np.frombuffer(r["count"], "<u4").astype(float)) for r in sorted(found, key=lambda r: r["lang"]) if len(r["code"])}
 
 
-def identify(docs: DataFrame, trees: dict[str, Tree], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, lang_pred, score (the winner's share if all languages are as likely) and
-    bits_per_byte (of the winner's code; null for `und`)."""
+def identify(docs: DataFrame, trees: dict[str, Tree]) -> DataFrame:
+    """docs with lang_pred, score (the winner's share if all languages are as likely) and
+    bits_per_byte (of the winner's code; null for `und`). Only the texts go to Python; the other
+    columns stay where they are."""
     names = list(trees)
     shared = docs.sparkSession.sparkContext.broadcast([trees[n] for n in names])  # bounded by the sample
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*keep, whole_text().alias("__text"), lettered.alias("__letter"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("__text", "__letter").schema) + ", lang_pred string, score double, bits_per_byte double"
 
-    def rows(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            data, offsets = flat_text(batch["__text"])
-            for at, end in stretches(offsets, 1_000_000):
-                yield score(batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], scorer)
-
-    def score(batch, data, offsets, scorer):
-        n = batch.num_rows
-        letter = batch["__letter"].to_numpy(zero_copy_only=False).astype(bool)
+    def score(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray, scorer: Scorer) -> pa.Array:
+        n = len(letter)
         nats = np.zeros((n, max(1, len(names))))
         if len(data) and names:
             at, table = scorer.costs(grams(data, offsets))
             for j in range(len(names)):
-                total = np.zeros(len(at) + 1)
-                np.cumsum(table[:, j][at], out=total[1:])
-                nats[:, j] = total[offsets[1:]] - total[offsets[:-1]]
+                nats[:, j] = row_sums(table[:, j][at], offsets)
         best = nats.argmin(1)
         least = nats[np.arange(n), best]
         ok = letter & bool(names)
         share = 1.0 / np.exp(np.minimum(0.0, least[:, None] - nats)).sum(1)
-        length = np.maximum(1, np.diff(offsets))
-        out = [batch[c] for c in keep]
-        out += [pa.array([names[b] if o else "und" for b, o in zip(best, ok, strict=True)], pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(least / np.log(2) / length, mask=~ok)]
-        return pa.record_batch(out, names=[*keep, "lang_pred", "score", "bits_per_byte"])
+        lang = pa.array([names[b] if o else "und" for b, o in zip(best, ok, strict=True)], pa.string())
+        bits = pa.array(least / np.log(2) / np.maximum(1, np.diff(offsets)), mask=~ok)
+        return pa.StructArray.from_arrays([lang, pa.array(np.where(ok, share, 0.0)), bits], ["lang_pred", "score", "bits_per_byte"])
+
+    @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
+    def told(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for text, lettered in batches:
+            data, offsets = flat_text(text)
+            letter = lettered.to_numpy(zero_copy_only=False).astype(bool)
+            parts = [score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], letter[a:b], scorer) for a, b in stretches(offsets, 1_000_000)]
+            yield pa.concat_arrays(parts) if parts else score(data, offsets, letter, scorer)
 
-    return source.mapInArrow(rows, schema)
+    # not to be run once for a filter and once for a column
+    found = docs.withColumn("__told", told.asNondeterministic()(whole_text(), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
+    return found.withColumns({c: F.col(f"__told.{c}") for c in ("lang_pred", "score", "bits_per_byte")}).drop("__told")
 
 
 def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -185,5 +186,5 @@ def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 def language_of(docs: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte for each row of docs."""
-    found = identify(docs, learn(training_rows(docs, folds)))
+    found = identify(docs.select("doc_id", "text"), learn(training_rows(docs, folds)))
     return found.select("doc_id", (doc_crc() % folds == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
