@@ -87,7 +87,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 2, "bucket": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 2}, {"block_bytes": 3_000}])
 def test_near_copies(spark, sizes):
     docs = cases.documents(spark, 1)
     base = [f"t{i}" for i in range(60)]
@@ -128,6 +128,25 @@ def test_near_copies(spark, sizes):
     assert sum(links.values()) > 40
 
 
+def test_links_do_not_depend_on_the_size_of_a_block(spark):
+    """At a low recall many pairs share no band; what counts as a link is the same all the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(30):  # a chain and a bunch of near copies
+        words = [f"t{i}" for i in range(60)]
+        for at in rng.choice(60, rng.integers(0, 3), replace=False):
+            words[at] = f"n{k}"
+        rows.append((k, " ".join(words)))
+        rows.append((100 + k, " ".join(f"c{i}" for i in range(2 * k, 2 * k + 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for sizes in ({}, {"block": 2}, {"block": 7}, {"block_bytes": 900}):
+        got = sorted(map(tuple, jaccard.near_duplicates(docs, recall=0.6, **sizes).collect()))
+        want = want or got
+        assert got == want
+    assert sum(r[4] for r in want) > 30
+
+
 def test_near_copies_of_nothing(spark):
     assert jaccard.near_duplicates(cases.empty(spark)).count() == 0
 
@@ -175,7 +194,7 @@ def test_a_large_benchmark_is_joined_without_broadcast(spark, monkeypatch):
     docs = cases.documents(spark, 4)
     bench = spark.read.parquet(f"{cases.SF}/benchmark.parquet")
     want = sorted(map(str, decontam.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
     assert sorted(map(str, decontam.contaminated(docs, bench).collect())) == want
 
 

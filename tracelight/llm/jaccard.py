@@ -3,14 +3,17 @@
 Texts that are equal form one class and are represented once. Each class gets minima of its
 5-word shingles under many hash functions; band and row counts follow from the target recall.
 Classes that share a band hash are linked to the bucket's first one only, and components of
-these links gather the candidates. Within a component every pair's full shingle sets are
-compared, block by block, as products of 0/1 matrices, so no list of pairs is ever made; what
-leaves a block is one row for each class. Components too large for a block are verified bucket
-by bucket, a pair in the first band that it shares.
-
-Null text counts as empty. Texts of fewer than five words have one shingle, all their words;
-texts without words are linked to nothing but their copies. Rows without an id link to nothing
-and come back with no class. Repeated rows are copies. Other columns are ignored.
+these links gather the candidates. A link is a pair that shares a band and whose full shingle
+sets reach the threshold, in components of every size. Sets are compared block by block, as
+products of 0/1 matrices, so no list of pairs is ever made; what leaves a block is one row for
+each class. Blocks are bounded in classes and in bytes. The counts of links are exact, so a group
+of m similar texts costs m * m / 2 comparisons, in m / BLOCK copies of its shingle sets.
+
+Null text counts as empty. Texts are read whole, however long. Texts of fewer than five words
+have one shingle, all their words; texts without words are linked to nothing but their copies.
+Rows without an id link to nothing and come back with no class. Repeated rows are copies. A pair
+at the threshold exactly is linked; of equal ids the least text name decides. An empty table gives
+an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import flat_text, materialize, mix64, roll, stretches, whole_text, word_hashes, word_spans
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
-#: Classes that one block compares with each other, classes of small components in a bucket.
-BLOCK, BUCKET = 2000, 1000
+#: Classes, and bytes of their shingle sets, that one block compares with each other.
+BLOCK, BLOCK_BYTES = 2000, 8_000_000
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -75,9 +78,14 @@ def band_hashes(data: np.ndarray, offsets: np.ndarray, bands: int, rows: int = R
     return out
 
 
+def class_name(text: Column | str = "text") -> Column:
+    """The name of a text's class: equal texts have equal SHA-256."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def signatures(docs: DataFrame, bands: int) -> DataFrame:
     """(doc_id, node, some, bands): node names the text's class, some tells that it has shingles."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("node", F.md5("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("node", class_name())
 
     def rows(batches):
         for batch in batches:
@@ -88,20 +96,21 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, bands, dtype=np.int32), pa.array(hashes.view(np.int64).reshape(-1)))
                 yield pa.record_batch([batch["doc_id"].slice(at, end - at), batch["node"].slice(at, end - at), pa.array(some), lists], names=["doc_id", "node", "some", "bands"])
 
-    return source.mapInArrow(rows, "doc_id long, node string, some boolean, bands array<long>")
+    return source.mapInArrow(rows, "doc_id long, node binary, some boolean, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), root being the least node it is connected
     with. Alternates large-star and small-star steps, each a grouping and a join, until the
-    edges stay the same; every round is written to the shared folder."""
-    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
+    edges stay the same. Edges and groupings are written to the shared folder, so that a join
+    meets plain tables and a node with very many edges is split over tasks."""
+    least = lambda e: materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
         low = least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = materialize(small, "edges")
@@ -133,15 +142,20 @@ def _indicator(key: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> np.ndar
     return out
 
 
-def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, and bounds."""
-    key, bounds = shingles(*flat_text(table["text"]))
-    doc = np.repeat(np.arange(table.num_rows), np.diff(bounds))
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    return key[first], np.searchsorted(doc[first], np.arange(table.num_rows + 1))
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts with `keys`, each text's distinct shingles in order, as packed 64-bit numbers; they
+    are worked out once, and blocks of texts are compared by them."""
+
+    @F.arrow_udf("binary")
+    def packed(column: pa.Array) -> pa.Array:
+        data, offsets = flat_text(column)
+        out = []
+        for a, b in stretches(offsets, 1_000_000):
+            key, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out += [np.unique(key[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.array(out, pa.binary())
+
+    return texts.withColumn("keys", packed("text"))
 
 
 def _pick(key: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +177,27 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-#: The side of rows that are compared among themselves.
-WITHIN = 2
-OUT = "node string, texts long, documents long, root string"
+def _banded(x_bands: np.ndarray, y_bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share a band; in the block of one band's bucket, which share none before it."""
+    if band < 0:
+        shared = np.zeros((len(x_bands), len(y_bands)), bool)
+        for b in range(x_bands.shape[1]):
+            shared |= x_bands[:, b][:, None] == y_bands[:, b][None, :]
+        return shared
+    apart = np.ones((len(x_bands), len(y_bands)), bool)
+    for b in range(band):
+        apart &= x_bands[:, b][:, None] != y_bands[:, b][None, :]
+    return apart
+
+
+#: The side of rows that are compared among themselves; the band of rows of whole components.
+WITHIN, ALL = 2, -1
+OUT = "node binary, texts long, documents long, root binary"
 
 
 def _compare(threshold: float):
-    """Verify one block: rows (part, label, band, side, node, copies, bands, text). Rows of one
-    label are compared with each other; where part is a pair of blocks, side 0 with side 1."""
+    """Verify one part: rows (part, label, band, side, node, copies, bands, keys). Rows of one
+    label are compared with each other; where sides differ, side 0 with side 1."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("label", "ascending"), ("side", "ascending"), ("node", "ascending")])
@@ -179,21 +206,18 @@ def _compare(threshold: float):
         side, copies, band = (table[c].to_numpy() for c in ("side", "copies", "band"))
         flat = table["bands"].combine_chunks()
         bands = (flat.flatten() if isinstance(flat, pa.Array) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy().reshape(len(node), -1)
-        key, bounds = _sets(table)
+        packed, bounds = flat_text(table["keys"])
+        key, bounds = packed.view(np.uint64) if len(packed) else np.zeros(0, np.uint64), bounds // 8
         cut = [0, *[i for i in range(1, len(label)) if label[i] != label[i - 1]], len(label)]
         out = ([], [], [], [])
         for lo, hi in zip(cut, cut[1:], strict=False):
             rows = np.arange(lo, hi)
-            rows = rows[np.r_[True, node[lo + 1 : hi] != node[lo : hi - 1]]] if hi - lo > 1 else rows  # repeated rows
-            if len(rows) < 2:
-                continue
             two = side[lo] != WITHIN
             x, y = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
-            if not len(x) or not len(y):
+            if len(rows) < 2 or not len(x) or not len(y):
                 continue
             hit = _linked(*_pick(key, bounds, x), *_pick(key, bounds, y), threshold)
-            for earlier in range(max(0, int(band[lo]))):
-                hit &= bands[x, earlier][:, None] != bands[y, earlier][None, :]
+            hit &= _banded(bands[x], bands[y], int(band[lo]))
             if two:
                 square = np.zeros((len(rows), len(rows)), bool)
                 square[: len(x), len(x) :] = hit
@@ -207,41 +231,65 @@ def _compare(threshold: float):
             out[1].extend(hit.sum(1)[some].tolist())
             out[2].extend((hit @ copies[rows])[some].tolist())
             out[3].extend(node[rows[root[some]]])
-        return pa.table({"node": pa.array(out[0], pa.string()), "texts": pa.array(out[1], pa.int64()), "documents": pa.array(out[2], pa.int64()), "root": pa.array(out[3], pa.string())})
+        return pa.table({"node": pa.array(out[0], pa.binary()), "texts": pa.array(out[1], pa.int64()), "documents": pa.array(out[2], pa.int64()), "root": pa.array(out[3], pa.binary())})
 
     return run
 
 
-def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def _parts(member: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """The rows of _compare() for the members of candidate components (root, node, copies, bands,
+    keys). Whatever the path, a pair is compared once if it shares a band, and not otherwise.
+
+    Components that fit in a block are compared whole, several in a part. Larger ones are cut
+    into blocks, and each pair of blocks is a part: of the component, or of its buckets, a band
+    after the other, where those together have fewer pairs (members in a chain share no band)."""
+    size = F.octet_length("keys").cast("long")
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(size).alias("volume"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("volume") / block_bytes)).cast("int")
+    sizes = materialize(sizes.withColumn("blocks", blocks), "sizes")
+    told = sizes.filter("blocks <= 1").agg(F.sum("members"), F.sum("volume")).first()
+    n_small = max(1, math.ceil((told[0] or 0) / block), math.ceil((told[1] or 0) / block_bytes))
+    member = member.join(sizes.select("root", "blocks"), "root")
+    columns = ["node", "copies", "bands", "keys"]
+    part = F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(n_small)).cast("string"))
+    small = member.filter("blocks <= 1").select(*columns, part.alias("part"), F.hex("root").alias("label"), F.lit(ALL).alias("band"), F.lit(WITHIN).alias("side"))
+    if sizes.filter("blocks > 1").isEmpty():
+        return small
+    large = member.filter("blocks > 1")
+    spread = large.select("root", "node", F.posexplode("bands").alias("band", "hash"), size.alias("bytes"))
+    buckets = materialize(spread.groupBy("root", "band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("volume")).filter("n > 1"), "buckets")
+    pairs = buckets.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("in_buckets"))
+    whole = sizes.filter("blocks > 1").join(pairs, "root").withColumn("whole", F.col("members").cast("double") * F.col("members") <= F.col("in_buckets")).select("root", "whole")
+    large = large.join(whole, "root")
+    cut = F.ceil(F.greatest(F.col("n") / block, F.col("volume") / block_bytes)).cast("int")
+    own = spread.select("root", "node", "band", "hash").join(whole.filter("not whole"), "root").join(buckets.select("root", "band", "hash", cut.alias("blocks")), ["root", "band", "hash"])
+    # the units' rows without their sets, which follow once the blocks are known
+    units = large.filter("whole").select("node", F.hex("root").alias("unit"), F.lit(ALL).alias("band"), "blocks").unionByName(
+        own.select("node", F.concat_ws("-", F.hex("root"), F.col("band").cast("string"), F.col("hash").cast("string")).alias("unit"), "band", "blocks"))
+    units = units.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    label = F.concat_ws("-", "unit", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    side = F.when(F.col("own") == F.col("other"), WITHIN).when(F.col("own") > F.col("other"), 1).otherwise(0)
+    paired = units.select("node", label.alias("part"), label.alias("label"), "band", side.alias("side")).join(member.select(*columns), "node")
+    return small.unionByName(paired.select(small.columns))
+
+
+def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures, and one row for each different text of rows with an id: node, root
     (a node that names all texts it is connected with), text_id, copies, texts, documents."""
     bands = band_count(threshold, ROWS, recall)
     signed = materialize(signatures(docs, bands), "signatures")
     classes = signed.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("some").alias("some"))
     classes = materialize(classes, "classes")
-    spread = classes.filter("some").select("node", F.explode("bands").alias("hash"))
-    buckets = spread.groupBy("hash").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    star = spread.join(buckets, "hash").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    candidates = materialize(components(star), "candidates")
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    member = candidates.join(sizes, "root").join(classes.select("node", "text_id", "copies", "bands"), "node")
-    small = member.filter(F.col("members") <= block)
-    n_small = max(1, math.ceil(small.count() / bucket))
-    none = F.lit(-1)
-    parts = small.select("node", "text_id", "copies", "bands", F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(n_small)).cast("string")).alias("part"), F.col("root").alias("label"), none.alias("band"), F.lit(WITHIN).alias("side"))
-    # a component beyond one block: its band buckets, cut into blocks, each pair of blocks once
-    large = member.filter(F.col("members") > block).select("node", "text_id", "copies", "bands", F.posexplode("bands").alias("band", "hash"))
-    counts = large.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    large = large.join(counts, "hash").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    n_large = max(1, math.ceil(large.count() / bucket))
-    pair = F.concat_ws("-", F.col("hash").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    tiny = (F.col("blocks") == 1)
-    whole = F.when(tiny, F.concat(F.lit("b"), F.pmod(F.xxhash64("hash"), F.lit(n_large)).cast("string"))).otherwise(pair)
-    parts = parts.unionByName(large.select("node", "text_id", "copies", "bands", whole.alias("part"), pair.alias("label"), "band", F.when(F.col("own") == F.col("other"), WITHIN).when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")))
-    text = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("text_id"), whole_text().alias("text")).withColumn("node", F.md5("text"))
-    block_rows = parts.join(text, ["node", "text_id"]).drop("text_id")
-    verified = materialize(block_rows.groupBy("part").applyInArrow(_compare(threshold), OUT), "verified")
+    spread = classes.filter("some").select("node", F.posexplode("bands").alias("band", "hash"))
+    # written, so that the join below meets two plain tables and can split a hot bucket
+    buckets = materialize(spread.groupBy("band", "hash").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
+    star = spread.join(buckets, ["band", "hash"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    candidates = components(star)
+    text = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("text_id"), whole_text().alias("text")).withColumn("node", class_name())
+    named = candidates.join(classes.select("node", "text_id", "copies", "bands"), "node")
+    once = text.join(named, ["node", "text_id"]).dropDuplicates(["node", "text_id"])
+    member = materialize(shingle_sets(once).select("node", "root", "copies", "bands", "keys"), "sets")
+    verified = materialize(_parts(member, block, block_bytes).groupBy("part").applyInArrow(_compare(threshold), OUT), "verified")
     links = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(verified.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     return signed, classes.select("node", "text_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -255,11 +303,11 @@ def first_texts(docs: DataFrame, **options) -> DataFrame:
     return first.select(F.col("first.text_id").alias("doc_id"), "first.node")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least id among the documents that its text is
     connected with), text_id (least id with an equal text), n_links (other documents that are
     equal or similar to it), n_text_links (different texts similar to its own)."""
-    signed, linked = linked_texts(docs, threshold, block, bucket, recall)
+    signed, linked = linked_texts(docs, threshold, block, block_bytes, recall)
     heads = linked.groupBy("root").agg(F.min("text_id").alias("class_id"))
     linked = linked.join(heads, "root").select("node", "class_id", "text_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     with_id = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "node").join(linked, "node").drop("node")
