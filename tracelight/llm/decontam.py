@@ -4,11 +4,16 @@ Fixed masks over token positions ignore the positions marked 0. A document's and
 item's seeds join on the hash of the tokens left; around each hit, windows of 13 tokens (the
 whole item, where that is shorter) are compared token by token. An overlap stands if at least
 four tokens in five agree. The masks find every such window: two substitutions in 13 positions,
-or one in 6 to 9, always leave one mask clear. Items of 5 tokens must agree whole; shorter ones
-are no evidence and are left out.
+or one in 6 to 9, always leave one mask clear. An overlap is of five tokens at least, so an item
+of five must agree whole, and shorter ones overlap with nothing.
 
-Tokens are lower-case words without punctuation. Null or empty texts hold no tokens. Rows without an
-id, of either table, take no part. Repeated rows count once. Columns of other names are ignored.
+Documents meet the benchmark's distinct seeds first, in a broadcast while those are few enough;
+item tokens are fetched for the hits alone.
+
+Tokens are lower-case words without punctuation. Null or empty texts hold no tokens; texts are
+read whole, however long. Rows without an id, of either table, take no part. Repeated rows count
+once; of several windows the one with most agreeing tokens counts. An empty table, of either kind,
+gives an empty result. Columns of other names are ignored, and none is carried on.
 """
 
 from __future__ import annotations
@@ -16,76 +21,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.llm.common import materialize
+
 MASKS = ("11011", "1111")
 WINDOW, SHARE, LEAST_TOKENS = 13, 0.8, 5
-#: Seeds of a stretch of text.
-STRETCH = 64
-#: Benchmarks of up to this many rows and characters are broadcast; larger ones are shuffled.
-BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 16_000_000
+#: Up to this many distinct seeds of a benchmark are broadcast (about 50 bytes each); more are shuffled.
+BROADCAST_SEEDS = 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&$_-/\\|`~=+@^"
+BLANKS = " \t\n\x0b\f\r"
+
+
+def tokens_of(text: Column) -> Column:
+    """Lower-case words, punctuation dropped."""
+    plain = F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, ""), F.lit(BLANKS))
+    return F.split(plain, r"[ \t\n\x0B\f\r]+")
+
+
+def _seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens, place, seed): one row for each mask at each place. Tokens are split once for
+    a text, below explode; what follows is plain columns, made as the rows are. The outer form
+    of explode keeps the optimiser from adding filters that would tokenise once more."""
+    tokens = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("tokens"))
+    places = tokens.select("id", "tokens", F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("place"))
+
+    def seed(number: int, mask: str) -> Column:
+        kept = [F.get("tokens", F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
+        # a seed that reaches beyond the end is null
+        return F.when(kept[-1].isNotNull(), F.xxhash64(F.lit(number), *kept))
+
+    each = F.array(*[seed(number, mask) for number, mask in enumerate(MASKS)])
+    return places.select("id", "tokens", "place", F.explode_outer(each).alias("seed")).filter(F.col("seed").isNotNull())
+
+
+def _around(place: str) -> Column:
+    """The tokens from 12 before a place to 13 after it, with nulls outside the text."""
+    return F.array(*[F.get("tokens", F.when(F.col(place) + i >= 0, F.col(place) + i)) for i in range(1 - WINDOW, WINDOW + 1)])
 
 
-def token_hashes(text: Column) -> Column:
-    """Hashes of the lower-case words, punctuation dropped."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    words = F.filter(F.split(plain, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _seeds(tokens: Column, first: Column, last: Column) -> Column:
-    """(place, seed) of every mask at the places from first to last that it fits at."""
-
-    def of_mask(number: int, mask: str) -> Column:
-        kept = [i for i, bit in enumerate(mask) if bit == "1"]
-        end = F.least(last, F.size(tokens) - len(mask))
-        hashes = F.transform(F.sequence(first, end), lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(number), *[F.get(tokens, i + k) for k in kept]).alias("seed")))
-        return F.when(end >= first, hashes).otherwise(F.lit([]).cast("array<struct<place:int,seed:bigint>>"))
-
-    return F.concat(*[of_mask(number, mask) for number, mask in enumerate(MASKS)])
-
-
-def _seeded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, part, place, seed): one row per seed. part holds the tokens around it: texts are
-    cut into stretches, each with what a window may reach on either side, so that a row stays
-    small however long its text. The outer form of explode keeps the optimiser from adding
-    filters that would tokenise once more."""
-    tokens = df.filter(F.col(id_col).isNotNull()).select(id_col, token_hashes(F.col(text_col)).alias("tokens")).withColumn("n", F.size("tokens"))
-    before = lambda s: F.least(s * STRETCH, F.lit(WINDOW - 1))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int"))),
-        lambda s: F.struct(F.slice("tokens", s * STRETCH - before(s) + 1, before(s) + STRETCH + WINDOW + 1).alias("part"), before(s).alias("lead")))
-    parts = tokens.select(id_col, "n", F.explode_outer(cut).alias("cut")).select(id_col, "n", "cut.part", "cut.lead")
-    seeds = _seeds(F.col("part"), F.col("lead"), F.col("lead") + (STRETCH - 1))
-    return parts.select(id_col, "n", "part", F.explode_outer(seeds).alias("s")).select(id_col, "n", "part", "s.place", "s.seed")
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, agreeing, of): the best overlap of each document with each item."""
-    size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    small = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARS
-    items = _seeded(benchmark, "item_id", "text").filter((F.col("n") >= LEAST_TOKENS) & F.col("seed").isNotNull())
-    items = items.select("item_id", F.col("n").alias("m"), F.col("part").alias("item"), F.col("place").alias("item_at"), "seed")
-    probes = _seeded(docs, "doc_id", text_col).select("doc_id", "part", "place", "seed")
-    hits = probes.join(F.broadcast(items) if small else items, "seed")
-    # what surrounds a hit, on both sides, as far as a window with it can reach
-    reach = WINDOW - 1
-    back = F.least(F.lit(reach), F.col("place"), F.col("item_at"))
-    ahead = F.least(F.lit(WINDOW + 1), F.size("part") - F.col("place"), F.size("item") - F.col("item_at"))
-    hits = hits.select(
-        "doc_id", "item_id", "m",
-        F.slice("part", F.col("place") - back + 1, back + ahead).alias("own"),
-        F.slice("item", F.col("item_at") - back + 1, back + ahead).alias("theirs")).distinct()
+def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id_col, item_id, agreeing, of): the best overlap of each document with each item."""
+    items = _seeds(benchmark, "item_id", "text").filter(F.size("tokens") >= LEAST_TOKENS)
+    items = materialize(items.select("seed", F.col("id").alias("item_id"), F.size("tokens").alias("m"), _around("place").alias("theirs")).distinct(), "seeds")
+    seeds = materialize(items.select("seed").distinct(), "distinct")
+    few = seeds.count() <= BROADCAST_SEEDS
+    found = _seeds(docs, id_col, text_col).join(F.broadcast(seeds) if few else seeds, "seed", "left_semi").select("id", "seed", _around("place").alias("own"))
+    hits = found.distinct().join(items, "seed").drop("seed").distinct()
+    # agreement by place, 12 before the hit to 13 after it; null where either text has ended
+    both = F.zip_with("own", "theirs", lambda a, b: F.when(a == b, 1).when(a.isNotNull() & b.isNotNull(), 0))
     width = F.least(F.lit(WINDOW), F.col("m"))
-    equal = F.zip_with("own", "theirs", lambda a, b: F.when(a == b, 1).otherwise(0))
-    hits = hits.withColumn("equal", equal).withColumn("of", width).filter(F.size("equal") >= F.col("of"))
+    hits = hits.select("id", "item_id", width.alias("of"), F.filter(both, lambda x: x.isNotNull()).alias("equal")).filter(F.size("equal") >= F.col("of"))
     counts = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("of") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("of")), F.lit(0), lambda a, b: a + b))
-    found = hits.withColumn("agreeing", F.array_max(counts))
     need = F.when(F.col("of") > LEAST_TOKENS, F.ceil(F.col("of") * F.lit(SHARE) - 1e-9)).otherwise(F.col("of"))
-    return found.filter(F.col("agreeing") >= need).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("of").alias("of"))
+    stands = hits.withColumn("agreeing", F.array_max(counts)).filter(F.col("agreeing") >= need)
+    return stands.groupBy("id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("of").alias("of")).withColumnRenamed("id", id_col)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each document that overlaps an item: doc_id, n_items, item_ids (ascending),
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row for each document that overlaps an item: id_col, n_items, item_ids (ascending),
     agreeing (most agreeing tokens in a window)."""
-    return overlaps(docs, benchmark, text_col).groupBy("doc_id").agg(
+    return overlaps(docs, benchmark, text_col, id_col).groupBy(id_col).agg(
         F.count("item_id").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("agreeing").cast("long").alias("agreeing"))
