@@ -147,7 +147,8 @@ def test_pipeline(spark):
             assert 8003 in und and -2 not in ids and 8003 not in ids and kept.filter("lang IS NULL").count() == 0
         if name == "near_copies":
             found = jaccard.near_duplicates(before).filter("doc_id IS NOT NULL").collect()
-            assert ids == sorted({r.class_id for r in found}) and kept.filter("doc_id IS NULL").count() == before.filter("doc_id IS NULL").count()
+            # an id of two unrelated texts keeps both
+            assert sorted(set(ids)) == sorted({r.class_id for r in found}) and kept.filter("doc_id IS NULL").count() == before.filter("doc_id IS NULL").count()
         if name == "decontaminate":
             gone = {r.doc_id for r in decontam.contaminated(before, spark.read.parquet(f"{cases.SF}/benchmark.parquet")).collect()}
             assert ids == sorted(r.doc_id for r in before.collect() if r.doc_id is not None and r.doc_id not in gone)
