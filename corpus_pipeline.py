@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
 as Parquet in the shared folder and reads it again as the next stage's docs. All stages but the
-last return the columns of docs. Rows without an id pass the filters that go by id.
+last return the columns of docs, whatever further ones those have. Null texts count as empty and
+go in the first stage, with all that hold no letter. Rows without an id are judged by their texts;
+only near_copies, which needs ids to choose by, keeps them all. Repeated rows are copies of one
+document. Texts are read whole, however long. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without a letter) go. A label that is
     null is filled with the prediction; given labels stay."""
     held, columns = _held(docs), docs.columns
-    found = langid.identify(held, langid.learn(langid.training_rows(held)), keep=tuple(held.columns)).filter("lang_pred <> 'und'")
+    found = langid.identify(held, langid.learn(langid.training_rows(held))).filter("lang_pred <> 'und'")
     return _freed(found.withColumn("lang", F.coalesce("lang", "lang_pred")), columns)
 
 
@@ -42,14 +45,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held, columns = _held(docs), docs.columns
     kept = jaccard.first_texts(held).withColumnRenamed("node", "__node")
     one = F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("text", "lang", "source", "n_chars"))
-    with_id = held.withColumn("__node", F.md5(whole_text())).join(kept, ["doc_id", "__node"], "left_semi").withColumn("__one", one).filter("__one = 1")
+    with_id = held.withColumn("__node", jaccard.class_name(whole_text())).join(kept, ["doc_id", "__node"], "left_semi").withColumn("__one", one).filter("__one = 1")
     return _freed(with_id, columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, whether or not they have an id: texts
+    are judged, by their names."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(decontam.contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    held, columns = _held(docs).withColumn("__node", jaccard.class_name(whole_text())), docs.columns
+    found = decontam.contaminated(held, benchmark, id_col="__node").select("__node")
+    return _freed(held.join(found, "__node", "left_anti"), columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
