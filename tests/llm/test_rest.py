@@ -65,26 +65,35 @@ def test_top_k(spark, sizes, k):
     df = df.unionByName(spark.createDataFrame(odd, df.schema))
     vectors = topk.quantised(df)
     got = [tuple(r) for r in topk.top_k(vectors, vectors.filter("id % 20 = 0"), k, **sizes).collect()]
-    held = {}
-    for r in df.collect():
-        v = r.embedding
-        if r.vec_id is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            held[r.vec_id] = np.floor(np.array(v, float) * 64).astype(int)
+    held = [(r.vec_id, np.floor(np.array(r.embedding, float) * 64).astype(int)) for r in df.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
     want = []
-    for q, v in held.items():
+    for own, (q, v) in enumerate(held):
         if q % 20 == 0:
-            scores = sorted((-int(v @ x), i) for i, x in held.items() if i != q and len(x) == len(v))[:k]
+            scores = sorted((-int(v @ x), i) for row, (i, x) in enumerate(held) if row != own and len(x) == len(v))[:k]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert sorted(got) == sorted(want)
     none = vectors.filter("false")
     assert topk.top_k(none, none, k).count() == 0
 
 
-def test_cells_bound_every_component():
-    x = np.random.default_rng(0).integers(-50, 50, (300, 5))
-    code, low, high = topk.cells(x)
-    across = np.arange(5)
-    assert (low[code, across] <= x).all() and (x <= high[code, across]).all()
+@pytest.mark.parametrize("spread", [3, 400, 2**26])
+def test_blocks_find_the_best_by_their_cells(spread):
+    """Coarse cells, fine ones, and components whose products doubles would round."""
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-spread, spread, (700, 12)), rng.integers(-spread, spread, (9, 12))
+    uid, ids = np.arange(700), np.sort(rng.integers(0, 500, 700))
+    asked, found, score = topk.block_top_k(uid, ids, x, np.arange(5, 14), q, 20)
+    for n in range(9):
+        want = sorted((-int(q[n] @ x[i]), ids[i]) for i in range(700) if i != n + 5)[:20]
+        assert [(-s, i) for s, i in zip(score[asked == n + 5].tolist(), found[asked == n + 5].tolist())] == want
+
+
+def test_cells_bound_every_score():
+    rng = np.random.default_rng(0)
+    x, q = rng.integers(-5000, 5000, (300, 5)), rng.integers(-50, 50, (40, 5))
+    upper, slack = topk.bounds(*topk.cells(x, 16), q)
+    exact = q @ x.T
+    assert (exact <= upper).all() and (upper - slack[:, None] <= exact).all()
 
 
 def test_packing(spark):
