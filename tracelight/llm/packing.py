@@ -3,11 +3,14 @@
 Documents are tokenised whole; those longer than a sequence are cut, the odd piece first. Full
 pieces fill sequences of their own. The rest is dealt evenly into groups, each packed by
 best-fit decreasing. Dual-feasible functions bound from below how many sequences a group needs;
-a group that meets its bound is done. Neighbouring groups with gaps pool their documents and run
-best-fit decreasing again; the new packing counts where it takes fewer sequences.
-
-Null text counts as empty; its document is the single end id. Repeated rows, null ids and
-clashing names are no matter: pieces are told apart by a row number of their own.
+a group that meets its bound is done. Groups with gaps pool or exchange their documents two by
+two and run best-fit decreasing again, as long as that can save a sequence; a new packing counts
+where it takes fewer.
+
+Null text counts as empty; its document is the single end id. Texts are tokenised whole, however
+long. Of pieces of one length the one of the lower row number is placed first, in the fullest
+sequence that holds it. Repeated rows, null ids and clashing names are no matter: pieces are told
+apart by a row number of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import materialize
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a group, rounds of exchange at most, cached words of a worker.
-GROUP_PIECES, ROUNDS, CACHE_WORDS = 250_000, 4, 250_000
+#: Pieces of a group, groups that a pool grows to, cached words of a worker.
+GROUP_PIECES, POOL_GROUPS, CACHE_WORDS = 250_000, 8, 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,13 +51,18 @@ def byte_letters() -> dict[int, int]:
 
 class WordCache:
     """Token ids of whole texts, word by word: no token of a byte-level BPE spans the place
-    before a blank that a visible character follows, nor the one between a letter and
-    punctuation, so words are encoded once and joined. Of two generations of words, the older
-    goes when the newer is full."""
+    before a blank that a visible character follows, so words are encoded once and joined. A new
+    word is put together from its letters, digits and marks, which the tokenizer's own pattern
+    parts and which are encoded once as well. Of two generations of words, the older goes when
+    the newer is full."""
 
     ODD = re.compile(r" \s| $")
     CUT = re.compile(r" (?=\S)")
     MARKS = ".,;:!?"
+    #: Fixed value: the pattern by which a byte-level BPE parts a text.
+    PARTS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    #: Up to here all versions of the character tables agree on letters and digits.
+    LATIN = "\u024f"
 
     def __init__(self, json: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -62,34 +71,31 @@ class WordCache:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.most, self.new, self.old = most, {}, {}
-
-    def _whole(self, unit: str) -> bytes:
-        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        self.most, self.new, self.old, self.marks = most, {}, {}, {}
 
-    def _ids(self, unit: str) -> bytes:
-        """Ids of a text that begins with a blank and holds no other place to cut."""
-        core = unit.rstrip(self.MARKS)
-        if not core[1:].isalpha():
-            return self._whole(unit)
-        own = self._known(core) if core != unit else None
-        if own is None:
-            letters = core.encode().decode("latin-1").translate(self.letters)
-            own = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self.new[core] = own
-        return own + self._tail(unit[len(core) :]) if core != unit else own
+    def _model(self, part: str) -> bytes:
+        """Ids of a part that the pattern leaves whole."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _known(self, unit: str) -> bytes | None:
-        own = self.new.get(unit)
+    def _part(self, part: str) -> bytes:
+        """The same, kept: parts after a blank among the words."""
+        kept, key = (self.new, part[1:]) if part[0] == " " and len(part) > 1 else (self.marks, part)
+        own = kept.get(key)
         if own is None:
-            own = self.old.get(unit)
+            own = kept[key] = self._model(part)
         return own
 
-    def _tail(self, marks: str) -> bytes:
-        own = self.new.get(marks)
-        if own is None:
-            own = self.new[marks] = self._whole(marks)
-        return own
+    def _whole(self, unit: str) -> bytes:
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a blank and the word that follows it."""
+        core = word.rstrip(self.MARKS)
+        if core.isalpha():
+            return self._model(" " + word) if len(core) == len(word) else self._part(" " + core) + self._part(word[len(core) :])
+        if word and max(word) <= self.LATIN:
+            return b"".join(map(self._part, self.PARTS.findall(" " + word)))
+        return self._whole(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit words."""
@@ -97,11 +103,13 @@ class WordCache:
         for text in texts:
             if len(self.new) > self.most:
                 self.new, self.old = {}, self.new
+            if len(self.marks) > self.most:
+                self.marks = {}
             head, *words = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-            words = [" " + w for w in words]
-            new = self.new
+            new, old = self.new, self.old
             for word in set(words).difference(new):
-                new[word] = self._known(word) or self._ids(word)
+                own = old.get(word)
+                new[word] = self._ids(word) if own is None else own
             out.append((self._whole(head) if head else b"") + b"".join(map(new.__getitem__, words)))
         return out
 
@@ -190,11 +198,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, np.array(loads, np.int64)
 
 
-PLACED = "uid long, length long, grp long, seq long, offset long, gap long"
+PLACED = "uid long, length long, grp long, seq long, offset long, gap long, saved long"
 
 
 def _pack_group(capacity: int, stage: int):
-    """Pack one group anew, unless its pieces already have places in as few sequences."""
+    """Pack one group anew, unless its pieces already have places in as few sequences. gap: the
+    sequences above the bound; saved: the sequences that this packing took away."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable")
@@ -202,31 +211,43 @@ def _pack_group(capacity: int, stage: int):
         bins, at, loads = best_fit_decreasing(sizes, capacity)
         before = len(np.unique(seq)) if (seq >= 0).all() else len(sizes) + 1
         if len(loads) < before:
-            seq, offsets = (stage << 58 | int(pdf["grp"].iloc[0]) << 24) + bins, at
+            seq, offsets = (stage << 56 | int(pdf["grp"].iloc[0]) << 28) + bins, at
         gap = min(len(loads), before) - lower_bound(sizes, capacity)
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "length": sizes, "grp": pdf["grp"].to_numpy(), "seq": seq, "offset": offsets, "gap": gap})
+        saved = max(0, before - len(loads)) if before <= len(sizes) else 0
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "length": sizes, "grp": pdf["grp"].to_numpy(), "seq": seq, "offset": offsets, "gap": gap, "saved": saved})
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Places for the rows of pieces (uid, length <= capacity): (uid, sequence_id, offset)."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, pool_groups: int = POOL_GROUPS) -> DataFrame:
+    """Places for the rows of pieces (uid, length <= capacity): (uid, sequence_id, offset).
+
+    Groups that meet their bound are done. Those with gaps are numbered anew, so that each has a
+    neighbour, and two neighbours pool their documents; pools grow to pool_groups groups. Beyond
+    that, neighbours exchange sequences instead, half of each one's going over by a hash. Rounds
+    go on until no group, or a last one without a neighbour, has a gap, or until an exchange
+    between full pools saves nothing."""
     full = pieces.filter(F.col("length") == capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity).select("uid", "length")
     groups = max(1, math.ceil(rest.count() / group_pieces))
     none = F.lit(-1).cast("long")
     rest = rest.withColumns({"grp": F.pmod(F.xxhash64("uid"), F.lit(groups)), "seq": none, "offset": none})
-    placed = [full]
-    for stage in range(rounds):
+    placed, size, stage, exchanged = [full], 1, 0, False
+    while True:
         packed = materialize(rest.groupBy("grp").applyInPandas(_pack_group(capacity, stage), PLACED), "packed")
-        last = stage == rounds - 1 or groups == 1
+        told = materialize(packed.groupBy("grp").agg(F.first("gap").alias("gap"), F.first("saved").alias("saved")), "groups")  # one row for each group
+        gaps, saved = told.agg(F.count_if(F.col("gap") > 0), F.sum("saved")).first()
+        last = gaps < 2 or (exchanged and not saved)
         done = packed if last else packed.filter("gap = 0")
         placed.append(done.select("uid", F.col("seq").alias("sequence_id"), "offset"))
-        if last or packed.filter("gap > 0").isEmpty():
+        if last:
             break
-        # neighbours that both have gaps pool their documents; a group at most doubles a round
-        groups = (groups + 1) // 2
-        rest = packed.filter("gap > 0").select("uid", "length", F.floor(F.col("grp") / 2).alias("grp"), "seq", "offset")
+        number = told.filter("gap > 0").select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).cast("long").alias("number"))  # one row for each group with a gap
+        exchanged = size >= pool_groups
+        pair = F.floor(F.col("number") / 2)
+        grp = 2 * pair + F.pmod(F.xxhash64("seq", F.lit(stage)), F.lit(2)) if exchanged else pair
+        rest = packed.filter("gap > 0").join(number, "grp").select("uid", "length", grp.cast("long").alias("grp"), "seq", "offset")
+        size, stage = size if exchanged else 2 * size, stage + 1
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
