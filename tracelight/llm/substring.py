@@ -4,14 +4,19 @@ Each document is cut into non-overlapping blocks of 7 words, the index; its roll
 windows are the probes. Any 13 words hold a whole block of their own document, so a sequence of
 13 that two documents share holds a block of one that is a probe of the other. Fingerprints of
 blocks and probes meet by hash range; probes that hit come back to their documents, where they
-extend to all 13-word windows around them. Those windows' 96-bit hashes meet by range once more
-for the least document of each, and what covers a later document's words is removed.
-
-Documents travel as chunks of a few MB by a hash of their id; fingerprints travel packed.
-
-Null text has no words. Ids that are null count as the greatest: such rows lose words to others
-and others never lose to them. Rows of equal id count as no earlier than each other. Other
-columns are ignored.
+extend in both directions to all 13-word windows that hold them: the windows of a maximal repeat
+follow each other, and together cover it. Windows meet by range once more for the
+least document of each, and what covers a later document's words is removed. Windows are told
+apart by 96 bits that are made from 64-bit hashes of their words; words are not compared.
+
+Documents travel as chunks of a few MB by a hash of their id; fingerprints travel packed, a row
+for each chunk and range that share any, so never more rows than fingerprints. A window that many
+documents share travels once for each chunk.
+
+Null text has no words; texts are read whole, however long, each in one chunk. Ids that are null
+count as the greatest: such rows lose words to others and others never lose to them. Rows of equal
+id, repeated ones among them, count as no earlier than each other. An empty table gives an empty
+result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -139,41 +144,42 @@ class Candidates:
         reach = WINDOW - BLOCK + 1
         total = np.r_[0, np.cumsum(hit)]
         near = total[reach : reach + len(whole)] > total[: len(whole)] if len(whole) else whole
-        self.place = np.flatnonzero(whole & near)
-        self.hash = w.windows(WINDOW)[self.place]
-        self.range = (self.hash >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.hash), np.int64)
-        self.order = np.argsort(self.range, kind="stable")
+        place = np.flatnonzero(whole & near)
+        key, more = w.windows(WINDOW)[place], w.windows(WINDOW, 1)[place].astype(np.uint32)
+        # documents are in order of id, so of equal windows the first is of the least document
+        order = np.argsort(key, kind="stable")
+        self.place, self.key, self.more = place[order], key[order], more[order]
+        same = (self.key[1:] == self.key[:-1]) & (self.more[1:] == self.more[:-1])
+        self.first = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
+        self.number = np.diff(np.r_[self.first, len(order)])
+        self.doc = self.ids[w.doc[self.place]]
+        self.least = self.doc[self.first]
+        self.range = (self.key[self.first] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.first), np.int64)
 
 
 def _extend(bits: int):
-    """Send a chunk's candidate windows off by range: hashes in order, documents in runs."""
+    """Send a chunk's distinct candidate windows off by range, each with its least document, so
+    that a window that very many documents share is sent once for each chunk."""
 
     def run(key, table: pa.Table, hits: pa.Table) -> pa.Table:
         c = Candidates(table, hits, bits)
-        at = c.order
-        part, doc = c.range[at], c.words.doc[c.place[at]] if len(at) else np.zeros(0, np.int64)
-        other = c.words.windows(WINDOW, 1)[c.place[at]].astype(np.uint32)
+        part = c.range
         cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
-        turn = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]) if len(part) else np.zeros(0, np.int64)
-        length = np.diff(np.r_[turn, len(part)]).astype(np.uint32)
-        runs = np.searchsorted(turn, cut)
         return pa.table({
             "chunk": pa.array(np.full(len(cut) - 1, key[0].as_py()), pa.int32()), "range": pa.array(part[cut[:-1]], pa.int32()),
-            "hash": _packed(c.hash[at], cut), "more": _packed(other, cut), "docs": _packed(c.ids[doc[turn]], runs), "runs": _packed(length, runs)})
+            "hash": _packed(c.key[c.first], cut), "more": _packed(c.more[c.first], cut), "docs": _packed(c.least, cut)})
 
     return run
 
 
-SENT = "chunk int, range int, hash binary, more binary, docs binary, runs binary"
+SENT = "chunk int, range int, hash binary, more binary, docs binary"
 
 
 def _later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one range, a bit for each window: does it also start in a smaller document?"""
+    """Of one range, a bit for each window sent: has another chunk a smaller document with it?"""
     one, lens = _blobs(table["hash"], "<u8")
     two, _ = _blobs(table["more"], "<u4")
-    docs, _ = _blobs(table["docs"], "<i8")
-    runs, _ = _blobs(table["runs"], "<u4")
-    doc = np.repeat(docs, runs)
+    doc, _ = _blobs(table["docs"], "<i8")
     order = np.lexsort((doc, two, one))
     a, b = one[order], two[order]
     first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
@@ -189,13 +195,10 @@ def _remove(bits: int):
         kind = side["kind"].to_numpy()
         c = Candidates(table, side.filter(pa.array(kind == 0)), bits)
         told = side.filter(pa.array(kind == 1)).sort_by("range")
-        later = np.zeros(len(c.place), bool)
         count = np.bincount(c.range, minlength=(1 << bits)) if len(c.range) else np.zeros(1 << bits, np.int64)
-        at = 0
-        for part, body in zip(told["range"].to_pylist(), told["body"].to_pylist(), strict=True):
-            n = int(count[part])
-            later[c.order[at : at + n]] = np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
-            at += n
+        bodies = [np.unpackbits(np.frombuffer(body, np.uint8), count=int(count[part])) for part, body in zip(told["range"].to_pylist(), told["body"].to_pylist(), strict=True)]
+        elsewhere = np.concatenate(bodies).astype(bool) if bodies else np.zeros(0, bool)
+        later = np.repeat(elsewhere, c.number) | (c.doc > np.repeat(c.least, c.number))
         w = c.words
         change = np.zeros(len(w.starts) + 1, np.int64)
         np.add.at(change, c.place[later], 1)
