@@ -7,14 +7,18 @@ coded the whole training text with, so the probability of a bit mixes all depths
 
 Counts come from every training document. Texts travel as chunks by a hash of their id; each
 chunk sends its distinct grams (a context and its byte) once, packed, to shards by the context's
-nearest bytes. A shard builds its subtrees bottom-up in numpy; the few levels above the split are
-summed by grouping. The answer, a log probability for each distinct gram, returns to the chunk in
-the order sent. Word counts for the unigram base go and return likewise. Nothing is broadcast
-and no statistic is capped.
-
-Null text counts as empty: one end token, no bytes. The end of a text is a byte of its own (a
-zero byte; zero bytes in a text count as ends too). Null ids count as empty text where they are
-hashed. Repeated rows are documents of their own. Other columns are ignored.
+nearest bytes; rows of many chunks are combined on the way, so that a common context's shard
+reads each gram a few times only. A shard builds its subtrees bottom-up in numpy. The levels
+above the split are summed by grouping, by nearest byte, and one task sees the levels of one byte
+and of none. The answer, a log probability for each distinct gram, returns to the chunk in the
+order sent. Word counts for the unigram base go and return likewise. Nothing is broadcast and no
+statistic is capped.
+
+Null text counts as empty: one end token, no bytes. Texts are read whole, however long, each in
+one chunk. The end of a text is a byte of its own (a zero byte; zero bytes in a text count as ends
+too). Null ids count as empty text where they are hashed. Repeated rows are documents of their
+own, and equal texts get equal scores. An empty table gives an empty result. Other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from tracelight.llm.substring import _blobs, _packed
 
 #: Bytes of context, bytes of context that decide the shard, text bytes of a chunk, of a shard's share.
 ORDER, SPLIT, CHUNK, SHARD_TEXT = 5, 3, 12_000_000, 12_000_000
+#: Chunks whose rows a shard reads at once.
+FAN = 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -247,39 +253,103 @@ def _tops(order: int, split: int):
     return run
 
 
-def _roof(split: int):
-    """The levels from split - 1 to the root, at most 256**(split - 1) contexts: for each node of
-    the lowest, what the mixture above makes of a probability x from below: a + b x. One row for
-    each shard, with the nodes that it needs and the totals of words."""
+def _climb(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, top: int, bottom: int):
+    """From nodes of level top through level bottom: a and b for each node, so that the mixture of
+    these levels makes a + b x of a probability x from below; then, one level up, each node's
+    place and the keys, counts and sums there."""
+    a, b, at = np.zeros(len(key)), np.ones(len(key)), np.arange(len(key))
+    for level in range(top, bottom - 1, -1):
+        weighted, ratio = weigh(n0, n1, below)
+        a, b = (ratio[at] * ((n1 + 0.5) / (n0 + n1 + 1))[at] + a) / (ratio[at] + 1), b / (ratio[at] + 1)
+        if level:
+            key, n0, n1, below, up = lift(key, n0, n1, weighted)
+            at = up[at]
+    return a, b, at, (key, n0, n1, below)
 
-    def run(table: pa.Table) -> pa.Table:
-        node, n0, n1, below = (table[c].to_numpy() for c in ("node", "n0", "n1", "below"))
+
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    return [table["node"].to_numpy().astype(np.uint64), *(table[c].to_numpy() for c in ("n0", "n1", "below"))]
+
+
+def _ribs(split: int):
+    """The nodes one byte below the root of all that one nearest byte's nodes hold, 255 at most."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() == TOTALS:
+            node, n0, n1, below = np.array([TOTALS]), *(np.array([table[c].to_numpy().sum()]) for c in ("n0", "n1", "below"))
+        else:
+            node, n0, n1, below = _climb(*_columns(table), split - 1, 2)[3]
+        return pa.table({"rib": pa.array([key[0].as_py()] * len(node), pa.int64()), "node": pa.array(node.astype(np.int64)), "n0": n0, "n1": n1, "below": below})
+
+    return run
+
+
+def _roof(table: pa.Table) -> pa.Table:
+    """The levels of one byte and of none, 255 * 256 nodes at most: a and b for each node of one
+    byte, one row for each nearest byte, with the totals of words."""
+    table = table.sort_by("node")
+    node, rib = table["node"].to_numpy(), table["rib"].to_numpy()
+    real = node != TOTALS
+    totals = table.filter(pa.array(~real))
+    a, b = np.zeros(len(node)), np.zeros(len(node))
+    a[real], b[real] = _climb(*_columns(table.filter(pa.array(real))), 1, 0)[:2]
+    cut = np.r_[np.flatnonzero(np.r_[True, rib[1:] != rib[:-1]]), len(rib)]
+    n = len(cut) - 1
+    tokens, distinct = (float(totals[c].to_numpy().sum()) for c in ("n0", "n1"))
+    return pa.table({"rib": pa.array(rib[cut[:-1]]), "node": _packed(node, cut), "a": _packed(a, cut), "b": _packed(b, cut), "tokens": pa.array([tokens] * n), "distinct": pa.array([distinct] * n)})
+
+
+def _rafters(split: int):
+    """For each shard that wants nodes of one nearest byte: those nodes, with a and b of all the
+    levels above them, and the totals of words."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, roof: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
         shards = table["shards"].combine_chunks()
         owner, length = shards.flatten().to_numpy(), np.diff(shards.offsets.to_numpy())
-        words = float(n0[node == TOTALS].sum()), float(n1[node == TOTALS].sum())
+        node = table["node"].to_numpy()
+        if key[0].as_py() == TOTALS:
+            a, b = np.zeros(len(node)), np.zeros(len(node))
+        else:
+            (one,), (two,) = ([np.frombuffer(roof[c][0].as_py(), "<f8")] for c in ("a", "b"))
+            own_a, own_b, at, _ = _climb(*_columns(table), split - 1, 2)
+            a, b = one[at] + two[at] * own_a, two[at] * own_b
         row = np.repeat(np.arange(len(node)), length)
-        real = node != TOTALS
-        key, up = node[real].astype(np.uint64), None
-        a, b = np.zeros(real.sum()), np.ones(real.sum())
-        at = np.arange(real.sum())
-        c0, c1, c = n0[real], n1[real], below[real]
-        for level in range(split - 1, -1, -1):
-            weighted, ratio = weigh(c0, c1, c)
-            a, b = (ratio[at] * ((c1 + 0.5) / (c0 + c1 + 1))[at] + a) / (ratio[at] + 1), b / (ratio[at] + 1)
-            if level:
-                key, c0, c1, c, up = lift(key, c0, c1, weighted)
-                at = up[at]
-        full_a, full_b = np.zeros(len(node)), np.zeros(len(node))
-        full_a[real], full_b[real] = a, b
-        order = np.lexsort((node[row], owner))
+        order = np.lexsort((row, owner))
         owner, row = owner[order], row[order]
         cut = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)]
         n = len(cut) - 1
-        return pa.table({"shard": pa.array(owner[cut[:-1]], pa.int32()), "node": _packed(node[row], cut), "a": _packed(full_a[row], cut), "b": _packed(full_b[row], cut), "tokens": pa.array([words[0]] * n), "distinct": pa.array([words[1]] * n)})
+        told = [pa.array([roof[c][0].as_py()] * n) for c in ("tokens", "distinct")]
+        return pa.table({"shard": pa.array(owner[cut[:-1]], pa.int32()), "rib": pa.array([key[0].as_py()] * n, pa.int64()), "node": _packed(node[row], cut), "a": _packed(a[row], cut), "b": _packed(b[row], cut), "tokens": told[0], "distinct": told[1]})
 
     return run
 
 
+def _combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The rows that a group of chunks sends to one shard as one row: what they hold, once."""
+    shard, group = key[0].as_py(), key[1].as_py()
+    if shard < 0:
+        total = sorted(_word_total(table).items())
+        body, counts = b" ".join(w for w, _ in total), np.array([n for _, n in total], "<u4").tobytes()
+    else:
+        _, _, code, count, _ = _total(table)
+        body, counts = code.tobytes(), count.astype("<u4").tobytes()
+    return pa.table({"chunk": pa.array([group], pa.int32()), "shard": pa.array([shard], pa.int32()), "body": pa.array([body], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+
+def _share_out(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+    """The answer to a combined row, for each row that it was made of."""
+    shard, n = key[0].as_py(), table.num_rows
+    body = told["body"][0].as_py()
+    if shard < 0:
+        count = dict(zip(sorted(_word_total(table)), np.frombuffer(body, "<i8").tolist(), strict=True))
+        bodies = pa.array([np.array([count[w] for w in b.split(b" ")], "<i8").tobytes() for b in table["body"].to_pylist()], pa.binary())
+    else:
+        _, lens, _, _, at = _total(table)
+        bodies = _packed(np.frombuffer(body, "<f4")[at], np.r_[0, np.cumsum(lens)])
+    return pa.table({"chunk": table["chunk"], "shard": table["shard"], "body": bodies, "tokens": pa.array([told["tokens"][0].as_py()] * n), "distinct": pa.array([told["distinct"][0].as_py()] * n)})
+
+
 ANSWER = "chunk int, shard int, body binary, tokens double, distinct double"
 
 
@@ -296,6 +366,7 @@ def _answers(order: int, split: int):
             _, lens, code, count, at = _total(table)
             t = Subtree(code, count, order, split)
             p, node = t.one()
+            roof = roof.sort_by("rib")
             above = (t.top >> np.uint64(16)) << np.uint64(8) | (t.top & np.uint64(255))
             known, a, b = (_blobs(roof[c], k)[0] for c, k in (("node", "<i8"), ("a", "<f8"), ("b", "<f8")))
             where = np.searchsorted(known, above.astype(np.int64))[node]
@@ -339,7 +410,27 @@ def _scores(order: int, split: int, shards: int, word_shards: int):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, split: int = SPLIT, chunk_bytes: int = CHUNK, shard_text: int = SHARD_TEXT) -> DataFrame:
+def _ask(sent: DataFrame, chunks: int, order: int, split: int, fan: int) -> DataFrame:
+    """The shards' answers to the rows that so many chunks sent. A shard reads rows of at most
+    `fan` chunks: beyond that, groups of chunks are combined first, in as many steps as it takes,
+    and answers come back the same way."""
+    if chunks > fan:
+        grouped = sent.withColumn("group", F.floor(F.col("chunk") / fan).cast("int"))
+        combined = grouped.groupBy("shard", "group").applyInArrow(_combine, SENT)
+        told = _ask(combined, -(-chunks // fan), order, split, fan).withColumnRenamed("chunk", "group")
+        return grouped.groupBy("shard", "group").cogroup(told.groupBy("shard", "group")).applyInArrow(_share_out, ANSWER)
+    by_shard = sent.groupBy("shard")
+    tops = by_shard.applyInArrow(_tops(order, split), "shard int, node long, n0 double, n1 double, below double")
+    merged = tops.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"), F.collect_set("shard").alias("shards"))
+    merged = merged.withColumn("rib", F.when(F.col("node") == TOTALS, TOTALS).otherwise(F.shiftright("node", 8 * (split - 1))).cast("long"))
+    by_rib = merged.groupBy("rib")
+    ribs = by_rib.applyInArrow(_ribs(split), "rib long, node long, n0 double, n1 double, below double")
+    roof = ribs.groupBy(F.lit(0).alias("all")).applyInArrow(_roof, "rib long, node binary, a binary, b binary, tokens double, distinct double")
+    above = by_rib.cogroup(roof.groupBy("rib")).applyInArrow(_rafters(split), "shard int, rib long, node binary, a binary, b binary, tokens double, distinct double")
+    return by_shard.cogroup(above.groupBy("shard")).applyInArrow(_answers(order, split), ANSWER)
+
+
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, split: int = SPLIT, chunk_bytes: int = CHUNK, shard_text: int = SHARD_TEXT, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_coded (bytes
     and the end, so -score / n_coded is the code length of a byte) for each row of docs."""
     n = chunk_count(docs, "text", chunk_bytes)
@@ -348,10 +439,6 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int =
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), (doc_crc() % folds == held).alias("held_out"), chunk_of(n, "doc_id", "text").alias("chunk"))
     by_chunk = chunks.groupBy("chunk")
     sent = by_chunk.applyInArrow(_dictionary(order, split, shards, word_shards), SENT)
-    by_shard = sent.groupBy("shard")
-    tops = by_shard.applyInArrow(_tops(order, split), "shard int, node long, n0 double, n1 double, below double")
-    merged = tops.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"), F.collect_set("shard").alias("shards"))
-    roof = merged.groupBy(F.lit(0).alias("all")).applyInArrow(_roof(split), "shard int, node binary, a binary, b binary, tokens double, distinct double")
-    told = by_shard.cogroup(roof.groupBy("shard")).applyInArrow(_answers(order, split), ANSWER)
+    told = _ask(sent, n, order, split, fan)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_coded long"
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_scores(order, split, shards, word_shards), schema)
