@@ -19,12 +19,11 @@ LEAK_PATTERNS = {
 
 # Owners that are placeholders, and the four home-path patterns.
 PLACEHOLDER_OWNERS = ("name", "user", "USER", "ANALYST")
-_OWNER = "(?!(?:" + "|".join(PLACEHOLDER_OWNERS) + "){end})([A-Za-z0-9._-]+){end}"
 HOME_PATTERNS = {
-    "Linux home path": "/home/" + _OWNER.format(end="/"),
-    "macOS home path": "/Users/" + _OWNER.format(end="/"),
-    "WSL-mounted Windows user path": "(?i)/mnt/[a-z]/Users/" + _OWNER.format(end="/"),
-    "Windows user path": r"[A-Za-z]:\\Users\\" + _OWNER.format(end=r"\\"),
+    "Linux home path": r"/home/(?!(?:name|user|USER|ANALYST)/)([A-Za-z0-9._-]+)/",
+    "macOS home path": r"/Users/(?!(?:name|user|USER|ANALYST)/)([A-Za-z0-9._-]+)/",
+    "WSL-mounted Windows user path": r"(?i)/mnt/[a-z]/Users/(?!(?:name|user|USER|ANALYST)/)([A-Za-z0-9._-]+)/",
+    "Windows user path": r"[A-Za-z]:\\Users\\(?!(?:name|user|USER|ANALYST)\\)([A-Za-z0-9._-]+)\\",
 }
 
 # Command text that is unsafe to run or log.
@@ -41,23 +40,32 @@ FORBIDDEN_GLOBS = {".tmp_*": "scratch files should not be committed"}
 IGNORED_NAMES = (".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "__pycache__", "venv")
 IGNORED_PATHS = ("acquisitions", "artifacts", "cases", "evidence", "exports", "reports", "toolcache", "tooling/cache", "tooling/downloads")
 
-#: What redaction replaces, in this order. Patterns avoid look-around, so that any engine can run them.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP = rf"(?<![0-9])(?<![0-9]\.){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9]|\.[0-9])"
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+_LABEL_L, _LABEL_R = r"(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.)", r"(?![A-Za-z0-9-]|\.[A-Za-z0-9-])"
+_PLAIN_OWNER = r"(?!(?:name|user|USER|ANALYST)(?![A-Za-z0-9._-]))[A-Za-z0-9._-]+"
+
+#: What redaction replaces, in this order: class, texts of which every match holds one (lower
+#: case, if letter case is no matter), is it none, pattern, placeholder. Guards on the left keep a
+#: run from being tried at each of its letters.
 REDACTIONS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>"),
-    ("token", r"(?:token|password|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,}\"?|AKIA[0-9A-Z]{16}", "<TOKEN>"),
-    ("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "<IP>"),
-    ("workspace_path", r"/(?:workspace|mnt/[a-z]|evidence|analysis)/[A-Za-z0-9._/-]+", "<WORKSPACE_PATH>"),
-    ("user", r"/home/[A-Za-z0-9._-]+|/Users/[A-Za-z0-9._-]+|[A-Za-z]:\\Users\\[A-Za-z0-9._-]+", "<USER>"),
-    ("host", r"[A-Za-z0-9-]+\.(?:internal|local|corp|lan)", "<HOST>"),
+    ("email", ("@",), False, _EMAIL, "<EMAIL>"),
+    ("token", ("token", "password", "secret", "api_key", "akia"), True, r"(?i:token|password|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,}\"?|AKIA[0-9A-Z]{16}", "<TOKEN>"),
+    ("ip", (".",), False, _IP, "<IP>"),
+    ("workspace_path", ("/workspace/", "/mnt/", "/evidence/", "/analysis/"), False, r"/(?!(?:evidence/image\.E01|analysis/report\.md)(?![A-Za-z0-9._/-]))(?:workspace|mnt/[a-z]|evidence|analysis)/[A-Za-z0-9._/-]+", "<WORKSPACE_PATH>"),
+    ("user", ("/home/", "/Users/", ":\\Users\\"), False, rf"/home/{_PLAIN_OWNER}|/Users/{_PLAIN_OWNER}|[A-Za-z]:\\Users\\{_PLAIN_OWNER}", "<USER>"),
+    ("host", (".internal", ".local", ".corp", ".lan"), False, rf"{_LABEL_L}(?:[A-Za-z0-9-]++\.)+?(?:internal|local|corp|lan){_LABEL_R}", "<HOST>"),
 )
-PLACEHOLDERS = r"<(?:EMAIL|USER|HOST|TOKEN|IP|WORKSPACE_PATH)>|CASE-[0-9]{3}|HOST-[A-Z]|USER-[A-Z]"
+PLACEHOLDERS = r"<(?:EMAIL|USER|HOST|TOKEN|IP|WORKSPACE_PATH)>|CASE-[0-9]{3}|HOST-[A-Z]|USER-[A-Z]|ORG-NAME|/evidence/image\.E01|/analysis/report\.md"
 
-#: Features that a histogram counts.
+#: Features that a histogram counts. A domain stands by itself or after a scheme, not in an address.
 FEATURES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": _EMAIL,
     "url": r"https?://[A-Za-z0-9./?=_%&:~#-]+",
-    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
+    "domain": rf"(?<![@._%+]){_LABEL_L}(?:[A-Za-z0-9-]++\.)+?(?:com|org|net|edu|gov|io|info|dev|example|test)(?!@){_LABEL_R}",
+    "ip": _IP,
+    "phone": r"\+[0-9]{1,3} ?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}",
 }
 
 #: Secret leads: type, service guessed, pattern with the value in group 1.
@@ -78,6 +86,7 @@ MORE_SECRETS = (
     ("private_key", "generic", r"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END)?)"),
 )
 
+# The sections of a review note.
 SECTIONS = (
     "report reviewed", "supported findings", "challenged findings", "missing corroboration",
     "alternative explanations", "required wording changes", "release recommendation",
@@ -117,5 +126,13 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+#: What counts as white space at the ends of a line or note.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column | str) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]")

@@ -26,35 +26,46 @@ def required_fields_check(df: DataFrame, required: tuple[str, ...], key: str) ->
     return df.select(key, missing.alias("missing")).filter(F.size("missing") > 0)
 
 
-#: Name patterns that vote for an operating system, checked in order.
+#: Name patterns that vote, of each name the first that fits: for an operating system, for the
+#: mode of the evidence, for the role of its host.
 PLATFORM_RULES = (("windows", r"(?i)\.evtx$|\.lnk$|bitlocker|\.xlsx$"), ("macos", r"(?i)\.plist$|\.sqlite$"), ("linux", r"(?i)\.journal$|\.zip$"))
+MODE_RULES = (("dead-box image", r"(?i)\.e01$|\.vmdk$"), ("live host", r"(?i)/live/|\.pslist$"), ("mounted filesystem", r"^/mnt/"), ("logical export", r"(?i)/export/"))
+ROLE_RULES = (("domain controller", r"(?i)ntds\.dit$|/sysvol/"), ("server", r"(?i)/var/www/|/inetpub/"), ("container host", r"(?i)/docker/|/containerd/"), ("developer workstation", r"(?i)/\.git/"))
 
 
-def platform_of(path: Column) -> Column:
+def vote_of(path: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     out = F
-    for name, pattern in PLATFORM_RULES:
+    for name, pattern in rules:
         out = out.when(path.rlike(pattern), name)
     return out
 
 
 def platform_profile(artifacts: DataFrame) -> DataFrame:
-    """evidence_id, os, mode, discovery_needed by majority of artifact names; a tie, or no vote,
-    is unknown. An E01 name means a dead-box image."""
-    votes = artifacts.select("evidence_id", platform_of(F.col("path")).alias("os"), F.col("path").rlike(r"(?i)\.e01$").alias("image"))
-    per = votes.groupBy("evidence_id", "os").agg(F.count(F.lit(1)).alias("n"), F.max("image").alias("image"))
-    rank = F.when(F.col("os").isNotNull(), F.struct("n", "os"))
-    top = per.groupBy("evidence_id").agg(F.max(rank).alias("top"), F.max("image").alias("image"))
-    ties = per.filter(F.col("os").isNotNull()).join(top.select("evidence_id", F.col("top.n").alias("best")), "evidence_id").filter("n = best").groupBy("evidence_id").agg(F.count(F.lit(1)).alias("leaders"))
-    os = F.when(F.col("leaders") == 1, F.col("top.os")).otherwise("unknown")
-    return top.join(ties, "evidence_id", "left").select("evidence_id", os.alias("os"), F.when(F.col("image"), "dead-box image").otherwise("unknown").alias("mode"), (os == "unknown").alias("discovery_needed"))
+    """evidence_id, os, mode, role, discovery_needed. The most votes of artifact names win the
+    operating system and the role; a tie, or no vote, is unknown. A name that speaks for a mode (an
+    E01 file: a dead-box image) decides it, unless another contradicts. One grouping: each rule is
+    a count."""
+    kinds = {"os": PLATFORM_RULES, "mode": MODE_RULES, "role": ROLE_RULES}
+    votes = artifacts.select("evidence_id", *[vote_of(F.col("path"), rules).alias(k) for k, rules in kinds.items()])
+    tally = lambda k: F.array(*[F.struct(F.count_if(F.col(k) == name).alias("n"), F.lit(name).alias("name")) for name, _ in kinds[k]])
+    per = votes.groupBy("evidence_id").agg(*[tally(k).alias(f"{k}_votes") for k in kinds])
+
+    def winner(k: str, most: bool) -> Column:
+        best = F.array_max(F.transform(f"{k}_votes", lambda v: v["n"]))
+        lead = F.filter(f"{k}_votes", lambda v: (v["n"] > 0) & ((v["n"] == best) | F.lit(not most)))
+        return F.when(F.size(lead) == 1, lead[0]["name"]).otherwise("unknown")
+
+    os = winner("os", True)
+    return per.select("evidence_id", os.alias("os"), winner("mode", False).alias("mode"), winner("role", True).alias("role"), (os == "unknown").alias("discovery_needed"))
 
 
 def route_artifacts(artifacts: DataFrame, profiles: DataFrame, lanes: list[tuple[str, str, str, bool]], triage: bool) -> DataFrame:
     """artifact_id, lane. lanes (name, platform, path pattern, priority) are a short list of
-    literals; a lane takes artifacts of its own platform only, triage keeps priority lanes."""
+    literals; a lane takes artifacts of its own platform only, triage keeps priority lanes. What no
+    lane takes is deferred, and so is an artifact whose evidence is unknown or has no profile."""
     kept = [lane for lane in lanes if lane[3] or not triage]
     hits = F.array_compact(F.array(*[F.when((F.col("os") == platform) & F.col("path").rlike(pattern), name) for name, platform, pattern, _ in kept]))
-    return artifacts.join(profiles.select("evidence_id", "os"), "evidence_id").select("artifact_id", F.explode_outer(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("deferred")))).alias("lane"))
+    return artifacts.join(profiles.select("evidence_id", "os"), "evidence_id", "left").select("artifact_id", F.explode_outer(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("deferred")))).alias("lane"))
 
 
 def finding_support(findings: DataFrame, citations: DataFrame, artifacts: DataFrame) -> DataFrame:

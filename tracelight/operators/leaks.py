@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
+from tracelight.sources.files import stored
 
 
 def leak_flags(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,6 +51,11 @@ def scope_label(path: Column, boundaries: list[tuple[str, str]]) -> Column:
     return out.otherwise("approval_needed") if out is not F else F.lit("approval_needed")
 
 
+def scope_violations(df: DataFrame, boundaries: list[tuple[str, str]], path_col: str = "path") -> DataFrame:
+    """The rows whose path lies under no root: each needs approval."""
+    return scope_check(df, boundaries, path_col).filter(F.col("scope") == "approval_needed")
+
+
 def scope_check(df: DataFrame, boundaries: list[tuple[str, str]], path_col: str = "path") -> DataFrame:
     """Add scope. The roots are a handful of literals, so no join is needed."""
     return df.withColumn("scope", scope_label(F.col(path_col), boundaries))
@@ -72,18 +80,24 @@ def command_policy(df: DataFrame, rules: list[tuple[str, str]], command_col: str
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace identifiers by placeholders and count them: n_<class> and n_placeholder (those
-    that the text already had)."""
-    text, counts = F.col(text_col), {"n_placeholder": F.regexp_count(F.col(text_col), F.lit(P.PLACEHOLDERS)).cast("long")}
-    for name, pattern, mark in P.REDACTIONS:
-        counts[f"n_{name}"] = F.regexp_count(text, F.lit(pattern)).cast("long")
-        text = F.regexp_replace(text, pattern, mark)
-    return df.withColumns({k: F.coalesce(c, F.lit(0).cast("long")) for k, c in counts.items()} | {"redacted": text})
+    that the text already had). One step for each class; texts without a word that its matches
+    hold are passed over."""
+    zero = F.lit(0).cast("long")
+    out = df.withColumns({"n_placeholder": F.coalesce(F.regexp_count(F.col(text_col), F.lit(P.PLACEHOLDERS)).cast("long"), zero), "redacted": F.col(text_col)})
+    for name, hints, any_case, pattern, mark in P.REDACTIONS:
+        held = F.lower("redacted") if any_case else F.col("redacted")
+        hit = reduce(Column.__or__, [F.contains(held, F.lit(h)) for h in hints])
+        out = out.withColumn("__n", F.when(hit, F.regexp_count("redacted", F.lit(pattern)).cast("long")).otherwise(zero))
+        out = out.withColumns({f"n_{name}": F.col("__n"), "redacted": F.when(F.col("__n") > 0, F.regexp_replace("redacted", pattern, mark)).otherwise(F.col("redacted"))}).drop("__n")
+    return out
 
 
 def release_decision(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """ready, ready with noted placeholders or blocked, for each document."""
-    real = sum((F.col(f"n_{name}") for name, _, _ in P.REDACTIONS), F.lit(0))
-    per = redacted.groupBy(key).agg(F.sum(real).alias("identifiers"), F.sum("n_placeholder").alias("placeholders"))
+    """ready, ready with noted placeholders or blocked, for each document and, under a null key,
+    for the corpus. Rows without a key count for the corpus only."""
+    real = sum((F.col(f"n_{name}") for name, *_ in P.REDACTIONS), F.lit(0))
+    per = redacted.rollup(key).agg(F.sum(real).alias("identifiers"), F.sum("n_placeholder").alias("placeholders"), F.grouping(key).alias("__all"))
+    per = per.filter(F.col(key).isNotNull() | (F.col("__all") == 1)).drop("__all")
     return per.withColumn("decision", F.when(F.col("identifiers") > 0, "blocked").when(F.col("placeholders") > 0, "ready with noted placeholders").otherwise("ready"))
 
 
@@ -97,15 +111,17 @@ def feature_histogram(df: DataFrame, k: int = 10, text_col: str = "text", id_col
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def secret_leads(df: DataFrame, text_col: str = "text", source_col: str = "source", salt: str = "") -> DataFrame:
-    """Leads by fingerprint: the value itself is hashed, with the salt, where it is found."""
+def secret_leads(df: DataFrame, text_col: str = "text", source_col: str = "source", salt: str = "", in_scope: Column | None = None) -> DataFrame:
+    """Leads by fingerprint, each with its next action: the value itself is hashed, with the salt,
+    where it is found."""
     each = F.array(*[
         F.struct(F.lit(kind).alias("secret_type"), F.lit(service).alias("service"), F.transform(F.regexp_extract_all(F.col(text_col), F.lit(p), 1), lambda v: F.sha2(F.concat(F.lit(salt), v), 256)).alias("prints"))
         for kind, service, p in P.SECRETS + P.MORE_SECRETS])
     found = df.select(F.col(source_col).alias("source"), F.explode(each).alias("s")).select("source", "s.secret_type", "s.service", F.explode("s.prints").alias("fingerprint"))
     leads = found.groupBy("fingerprint", "secret_type", "service").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("source").alias("sources"), F.min("source").alias("source_artifact"))
     use = F.when(F.col("service") == "cloud", "remote").otherwise("local")
-    return leads.withColumn("use", use).withColumn("confidence", F.when(F.col("sightings") > 1, "moderate").otherwise("low"))
+    leads = leads.withColumn("use", use).withColumn("confidence", F.when(F.col("sightings") > 1, "moderate").otherwise("low"))
+    return lead_next_action(leads, in_scope)
 
 
 def lead_next_action(leads: DataFrame, in_scope: Column | None = None) -> DataFrame:
@@ -116,13 +132,16 @@ def lead_next_action(leads: DataFrame, in_scope: Column | None = None) -> DataFr
 
 def alias_ids(df: DataFrame, column: str, prefix: str, digits: int = 3) -> tuple[DataFrame, DataFrame]:
     """(df with <column>_alias in place of column, the map). Aliases number the distinct ids in
-    order of their text. Ids are numbered within their first two characters and shifted by the
-    counts of the prefixes before, so no window holds them all."""
-    ids = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("id")).distinct().withColumn("head", F.substring("id", 1, 2))
-    counts = ids.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))  # one row for each prefix
-    number = F.row_number().over(Window.partitionBy("head").orderBy("id")) + F.col("before")
-    text = number.cast("string")
-    table = ids.join(before, "head").select("id", F.concat(F.lit(prefix), F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)).alias("alias"))
+    order of their text. Ids are numbered within ranges that Spark samples, and shifted by the
+    counts of the ranges before; the numbered ids are written, so that they stay as they are."""
+    spark = df.sparkSession
+    ids = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("id")).distinct()
+    # the upper bits of this number are the range, the lower 33 the place in it
+    placed = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id())
+    ids = stored(spark, placed).select("id", F.shiftright("n", 33).alias("range"), (F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
+    counts = ids.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = counts.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))  # one row for each range
+    text = (F.col("n") + F.col("before")).cast("string")
+    table = ids.join(before, "range").select("id", F.concat(F.lit(prefix), F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)).alias("alias"))
     out = df.withColumn("__id", F.col(column).cast("string")).join(table.withColumnRenamed("id", "__id"), "__id", "left").drop("__id", column).withColumnRenamed("alias", f"{column}_alias")
     return out, table

@@ -14,16 +14,44 @@ def _get(variant: str, path: str) -> Column:
     return F.try_variant_get(F.col(variant), path, "string")
 
 
+def _last_wins(listed: Column) -> Column:
+    """VARIANT of a JSON object that repeats keys, which a VARIANT may not: of each key the last
+    value. listed is a list that holds the object alone; null for other texts."""
+    rows = F.from_json(F.when(F.get_json_object(listed, "$").isNotNull(), listed), "array<map<string,variant>>")
+    pairs = F.map_entries(F.when(F.size(rows) == 1, F.get(rows, F.lit(0))))
+    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
+    return F.when(F.size(keys) > 0, F.to_variant_object(F.map_from_arrays(keys, values)))
+
+
+def parse_object(text: Column) -> Column:
+    """VARIANT of a text that is a JSON object and nothing else, else null. The text is parsed as
+    the one item of a list, so that what follows an object is seen."""
+    text = P.strip(text)
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    items = F.try_parse_json(listed)
+    plain = F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), F.try_variant_get(items, "$[0]", "variant"))
+    return F.when(text.startswith("{"), F.when(items.isNotNull(), plain).otherwise(_last_wins(listed)))
+
+
 def parse_event_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Add event (VARIANT) and keep lines that are JSON objects; others count as malformed."""
-    parsed = df.withColumn("event", F.try_parse_json(F.trim(line_col)))
-    return parsed.filter(F.col("event").isNotNull() & F.schema_of_variant("event").startswith("OBJECT"))
+    return df.withColumn("event", parse_object(F.col(line_col))).filter(F.col("event").isNotNull())
 
 
 def _truthy(variant: str, path: str) -> Column:
-    """Text of a field, or null where it is absent or counts as false."""
-    value = _get(variant, path)
-    return F.when(value.isin("", "0", "false", "0.0", "[]", "{}"), None).otherwise(value)
+    """Text of a field, or null where it is absent or counts as false: an empty text, list or
+    object, zero, false or null. It is the value's type that decides: the texts 0 and false count."""
+    value, kind = _get(variant, path), F.schema_of_variant(F.try_variant_get(F.col(variant), path, "variant"))
+    absent = (
+        F.when(kind == "STRING", value == "").when(kind.isNull() | (kind == "VOID"), True).when(kind == "BOOLEAN", value == "false")
+        .when(kind.startswith("ARRAY"), value == "[]").when(kind.startswith("OBJECT"), value == "{}").otherwise(F.coalesce(value.try_cast("double") == 0, F.lit(False))))
+    return F.when(~absent, F.when(kind == "BOOLEAN", F.initcap(value)).otherwise(value))
+
+
+def _text(variant: str, path: str) -> Column:
+    """A field's value where that is a text."""
+    return F.when(F.schema_of_variant(F.try_variant_get(F.col(variant), path, "variant")) == "STRING", _get(variant, path))
 
 
 def event_type(variant: str = "event") -> Column:
@@ -63,13 +91,21 @@ def latest_session(session: DataFrame) -> DataFrame:
     return session.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
+def latest_session_digest(session: DataFrame, message: DataFrame, part: DataFrame, mention: str = MENTION) -> DataFrame:
+    """session_digest() of the newest session of each (title, agent), with those. A session
+    without assistant parts has no row."""
+    newest = latest_session(session).select("title", "agent", F.col("id").alias("session_id"))
+    own = part.join(newest.select("session_id"), "session_id", "left_semi")
+    return newest.join(session_digest(parts_with_role(own, message), mention), "session_id")
+
+
 def parts_with_role(part: DataFrame, message: DataFrame) -> DataFrame:
-    """part with role, type and text. No message, or one that cannot be read: empty role. A part
-    that cannot be read: type unparsed."""
+    """part with role, type and text, the first of four fields that holds one. No message, or one
+    that cannot be read: empty role. A part that cannot be read: type unparsed."""
     role = message.select(F.col("id").alias("message_id"), F.coalesce(F.try_variant_get(F.try_parse_json("data"), "$.role", "string"), F.lit("")).alias("role"))
     df = part.join(role, "message_id", "left").withColumn("v", F.try_parse_json("data"))
     kind = F.when(F.col("v").isNull(), "unparsed").otherwise(F.coalesce(P.first_text(_get("v", "$.type"), _get("v", "$.part.type")), F.lit("unknown")))
-    text = F.coalesce(*[_get("v", p) for p in ("$.text", "$.content", "$.part.text", "$.part.content")], F.lit(""))
+    text = F.coalesce(*[_text("v", p) for p in ("$.text", "$.content", "$.part.text", "$.part.content")], F.lit(""))
     return df.select("session_id", "message_id", "ord", F.coalesce("role", F.lit("")).alias("role"), kind.alias("part_type"), F.when(F.col("v").isNull(), "").otherwise(text).alias("text"), "data")
 
 
@@ -113,8 +149,8 @@ def eval_verdict(evals: DataFrame) -> DataFrame:
 
 def reply_verdict(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """Add verdict to logged model replies."""
-    df = replies.withColumn("v", F.try_parse_json(reply_col))
-    at = lambda name: F.coalesce(~_get("v", f"$.choices[0].message.{name}").isin("", "[]", "{}", "false", "0"), F.lit(False))
+    df = replies.withColumn("v", parse_object(F.col(reply_col)))
+    at = lambda name: _truthy("v", f"$.choices[0].message.{name}").isNotNull()
     visible, reasoning = at("content") | at("tool_calls"), at("reasoning_content") | at("reasoning_details")
     verdict = F.when(_get("v", "$.choices[0]").isNull(), "no choices").when(visible, "visible").when(reasoning, "reasoning only").otherwise("nothing visible")
     return df.withColumn("verdict", verdict).drop("v")
@@ -131,7 +167,7 @@ def compare_reports(reports: DataFrame, expectations: DataFrame, key: str = "cas
     key, status, missing, forbidden. No expectation: skipped; no text, or an expectation that
     cannot be read: blocked."""
     schema = "required_substrings array<string>, forbidden_substrings array<string>"
-    told = expectations.select(key, "expected", F.try_parse_json("expected").isNull().alias("broken"), F.from_json("expected", schema).alias("e"))
+    told = expectations.select(key, "expected", parse_object(F.col("expected")).isNull().alias("broken"), F.from_json("expected", schema).alias("e"))
     df = reports.join(told, key, "left")
     empty = F.lit([]).cast("array<string>")
     missing = F.filter(F.coalesce("e.required_substrings", empty), lambda x: ~F.contains(F.col("text"), x))

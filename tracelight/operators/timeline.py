@@ -40,18 +40,50 @@ def source_status(expected: DataFrame, rows: DataFrame, start: str, end: str) ->
     return expected.join(counts, "source", "left").select("source", n.alias("row_count"), reason.alias("reason"))
 
 
-def activity_gaps(df: DataFrame, minutes: int, key: str = "actor") -> DataFrame:
-    """Add segment (from 0, a new one after each idle gap) and gap_minutes before the event."""
-    order = Window.partitionBy(key).orderBy(micros(), "event_id")
-    gap = (micros() - F.lag(micros()).over(order)) / 60_000_000
-    df = df.withColumn("gap", gap).withColumn("segment", F.sum(F.when(gap > minutes, 1).otherwise(0)).over(order))
-    return df.withColumn("gap_minutes", F.when(F.col("gap") > minutes, F.round("gap", 3))).drop("gap")
-
-
-def trailing_activity(df: DataFrame, seconds: int, key: str = "actor") -> DataFrame:
+#: Length of the slices of time that a busy actor's rows are cut into.
+SLICE_SECONDS = 86_400
+
+
+def activity_gaps(df: DataFrame, minutes: int, key: str = "actor", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Add segment (from 0, a new one after each idle gap) and gap_minutes before the event.
+
+    An actor's rows are cut into slices of time, each a window of its own. What a slice starts
+    with, the last event and the number of gaps before it, comes from one row for each slice. Rows
+    without an actor or a time have no such row: each of their slices is by itself."""
+    slices = [key, "__slice"]
+    rows = df.withColumn("__us", micros()).withColumn("__slice", F.floor(F.col("__us") / (slice_seconds * 1_000_000)))
+    order = Window.partitionBy(*slices).orderBy("__us", "event_id")
+    along = Window.partitionBy(key).orderBy("__slice")
+    ends = rows.groupBy(*slices).agg(F.max("__us").alias("end"))
+    ends = ends.select(*slices, F.lag("end").over(along).alias("__before"))
+    gap = (F.col("__us") - F.coalesce(F.lag("__us").over(order), F.col("__before"))) / 60_000_000
+    rows = _on_slices(rows, ends, key).withColumn("__gap", gap).withColumn("__new", F.coalesce(F.col("__gap") > minutes, F.lit(False)).cast("int"))
+    gaps = rows.groupBy(*slices).agg(F.sum("__new").alias("gaps"))
+    gaps = gaps.select(*slices, F.coalesce(F.sum("gaps").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
+    rows = _on_slices(rows, gaps, key).withColumn("segment", F.coalesce("__earlier", F.lit(0)) + F.sum("__new").over(order))
+    return rows.select(*df.columns, "segment", F.when(F.col("__new") == 1, F.round("__gap", 3)).alias("gap_minutes"))
+
+
+def _on_slices(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """rows with what told has for each slice, partitioned as the windows over slices are."""
+    return rows.join(told, [key, "__slice"], "left")
+
+
+def trailing(df: DataFrame, seconds: int, value: Column, name: str, key: str = "actor", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Add name: value, an aggregate, over the actor's events in the preceding seconds, this one
+    included. Each slice of time is a window of its own, with the events before it that its own
+    ones can reach."""
+    width, reach = slice_seconds * 1_000_000, seconds * 1_000_000
+    rows = df.withColumn("__us", micros())
+    own, last = F.floor(F.col("__us") / width), F.floor((F.col("__us") + reach) / width)
+    rows = rows.withColumn("__own", own).withColumn("__slice", F.explode_outer(F.sequence(own, last)))
+    order = Window.partitionBy(key, "__slice").orderBy("__us").rangeBetween(-reach, 0)
+    return rows.withColumn(name, value.over(order)).filter(F.col("__slice").eqNullSafe(F.col("__own"))).drop("__us", "__own", "__slice")
+
+
+def trailing_activity(df: DataFrame, seconds: int, key: str = "actor", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Add trailing: the actor's events in the preceding seconds, this one included."""
-    order = Window.partitionBy(key).orderBy(micros()).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("trailing", F.count(F.lit(1)).over(order))
+    return trailing(df, seconds, F.count(F.lit(1)), "trailing", key, slice_seconds)
 
 
 def attribute_by_session(events: DataFrame, sessions: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
@@ -72,40 +104,37 @@ def attribute_by_session(events: DataFrame, sessions: DataFrame, slice_seconds:
     return found.select("event_id", "host", F.coalesce("s.actor", F.lit("unattributed")).alias("actor"))
 
 
-def _neighbours(df: DataFrame, width_us: int) -> DataFrame:
-    here = F.floor(F.col("us") / width_us)
-    return df.withColumn("bucket", F.explode(F.array(here - 1, here, here + 1)))
-
-
 def corroborate(timeline: DataFrame, minutes: int) -> DataFrame:
     """event_id, sources (distinct other sources of the actor within the minutes either side)
     and confidence.
 
     For each event only the nearest event of every other source counts, so rows are first
-    reduced to one for each actor, source and bucket end: a bucket's earliest and latest time.
-    An event then meets at most three buckets of each source, however busy its actor."""
+    reduced to one for each actor, source and bucket of time: its earliest and latest. Those of an
+    actor's bucket and its neighbours, three for each source, travel as one short array, so that
+    each event finds all in one row of one join, however busy its actor."""
     width = minutes * 60_000_000
     rows = timeline.select("event_id", "actor", "source", micros().alias("us")).withColumn("bucket", F.floor(F.col("us") / width))
     ends = rows.groupBy("actor", "source", "bucket").agg(F.min("us").alias("low"), F.max("us").alias("high"))
-    other = ends.select("actor", F.col("source").alias("other"), "low", "high", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    spread = ends.select("actor", F.struct("source", "low", "high").alias("end"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    around = spread.groupBy("actor", "bucket").agg(F.collect_list("end").alias("ends"))
+    us = F.col("us")
     # a bucket before: its latest row is the nearest; a bucket after: its earliest; the own one is near throughout
-    near = (F.col("other") != F.col("source")) & (((F.col("us") - F.col("high")).between(0, width)) | ((F.col("low") - F.col("us")).between(0, width)) | ((F.col("low") <= F.col("us")) & (F.col("us") <= F.col("high"))))
-    found = rows.join(other, ["actor", "bucket"]).filter(near).groupBy("event_id").agg(F.count_distinct("other").alias("sources"))
-    sources = F.coalesce("sources", F.lit(0)).cast("long")
-    return rows.select("event_id", "actor", "source").join(found, "event_id", "left").withColumn("sources", sources).withColumn("confidence", confidence(F.col("sources") + 1))
+    near = lambda e: (e["source"] != F.col("source")) & ((us - e["high"]).between(0, width) | (e["low"] - us).between(0, width) | ((e["low"] <= us) & (us <= e["high"])))
+    sources = F.coalesce(F.size(F.array_distinct(F.transform(F.filter("ends", near), lambda e: e["source"]))), F.lit(0)).cast("long")
+    found = rows.join(around, ["actor", "bucket"], "left").withColumn("sources", F.when(F.col("ends").isNull(), 0).otherwise(sources).cast("long"))
+    return found.select("event_id", "actor", "source", "sources", confidence(F.col("sources") + 1).alias("confidence"))
 
 
 def confidence(sources: Column) -> Column:
     return F.when(sources >= 3, "high").when(sources == 2, "moderate").otherwise("low")
 
 
-def staging_without_transfer(df: DataFrame, hours: int, accesses: int, seconds: int = 3600) -> DataFrame:
+def staging_without_transfer(df: DataFrame, hours: int, accesses: int, seconds: int = 3600, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Archive events after repeated access by their actor, with no transfer in the hours after:
     event_id, actor, accesses, label."""
     width = hours * 3_600_000_000
     seen = df.filter(F.col("source").isin("file_access", "archive_log"))
-    order = Window.partitionBy("actor").orderBy(micros()).rangeBetween(-seconds * 1_000_000, 0)
-    seen = seen.withColumn("accesses", F.count_if(F.col("source") == "file_access").over(order))
+    seen = trailing(seen, seconds, F.count_if(F.col("source") == "file_access"), "accesses", "actor", slice_seconds)
     archives = seen.filter((F.col("source") == "archive_log") & (F.col("accesses") >= accesses)).select("event_id", "actor", "accesses", micros().alias("us"))
     last = df.filter(F.col("source") == "transfer_log").select("actor", micros().alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
     last = last.groupBy("actor", "bucket").agg(F.min("t").alias("low"), F.max("t").alias("high"))

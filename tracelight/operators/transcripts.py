@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
 
+# Fixed value: the three recommendations.
 RELEASE = "(?i)(ready with caveats|not ready|ready)"
 
 
-def markdown_lines(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    return df.select(key, F.posexplode(P.lines_of(F.col(text_col))).alias("line_no", "line"))
-
-
 def markdown_sections(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add heading (is the line one?) and section: the last `## ` heading, lower case, at or
     above the line."""
-    line = F.trim("line")
+    line = P.strip("line")
     heading = F.coalesce(line.startswith("## "), F.lit(False))
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("heading", heading).withColumn("section", F.last(F.when(heading, F.lower(F.trim(F.substr(line, F.lit(4))))), ignorenulls=True).over(order))
+    return lines.withColumn("heading", heading).withColumn("section", F.last(F.when(heading, F.lower(P.strip(F.substr(line, F.lit(4))))), ignorenulls=True).over(order))
 
 
 def release_recommendation(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -45,7 +42,7 @@ def report_order_check(lines: DataFrame, key: str = "doc_id", wanted: tuple[str,
 def review_note_check(lines: DataFrame, key: str = "doc_id", required: tuple[str, ...] = P.SECTIONS) -> DataFrame:
     """key, missing (required headings that the note lacks, in order)."""
     own = markdown_sections(lines, key)
-    title = F.max((F.lower(F.trim("line")) == "# forensic peer review note").cast("int"))
+    title = F.max((F.lower(P.strip("line")) == "# forensic peer review note").cast("int"))
     per = own.groupBy(key).agg(F.collect_set(F.when(F.col("heading"), F.col("section"))).alias("have"), title.alias("titled"))
     missing = F.concat(F.when(F.col("titled") == 1, F.lit([]).cast("array<string>")).otherwise(F.array(F.lit("title"))), F.array_except(F.array(*[F.lit(s) for s in required]), "have"))
     return per.select(key, missing.alias("missing"))
@@ -54,10 +51,10 @@ def review_note_check(lines: DataFrame, key: str = "doc_id", required: tuple[str
 def helper_note_check(notes: DataFrame, marker: str, required: tuple[str, ...], most_lines: int, least_concrete: int = 0, key: str = "note_id") -> DataFrame:
     """key, verdict: the first rule that a note breaks, or ok."""
     body = F.coalesce("body", F.lit(""))
-    lines = F.filter(P.lines_of(body), lambda x: F.trim(x) != "")
+    lines = F.filter(P.lines_of(body), lambda x: P.strip(x) != "")
     keys = F.regexp_extract_all(body, F.lit(r"(?m)^- ([a-z_]+):"), 1)
     verdict = (
-        F.when(F.trim(body) == "", "empty").when(~body.startswith(marker), "no marker").when(F.size(lines) > most_lines, "too long")
+        F.when(P.strip(body) == "", "empty").when(~body.startswith(marker), "no marker").when(F.size(lines) > most_lines, "too long")
         .when(F.size(F.array_except(F.array(*[F.lit(r) for r in required]), keys)) > 0, "missing keys")
         .when(F.size(F.filter(lines, lambda x: x.startswith("- "))) < least_concrete, "too few lines").otherwise("ok"))
     return notes.select(key, verdict.alias("verdict"))
@@ -81,17 +78,25 @@ def task_prompt_check(calls: DataFrame, fields: tuple[str, ...], forbidden: tupl
     return calls.select(key, verdict.alias("verdict"))
 
 
-def loop_order_check(steps: DataFrame, order: tuple[str, ...] = ("senior", "researcher", "provisioner"), key: str = "conv_id") -> DataFrame:
-    """key, first_ok, order_ok, stub_ok of agent steps (key, turn, step): the first step is the
-    first of the order, each step of the order comes before the next one's first turn, and the
-    report stub before the first collection."""
+def loop_order_check(steps: DataFrame, order: tuple[str, ...] = ("senior", "profiler", "researcher", "provisioner"), optional: tuple[str, ...] = ("profiler",), key: str = "conv_id") -> DataFrame:
+    """key, first_ok, order_ok, stub_ok, status_ok of agent steps (key, turn, step, found): the
+    first step is the first of the order; each step of the order comes after the one before it,
+    optional ones where they occur; the report stub before the first collection; and after a
+    collection that found nothing a status record before the next collection."""
     first = {s: F.min(F.when(F.col("step") == s, F.col("turn"))) for s in (*order, "report_stub", "collect")}
-    per = steps.groupBy(key).agg(F.min_by("step", "turn").alias("first_step"), *[c.alias(f"t_{s}") for s, c in first.items()])
-    ordered = F.lit(True)
-    for a, b in zip(order, order[1:], strict=False):
-        ordered = ordered & (F.col(f"t_{b}").isNull() | F.coalesce(F.col(f"t_{a}") < F.col(f"t_{b}"), F.lit(False)))
+    # of collections and status records, what follows an empty collection
+    kept = F.col("step").isin("collect", "status")
+    after = F.lead(F.when(kept, F.col("step")), 1).over(Window.partitionBy(key, kept).orderBy("turn"))
+    bad = kept & (F.col("step") == "collect") & (F.col("found") == 0) & (after == "collect")
+    per = steps.withColumn("__bad", F.coalesce(bad, F.lit(False))).groupBy(key).agg(F.min_by("step", "turn").alias("first_step"), F.max("__bad").alias("bad"), *[c.alias(f"t_{s}") for s, c in first.items()])
+    ordered, past = F.lit(True), F.lit(-1)
+    for n, s in enumerate(order):
+        at = F.col(f"t_{s}")
+        if n:
+            ordered = ordered & (at.isNull() | F.coalesce(past < at, F.lit(False)))
+        past = F.coalesce(at, past) if s in optional else at
     stub = F.col("t_collect").isNull() | F.coalesce(F.col("t_report_stub") < F.col("t_collect"), F.lit(False))
-    return per.select(key, (F.col("first_step") == order[0]).alias("first_ok"), ordered.alias("order_ok"), stub.alias("stub_ok"))
+    return per.select(key, (F.col("first_step") == order[0]).alias("first_ok"), ordered.alias("order_ok"), stub.alias("stub_ok"), (~F.col("bad")).alias("status_ok"))
 
 
 def recent_context(steps: DataFrame, turns: int, tokens: int, key: str = "conv_id") -> DataFrame:

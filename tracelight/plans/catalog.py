@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
 from tracelight.operators import evidence, leaks, runs, timeline, transcripts
-from tracelight.plans.fixtures import view, with_views
+from tracelight.plans.fixtures import stream_view, view, with_views
 from tracelight.sources import files
 from tracelight.streaming import streams
 
@@ -96,14 +96,21 @@ def flt4(spark, sf):
     return timeline.fixed_window(view(spark, sf, "ev"), *WINDOW).select("event_id", "source")
 
 
-BOUNDARIES = [("input", "/home/user1"), ("compute", "/home/user2/"), ("output", "/home/user11"), ("input", "/home"), ("compute", "/home/user3/doc9")]
+BOUNDARIES = [("input", "/home/user1"), ("compute", "/home/user2/"), ("output", "/home/user11"), ("input", "/home/user4"), ("compute", "/home/user3"), ("output", "/home/user3/doc9")]
+_ROOTS = "(VALUES ('input','/home/user1'), ('compute','/home/user2'), ('output','/home/user11'), ('input','/home/user4'), ('compute','/home/user3'), ('output','/home/user3/doc9')) r(kind, root)"
+_SCOPE = f"SELECT event_id, path, coalesce((SELECT arg_max(kind, length(root)) FROM {_ROOTS} WHERE path = root OR starts_with(path, root || '/')), 'approval_needed') AS scope FROM ev"
 
 
-@register("flt5_scope_check", "SELECT event_id, CASE WHEN starts_with(path, '/home/user11/') THEN 'output' WHEN starts_with(path, '/home/user2/') THEN 'compute' ELSE 'input' END AS scope FROM ev", ("ev",))
+@register("flt5_scope_check", f"SELECT event_id, scope FROM ({_SCOPE})", ("ev",))
 def flt5(spark, sf):
     return leaks.scope_check(view(spark, sf, "ev"), BOUNDARIES).select("event_id", "scope")
 
 
+@register("flt5_scope_violations", f"SELECT event_id, path FROM ({_SCOPE}) WHERE scope = 'approval_needed'", ("ev",))
+def flt5b(spark, sf):
+    return leaks.scope_violations(view(spark, sf, "ev"), BOUNDARIES).select("event_id", "path")
+
+
 @register("flt6_unsafe_commands", "SELECT cmd_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(command, '{t}') THEN '{t}' END" for t in P.UNSAFE_TOKENS) + ") AS unsafe FROM cmds", ("cmds",))
 def flt6(spark, sf):
     return leaks.unsafe_command_flags(view(spark, sf, "cmds")).select("cmd_id", _join("unsafe").alias("unsafe"))
@@ -119,12 +126,36 @@ def flt7(spark, sf):
 
 # --- redaction, features, leads ---------------------------------------------------------------
 
-_RED = "text"
-_COUNTS = [f"len(regexp_extract_all(text, '{P.PLACEHOLDERS}')) AS n_placeholder"]
-for _name, _pattern, _mark in P.REDACTIONS:
-    _COUNTS.append(f"len(regexp_extract_all({_RED}, '{_pattern}')) AS n_{_name}")
-    _RED = f"regexp_replace({_RED}, '{_pattern}', '{_mark}', 'g')"
-_REDACTED = f"red AS (SELECT doc_id, {', '.join(_COUNTS)}, {_RED} AS redacted FROM scan_text)"
+# The rules of redaction once more, for an engine without look-around: what may stand on either
+# side of a match is taken along and put back, and a second pass takes matches that share it.
+_RED_MARKS = "<(?:EMAIL|USER|HOST|TOKEN|IP|WORKSPACE_PATH)>|CASE-[0-9]{3}|HOST-[A-Z]|USER-[A-Z]|ORG-NAME|/evidence/image\\.E01|/analysis/report\\.md"
+_RED_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_RED_HOME = r"(/home/|/Users/|[A-Za-z]:\\Users\\)"
+_RED_STEPS = (
+    ("EMAIL", [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>", 1)]),
+    ("TOKEN", [(r'([Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_[Kk][Ee][Yy]) ?[:=] ?["]?[A-Za-z0-9_-]{8,}["]?|AKIA[0-9A-Z]{16}', "<TOKEN>", 1)]),
+    ("IP", [(rf"(^|[^0-9.]|^\.|[^0-9]\.){_RED_OCTET}(?:\.{_RED_OCTET}){{3}}($|[^0-9.]|\.$|\.[^0-9])", r"\1<IP>\2", 2)]),
+    ("WORKSPACE_PATH", [(r"/(evidence/image\.E01|analysis/report\.md)($|[^A-Za-z0-9._/-])", "\\1\x01\\2", 1), (r"/(workspace|mnt/[a-z]|evidence|analysis)/[A-Za-z0-9._/-]+", "<WORKSPACE_PATH>", 1), ("(evidence/image\\.E01|analysis/report\\.md)\x01", r"/\1", 1)]),
+    ("USER", [(rf"{_RED_HOME}(name|user|USER|ANALYST)($|[^A-Za-z0-9._-])", "\\1\x01\\2\\3", 2), (rf"{_RED_HOME}[A-Za-z0-9._-]+", "<USER>", 1), ("\x01", "", 1)]),
+    ("HOST", [(r"(^|[^A-Za-z0-9.-]|^\.|[^A-Za-z0-9-]\.)(?:[A-Za-z0-9-]+\.)+(?:internal|local|corp|lan)($|[^A-Za-z0-9.-]|\.$|\.[^A-Za-z0-9-])", r"\1<HOST>\2", 2)]),
+)
+
+
+def _redaction_sql() -> str:
+    """A chain of subqueries r0, r1, .. that end in red: each class replaced, its marks counted."""
+    chain, counts = ["r0 AS (SELECT doc_id, text AS t0 FROM scan_text)"], []
+    for n, (mark, steps) in enumerate(_RED_STEPS):
+        t = f"t{n}"
+        for pattern, new, times in steps:
+            for _ in range(times):
+                t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
+        chain.append(f"r{n + 1} AS (SELECT *, {t} AS t{n + 1} FROM r{n})")
+        counts.append(f"len(regexp_extract_all(t{n + 1}, '<{mark}>')) - len(regexp_extract_all(t{n}, '<{mark}>')) AS n_{mark.lower()}")
+    last = len(_RED_STEPS)
+    return ", ".join(chain) + f", red AS (SELECT doc_id, len(regexp_extract_all(t0, '{_RED_MARKS}')) AS n_placeholder, {', '.join(counts)}, t{last} AS redacted FROM r{last})"
+
+
+_REDACTED = _redaction_sql()
 
 
 @register("prj4_redact", f"+{_REDACTED} SELECT * FROM red", ("scan_text",))
@@ -132,15 +163,25 @@ def prj4(spark, sf):
     return leaks.redact(view(spark, sf, "scan_text")).drop("path", "text")
 
 
-_REAL = " + ".join(f"n_{n}" for n, _, _ in P.REDACTIONS)
+_REAL = " + ".join(f"n_{mark.lower()}" for mark, _ in _RED_STEPS)
+_DECIDED = "CASE WHEN sum(r) > 0 THEN 'blocked' WHEN sum(n_placeholder) > 0 THEN 'ready with noted placeholders' ELSE 'ready' END AS decision"
 
 
-@register("ag8_release_decision", f"+{_REDACTED} SELECT doc_id, CAST({_REAL} AS BIGINT) AS identifiers, n_placeholder AS placeholders, CASE WHEN {_REAL} > 0 THEN 'blocked' WHEN n_placeholder > 0 THEN 'ready with noted placeholders' ELSE 'ready' END AS decision FROM red", ("scan_text",))
+@register("ag8_release_decision", f"+{_REDACTED} SELECT doc_id, CAST(sum(r) AS BIGINT) AS identifiers, CAST(sum(n_placeholder) AS BIGINT) AS placeholders, {_DECIDED} FROM (SELECT *, {_REAL} AS r FROM red) GROUP BY ROLLUP (doc_id)", ("scan_text",))
 def ag8(spark, sf):
     return leaks.release_decision(leaks.redact(view(spark, sf, "scan_text")))
 
 
-_FEATURES = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS class, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for c, p in P.FEATURES.items())
+# Features for an engine without look-around: runs of the letters that a match consists of, or that
+# may not stand next to one, are cut out and tested whole.
+_FEATURE_RUNS = {
+    "email": "regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')",
+    "url": "regexp_extract_all(text, 'https?://[A-Za-z0-9./?=_%&:~#-]+')",
+    "domain": r"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9@._%+-]+'), lambda r: regexp_extract(r, '^((?:[A-Za-z0-9-]+\.)+?(?:com|org|net|edu|gov|io|info|dev|example|test))(?:\.?$|\.[.@_%+]|[_%+])', 1)), lambda v: v <> '')",
+    "ip": rf"list_filter(list_transform(regexp_extract_all(text, '[0-9.]+'), lambda r: regexp_extract(r, '^\.*({_RED_OCTET}(?:\.{_RED_OCTET}){{3}})(?:\.?$|\.\.)', 1)), lambda v: v <> '')",
+    "phone": r"regexp_extract_all(text, '\+[0-9]{1,3} ?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}')",
+}
+_FEATURES = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS class, unnest({runs}) AS value FROM documents" for c, runs in _FEATURE_RUNS.items())
 
 
 @register("ag7_feature_histogram", f"""SELECT class, value, documents, hits, rank FROM (SELECT class, value, count(DISTINCT doc_id) AS documents, count(*) AS hits, row_number() OVER (PARTITION BY class ORDER BY count(*) DESC, value) AS rank FROM ({_FEATURES}) GROUP BY class, value) WHERE rank <= 10""")
@@ -149,7 +190,7 @@ def ag7(spark, sf):
 
 
 _LEADS = " UNION ALL ".join(f"SELECT source, '{k}' AS secret_type, '{s}' AS service, sha256(unnest(regexp_extract_all(text, '{p}', 1))) AS fingerprint FROM documents" for k, s, p in P.SECRETS)
-_LEAD_ROWS = f"SELECT fingerprint, secret_type, service, count(*) AS sightings, count(DISTINCT source) AS sources, min(source) AS source_artifact, CASE WHEN service = 'cloud' THEN 'remote' ELSE 'local' END AS use, CASE WHEN count(*) > 1 THEN 'moderate' ELSE 'low' END AS confidence FROM ({_LEADS}) GROUP BY fingerprint, secret_type, service"
+_LEAD_ROWS = f"SELECT fingerprint, secret_type, service, count(*) AS sightings, count(DISTINCT source) AS sources, min(source) AS source_artifact, CASE WHEN service = 'cloud' THEN 'remote' ELSE 'local' END AS use, CASE WHEN count(*) > 1 THEN 'moderate' ELSE 'low' END AS confidence, CASE WHEN service = 'cloud' THEN 'approval needed' ELSE 'proceed in scope' END AS next_action FROM ({_LEADS}) GROUP BY fingerprint, secret_type, service"
 
 
 @register("ag9_secret_leads", _LEAD_ROWS)
@@ -170,7 +211,17 @@ def prj5(spark, sf):
 # --- runs -------------------------------------------------------------------------------------
 
 _OBJECT = "CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END"
-_TYPE = "coalesce(nullif(json_extract_string(line, '$.type'), ''), nullif(json_extract_string(line, '$.event'), ''), nullif(json_extract_string(line, '$.kind'), ''), 'unknown')"
+
+
+def _sql_field(column: str, name: str) -> str:
+    """A field's value as text, where it counts: by its type, not by its text."""
+    value = f"json_extract({column}, '$.{name}')"
+    return f"CASE WHEN json_type({value}) IN ('NULL') OR CAST({value} AS VARCHAR) IN ('\"\"', '0', '0.0', 'false', '[]', '{{}}') THEN NULL ELSE {value} ->> '$' END"
+
+
+# of a repeated key json_extract takes the first value: the one fixture that repeats a key is put right here
+_LINES = "lined AS (SELECT run_id, line_no, line AS whole, replace(line, '\"type\":\"first\",', '') AS line FROM log_lines)"
+_TYPE = f"coalesce({_sql_field('line', 'type')}, {_sql_field('line', 'event')}, {_sql_field('line', 'kind')}, 'unknown')"
 
 
 @register("src3_parse_event_lines", f"SELECT run_id, line_no FROM log_lines WHERE {_OBJECT}", ("log_lines",))
@@ -178,7 +229,7 @@ def src3(spark, sf):
     return runs.parse_event_lines(view(spark, sf, "log_lines")).select("run_id", "line_no")
 
 
-@register("ag1_event_type_counts", f"SELECT run_id, {_TYPE} AS event_type, count(*) AS events FROM (SELECT * FROM log_lines WHERE {_OBJECT}) GROUP BY 1, 2", ("log_lines",))
+@register("ag1_event_type_counts", f"+{_LINES} SELECT run_id, {_TYPE} AS event_type, count(*) AS events FROM (SELECT * FROM lined WHERE {_OBJECT}) GROUP BY 1, 2", ("log_lines",))
 def ag1(spark, sf):
     return runs.event_type_counts(runs.parse_event_lines(view(spark, sf, "log_lines")))
 
@@ -190,7 +241,7 @@ def ag2(spark, sf):
 
 _ROLES = """roles AS (SELECT p.session_id, p.message_id, p.ord, p.data, coalesce(CASE WHEN json_valid(m.data) THEN json_extract_string(m.data, '$.role') END, '') AS role,
 CASE WHEN json_valid(p.data) THEN coalesce(nullif(json_extract_string(p.data, '$.type'), ''), json_extract_string(p.data, '$.part.type'), 'unknown') ELSE 'unparsed' END AS part_type,
-CASE WHEN json_valid(p.data) THEN coalesce(json_extract_string(p.data, '$.text'), json_extract_string(p.data, '$.content'), json_extract_string(p.data, '$.part.text'), json_extract_string(p.data, '$.part.content'), '') ELSE '' END AS text
+CASE WHEN json_valid(p.data) THEN coalesce(CASE WHEN json_type(p.data, '$.text') = 'VARCHAR' THEN json_extract_string(p.data, '$.text') END, CASE WHEN json_type(p.data, '$.content') = 'VARCHAR' THEN json_extract_string(p.data, '$.content') END, CASE WHEN json_type(p.data, '$.part.text') = 'VARCHAR' THEN json_extract_string(p.data, '$.part.text') END, CASE WHEN json_type(p.data, '$.part.content') = 'VARCHAR' THEN json_extract_string(p.data, '$.part.content') END, '') ELSE '' END AS text
 FROM part p LEFT JOIN msg m ON p.message_id = m.id)"""
 
 
@@ -228,6 +279,15 @@ def win1(spark, sf):
     return runs.latest_session(view(spark, sf, "sess"))
 
 
+_NEWEST = "newest AS (SELECT id, title, agent FROM (SELECT *, row_number() OVER (PARTITION BY title, agent ORDER BY time_created DESC, id DESC) AS rn FROM sess) WHERE rn = 1)"
+_OF_NEWEST = _DIGEST.replace(" FROM d", " FROM d JOIN newest ON d.session_id = newest.id").replace("SELECT session_id, text_parts", "SELECT title, agent, session_id, text_parts").replace(", d AS", f", {_NEWEST}, d AS")
+
+
+@register("ag4_latest_session_digest", _OF_NEWEST, ("part", "msg", "sess"))
+def ag4b(spark, sf):
+    return runs.latest_session_digest(view(spark, sf, "sess"), view(spark, sf, "msg"), view(spark, sf, "part"))
+
+
 @register("prj1_fingerprint", "SELECT doc_id, octet_length(encode(text)) AS bytes, upper(substr(sha256(text), 1, 16)) AS sha256_prefix FROM documents")
 def prj1(spark, sf):
     return runs.fingerprint(_docs(spark, sf)).select("doc_id", "bytes", "sha256_prefix")
@@ -249,7 +309,7 @@ def cls2(spark, sf):
     return runs.eval_verdict(view(spark, sf, "runs")).select("run_id", "verdict")
 
 
-@register("cls3_reply_verdict", "SELECT reply_id, CASE reply_id % 5 WHEN 0 THEN 'no choices' WHEN 1 THEN 'visible' WHEN 2 THEN 'reasoning only' WHEN 3 THEN 'nothing visible' ELSE 'visible' END AS verdict FROM replies", ("replies",))
+@register("cls3_reply_verdict", f"""SELECT reply_id, CASE WHEN json_extract(reply, '$.choices[0]') IS NULL THEN 'no choices' WHEN {_sql_field('reply', 'choices[0].message.content')} IS NOT NULL OR {_sql_field('reply', 'choices[0].message.tool_calls')} IS NOT NULL THEN 'visible' WHEN {_sql_field('reply', 'choices[0].message.reasoning_content')} IS NOT NULL OR {_sql_field('reply', 'choices[0].message.reasoning_details')} IS NOT NULL THEN 'reasoning only' ELSE 'nothing visible' END AS verdict FROM replies""", ("replies",))
 def cls3(spark, sf):
     return runs.reply_verdict(view(spark, sf, "replies")).select("reply_id", "verdict")
 
@@ -343,14 +403,18 @@ def det1(spark, sf):
     return timeline.match_rules(view(spark, sf, "ev"), rules, 60, 2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@register("str1_source_counts", "SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, source, count(*) AS events FROM ev GROUP BY 1, 2", ("ev",))
+@register("str1_source_counts", "SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, source, count(*) AS events FROM ev GROUP BY 1, 2 HAVING time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE", ("ev",))
 def str1(spark, sf):
-    return streams.stream_source_counts(view(spark, sf, "ev")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """A stream over the table, to a sink: the windows that its watermark has closed."""
+    return streams.counted(stream_view(spark, sf, "ev", "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @register("str2_leak_gate", f"+{_REDACTED} SELECT doc_id, {_ANY} AS any_leak, redacted FROM red JOIN scan_text USING (doc_id)", ("scan_text",))
 def str2(spark, sf):
-    return streams.gate(view(spark, sf, "scan_text")).select("doc_id", "any_leak", "redacted")
+    """A stream over the table, parted into two sinks: the rows of both."""
+    stream = stream_view(spark, sf, "scan_text", "documents").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    clean, flagged = (part.select("doc_id", "any_leak", "redacted") for part in streams.gated(stream))
+    return clean.unionByName(flagged)
 
 
 # --- evidence ---------------------------------------------------------------------------------
@@ -372,9 +436,14 @@ def val6(spark, sf):
     return evidence.required_fields_check(view(spark, sf, "findings"), ("observation", "inference", "confidence"), "finding_id").withColumn("missing", _join("missing"))
 
 
-_PROFILE = """v AS (SELECT evidence_id, CASE WHEN regexp_matches(path, '(?i)\\.evtx$|\\.lnk$|bitlocker|\\.xlsx$') THEN 'windows' WHEN regexp_matches(path, '(?i)\\.plist$|\\.sqlite$') THEN 'macos' WHEN regexp_matches(path, '(?i)\\.journal$|\\.zip$') THEN 'linux' END AS os, regexp_matches(path, '(?i)\\.e01$') AS image FROM artifacts),
-c AS (SELECT evidence_id, os, count(*) AS n FROM v WHERE os IS NOT NULL GROUP BY 1, 2), b AS (SELECT evidence_id, max(n) AS n FROM c GROUP BY 1), t AS (SELECT c.evidence_id, count(*) AS leaders, min(os) AS os FROM c JOIN b ON c.evidence_id = b.evidence_id AND c.n = b.n GROUP BY 1),
-prof AS (SELECT e.evidence_id, CASE WHEN t.leaders = 1 THEN t.os ELSE 'unknown' END AS os, CASE WHEN e.image THEN 'dead-box image' ELSE 'unknown' END AS mode, NOT coalesce(t.leaders = 1, false) AS discovery_needed FROM (SELECT evidence_id, bool_or(image) AS image FROM v GROUP BY 1) e LEFT JOIN t ON e.evidence_id = t.evidence_id)"""
+_PROFILE = """v AS (SELECT evidence_id, CASE WHEN regexp_matches(path, '(?i)\.evtx$|\.lnk$|bitlocker|\.xlsx$') THEN 'windows' WHEN regexp_matches(path, '(?i)\.plist$|\.sqlite$') THEN 'macos' WHEN regexp_matches(path, '(?i)\.journal$|\.zip$') THEN 'linux' END AS os,
+CASE WHEN regexp_matches(path, '(?i)\.e01$|\.vmdk$') THEN 'dead-box image' WHEN regexp_matches(path, '(?i)/live/|\.pslist$') THEN 'live host' WHEN starts_with(path, '/mnt/') THEN 'mounted filesystem' WHEN contains(lower(path), '/export/') THEN 'logical export' END AS mode,
+CASE WHEN regexp_matches(path, '(?i)ntds\.dit$|/sysvol/') THEN 'domain controller' WHEN regexp_matches(path, '(?i)/var/www/|/inetpub/') THEN 'server' WHEN regexp_matches(path, '(?i)/docker/|/containerd/') THEN 'container host' WHEN contains(lower(path), '/.git/') THEN 'developer workstation' END AS role FROM artifacts),
+every AS (SELECT DISTINCT evidence_id FROM artifacts),
+o AS (SELECT evidence_id, os, rank() OVER (PARTITION BY evidence_id ORDER BY count(*) DESC) AS r FROM v WHERE os IS NOT NULL GROUP BY 1, 2), o1 AS (SELECT evidence_id, min(os) AS os FROM o WHERE r = 1 GROUP BY 1 HAVING count(*) = 1),
+h AS (SELECT evidence_id, role, rank() OVER (PARTITION BY evidence_id ORDER BY count(*) DESC) AS r FROM v WHERE role IS NOT NULL GROUP BY 1, 2), h1 AS (SELECT evidence_id, min(role) AS role FROM h WHERE r = 1 GROUP BY 1 HAVING count(*) = 1),
+m1 AS (SELECT evidence_id, min(mode) AS mode FROM v WHERE mode IS NOT NULL GROUP BY 1 HAVING count(DISTINCT mode) = 1),
+prof AS (SELECT e.evidence_id, coalesce(o1.os, 'unknown') AS os, coalesce(m1.mode, 'unknown') AS mode, coalesce(h1.role, 'unknown') AS role, o1.os IS NULL AS discovery_needed FROM every e LEFT JOIN o1 ON e.evidence_id IS NOT DISTINCT FROM o1.evidence_id LEFT JOIN m1 ON e.evidence_id IS NOT DISTINCT FROM m1.evidence_id LEFT JOIN h1 ON e.evidence_id IS NOT DISTINCT FROM h1.evidence_id)"""
 
 
 @register("ag10_platform_profile", f"+{_PROFILE} SELECT * FROM prof", ("artifacts",))
@@ -385,21 +454,22 @@ def ag10(spark, sf):
 LANES = [("event logs", "windows", r"\.evtx$", True), ("documents", "windows", r"\.xlsx$", False), ("browser", "macos", r"\.sqlite$", True), ("archives", "linux", r"\.zip$", True)]
 
 
-@register("jn5_route_artifacts", f"+{_PROFILE} SELECT artifact_id, CASE WHEN os = 'windows' AND ends_with(path, '.evtx') THEN 'event logs' WHEN os = 'macos' AND ends_with(path, '.sqlite') THEN 'browser' WHEN os = 'linux' AND ends_with(path, '.zip') THEN 'archives' ELSE 'deferred' END AS lane FROM artifacts JOIN prof USING (evidence_id)", ("artifacts",))
+@register("jn5_route_artifacts", f"+{_PROFILE} SELECT artifact_id, CASE WHEN os = 'windows' AND ends_with(path, '.evtx') THEN 'event logs' WHEN os = 'macos' AND ends_with(path, '.sqlite') THEN 'browser' WHEN os = 'linux' AND ends_with(path, '.zip') THEN 'archives' ELSE 'deferred' END AS lane FROM artifacts a LEFT JOIN (SELECT * FROM prof WHERE evidence_id NOT LIKE '%7') p ON a.evidence_id = p.evidence_id", ("artifacts",))
 def jn5(spark, sf):
     artifacts = view(spark, sf, "artifacts")
-    return evidence.route_artifacts(artifacts, evidence.platform_profile(artifacts), LANES, True)
+    profiles = evidence.platform_profile(artifacts).filter("evidence_id NOT LIKE '%7'")
+    return evidence.route_artifacts(artifacts, profiles, LANES, True)
 
 
 LAYERS = [("file system", "any"), ("registry", "windows"), ("unified log", "macos")]
 
 
 @register("jn11_coverage", f"""+{_PROFILE}, l AS (SELECT unnest(['file system','registry','unified log']) AS layer, unnest(['any','windows','macos']) AS platform), a AS (SELECT evidence_id, CASE source WHEN 'browser' THEN 'file system' WHEN 'session_log' THEN 'registry' ELSE 'other' END AS layer, bool_or(artifact_id % 40 = 0) AS success FROM artifacts GROUP BY 1, 2)
-SELECT p.evidence_id, l.layer, CASE WHEN platform <> 'any' AND platform <> os THEN 'not possible' WHEN success IS NULL THEN 'not attempted' WHEN success THEN 'done' ELSE 'attempted-unsuccessful' END AS state FROM prof p CROSS JOIN l LEFT JOIN a ON p.evidence_id = a.evidence_id AND l.layer = a.layer""", ("artifacts",))
+SELECT p.evidence_id, l.layer, CASE WHEN platform <> 'any' AND platform <> os THEN 'not possible' WHEN success IS NULL THEN 'not attempted' WHEN success THEN 'done' ELSE 'attempted-unsuccessful' END AS state FROM (SELECT * FROM prof WHERE evidence_id IS NOT NULL) p CROSS JOIN l LEFT JOIN a ON p.evidence_id = a.evidence_id AND l.layer = a.layer""", ("artifacts",))
 def jn11(spark, sf):
     artifacts = view(spark, sf, "artifacts")
     attempts = artifacts.select("evidence_id", F.expr("CASE source WHEN 'browser' THEN 'file system' WHEN 'session_log' THEN 'registry' ELSE 'other' END").alias("layer"), F.expr("artifact_id % 40 = 0").alias("success"))
-    return evidence.coverage_matrix(evidence.platform_profile(artifacts), LAYERS, attempts)
+    return evidence.coverage_matrix(evidence.platform_profile(artifacts.filter("evidence_id IS NOT NULL")), LAYERS, attempts)
 
 
 @register("jn8_finding_support", "SELECT f.finding_id, count(DISTINCT a.artifact_id) AS artifacts, count(DISTINCT a.source) AS sources, CASE WHEN count(DISTINCT a.source) >= 2 THEN 'supported' WHEN count(DISTINCT a.source) = 1 THEN 'challenged' ELSE 'missing corroboration' END AS status FROM findings f LEFT JOIN citations c ON f.finding_id = c.finding_id LEFT JOIN artifacts a ON c.artifact_id = a.artifact_id GROUP BY f.finding_id", ("findings", "citations", "artifacts"))
@@ -409,7 +479,7 @@ def jn8(spark, sf):
 
 # --- transcripts and notes --------------------------------------------------------------------
 
-_SECTIONS = "sec AS (SELECT *, last_value(CASE WHEN starts_with(trim(line), '## ') THEN lower(trim(substr(trim(line), 4))) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, starts_with(trim(line), '## ') AS heading FROM {})"
+_SECTIONS = "sec AS (SELECT *, last_value(CASE WHEN starts_with(bare, '## ') THEN lower(regexp_replace(substr(bare, 4), '^\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, starts_with(bare, '## ') AS heading FROM (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM {}))"
 _NOTE_SECTIONS, _REPORT_SECTIONS = _SECTIONS.format("note_lines"), _SECTIONS.format("report_lines")
 
 
@@ -441,9 +511,9 @@ def val4(spark, sf):
     return transcripts.review_note_check(view(spark, sf, "note_lines")).withColumn("missing", _join("missing"))
 
 
-@register("val1_helper_note", "SELECT note_id, CASE (note_id % 100) % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'no marker' WHEN 2 THEN 'empty' WHEN 3 THEN 'missing keys' ELSE 'too long' END AS verdict FROM notes", ("notes",))
+@register("val1_helper_note", "SELECT note_id, CASE WHEN trim(body) = '' THEN 'empty' WHEN NOT starts_with(body, 'FLOW:') THEN 'no marker' WHEN len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')) > 10 THEN 'too long' WHEN NOT (regexp_matches(body, '(?m)^- report:') AND regexp_matches(body, '(?m)^- time:') AND regexp_matches(body, '(?m)^- events:')) THEN 'missing keys' WHEN len(regexp_extract_all(body, '(?m)^- ')) < 4 THEN 'too few lines' ELSE 'ok' END AS verdict FROM notes", ("notes",))
 def val1(spark, sf):
-    return transcripts.helper_note_check(view(spark, sf, "notes"), "FLOW:", ("report", "time", "events"), 10, 3)
+    return transcripts.helper_note_check(view(spark, sf, "notes"), "FLOW:", ("report", "time", "events"), 10, 4)
 
 
 @register("val1_script_status", "SELECT note_id, CAST(len(regexp_extract_all(body, 'SCRIPT_REVIEW: (?:approved-for-controlled-use|blocked)')) AS BIGINT) AS statuses, CASE WHEN len(regexp_extract_all(body, 'SCRIPT_REVIEW: (?:approved-for-controlled-use|blocked)')) = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM notes", ("notes",))
@@ -451,20 +521,21 @@ def val1b(spark, sf):
     return transcripts.script_status_check(view(spark, sf, "notes"))
 
 
-@register("val2_task_prompt", "SELECT call_id, CASE (call_id % 100) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'forbidden field' WHEN 2 THEN 'wrong fields' WHEN 3 THEN 'too long' WHEN 4 THEN 'more than one line' ELSE 'wrong fields' END AS verdict FROM calls", ("calls",))
+@register("val2_task_prompt", "SELECT call_id, CASE WHEN NOT json_valid(call) THEN 'wrong fields' WHEN list_has_any(json_keys(call), ['agent', 'task']) THEN 'forbidden field' WHEN list_sort(json_keys(call)) <> ['description', 'prompt', 'subagent_type'] THEN 'wrong fields' WHEN contains(call ->> '$.prompt', chr(10)) THEN 'more than one line' WHEN len(list_filter(regexp_split_to_array(call ->> '$.prompt', '\\s+'), lambda w: w <> '')) >= 30 THEN 'too long' ELSE 'ok' END AS verdict FROM calls", ("calls",))
 def val2(spark, sf):
     return transcripts.task_prompt_check(view(spark, sf, "calls"), ("description", "prompt", "subagent_type"), ("agent", "task"))
 
 
-@register("win6_loop_order", """+t AS (SELECT conv_id, arg_min(step, turn) AS first_step, min(turn) FILTER (step = 'senior') AS a, min(turn) FILTER (step = 'researcher') AS b, min(turn) FILTER (step = 'provisioner') AS c, min(turn) FILTER (step = 'report_stub') AS s, min(turn) FILTER (step = 'collect') AS k FROM steps GROUP BY conv_id)
-SELECT conv_id, first_step = 'senior' AS first_ok, (b IS NULL OR coalesce(a < b, false)) AND (c IS NULL OR coalesce(b < c, false)) AS order_ok, k IS NULL OR coalesce(s < k, false) AS stub_ok FROM t""", ("steps",))
+@register("win6_loop_order", """+t AS (SELECT conv_id, arg_min(step, turn) AS first_step, min(turn) FILTER (step = 'senior') AS a, min(turn) FILTER (step = 'profiler') AS p, min(turn) FILTER (step = 'researcher') AS b, min(turn) FILTER (step = 'provisioner') AS c, min(turn) FILTER (step = 'report_stub') AS s, min(turn) FILTER (step = 'collect') AS k FROM profiled_steps GROUP BY conv_id),
+bad AS (SELECT DISTINCT x.conv_id FROM profiled_steps x JOIN profiled_steps y ON x.conv_id = y.conv_id AND x.step = 'collect' AND x.found = 0 AND y.step = 'collect' AND y.turn > x.turn AND NOT EXISTS (SELECT 1 FROM profiled_steps z WHERE z.conv_id = x.conv_id AND z.step = 'status' AND z.turn > x.turn AND z.turn < y.turn))
+SELECT conv_id, first_step = 'senior' AS first_ok, (p IS NULL OR coalesce(a < p, false)) AND (b IS NULL OR coalesce(coalesce(p, a) < b, false)) AND (c IS NULL OR coalesce(b < c, false)) AS order_ok, k IS NULL OR coalesce(s < k, false) AS stub_ok, conv_id NOT IN (SELECT conv_id FROM bad) AS status_ok FROM t""", ("profiled_steps",))
 def win6(spark, sf):
-    return transcripts.loop_order_check(view(spark, sf, "steps"))
+    return transcripts.loop_order_check(view(spark, sf, "profiled_steps"))
 
 
 @register("win7_recent_context", "SELECT conv_id, turn, step, CAST(tokens AS BIGINT) AS tokens, running FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS running FROM steps) WHERE back <= 2 OR running <= 600", ("steps",))
 def win7(spark, sf):
-    steps = view(spark, sf, "steps").withColumn("tokens", F.col("tokens").cast("long"))
+    steps = view(spark, sf, "steps").drop("found").withColumn("tokens", F.col("tokens").cast("long"))
     return transcripts.recent_context(steps, 2, 600)
 
 
@@ -484,9 +555,24 @@ def snk1(spark, sf):
     return spark.read.parquet(path).withColumn("row_count", F.lit(status["row_count"]).cast("long"))
 
 
-@register("snk2_bounded_preview", "SELECT doc_id, substr(text, 1, 1200) AS text FROM documents ORDER BY doc_id LIMIT 20")
+@register("snk2_bounded_preview", "SELECT doc_id, substr(text, 1, 1200) AS text, (SELECT count(*) FROM documents) AS row_count, true AS has_path FROM documents ORDER BY doc_id LIMIT 20")
 def snk2(spark, sf):
-    return files.bounded_preview(_docs(spark, sf).select("doc_id", "text"), ("text",), "doc_id")
+    """All documents written; their path, count and a preview shown. The path is a new one each time."""
+    path = files.scratch_dir(spark)
+    shown = files.write_with_preview(_docs(spark, sf).select("doc_id", "text"), path, ("text",), "doc_id")
+    return shown.select("doc_id", "text", "row_count", (F.col("path") == path).alias("has_path"))
+
+
+@register("src5_load_expectations", "SELECT case_id, CASE WHEN json_valid(expected) THEN 'ok' ELSE 'blocked' END AS status, CAST(CASE WHEN json_valid(expected) THEN coalesce(json_array_length(expected, '$.required_substrings'), 0) ELSE 0 END AS INT) AS required, CAST(CASE WHEN json_valid(expected) THEN coalesce(json_array_length(expected, '$.forbidden_substrings'), 0) ELSE 0 END AS INT) AS forbidden FROM expectation_files", ("expectation_files",))
+def src5(spark, sf):
+    """Expectations written as one file for each case, and loaded."""
+    root = files.scratch_dir(spark)
+    view(spark, sf, "expectation_files").select(F.col("expected").alias("value"), "case_id").write.partitionBy("case_id").text(root)
+    found = files.load_expectations(spark, root)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("int")
+    sized = lambda c: F.when(F.col(c).isNull(), 0).otherwise(size(c)).alias(c.split("_")[0])
+    case = F.regexp_extract("path", "case_id=([0-9]+)/", 1).cast("long")
+    return found.select(case.alias("case_id"), "status", sized("required_substrings"), sized("forbidden_substrings"))
 
 
 @register("src2_text_files", "SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0")
@@ -495,10 +581,16 @@ def src2(spark, sf):
     return files.text_files(_docs(spark, sf).select("doc_id", content.alias("content")))
 
 
-@register("src1_file_inventory")
+@register("src1_file_inventory", "SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS sha256 FROM documents WHERE doc_id % 9 <> 0")
 def src1(spark, sf):
-    """The files that hold the tables."""
-    return files.file_inventory(spark, sf).select("path", "length", "sha256")
+    """Each document written as a file of its own, some of them under ignored folders, and
+    inventoried: path, length and hash of the files' bytes."""
+    root = files.scratch_dir(spark)
+    folder = F.when(F.col("doc_id") % 18 == 0, "cases").when(F.col("doc_id") % 9 == 0, "__pycache__").otherwise("docs")
+    # a file holds a document's bytes and a line end
+    _docs(spark, sf).select(folder.alias("folder"), "doc_id", F.col("text").alias("value")).write.partitionBy("folder", "doc_id").text(root)
+    found = files.file_inventory(spark, root, ignored_names=(*P.IGNORED_NAMES, "folder=__pycache__"), ignored_paths=(*P.IGNORED_PATHS, "folder=cases"))
+    return found.select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", "sha256")
 
 
 def queries() -> dict[str, Query]:

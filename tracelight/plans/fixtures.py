@@ -16,19 +16,19 @@ SELECT event_id, ts, user_id, 'user' || (user_id % 23) AS actor, 'host' || (user
 FROM events""",
     "log_lines": """
 SELECT event_id % 20 AS run_id, event_id AS line_no,
-  CASE event_id % 10 WHEN 0 THEN '{bad' WHEN 1 THEN '{"event":"task","n":1}' WHEN 2 THEN '{"kind":"PLATFORM:"}' WHEN 3 THEN '{"type":"","event":"step"}' WHEN 4 THEN '{"n":1}' WHEN 5 THEN '{"type":"tool","tool":"Task"}' WHEN 6 THEN '[1]' ELSE '{"type":"' || event_type || '"}' END AS line
+  CASE event_id % 10 WHEN 0 THEN '{bad' WHEN 1 THEN '{"event":"task","n":1}' WHEN 2 THEN '{"kind":"PLATFORM:"}' WHEN 3 THEN CASE WHEN event_id % 20 = 3 THEN '{"type":"","event":"step"}' ELSE '{"type":0,"event":false,"kind":"0"}' END WHEN 4 THEN CASE WHEN event_id % 20 = 4 THEN '{"n":1}' ELSE '{"type":"false","n":{}}' END WHEN 5 THEN '{"type":"tool","tool":"Task"}' WHEN 6 THEN '[1]' WHEN 7 THEN '{"type":"first","n":1,"type":"last"}' ELSE '{"type":"' || event_type || '"}' END AS line
 FROM events""",
     "sess": "SELECT conv_id AS id, 'run ' || (conv_id % 20) AS title, 'agent' || (conv_id % 3) AS agent, 1000 + (conv_id * 7919) % 1000 AS time_created FROM conversations GROUP BY conv_id",
     "msg": """SELECT conv_id * 100 + turn AS id, conv_id AS session_id, CASE WHEN (conv_id + turn) % 29 = 0 THEN '{bad' ELSE '{"role":"' || role || '"}' END AS data FROM conversations WHERE (conv_id + turn) % 31 <> 0""",
     "part": """
 SELECT conv_id * 100 + turn AS message_id, conv_id AS session_id, turn AS ord,
-  CASE (conv_id + turn) % 5 WHEN 0 THEN '{"type":"text","text":"PLATFORM: ok"}' WHEN 1 THEN '{"part":{"type":"tool","content":"use platform-profiler"}}' WHEN 2 THEN '{"content":"see /home/bob/x"}' WHEN 3 THEN '{oops' ELSE '{"type":"text","text":"plain"}' END AS data FROM conversations""",
+  CASE (conv_id + turn) % 5 WHEN 0 THEN '{"type":"text","text":"PLATFORM: ok"}' WHEN 1 THEN '{"part":{"type":"tool","content":"use platform-profiler"}}' WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN '{"content":"see /home/bob/x"}' ELSE '{"type":"text","text":5,"content":"from content"}' END WHEN 3 THEN '{oops' ELSE '{"type":"text","text":"plain"}' END AS data FROM conversations""",
     "scan_text": """
-SELECT doc_id, 'docs/d' || doc_id || '.md' AS path, text || CASE doc_id % 8 WHEN 0 THEN ' /home/bob/a/' WHEN 1 THEN ' /home/ANALYST/a/' WHEN 2 THEN ' C:' || chr(92) || 'Users' || chr(92) || 'carol' || chr(92) || 'f' WHEN 3 THEN ' /mnt/c/Users/dave/f' WHEN 4 THEN ' BitLocker E01' WHEN 5 THEN ' https://x.example.org/' ELSE '' END AS text FROM documents""",
+SELECT doc_id, 'docs/d' || doc_id || '.md' AS path, text || CASE doc_id % 8 WHEN 0 THEN ' /home/bob/a/' WHEN 1 THEN ' /home/ANALYST/a/' WHEN 2 THEN ' C:' || chr(92) || 'Users' || chr(92) || 'carol' || chr(92) || 'f' WHEN 3 THEN ' /mnt/c/Users/dave/f' WHEN 4 THEN ' BitLocker E01' WHEN 5 THEN ' https://x.example.org/' WHEN 6 THEN ' db1.corp.internal www.language.org the.localised ..fs.lan 10.0.0.300 1.2.3.4.5 PASSWORD=abcdefgh123 /home/user/home/user /home/users' ELSE ' /Users/name/ 10.1.2.3 10.1.2.4, /evidence/image.E01 /evidence/x.E01 ORG-NAME a.local b.corp.' END AS text FROM documents""",
     "files": """
 SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN '.tmp_' || doc_id WHEN 1 THEN 'sub/.tmp_' || doc_id WHEN 2 THEN '.tmp_test_probe.py' WHEN 3 THEN '.vscode/tasks.json' ELSE path END AS path, text FROM scan_text""",
     "note_lines": """
-SELECT o_orderkey AS doc_id, n AS line_no, CASE n WHEN 1 THEN '# Forensic Peer Review Note' WHEN 2 THEN '## Supported findings' WHEN 3 THEN '- ready' WHEN 4 THEN CASE WHEN o_orderkey % 11 = 0 THEN '## Other' ELSE '## Release Recommendation ' END WHEN 5 THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN '- Ready with caveats' WHEN 1 THEN 'NOT READY yet' WHEN 2 THEN '**ready**' WHEN 3 THEN 'already fine' ELSE 'undecided' END END AS line
+SELECT o_orderkey AS doc_id, n AS line_no, CASE n WHEN 1 THEN '# Forensic Peer Review Note' WHEN 2 THEN '## Supported findings' WHEN 3 THEN '- ready' WHEN 4 THEN CASE WHEN o_orderkey % 11 = 0 THEN '## Other' ELSE '## Release Recommendation ' || CASE WHEN o_orderkey % 2 = 0 THEN chr(9) ELSE '' END END WHEN 5 THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN '- Ready with caveats' WHEN 1 THEN 'NOT READY yet' WHEN 2 THEN '**ready**' WHEN 3 THEN 'already fine' ELSE 'undecided' END END AS line
 FROM orders CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) t""",
     "report_lines": """
 SELECT o_orderkey AS doc_id, n AS line_no, CASE n WHEN 1 THEN '# Report' WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN '## Findings' ELSE '## Executive Summary' END WHEN 3 THEN 'text' ELSE CASE WHEN o_orderkey % 3 = 0 THEN '## Executive Summary' WHEN o_orderkey % 3 = 1 THEN '## Findings' ELSE '### Findings' END END AS line
@@ -36,17 +36,20 @@ FROM orders CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNIO
     "cmds": """
 SELECT event_id AS cmd_id, CASE event_id % 6 WHEN 0 THEN 'Get-Date -Format o' WHEN 1 THEN 'powershell.exe -NoProfile -Command Get-Service | Where-Object {x}' WHEN 2 THEN 'powershell.exe -NoProfile -Command Get-Date && hostname' WHEN 3 THEN 'rm -r tmp' WHEN 4 THEN 'git status' ELSE 'powershell.exe -NoProfile -Command Get-TimeZone' END AS command FROM events""",
     "notes": """
-SELECT conv_id * 100 + turn AS note_id, CASE turn % 5 WHEN 0 THEN 'FLOW:' || chr(10) || '- report: a' || chr(10) || '- time: b' || chr(10) || '- events: c' WHEN 1 THEN 'Sure. FLOW:' WHEN 2 THEN '' WHEN 3 THEN 'FLOW:' || chr(10) || '- report: a' || chr(10) || 'SCRIPT_REVIEW: blocked' ELSE 'FLOW:' || chr(10) || repeat('- x: y' || chr(10), 14) END AS body FROM conversations""",
+SELECT conv_id * 100 + turn AS note_id, CASE turn % 5 WHEN 0 THEN 'FLOW:' || chr(10) || '- report: a' || chr(10) || '- time: b' || chr(10) || '- events: c' || CASE WHEN conv_id % 2 = 0 THEN chr(10) || '- more: d' ELSE '' END WHEN 1 THEN 'Sure. FLOW:' WHEN 2 THEN '' WHEN 3 THEN 'FLOW:' || chr(10) || '- report: a' || chr(10) || 'SCRIPT_REVIEW: blocked' ELSE 'FLOW:' || chr(10) || repeat('- x: y' || chr(10), 14) END AS body FROM conversations""",
     "calls": """
 SELECT conv_id * 100 + turn AS call_id, CASE turn % 6 WHEN 0 THEN '{"description":"d","prompt":"do one thing","subagent_type":"s"}' WHEN 1 THEN '{"description":"d","prompt":"do","agent":"s"}' WHEN 2 THEN '{"prompt":"x"}' WHEN 3 THEN '{"description":"d","prompt":"' || repeat('word ', 31) || '","subagent_type":"s"}' WHEN 4 THEN '{"description":"d","prompt":"a' || chr(92) || 'nb","subagent_type":"s"}' ELSE '{oops' END AS call FROM conversations""",
     "steps": """
-SELECT conv_id, turn, CASE turn WHEN 0 THEN CASE WHEN conv_id % 9 = 0 THEN 'bash' ELSE 'senior' END WHEN 1 THEN 'researcher' WHEN 2 THEN 'provisioner' WHEN 3 THEN 'report_stub' WHEN 4 THEN 'collect' ELSE 'status' END AS step, length(text) AS tokens FROM conversations""",
+SELECT conv_id, turn, CASE turn WHEN 0 THEN CASE WHEN conv_id % 9 = 0 THEN 'bash' ELSE 'senior' END WHEN 1 THEN 'researcher' WHEN 2 THEN 'provisioner' WHEN 3 THEN 'report_stub' WHEN 4 THEN 'collect' WHEN 5 THEN CASE WHEN conv_id % 3 = 0 THEN 'collect' ELSE 'status' END WHEN 6 THEN 'profiler' ELSE 'collect' END AS step, length(text) AS tokens, CASE WHEN (conv_id + turn) % 2 = 0 THEN 0 ELSE turn END AS found FROM conversations""",
+    "profiled_steps": "SELECT conv_id, CASE WHEN step = 'profiler' AND conv_id % 4 < 2 THEN 0.5 ELSE CAST(turn AS DOUBLE) END AS turn, step, found FROM steps",
     "replies": """
-SELECT o_orderkey AS reply_id, CASE o_orderkey % 5 WHEN 0 THEN '{"choices":[]}' WHEN 1 THEN '{"choices":[{"message":{"content":"hi"}}]}' WHEN 2 THEN '{"choices":[{"message":{"content":"","reasoning_content":"mm"}}]}' WHEN 3 THEN '{"choices":[{"message":{"content":""}}]}' ELSE '{"choices":[{"message":{"tool_calls":[{"id":"1"}]}}]}' END AS reply FROM orders""",
+SELECT o_orderkey AS reply_id, CASE o_orderkey % 5 WHEN 0 THEN '{"choices":[]}' WHEN 1 THEN '{"choices":[{"message":{"content":"hi"}}]}' WHEN 2 THEN '{"choices":[{"message":{"content":"","reasoning_content":"mm"}}]}' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '{"choices":[{"message":{"content":""}}]}' ELSE '{"choices":[{"message":{"content":"0","tool_calls":[]}}]}' END ELSE '{"choices":[{"message":{"tool_calls":[{"id":"1"}]}}]}' END AS reply FROM orders""",
     "manifest": """
 SELECT CASE WHEN doc_id % 10 = 2 THEN doc_id + 1000000 ELSE doc_id END AS item_id, CASE WHEN doc_id % 10 = 1 THEN 'changed' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0""",
+    "expectation_files": """
+SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN '{"required_substrings":["the"],' || chr(10) || '"forbidden_substrings":["token"]}' WHEN 1 THEN '{"required_substrings":["que","zzzz"]}' ELSE '{bad' END AS expected FROM documents WHERE doc_id % 50 < 4""",
     "expectations": """
-SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN '{"required_substrings":["the"],"forbidden_substrings":["token"]}' WHEN 1 THEN '{"required_substrings":["que","zzzz"],"forbidden_substrings":[]}' ELSE '{bad' END AS expected FROM documents WHERE doc_id % 4 <> 3""",
+SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN '{"required_substrings":["the"],"forbidden_substrings":["token"]}' WHEN 1 THEN '{"required_substrings":["old"],"required_substrings":["que","zzzz"],"forbidden_substrings":[]}' ELSE '{bad' END AS expected FROM documents WHERE doc_id % 4 <> 3""",
     "local_times": """
 SELECT event_id, CASE WHEN k % 17 = 0 THEN 'unknown' ELSE '2024-01-' || CASE WHEN k % 28 < 9 THEN '0' ELSE '' END || (k % 28 + 1) || ' 10:15:00' || CASE WHEN k % 5 = 0 THEN 'Z' ELSE '' END END AS local_time, CASE k % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'Europe/Berlin' ELSE 'America/New_York' END AS zone FROM ev""",
     "runs": """
@@ -56,12 +59,12 @@ SELECT doc_id AS artifact_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'image' ||
     "hashes": "SELECT DISTINCT 'h' || (doc_id % 30) AS sha256 FROM documents",
     "findings": "SELECT event_id AS finding_id, actor, CASE WHEN k % 6 = 0 THEN NULL ELSE 'seen' END AS observation, CASE WHEN k % 9 = 0 THEN ' ' ELSE 'maybe' END AS inference, 'low' AS confidence FROM ev WHERE source = 'archive_log'",
     "citations": "SELECT f.finding_id, f.finding_id + n.d AS artifact_id FROM findings f CROSS JOIN (SELECT 1 AS d UNION ALL SELECT 2 UNION ALL SELECT 9999999) n WHERE (f.finding_id + n.d) % 3 <> 0",
-    "artifacts": "SELECT event_id AS artifact_id, 'e' || (user_id % 50) AS evidence_id, source, path FROM ev",
+    "artifacts": "SELECT event_id AS artifact_id, CASE WHEN event_id % 83 <> 0 THEN 'e' || (user_id % 50) END AS evidence_id, source, CASE WHEN user_id % 50 = 3 AND event_id % 5 = 0 THEN '/live/' || event_id || '.pslist' WHEN user_id % 50 < 20 AND event_id % 4 = 0 THEN '/var/www/' || event_id WHEN user_id % 50 < 9 AND event_id % 4 = 1 THEN '/srv/docker/' || event_id ELSE path END AS path FROM ev",
     "scripts": "SELECT event_id AS run_id, 's' || (user_id % 40) AS script_id, ts FROM ev WHERE source = 'browser'",
     "reviews": "SELECT 's' || (user_id % 40) AS script_id, ts, CASE WHEN k % 3 = 0 THEN 'approved' ELSE 'blocked' END AS status FROM ev WHERE source = 'session_log' AND user_id % 40 < 30",
 }
 #: Views that a view reads.
-NEEDS = {"files": ["scan_text"], "local_times": ["ev"], "runs": ["ev"], "findings": ["ev"], "citations": ["ev", "findings"], "artifacts": ["ev"], "scripts": ["ev"], "reviews": ["ev"]}
+NEEDS = {"files": ["scan_text"], "profiled_steps": ["steps"], "local_times": ["ev"], "runs": ["ev"], "findings": ["ev"], "citations": ["ev", "findings"], "artifacts": ["ev"], "scripts": ["ev"], "reviews": ["ev"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name])
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
+    """A view over one table that is read as a stream."""
+    path = f"{sf_dir}/{table}.parquet"
+    # a glob may name a file as well as a folder
+    spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{table}.parque[t]").createOrReplaceTempView(table)
+    try:
+        return spark.sql(VIEWS[name])
+    finally:
+        spark.catalog.dropTempView(table)
+
+
 def with_views(*names: str) -> str:
     """A WITH clause that defines views and what they need."""
     order: list[str] = []

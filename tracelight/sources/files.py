@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,12 +11,19 @@ from tracelight.functions import patterns as P
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path in the one that the cluster shares, or in a temporary one where none
-    is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelight-")
+    """A new folder's path in the one that the cluster shares: spark.checkpoint.dir, or the
+    warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = scratch_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_inventory(spark: SparkSession, root: str, ignored_names: tuple[str, ...] = P.IGNORED_NAMES, ignored_paths: tuple[str, ...] = P.IGNORED_PATHS) -> DataFrame:
     """(path, length, modified, sha256, content) of the files under root, paths relative to it.
     Folders of an ignored name, those whose name begins with .git, and ignored relative folders
@@ -46,7 +52,7 @@ def load_expectations(spark: SparkSession, path: str) -> DataFrame:
     """Expectation files; one that cannot be read has status blocked."""
     schema = "required_substrings array<string>, forbidden_substrings array<string>, broken string"
     df = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
-    return df.select(F.col("_metadata.file_name").alias("file"), "required_substrings", "forbidden_substrings", F.when(F.col("broken").isNotNull(), "blocked").otherwise("ok").alias("status"))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "required_substrings", "forbidden_substrings", F.when(F.col("broken").isNotNull(), "blocked").otherwise("ok").alias("status"))
 
 
 def read_session_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -65,5 +71,12 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
 
 
 def bounded_preview(df: DataFrame, text_cols: tuple[str, ...], order_by: str, n: int = 20, max_chars: int = 1200) -> DataFrame:
-    """The first n rows, their texts cut: all that leaves a store besides its path and count."""
+    """The first n rows, their texts cut."""
     return df.orderBy(order_by).limit(n).withColumns({c: F.substring(c, 1, max_chars) for c in text_cols})
+
+
+def write_with_preview(df: DataFrame, path: str, text_cols: tuple[str, ...], order_by: str, n: int = 20, max_chars: int = 1200) -> DataFrame:
+    """Write df whole; what is shown of it is the path, the row count and a bounded preview."""
+    status = write_result(df, path)
+    shown = bounded_preview(df.sparkSession.read.parquet(path), text_cols, order_by, n, max_chars)
+    return shown.withColumns({"path": F.lit(path), "row_count": F.lit(status["row_count"]).cast("long")})

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tracelight.operators import leaks
+from tracelight.sources.files import scratch_dir
 
 
 def stream_source_counts(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -37,3 +39,31 @@ def stream_leak_gate(stream: DataFrame, clean: Callable[[DataFrame, int], None],
             batch.unpersist()
 
     return once.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Run stream_source_counts() over what a stream has now, append its closed windows to a table
+    in the shared folder, and read that. Windows that the watermark has not passed stay open."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_dir(spark), scratch_dir(spark)
+    counts = stream_source_counts(stream, window, delay)
+    run = counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+def gated(stream: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Run stream_leak_gate() over what a stream has now: the clean rows and the redacted ones. A
+    batch writes a folder of its own, so one that runs again after a failure replaces itself."""
+    spark = stream.sparkSession
+    schema = gate(spark.createDataFrame([], stream.schema).withColumn("ts", F.col("ts").cast("timestamp"))).schema
+    schemas, paths = [schema, StructType([f for f in schema if f.name != "text"])], [scratch_dir(spark), scratch_dir(spark)]
+    for kind, path in zip(schemas, paths, strict=True):
+        spark.createDataFrame([], kind).write.parquet(f"{path}/batch=-1")
+
+    def sink(at: int) -> Callable[[DataFrame, int], None]:
+        return lambda batch, number: batch.write.mode("overwrite").parquet(f"{paths[at]}/batch={number}")
+
+    stream_leak_gate(stream, sink(0), sink(1), scratch_dir(spark), id_col).awaitTermination()
+    clean, flagged = (spark.read.schema(kind).parquet(path) for kind, path in zip(schemas, paths, strict=True))
+    return clean.drop("batch"), flagged.drop("batch")
