@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,17 @@ LEAK_PATTERNS = {
     "home_path": r"/home/[A-Za-z0-9_.-]+",
 }
 
+#: Texts of which every match of a leak pattern holds one, in lower case: a cheap test that comes
+#: before the pattern.
+LEAK_HINTS = {
+    "windows_drive_path": (":\\", ":/"),
+    "evidence_ext_or_format": ("e01", "raw", "vmdk"),
+    "bitlocker": ("bitlocker",),
+    "raw_users_path": ("users\\",),
+    "credential_word": ("password", "credential", "secret"),
+    "home_path": ("/home/",),
+}
+
 # Owners that are placeholders, and the four home-path patterns.
 PLACEHOLDER_OWNERS = ("name", "user", "USER", "ANALYST")
 HOME_PATTERNS = {
@@ -57,6 +70,7 @@ REDACTIONS = (
     ("user", ("/home/", "/Users/", ":\\Users\\"), False, rf"/home/{_PLAIN_OWNER}|/Users/{_PLAIN_OWNER}|[A-Za-z]:\\Users\\{_PLAIN_OWNER}", "<USER>"),
     ("host", (".internal", ".local", ".corp", ".lan"), False, rf"{_LABEL_L}(?:[A-Za-z0-9-]++\.)+?(?:internal|local|corp|lan){_LABEL_R}", "<HOST>"),
 )
+PLACEHOLDER_HINTS = ("<", "CASE-", "HOST-", "USER-", "ORG-NAME", "/evidence/image.E01", "/analysis/report.md")
 PLACEHOLDERS = r"<(?:EMAIL|USER|HOST|TOKEN|IP|WORKSPACE_PATH)>|CASE-[0-9]{3}|HOST-[A-Z]|USER-[A-Z]|ORG-NAME|/evidence/image\.E01|/analysis/report\.md"
 
 #: Features that a histogram counts. A domain stands by itself or after a scheme, not in an address.
@@ -93,9 +107,14 @@ SECTIONS = (
 )
 
 
+def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+
+
 def flags(text: Column) -> dict[str, Column]:
     """The six leak flags of a text; null text leaks nothing."""
-    return {name: F.coalesce(text.rlike(p), F.lit(False)) for name, p in LEAK_PATTERNS.items()}
+    low = F.lower(text)
+    return {name: F.coalesce(holds_any(low, LEAK_HINTS[name]) & text.rlike(p), F.lit(False)) for name, p in LEAK_PATTERNS.items()}
 
 
 def any_of(columns: dict[str, Column]) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +79,15 @@ def command_policy(df: DataFrame, rules: list[tuple[str, str]], command_col: str
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace identifiers by placeholders and count them: n_<class> and n_placeholder (those
     that the text already had). One step for each class; texts without a word that its matches
-    hold are passed over."""
-    zero = F.lit(0).cast("long")
-    out = df.withColumns({"n_placeholder": F.coalesce(F.regexp_count(F.col(text_col), F.lit(P.PLACEHOLDERS)).cast("long"), zero), "redacted": F.col(text_col)})
+    hold are passed over. No match holds a placeholder, so the new ones are the class's count."""
+    zero, text = F.lit(0).cast("long"), F.col(text_col)
+    had = F.when(P.holds_any(text, P.PLACEHOLDER_HINTS), F.regexp_count(text, F.lit(P.PLACEHOLDERS)).cast("long")).otherwise(zero)
+    out = df.withColumns({"n_placeholder": had, "redacted": text})
     for name, hints, any_case, pattern, mark in P.REDACTIONS:
-        held = F.lower("redacted") if any_case else F.col("redacted")
-        hit = reduce(Column.__or__, [F.contains(held, F.lit(h)) for h in hints])
-        out = out.withColumn("__n", F.when(hit, F.regexp_count("redacted", F.lit(pattern)).cast("long")).otherwise(zero))
-        out = out.withColumns({f"n_{name}": F.col("__n"), "redacted": F.when(F.col("__n") > 0, F.regexp_replace("redacted", pattern, mark)).otherwise(F.col("redacted"))}).drop("__n")
+        hit = P.holds_any(F.lower("redacted") if any_case else F.col("redacted"), hints)
+        out = out.withColumn("__new", F.when(hit, F.regexp_replace("redacted", pattern, mark)).otherwise(F.col("redacted")))
+        count = F.when(F.col("__new") != F.col("redacted"), P.occurrences(F.col("__new"), mark) - P.occurrences(F.col("redacted"), mark)).otherwise(zero)
+        out = out.withColumns({f"n_{name}": count, "redacted": F.col("__new")}).drop("__new")
     return out
 
 
