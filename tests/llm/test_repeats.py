@@ -47,7 +47,7 @@ def test_word_windows(spark, docs, rows, sizes):
     assert substring.remove_repeats(cases.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 40_000, "shard_text": 30_000, "block_bytes": 10_000}, {"chunk_bytes": 60_000, "hot": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 40_000, "shard_text": 300_000, "block_bytes": 10_000}, {"chunk_bytes": 60_000, "hot": 2}])
 def test_byte_strings(spark, docs, rows, sizes):
     first = {}
     for d, t in rows:
@@ -69,6 +69,13 @@ def test_byte_strings(spark, docs, rows, sizes):
     assert suffix.remove_repeats(cases.empty(spark)).count() == 0
 
 
+def test_hot_and_cold_anchors_agree(spark):
+    """A table of some size, its common anchors dealt window by window and not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cold, hot = (sorted(map(tuple, suffix.remove_repeats(docs, chunk_bytes=300_000, hot=n).collect())) for n in (1 << 40, 3))
+    assert cold == hot and sum(r[2] for r in cold) > 0
+
+
 @pytest.mark.parametrize("text", [b"banana", b"a" * 300, b"mississippi" * 20, bytes(np.random.default_rng(1).integers(97, 100, 2000).astype(np.uint8))])
 def test_suffix_array_and_common_prefixes(text):
     data = np.frombuffer(text, np.uint8)

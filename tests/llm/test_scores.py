@@ -106,6 +106,73 @@ def test_language_codes_are_exact(spark):
     assert tree.nats(np.array([ord("a") << 16 | ord("b") << 8 | ord("z")], np.uint32))[0] > math.log(256)
 
 
+def brute_ppm(samples, text, order=3):
+    """Nats of a text under a tree of contexts, method C, by dictionaries."""
+    counts = defaultdict(Counter)
+    for t in samples:
+        padded = bytes(order) + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                counts[padded[i - k : i]][padded[i]] += 1
+    total, padded = 0.0, bytes(order) + text
+    for i in range(order, len(padded)):
+        for k in range(order, -1, -1):
+            c = counts.get(padded[i - k : i])
+            if c is None:
+                continue
+            room = sum(c.values()) + len(c)
+            if padded[i] in c:
+                total -= math.log(c[padded[i]] / room)
+                break
+            total -= math.log(len(c) / room)
+        else:
+            total += math.log(256)
+    return total
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(k, t, n) for n, (k, t) in enumerate([("en", "the cat and the dog"), ("en", "then they ate"), ("de", "der hund und die katze"), ("de", "dann aßen sie"), ("xx", "the cat and the dog"), ("xx", "then they ate")])]
+    trees = langid.learn(spark.createDataFrame(rows, "lang string, text string, key long"))
+    asked = ["the dog ate", "die Katze", "ß", "zebra 12", "a" * 3000, "", None, "123", "the dog ate"]
+    got = langid.identify(spark.createDataFrame([(i, t, "s") for i, t in enumerate(asked)], "doc_id long, text string, score string"), trees)
+    by = {r.doc_id: r for r in got.collect()}
+    for i, t in enumerate(asked):
+        text = (t or "").encode()
+        cost = {k: brute_ppm([x.encode() for own, x, _ in rows if own == k], text) for k in sorted(trees)}
+        if not any(c.isalpha() for c in t or ""):
+            assert by[i].lang_pred == "und" and by[i].score == 0
+            continue
+        best = min(cost, key=lambda k: (round(cost[k], 9), k))  # en and xx tie: the first by name
+        share = 1 / sum(math.exp(min(0, cost[best] - c)) for c in cost.values())
+        assert by[i].lang_pred == best and by[i].score == pytest.approx(share, rel=1e-6)
+        assert by[i].bits_per_byte == pytest.approx(cost[best] / math.log(2) / len(text), rel=1e-9)
+
+
+def brute_quality(text, weight, bias):
+    b = text.encode()
+    bucket = lambda x, n: ((int.from_bytes(x.ljust(n, b"\0"), "little") * 0x9E3779B1 % 2**32) ^ (n << 27) % 2**32) >> (32 - quality.BUCKET_BITS)
+    values = [float(weight[bucket(b[i : i + n], n)]) for n in (3, 4) for i in range(len(b))]
+    words = b.split()
+    hashes = quality.word_hashes(np.frombuffer(b"".join(words), np.uint8), *np.cumsum([[0, *map(len, words)][:-1], [*map(len, words)]], axis=1)) if words else []
+    values += [float(weight[int(quality.mix64(np.array([h], np.uint64))[0] >> np.uint64(64 - quality.BUCKET_BITS))]) for h in hashes]
+    again = len(words) - len(set(words))
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = len(triples) - len(set(triples))
+    values += [float(weight[quality.WORD_AGAIN])] * again + [float(weight[quality.TRIPLE_AGAIN])] * twice
+    return 1 / (1 + math.exp(-(bias + sum(values) / max(1, len(values)))))
+
+
+def test_quality_scores_do_not_depend_on_the_neighbours(spark):
+    weight = np.random.default_rng(9).normal(0, 3, 1 << quality.BUCKET_BITS).astype(np.float32)
+    texts = ["an apple a day, an apple a day", "", "q", "zz", "naïve été", "the the the the", "x" * 5000, None, "an apple a day, an apple a day"]
+    want = [brute_quality(t or "", weight, 0.1) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        df = spark.createDataFrame([(i, texts[i], "n") for i in order], "doc_id int, text string, score string").repartition(2)
+        alone = {r.doc_id: r.score for r in quality.score(df, (weight, 0.1)).collect()}
+        together = {r.doc_id: r.score for r in quality.score(df.coalesce(1), (weight, 0.1)).collect()}
+        assert alone == together and [alone[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_language_without_labels(spark):
     none = cases.documents(spark, 40).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.language_of(none).collect()} == {"und"}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import flat_text, materialize, mix64, roll, stretches, whole_text, word_hashes, word_spans
+from tracelight.llm.common import discard, flat_text, materialize, mix64, roll, stretches, whole_text, word_hashes, word_spans
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Classes, and bytes of their shingle sets, that one block compares with each other.
@@ -109,11 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).withColumn("m", F.least("u", "m"))
+        wide = least(both)
+        low = wide.withColumn("m", F.least("u", "m"))
         large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
         low = least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
+        new = materialize(small, "edges")
+        discard(now, wide, large, low)
+        now = new
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if told == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

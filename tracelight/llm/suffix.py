@@ -9,19 +9,23 @@ time. Suffixes with 100 bytes in common form a run, whose least place
 keeps its bytes.
 
 Shards by anchor never share a window, so no shard's array is searched for another's suffixes:
-dealing by anchor takes the place of a merge by binary search, which would set every shard
-against every other. A shard that is too long for one array is cut into blocks; blocks are
-merged by binary search of each one's runs in the runs before it. Anchors that very many
-stretches share are dealt window by window.
-
-Null text counts as empty. Ids that are null count as the greatest. Rows of equal id count as one
-document: equal places are not earlier than each other. Other columns are ignored.
+dealing by anchor takes the place of a merge across all shards, which would have to send the 100
+bytes of every window. A shard that is too long for one array is cut into blocks with an array
+each, and blocks are merged by binary search of each one's runs among the others'. Anchors that
+very many stretches share are dealt window by window; where a window is judged does not change
+what becomes of it.
+
+Rows travel packed, one for each chunk and shard that share any, so never more than anchors.
+
+Null text counts as empty; texts are read whole, however long, each in one chunk. Ids that are
+null count as the greatest. Rows of equal id, repeated ones among them, count as one document:
+equal places are not earlier than each other. An empty table gives an empty result. Other columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -289,11 +293,8 @@ def _judge(table: pa.Table, block_bytes: int) -> list[np.ndarray]:
     for b in np.unique(block):
         rows = np.flatnonzero(block == b)
         blocks.append((rows, *_block_runs([texts[i] for i in rows], doc[rows], place[rows])))
-    single = len(blocks) == 1
-    for rows, who, off, run, d, p, head, _ in blocks:
-        best_d, best_p = d[head].copy(), p[head].copy()
-        if not single:
-            _merge(blocks, rows, texts, who, off, head, best_d, best_p)
+    least = _merged([(rows, who, off, d[head], p[head], head) for rows, who, off, run, d, p, head, _ in blocks], texts)
+    for (rows, who, off, run, d, p, head, _), (best_d, best_p) in zip(blocks, least, strict=True):
         flag = (d > best_d[run]) | (d == best_d[run]) & (p > best_p[run])
         for i, o in zip(rows[who[flag]].tolist(), off[flag].tolist(), strict=True):
             later[i][o] = True
@@ -304,20 +305,30 @@ def _judge(table: pa.Table, block_bytes: int) -> list[np.ndarray]:
     return [later[k] if own else np.ones(int(n) - WINDOW + 1, bool) for k, own, n in zip(kind.tolist(), lead.tolist(), lens.tolist(), strict=True)]
 
 
-def _merge(blocks, rows, texts, who, off, head, best_d, best_p) -> None:
-    """Lower each run's least place to what equal windows of the other blocks have: binary
-    search of the runs' windows among the other block's runs, which are in order."""
-    mine = [texts[rows[w]][o : o + WINDOW] for w, o in zip(who[head].tolist(), off[head].tolist(), strict=True)]
-    for other_rows, w2, o2, _, d2, p2, head2, _ in blocks:
-        if other_rows is rows:
-            continue
-        theirs = [texts[other_rows[w]][o : o + WINDOW] for w, o in zip(w2[head2].tolist(), o2[head2].tolist(), strict=True)]
-        for i, window in enumerate(mine):
-            j = bisect_left(theirs, window)
-            if j < len(theirs) and theirs[j] == window:
-                d, p = d2[head2[j]], p2[head2[j]]
-                if (d, p) < (best_d[i], best_p[i]):
-                    best_d[i], best_p[i] = d, p
+def _heads(texts: list[bytes], rows: np.ndarray, who: np.ndarray, off: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The windows that runs begin with, in the order of the runs. All are of one length, so that
+    fixed strings compare as the bytes do."""
+    return np.array([texts[rows[w]][o : o + WINDOW] for w, o in zip(who[head].tolist(), off[head].tolist(), strict=True)], f"S{WINDOW}")
+
+
+def _merged(blocks, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each run's least place in any block. Every block's runs are in order, so those of one are
+    looked up in each other's by binary search, all at once."""
+    if len(blocks) == 1:
+        return [(d, p) for _, _, _, d, p, _ in blocks]
+    heads = [_heads(texts, rows, who, off, head) for rows, who, off, _, _, head in blocks]
+    out = []
+    for i, (_, _, _, d, p, _) in enumerate(blocks):
+        d, p = d.copy(), p.copy()
+        for j, (_, _, _, other_d, other_p, _) in enumerate(blocks):
+            if i != j:
+                at = np.minimum(np.searchsorted(heads[j], heads[i]), len(heads[j]) - 1)
+                own = np.flatnonzero(heads[j][at] == heads[i])
+                at = at[own]
+                less = (other_d[at] < d[own]) | (other_d[at] == d[own]) & (other_p[at] < p[own])
+                d[own[less]], p[own[less]] = other_d[at[less]], other_p[at[less]]
+        out.append((d, p))
+    return out
 
 
 def _shard(block_bytes: int):
