@@ -54,7 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are judged, by their names."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     held, columns = _held(docs).withColumn("__node", jaccard.class_name(whole_text())), docs.columns
-    found = decontam.contaminated(held, benchmark, id_col="__node").select("__node")
+    # written, so that the join below knows its size
+    found = materialize(decontam.contaminated(held, benchmark, id_col="__node").select("__node"), "contaminated")
     return _freed(held.join(found, "__node", "left_anti"), columns)
 
 
