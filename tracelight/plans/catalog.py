@@ -436,7 +436,7 @@ def val6(spark, sf):
     return evidence.required_fields_check(view(spark, sf, "findings"), ("observation", "inference", "confidence"), "finding_id").withColumn("missing", _join("missing"))
 
 
-_PROFILE = """v AS (SELECT evidence_id, CASE WHEN regexp_matches(path, '(?i)\.evtx$|\.lnk$|bitlocker|\.xlsx$') THEN 'windows' WHEN regexp_matches(path, '(?i)\.plist$|\.sqlite$') THEN 'macos' WHEN regexp_matches(path, '(?i)\.journal$|\.zip$') THEN 'linux' END AS os,
+_PROFILE = r"""v AS (SELECT evidence_id, CASE WHEN regexp_matches(path, '(?i)\.evtx$|\.lnk$|bitlocker|\.xlsx$') THEN 'windows' WHEN regexp_matches(path, '(?i)\.plist$|\.sqlite$') THEN 'macos' WHEN regexp_matches(path, '(?i)\.journal$|\.zip$') THEN 'linux' END AS os,
 CASE WHEN regexp_matches(path, '(?i)\.e01$|\.vmdk$') THEN 'dead-box image' WHEN regexp_matches(path, '(?i)/live/|\.pslist$') THEN 'live host' WHEN starts_with(path, '/mnt/') THEN 'mounted filesystem' WHEN contains(lower(path), '/export/') THEN 'logical export' END AS mode,
 CASE WHEN regexp_matches(path, '(?i)ntds\.dit$|/sysvol/') THEN 'domain controller' WHEN regexp_matches(path, '(?i)/var/www/|/inetpub/') THEN 'server' WHEN regexp_matches(path, '(?i)/docker/|/containerd/') THEN 'container host' WHEN contains(lower(path), '/.git/') THEN 'developer workstation' END AS role FROM artifacts),
 every AS (SELECT DISTINCT evidence_id FROM artifacts),
