@@ -250,19 +250,20 @@ def _parts(member: DataFrame, block: int, block_bytes: int) -> DataFrame:
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(size).alias("volume"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.col("volume") / block_bytes)).cast("int")
     sizes = materialize(sizes.withColumn("blocks", blocks), "sizes")
+    # a component beyond a block for each row: written, so that a short list is broadcast
+    big = materialize(sizes.filter("blocks > 1"), "big")
     told = sizes.filter("blocks <= 1").agg(F.sum("members"), F.sum("volume")).first()
     n_small = max(1, math.ceil((told[0] or 0) / block), math.ceil((told[1] or 0) / block_bytes))
-    member = member.join(sizes.select("root", "blocks"), "root")
     columns = ["node", "copies", "bands", "keys"]
     part = F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(n_small)).cast("string"))
-    small = member.filter("blocks <= 1").select(*columns, part.alias("part"), F.hex("root").alias("label"), F.lit(ALL).alias("band"), F.lit(WITHIN).alias("side"))
-    if sizes.filter("blocks > 1").isEmpty():
+    small = member.join(big, "root", "left_anti").select(*columns, part.alias("part"), F.hex("root").alias("label"), F.lit(ALL).alias("band"), F.lit(WITHIN).alias("side"))
+    if big.isEmpty():
         return small
-    large = member.filter("blocks > 1")
+    large = member.join(big.select("root", "blocks"), "root")
     spread = large.select("root", "node", F.posexplode("bands").alias("band", "hash"), size.alias("bytes"))
     buckets = materialize(spread.groupBy("root", "band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("volume")).filter("n > 1"), "buckets")
     pairs = buckets.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("in_buckets"))
-    whole = sizes.filter("blocks > 1").join(pairs, "root").withColumn("whole", F.col("members").cast("double") * F.col("members") <= F.col("in_buckets")).select("root", "whole")
+    whole = big.join(pairs, "root").withColumn("whole", F.col("members").cast("double") * F.col("members") <= F.col("in_buckets")).select("root", "whole")
     large = large.join(whole, "root")
     cut = F.ceil(F.greatest(F.col("n") / block, F.col("volume") / block_bytes)).cast("int")
     own = spread.select("root", "node", "band", "hash").join(whole.filter("not whole"), "root").join(buckets.select("root", "band", "hash", cut.alias("blocks")), ["root", "band", "hash"])
