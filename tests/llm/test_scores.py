@@ -58,8 +58,9 @@ def brute_ctw(rows, order):
     return score
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 30_000, "shard_text": 20_000}, {"chunk_bytes": 10_000, "shard_text": 60_000, "fan": 3}])
-def test_ctw_equals_brute_force(spark, sizes):
+@pytest.fixture(scope="module")
+def scored(spark):
+    """Documents and what brute force makes of them."""
     docs = cases.documents(spark, 8)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     counts, ends = Counter(), 0
@@ -69,16 +70,24 @@ def test_ctw_equals_brute_force(spark, sizes):
             ends += 1
     tokens, distinct = sum(counts.values()) + ends, len(counts) + 1
     counts[None] = ends
-    score = brute_ctw(rows, ctw.ORDER)
-    want = []
+    score, want = brute_ctw(rows, ctw.ORDER), []
     for d, t in rows:
         words = [*(t or "").encode().lower().split(), None]
         base = sum(math.log10((counts[w] + 1) / (tokens + distinct + 1)) for w in words)
         want.append((-1 << 40 if d is None else d, crc(d) % 7 == 2, len(words), sum(counts[w] > 0 for w in words), tokens, base, score(t)))
-    got = [(-1 << 40 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ctw.score_documents(docs, **sizes).collect()]
+    return docs, sorted(want)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 30_000, "shard_text": 20_000}, {"chunk_bytes": 10_000, "shard_text": 60_000, "fan": 3}])
+def test_ctw_equals_brute_force(spark, scored, sizes):
+    docs, want = scored
+    got = sorted((-1 << 40 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ctw.score_documents(docs, **sizes).collect())
     assert len(got) == len(want)
-    for a, b in zip(sorted(got), sorted(want)):
+    for a, b in zip(got, want):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
+
+
+def test_ctw_of_nothing(spark):
     assert ctw.score_documents(cases.empty(spark)).count() == 0
 
 
