@@ -312,8 +312,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     connected with), text_id (least id with an equal text), n_links (other documents that are
     equal or similar to it), n_text_links (different texts similar to its own)."""
     signed, linked = linked_texts(docs, threshold, block, block_bytes, recall)
-    heads = linked.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    linked = linked.join(heads, "root").select("node", "class_id", "text_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    # written, so that the joins below meet plain tables and a hot component or text is split
+    linked = materialize(linked, "linked")
+    heads = materialize(linked.groupBy("root").agg(F.min("text_id").alias("class_id")), "heads")
+    links, texts = F.col("copies") - 1 + F.coalesce("documents", F.lit(0)), F.coalesce("texts", F.lit(0))
+    linked = materialize(linked.join(heads, "root").select("node", "class_id", "text_id", links.alias("n_links"), texts.alias("n_text_links")), "told")
     with_id = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "node").join(linked, "node").drop("node")
     without = signed.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
     return with_id.select("doc_id", "class_id", "text_id", "n_links", "n_text_links").unionByName(without)
