@@ -47,6 +47,14 @@ s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+OP13 = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.uid, a.vec_id AS anchor_id, c.uid AS other, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.uid <> c.uid AND len(a.v) = len(c.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.uid, p.place, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.uid, p.place ORDER BY n.score DESC, n.vec_id) AS rank
+FROM p JOIN s n ON p.uid = n.uid AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
 _TOKENS = rf"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '.,;:!?\"''()[]{{}}<>*#%&$_-/\|`~=+@^', ''), '{_BLANKS}'), lambda x: x <> '')"
 
 # Tokens that agree, by document, item and shift. A best window begins at one of them, or as late
@@ -101,4 +109,25 @@ n AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(n.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN every ON d.rid = every.rid"""
 
 
-ORACLES = {"op2_pii": _op2(), "op3_suffix": OP3, "op4_jaccard": OP4, "op6_substring": OP6, "op8_topk": OP8, "op10_decontaminate": OP10}
+# crc32 of the decimal id, bit by bit
+_CRC = "xor(list_reduce(list_concat([4294967295], range(0, 8 * length(c))), lambda r, i: CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(r, ascii(c[i // 8 + 1])) ELSE r END) % 2 = 1 THEN xor((CASE WHEN i % 8 = 0 THEN xor(r, ascii(c[i // 8 + 1])) ELSE r END) // 2, 3988292384) ELSE (CASE WHEN i % 8 = 0 THEN xor(r, ascii(c[i // 8 + 1])) ELSE r END) // 2 END), 4294967295)"
+
+# A node is named by the turns that lead to it; what lies in its subtree is found from each node
+# below by the nodes on its way.
+OP12 = rf"""WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o,
+md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^ 	
+]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, o, m, words FROM c JOIN t ON t.conv_id = c.base AND t.o <= c.h UNION ALL SELECT c.conv_id, 1, o, m, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.o > c.h),
+f AS MATERIALIZED (SELECT conv_id, list(m ORDER BY own, o) AS ms, list(words ORDER BY own, o) AS ws FROM r GROUP BY conv_id),
+q AS MATERIALIZED (SELECT conv_id, d, md5(array_to_string(ms[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ms[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(ms) AS ends
+FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM (SELECT c.conv_id, coalesce(ms, []) AS ms, coalesce(ws, []) AS ws FROM c LEFT JOIN f USING (conv_id)))),
+n AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM q GROUP BY k, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up, d),
+w AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON n.k = kids.up AND n.d = kids.d),
+a AS (SELECT x.k, x.d, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved FROM w JOIN q x ON x.conv_id = w.conv_id AND x.d <= w.d GROUP BY x.k, x.d)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN a ON w.k = a.k AND w.d = a.d LEFT JOIN n p ON p.k = w.up AND p.d = w.d - 1"""
+
+
+ORACLES = {"op12_conversation_trie": OP12, "op13_hard_negatives": OP13, "op2_pii": _op2(), "op3_suffix": OP3, "op4_jaccard": OP4, "op6_substring": OP6, "op8_topk": OP8, "op10_decontaminate": OP10}

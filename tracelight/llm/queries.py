@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import ctw, decontam, jaccard, langid, packing, pii, quality, substring, suffix, topk
+from tracelight.llm import conversations, ctw, decontam, hard_negatives, jaccard, langid, packing, pii, quality, quality_rules, substring, suffix, topk
 from tracelight.llm.oracles import ORACLES
 
 
@@ -63,6 +63,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(conversations.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled(_table(spark, sf_dir, "embeddings"), shifted)
+    return hard_negatives.mine(vectors, vectors.filter("id % 100 = 0")).drop("read_share")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ctw": op1_ctw,
@@ -75,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_packing": op9_packing,
         "op10_decontaminate": op10_decontaminate,
+        "op11_quality_rules": op11_quality_rules,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
