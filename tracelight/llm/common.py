@@ -133,26 +133,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in an odd base, taken between
-    prefix sums of base**i * byte, brought to a common power and scrambled with the length."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        # a stretch of whole words, so that the sums and the table of powers stay small
-        end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
-        first = starts[at]
-        part = data[first : ends[end - 1]].astype(np.uint64)
-        begin, stop = starts[at:end] - first, ends[at:end] - first
-        with np.errstate(over="ignore"):
-            prefix = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part + np.uint64(1)) * _powers(len(part))[: len(part)], out=prefix[1:])
-            value = (prefix[stop] - prefix[begin]) * _inverse_powers(len(part))[begin]
-            out[at:end] = mix64(value + (stop - begin).astype(np.uint64) * ODD)
-        at = end
-    return out
-
-
 _POWERS: dict[int, np.ndarray] = {}
 BASE = 0x5851F42D4C957F2D
 
@@ -180,6 +160,55 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _table(pow(BASE, -1, 1 << 64), n)
 
 
+#: Places in a word whose values for each byte come from a table.
+TABLED = 64
+
+
+def _place_values(place: np.ndarray, byte: np.ndarray, salt: int) -> np.ndarray:
+    """A scrambled number for each byte at its place in its word."""
+    near = np.minimum(place, TABLED - 1) << 8 | byte
+    value = _values(salt)[near]
+    far = np.flatnonzero(place >= TABLED)
+    if len(far):
+        value[far] = _scrambled(place[far] << 8 | byte[far], salt)
+    return value
+
+
+def _scrambled(code: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(code.astype(np.uint64) + np.uint64(salt) * np.uint64(BASE)) + ODD)
+
+
+_VALUES: dict[int, np.ndarray] = {}
+
+
+def _values(salt: int) -> np.ndarray:
+    if salt not in _VALUES:
+        _VALUES[salt] = _scrambled(np.arange(TABLED << 8), salt)
+    return _VALUES[salt]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: the sum of a scrambled number for each byte at its
+    place, scrambled with the length. Words differ in it but for chance, which no structure of
+    their bytes helps; another salt gives an independent hash."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        # a stretch of whole words, so that the sums stay small
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
+        length = ends[at:end] - starts[at:end]
+        stop = np.cumsum(length)
+        begin = stop - length
+        place = np.arange(stop[-1]) - np.repeat(begin, length)
+        byte = data[place + np.repeat(starts[at:end], length)].astype(np.int64)
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(_place_values(place, byte, salt), begin)
+            out[at:end] = mix64(total + length.astype(np.uint64) * ODD)
+        at = end
+    return out
+
+
 def roll(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of `size` consecutive items; len(words) - size + 1 values."""
     n = len(words) - size + 1

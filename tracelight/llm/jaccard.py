@@ -6,7 +6,8 @@ Classes that share a band hash are linked to the bucket's first one only, and co
 these links gather the candidates. A link is a pair that shares a band and whose full shingle
 sets reach the threshold, in components of every size. Sets are compared block by block, as
 products of 0/1 matrices, so no list of pairs is ever made; what leaves a block is one row for
-each class. Blocks are bounded in classes and in bytes. The counts of links are exact, so a group
+each class. Shingles are 64-bit hashes of their words, whose values no structure of the bytes
+brings together. Blocks are bounded in classes and in bytes. The counts of links are exact, so a group
 of m similar texts costs m * m / 2 comparisons, in m / BLOCK copies of its shingle sets.
 
 Null text counts as empty. Texts are read whole, however long. Texts of fewer than five words

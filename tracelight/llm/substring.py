@@ -7,7 +7,8 @@ blocks and probes meet by hash range; probes that hit come back to their documen
 extend in both directions to all 13-word windows that hold them: the windows of a maximal repeat
 follow each other, and together cover it. Windows meet by range once more for the
 least document of each, and what covers a later document's words is removed. Windows are told
-apart by 96 bits that are made from 64-bit hashes of their words; words are not compared.
+apart by 96 bits, made from two hashes of their words that are independent of each other; words
+are not compared.
 
 Documents travel as chunks of a few MB by a hash of their id; fingerprints travel packed, a row
 for each chunk and range that share any, so never more rows than fingerprints. A window that many
@@ -70,7 +71,8 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def windows(self, size: int, salt: int = 0) -> np.ndarray:
-        return roll(self.hashes, size, salt)
+        """A hash of each run of words; those of another salt share nothing with it."""
+        return roll(word_hashes(self.data, self.starts, self.ends, salt) if salt else self.hashes, size, salt)
 
     def whole(self, size: int) -> np.ndarray:
         """Which windows lie in one document."""
