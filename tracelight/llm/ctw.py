@@ -205,8 +205,8 @@ def _dictionary(order: int, split: int, shards: int, word_shards: int):
         by_shard = _word_shards(words, word_shards)
         here = key[0].as_py()
         bodies = [b" ".join(w) for w in by_shard.values()]
-        counts = [np.array([words[x] for x in w], "<u4").tobytes() for w in by_shard.values()]
-        grams = pa.table({"chunk": pa.array(np.full(len(cut) - 1, here), pa.int32()), "shard": pa.array(shard[cut[:-1]], pa.int32()), "body": _packed(code[by], cut), "counts": _packed(count[by].astype(np.uint32), cut)})
+        counts = [np.array([words[x] for x in w], "<u8").tobytes() for w in by_shard.values()]
+        grams = pa.table({"chunk": pa.array(np.full(len(cut) - 1, here), pa.int32()), "shard": pa.array(shard[cut[:-1]], pa.int32()), "body": _packed(code[by], cut), "counts": _packed(count[by].astype(np.uint64), cut)})
         named = pa.table({"chunk": pa.array([here] * len(bodies), pa.int32()), "shard": pa.array(list(by_shard), pa.int32()), "body": pa.array(bodies, pa.binary()), "counts": pa.array(counts, pa.binary())})
         return pa.concat_tables([grams, named])
 
@@ -217,7 +217,7 @@ def _total(table: pa.Table) -> tuple[np.ndarray, ...]:
     """A gram shard's sent codes, how many each row has, the distinct codes with their counts,
     and the place of each sent code among them."""
     sent, lens = _blobs(table["body"], "<u8")
-    number, _ = _blobs(table["counts"], "<u4")
+    number, _ = _blobs(table["counts"], "<u8")
     code, at = np.unique(sent, return_inverse=True)
     return sent, lens, code, np.bincount(at, weights=number, minlength=len(code)), at
 
@@ -225,7 +225,7 @@ def _total(table: pa.Table) -> tuple[np.ndarray, ...]:
 def _word_total(table: pa.Table) -> Counter:
     total: Counter = Counter()
     for body, counts in zip(table["body"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        for word, n in zip(body.split(b" "), np.frombuffer(counts, "<u4").tolist(), strict=True):
+        for word, n in zip(body.split(b" "), np.frombuffer(counts, "<u8").tolist(), strict=True):
             total[word] += n
     return total
 
@@ -330,10 +330,10 @@ def _combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     shard, group = key[0].as_py(), key[1].as_py()
     if shard < 0:
         total = sorted(_word_total(table).items())
-        body, counts = b" ".join(w for w, _ in total), np.array([n for _, n in total], "<u4").tobytes()
+        body, counts = b" ".join(w for w, _ in total), np.array([n for _, n in total], "<u8").tobytes()
     else:
         _, _, code, count, _ = _total(table)
-        body, counts = code.tobytes(), count.astype("<u4").tobytes()
+        body, counts = code.tobytes(), count.astype("<u8").tobytes()
     return pa.table({"chunk": pa.array([group], pa.int32()), "shard": pa.array([shard], pa.int32()), "body": pa.array([body], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
 
