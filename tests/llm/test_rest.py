@@ -99,11 +99,10 @@ def test_cells_bound_every_score():
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    more = [(9000, "a  b \n c   d \x1c x <|endoftext|> \n\n  z "), (9001, "don't! l'été, naïve... 123abc 中文字  x ́y"), (9002, " lead"), (9003, "tail \n")]
+    more = [(9000, "a  b \n c   d \x1c x <|endoftext|> \n\n  z "), (9001, "don't! l'été, naïve... 123abc 中文字  x ́y"), (9002, " lead"), (9003, "tail \n"), (9004, "<|endoftext|>"), (9005, "hello <|endoftext|> world<|endoftext|><|endoftext|>\n<|endoftext"), (9006, "a " * 700 + "<|endoftext|>" * 600)]
     docs = cases.documents(spark, 1).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = packing.pack_documents(docs, tokenizer_path()).collect()
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     want = []
     for r in docs.collect():
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")

@@ -69,7 +69,10 @@ class WordCache:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
+        # the tokenizer parts a text at these before all else; the longest goes first
+        self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.most, self.new, self.old, self.marks = most, {}, {}, {}
 
@@ -99,6 +102,15 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit words."""
+        return [self._parted(t) if self.parted and self.parted.search(t) else self._plain([t])[0] for t in texts]
+
+    def _parted(self, text: str) -> bytes:
+        """Ids of a text that holds tokens added to the model: what lies between them is encoded
+        apart."""
+        pieces = self.parted.split(text)
+        return b"".join(self.added[x] if i % 2 else self._plain([x])[0] for i, x in enumerate(pieces) if x)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if len(self.new) > self.most:
