@@ -56,8 +56,9 @@ def turns_of(df: DataFrame) -> DataFrame:
     own = df.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"),
         _digest(F.length(role).cast("string"), F.lit(":"), role, text).alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
-    slim = own.select("conv_id", "turn", "digest", "words")
-    tied = materialize(own.groupBy("conv_id", "turn").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("conv_id", "turn"), "tied")
+    # written, as it is read several times below and texts are hashed once
+    slim = materialize(own.select("conv_id", "turn", "digest", "words"), "turns")
+    tied = materialize(slim.groupBy("conv_id", "turn").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("conv_id", "turn"), "tied")
     if tied.isEmpty():
         return slim.withColumn("place", F.lit(0))
     same = lambda a, b: (F.col(f"{a}.conv_id") == F.col(f"{b}.conv_id")) & F.col(f"{a}.turn").eqNullSafe(F.col(f"{b}.turn"))
