@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
-from tracelight.sources.files import stored
+from tracelight.operators.aliases import alias_of, numbered
 
 
 def leak_flags(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -131,16 +131,7 @@ def lead_next_action(leads: DataFrame, in_scope: Column | None = None) -> DataFr
 
 def alias_ids(df: DataFrame, column: str, prefix: str, digits: int = 3) -> tuple[DataFrame, DataFrame]:
     """(df with <column>_alias in place of column, the map). Aliases number the distinct ids in
-    order of their text. Ids are numbered within ranges that Spark samples, and shifted by the
-    counts of the ranges before; the numbered ids are written, so that they stay as they are."""
-    spark = df.sparkSession
-    ids = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("id")).distinct()
-    # the upper bits of this number are the range, the lower 33 the place in it
-    placed = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id())
-    ids = stored(spark, placed).select("id", F.shiftright("n", 33).alias("range"), (F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
-    counts = ids.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
-    before = counts.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))  # one row for each range
-    text = (F.col("n") + F.col("before")).cast("string")
-    table = ids.join(before, "range").select("id", F.concat(F.lit(prefix), F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)).alias("alias"))
+    order of their text; aliases.stable_aliases() keeps them for the next time."""
+    table = numbered(df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("id")).distinct()).select("id", alias_of(F.col("n"), prefix, digits).alias("alias"))
     out = df.withColumn("__id", F.col(column).cast("string")).join(table.withColumnRenamed("id", "__id"), "__id", "left").drop("__id", column).withColumnRenamed("alias", f"{column}_alias")
     return out, table

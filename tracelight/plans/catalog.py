@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
-from tracelight.operators import evidence, leaks, runs, timeline, transcripts
+from tracelight.operators import aliases, evidence, leaks, rules, runs, timeline, transcripts
 from tracelight.plans.fixtures import stream_view, view, with_views
 from tracelight.sources import files
 from tracelight.streaming import streams
@@ -208,6 +208,55 @@ def prj5(spark, sf):
     return leaks.alias_ids(view(spark, sf, "ev").select("event_id", "user_id"), "user_id", "M")[0]
 
 
+@register("prj5_stable_aliases", """+ids AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id, user_id % 2 = 0 AS early FROM ev), n AS (SELECT id, early, CASE WHEN early THEN 0 ELSE (SELECT count(*) FROM ids WHERE early) END + row_number() OVER (PARTITION BY early ORDER BY id) AS n FROM ids),
+a AS (SELECT id, early, 'M' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS alias FROM n) SELECT event_id, alias AS user_id_alias, CASE WHEN early THEN alias END AS first_alias FROM ev JOIN a ON CAST(user_id AS VARCHAR) = a.id""", ("ev",))
+def prj5b(spark, sf):
+    """The even ids, and then all by the map that was kept."""
+    ev, path = view(spark, sf, "ev").select("event_id", "user_id"), files.scratch_dir(spark)
+    first = aliases.stable_aliases(ev.filter("user_id % 2 = 0"), "user_id", "M", path)[0].withColumnRenamed("user_id_alias", "first_alias")
+    return aliases.stable_aliases(ev, "user_id", "M", path)[0].join(first, "event_id", "left")
+
+
+# Tokens and what parts them; of the names that begin at a token, each, then from each kept one the next.
+_NAMED = r"""+phrases AS MATERIALIZED (SELECT phrase, min(mark) AS mark, max(n) AS n FROM (SELECT array_to_string(list_transform(regexp_extract_all(name, '[\pL\pN_]+'), lambda x: lower(x)), ' ') AS phrase, len(regexp_extract_all(name, '[\pL\pN_]+')) AS n, mark FROM name_rows WHERE name IS NOT NULL) WHERE n > 0 GROUP BY phrase),
+d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '[\pL\pN_]+') AS t, regexp_split_to_array(text, '[\pL\pN_]+') AS s FROM documents),
+p AS MATERIALIZED (SELECT doc_id, unnest(t) AS tok, unnest(s[1:len(t)]) AS sep, unnest(range(0, len(t))) AS pos FROM d),
+a AS MATERIALIZED (SELECT doc_id, pos, list(lower(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS ahead FROM p),
+h AS MATERIALIZED (SELECT doc_id, pos, k.n, mark FROM (SELECT doc_id, pos, n, array_to_string(ahead[1:n], ' ') AS phrase FROM a, (SELECT DISTINCT n FROM phrases) WHERE n <= len(ahead)) x JOIN phrases k ON x.phrase = k.phrase AND x.n = k.n),
+best AS MATERIALIZED (SELECT doc_id, pos, max(n) AS n, arg_max(mark, n) AS mark FROM h GROUP BY doc_id, pos),
+f AS MATERIALIZED (SELECT a.doc_id, a.pos, a.n, a.mark, b.pos AS following FROM (SELECT *, pos + n AS ends FROM best) a ASOF LEFT JOIN best b ON a.doc_id = b.doc_id AND a.ends <= b.pos),
+kept AS (WITH RECURSIVE g AS (SELECT f.* FROM f JOIN (SELECT doc_id, min(pos) AS pos FROM f GROUP BY doc_id) m ON f.doc_id = m.doc_id AND f.pos = m.pos UNION ALL SELECT f.* FROM g JOIN f ON f.doc_id = g.doc_id AND f.pos = g.following) SELECT doc_id, pos, n, mark FROM g),
+e AS (SELECT p.doc_id, p.pos, p.sep, p.tok, kept.pos AS begins, kept.mark FROM p LEFT JOIN kept ON p.doc_id = kept.doc_id AND p.pos >= kept.pos AND p.pos < kept.pos + kept.n),
+o AS (SELECT doc_id, count(mark) FILTER (begins = pos) AS n, string_agg(CASE WHEN begins IS NULL THEN sep || tok WHEN begins = pos THEN sep || mark ELSE '' END, '' ORDER BY pos) AS text FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(o.n, 0) AS n_names, CASE WHEN o.n > 0 THEN o.text || s[-1] ELSE d.text END AS redacted FROM d LEFT JOIN o ON d.doc_id = o.doc_id"""
+
+
+@register("prj4_names", _NAMED, ("name_rows",))
+def prj4b(spark, sf):
+    return aliases.replace_names(_docs(spark, sf).select("doc_id", "text"), view(spark, sf, "name_rows")).drop("text")
+
+
+# --- rules in tables --------------------------------------------------------------------------
+
+
+@register("flt5_scope_table", """+r AS (SELECT rtrim(root, '/') AS root, min(kind) AS kind FROM root_rows GROUP BY rtrim(root, '/')), p AS (SELECT event_id, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS root FROM deep_paths),
+s AS (SELECT event_id, arg_max(kind, length(r.root)) AS kind FROM p JOIN r ON p.root = r.root GROUP BY event_id) SELECT d.event_id, coalesce(kind, 'approval_needed') AS scope FROM deep_paths d LEFT JOIN s ON d.event_id = s.event_id""", ("root_rows",))
+def flt5c(spark, sf):
+    return rules.scope_by_roots(view(spark, sf, "deep_paths"), view(spark, sf, "root_rows")).select("event_id", "scope")
+
+
+@register("flt7_rule_table", """+b AS (SELECT command, min(struct_pack(mild := action <> 'deny', short := -length(pattern), pattern := pattern, action := action)) AS r FROM (SELECT DISTINCT command FROM long_cmds) c JOIN rule_rows ON command GLOB pattern GROUP BY command) SELECT cmd_id, coalesce(r.action, 'ask') AS action, coalesce(r.pattern, '*') AS pattern FROM long_cmds c LEFT JOIN b ON c.command = b.command""", ("long_cmds", "rule_rows"))
+def flt7b(spark, sf):
+    return rules.policy_by_rules(view(spark, sf, "long_cmds"), view(spark, sf, "rule_rows")).select("cmd_id", "action", "pattern")
+
+
+@register("det1_rule_table", """+c AS (SELECT rule, count(*) AS n FROM conditions GROUP BY rule), m AS (SELECT event_id, actor, ts, c.rule FROM ev JOIN conditions x ON (field = 'actor' AND op = 'eq' AND actor = x.value) OR (field = 'path' AND op = 'glob' AND path GLOB x.value) OR (field = 'k' AND op = 'at_least' AND k >= TRY_CAST(x.value AS DOUBLE)) JOIN c ON c.rule = x.rule GROUP BY event_id, actor, ts, c.rule, c.n HAVING count(*) = c.n)
+SELECT rule, actor, time_bucket(INTERVAL '6 hours', ts) AS window_start, count(*) AS hits FROM m GROUP BY rule, actor, time_bucket(INTERVAL '6 hours', ts) HAVING count(*) >= 1""", ("conditions",))
+def det1b(spark, sf):
+    found = rules.match_rule_table(view(spark, sf, "ev"), view(spark, sf, "conditions"), 360, 1, ("actor", "source", "path", "k"))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 _OBJECT = "CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END"

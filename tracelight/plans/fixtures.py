@@ -62,9 +62,34 @@ SELECT doc_id AS artifact_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'image' ||
     "artifacts": "SELECT event_id AS artifact_id, CASE WHEN event_id % 83 <> 0 THEN 'e' || (user_id % 50) END AS evidence_id, source, CASE WHEN user_id % 50 = 3 AND event_id % 5 = 0 THEN '/live/' || event_id || '.pslist' WHEN user_id % 50 < 20 AND event_id % 4 = 0 THEN '/var/www/' || event_id WHEN user_id % 50 < 9 AND event_id % 4 = 1 THEN '/srv/docker/' || event_id ELSE path END AS path FROM ev",
     "scripts": "SELECT event_id AS run_id, 's' || (user_id % 40) AS script_id, ts FROM ev WHERE source = 'browser'",
     "reviews": "SELECT 's' || (user_id % 40) AS script_id, ts, CASE WHEN k % 3 = 0 THEN 'approved' ELSE 'blocked' END AS status FROM ev WHERE source = 'session_log' AND user_id % 40 < 30",
+    "deep_paths": """
+SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'doc' || event_id WHEN event_id % 43 = 0 THEN '/home/user' || (user_id % 23) || '/' ELSE '/home/user' || (user_id % 23) || '/d' || (event_id % 50) || '/e' || (event_id % 97) || '/doc' || event_id END AS path, user_id FROM events""",
+    "root_rows": """
+SELECT CASE WHEN user_id % 2 = 0 THEN 'input' ELSE 'compute' END AS kind, '/home/user' || (user_id % 23) AS root FROM deep_paths WHERE user_id % 23 < 9
+UNION SELECT 'output' AS kind, '/home/user' || (user_id % 23) || '/d' || (event_id % 50) || '/' AS root FROM deep_paths WHERE event_id % 3 = 0
+UNION SELECT 'compute' AS kind, '/home/user' || (user_id % 23) || '/d' || (event_id % 50) || '/e' || (event_id % 97) AS root FROM deep_paths WHERE event_id % 5 = 0
+UNION SELECT 'input' AS kind, path AS root FROM deep_paths WHERE event_id % 7 = 0""",
+    "long_cmds": """
+SELECT event_id AS cmd_id, CASE event_id % 9 WHEN 0 THEN 'git status' WHEN 1 THEN 'rm' WHEN 2 THEN 'rm -r d' || (event_id % 30) WHEN 3 THEN 'ls (' || (user_id % 50) || ')' ELSE 'tool' || (event_id % 911) || ' --user ' || actor || ' --file ' || path END AS command FROM ev""",
+    "rule_rows": """
+SELECT 'tool' || (event_id % 911) || ' *' AS pattern, 'allow' AS action FROM ev WHERE event_id % 13 = 0
+UNION SELECT '*/doc' || event_id || '.z?p*' AS pattern, 'deny' AS action FROM ev WHERE event_id % 17 = 0
+UNION SELECT '*--user ' || actor || ' *' AS pattern, CASE WHEN user_id % 2 = 0 THEN 'ask' ELSE 'allow' END AS action FROM ev WHERE user_id % 23 < 12
+UNION SELECT 'ls (' || (user_id % 50) || ')' AS pattern, 'allow' AS action FROM ev WHERE user_id % 3 = 0
+UNION SELECT 'rm *d' || (event_id % 30) AS pattern, 'deny' AS action FROM ev WHERE event_id % 30 < 9
+UNION SELECT '*' AS pattern, 'ask' AS action UNION SELECT '?*?' AS pattern, 'ask' AS action UNION SELECT '??' AS pattern, 'allow' AS action UNION SELECT 'git*' AS pattern, 'allow' AS action""",
+    "conditions": """
+SELECT 'r' || event_id AS rule, 'actor' AS field, 'eq' AS op, actor AS value FROM ev WHERE event_id % 10 = 0
+UNION ALL SELECT 'r' || event_id AS rule, 'path' AS field, 'glob' AS op, '*/doc*' || (event_id % 8) || '.???*' AS value FROM ev WHERE event_id % 10 = 0
+UNION ALL SELECT 'r' || event_id AS rule, 'k' AS field, 'at_least' AS op, CAST(k AS VARCHAR(9)) AS value FROM ev WHERE event_id % 20 = 0
+UNION ALL SELECT 'glob' || event_id AS rule, 'path' AS field, 'glob' AS op, '/home/' || actor || '/doc*' || (event_id % 100) || '.*' AS value FROM ev WHERE event_id % 50 = 7
+UNION ALL SELECT 'never' AS rule, 'colour' AS field, 'eq' AS op, 'red' AS value UNION ALL SELECT 'busy' AS rule, 'k' AS field, 'at_least' AS op, '90' AS value""",
+    "name_rows": """
+SELECT CASE n WHEN 0 THEN split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) WHEN 1 THEN split_part(text, ' ', 4) || ',' || split_part(text, ' ', 5) || '  ' || split_part(text, ' ', 6) WHEN 2 THEN CASE WHEN length(split_part(text, ' ', 9)) > 7 THEN split_part(text, ' ', 9) END ELSE split_part(text, ' ', 12) || '-' || split_part(text, ' ', 13) END AS name, '<N' || doc_id || '-' || n || '>' AS mark
+FROM documents CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n) t""",
 }
 #: Views that a view reads.
-NEEDS = {"files": ["scan_text"], "profiled_steps": ["steps"], "local_times": ["ev"], "runs": ["ev"], "findings": ["ev"], "citations": ["ev", "findings"], "artifacts": ["ev"], "scripts": ["ev"], "reviews": ["ev"]}
+NEEDS = {"files": ["scan_text"], "profiled_steps": ["steps"], "local_times": ["ev"], "runs": ["ev"], "findings": ["ev"], "citations": ["ev", "findings"], "artifacts": ["ev"], "scripts": ["ev"], "reviews": ["ev"], "root_rows": ["deep_paths"], "long_cmds": ["ev"], "rule_rows": ["ev"], "conditions": ["ev"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
