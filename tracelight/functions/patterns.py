@@ -82,6 +82,15 @@ FEATURES = {
     "phone": r"\+[0-9]{1,3} ?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}",
 }
 
+#: Texts of which every match of a feature holds one.
+FEATURE_HINTS = {
+    "email": ("@",),
+    "url": ("://",),
+    "domain": (".com", ".org", ".net", ".edu", ".gov", ".io", ".info", ".dev", ".example", ".test"),
+    "ip": (".",),
+    "phone": ("+",),
+}
+
 #: Secret leads: type, service guessed, pattern with the value in group 1.
 SECRETS = (
     ("api_token", "generic", r"token = \"([0-9a-f]{40})\""),

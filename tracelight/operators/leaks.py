@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
 from tracelight.operators.aliases import alias_of, numbered
+from tracelight.sources.files import stored
 
 
 def leak_flags(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -100,14 +101,51 @@ def release_decision(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     return per.withColumn("decision", F.when(F.col("identifiers") > 0, "blocked").when(F.col("placeholders") > 0, "ready with noted placeholders").otherwise("ready"))
 
 
-def feature_histogram(df: DataFrame, k: int = 10, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(class, value, documents, hits, rank): the k commonest values of each class."""
-    each = F.array(*[F.struct(F.lit(c).alias("class"), F.regexp_extract_all(F.col(text_col), F.lit(p), 0).alias("values")) for c, p in P.FEATURES.items()])
-    found = df.select(F.col(id_col).alias("id"), F.explode(each).alias("f")).select("id", "f.class", F.explode("f.values").alias("value"))
-    per_doc = found.groupBy("class", "value", "id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_doc.groupBy("class", "value").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("hits"))
-    order = Window.partitionBy("class").orderBy(F.desc("hits"), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+#: Counters of each class, and how many of the fullest are looked into first for each value asked for.
+COUNTERS, LOOKED = 65_536, 4
+
+
+def feature_values(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, class, value): each feature of each text. A pattern is tried where a text holds what all
+    its matches hold."""
+    text = F.col(text_col)
+    found = lambda c: F.when(P.holds_any(text, P.FEATURE_HINTS[c]), F.regexp_extract_all(text, F.lit(P.FEATURES[c]), F.lit(0)))
+    each = F.array(*[F.struct(F.lit(c).alias("class"), found(c).alias("values")) for c in P.FEATURES])
+    return df.select(F.col(id_col).alias("id"), F.explode(each).alias("f")).select("id", "f.class", F.explode("f.values").alias("value"))
+
+
+def feature_histogram(df: DataFrame, k: int = 10, text_col: str = "text", id_col: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
+    """(class, value, documents, hits, rank): the k commonest values of each class.
+
+    Values are first counted by hash in a fixed number of counters for each class, which add up
+    before and between tasks. No value is commoner than its counter is full, so the fullest
+    counters name candidates, which are counted one by one. Where their k-th count is above all
+    other counters, it is proven that none else belongs there; elsewhere all counters as full as
+    the k-th count are looked into, at worst all of them."""
+    values = stored(df.sparkSession, feature_values(df, text_col, id_col).withColumn("counter", F.pmod(F.xxhash64("value"), F.lit(counters))))
+    full = stored(df.sparkSession, values.groupBy("class", "counter").agg(F.count(F.lit(1)).alias("held")))
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("held"), "counter"))
+    looked = full.withColumn("place", place)
+    first = looked.filter(F.col("place") <= LOOKED * k)
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        """The first k of each class among the values of the chosen counters."""
+        counts = values.join(chosen.select("class", "counter"), ["class", "counter"]).groupBy("class", "value").agg(F.count(F.lit(1)).alias("hits"))
+        order = Window.partitionBy("class").orderBy(F.desc("hits"), "value")
+        return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    best = stored(df.sparkSession, counted(F.broadcast(first)))  # LOOKED * k counters of each class
+    least = best.groupBy("class").agg(F.when(F.count(F.lit(1)) >= k, F.min("hits")).otherwise(0).alias("least"))
+    # counters not looked into that may hold a value of the first k; equal counts may, by order of value
+    open_ = looked.filter(F.col("place") > LOOKED * k).join(F.broadcast(least), "class").filter(F.col("held") >= F.col("least"))
+    again = open_.select("class").distinct()
+    if not again.isEmpty():
+        more = full.join(F.broadcast(least), "class").filter(F.col("held") >= F.col("least"))
+        best = best.join(again, "class", "left_anti").unionByName(counted(more.join(again, "class", "left_semi")))
+        best = stored(df.sparkSession, best)
+    # k rows of each class
+    documents = values.join(F.broadcast(best), ["class", "value"]).groupBy("class", "value", "hits", "rank", "id").agg(F.lit(1).alias("one"))
+    return documents.groupBy("class", "value", "hits", "rank").agg(F.count(F.lit(1)).alias("documents")).select("class", "value", "documents", "hits", F.col("rank").cast("long").alias("rank"))
 
 
 def secret_leads(df: DataFrame, text_col: str = "text", source_col: str = "source", salt: str = "", in_scope: Column | None = None) -> DataFrame:

@@ -160,14 +160,6 @@ def server_activity_gate(df: DataFrame, servers: DataFrame, minutes: int, web: t
     return on.join(backed, "event_id", "left").select("event_id", "host", F.when(gated & F.col("backed").isNull(), "service_or_unknown").otherwise("human").alias("activity"))
 
 
-def usage_pattern(df: DataFrame) -> DataFrame:
-    """Activity by host and actor, by host, by actor and in all."""
-    day = F.to_date("ts")
-    out = df.withColumn("day", day).groupingSets([["host", "actor"], ["host"], ["actor"], []], "host", "actor").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("day").alias("active_days"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_distinct("source").alias("sources"), F.grouping_id("host", "actor").cast("long").alias("level"))
-    return out
-
-
 def match_rules(events: DataFrame, rules: dict[str, Column], minutes: int, least: int) -> DataFrame:
     """(rule, actor, window_start, hits): rules are named conditions; a window of an actor counts
     if it has the least hits."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions import patterns as P
-from tracelight.operators import aliases, evidence, leaks, rules, runs, timeline, transcripts
+from tracelight.operators import aliases, evidence, leaks, rules, runs, timeline, transcripts, usage, zones
 from tracelight.plans.fixtures import stream_view, view, with_views
 from tracelight.sources import files
 from tracelight.streaming import streams
@@ -391,6 +391,20 @@ def prj2(spark, sf):
 _SOURCES = ["session_log", "file_access", "browser", "archive_log", "transfer_log"]
 
 
+_LOW = "(z.start IS NULL OR CAST(local AS TIMESTAMP) >= CAST(z.start AS TIMESTAMP) + to_seconds(z.off))"
+_HIGH = "(z.stop IS NULL OR CAST(local AS TIMESTAMP) < CAST(z.stop AS TIMESTAMP) + to_seconds(z.off))"
+
+
+@register("prj2_zone_transitions", f"""+w AS (SELECT event_id, local_time, zone, TRY_CAST(regexp_replace(local_time, 'Z$', '') AS TIMESTAMP) AS local FROM wall_times),
+k AS (SELECT DISTINCT zone FROM zone_rows), p AS (SELECT w.event_id, list(local - to_seconds(z.off)) AS u FROM w JOIN zone_rows z ON w.zone = z.zone AND {_LOW} AND {_HIGH} GROUP BY w.event_id),
+g AS (SELECT w.event_id, local - to_seconds(a.off) AS one, local - to_seconds(b.off) AS two FROM w JOIN zone_rows a ON w.zone = a.zone JOIN zone_rows b ON a.zone = b.zone AND a.stop = b.start AND local >= CAST(a.stop AS TIMESTAMP) + to_seconds(a.off) AND local < CAST(b.start AS TIMESTAMP) + to_seconds(b.off))
+SELECT w.event_id, CASE WHEN len(u) > 0 THEN list_min(u) ELSE least(one, two) END AS utc, CASE WHEN len(u) > 1 THEN list_max(u) WHEN u IS NULL THEN greatest(one, two) END AS utc_other,
+CASE WHEN k.zone IS NULL THEN 'unknown zone' WHEN local IS NULL THEN 'no time' WHEN len(u) = 1 THEN 'ok' WHEN len(u) > 1 THEN 'overlap' ELSE 'gap' END AS time_status, ends_with(local_time, 'Z') AS label_error FROM w LEFT JOIN k ON w.zone = k.zone LEFT JOIN p ON w.event_id = p.event_id LEFT JOIN g ON w.event_id = g.event_id""", ("wall_times", "zone_rows"))
+def prj2b(spark, sf):
+    table = view(spark, sf, "zone_rows").select("zone", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("end"), F.col("off").alias("offset"))
+    return zones.normalise_by_zones(view(spark, sf, "wall_times"), table).drop("local_time", "zone")
+
+
 @register("win8_super_timeline", "SELECT DISTINCT event_id, ts, source, CASE WHEN source = 'browser' THEN 'unverified' ELSE 'verified' END AS status FROM ev", ("ev",))
 def win8(spark, sf):
     ev = view(spark, sf, "ev").select("event_id", "ts", "source")
@@ -440,9 +454,24 @@ def jn12(spark, sf):
     return timeline.server_activity_gate(view(spark, sf, "ev"), spark.createDataFrame([("host1",), ("host4",)], "host string"), 60)
 
 
-@register("ag6_usage_pattern", "SELECT host, actor, count(*) AS events, count(DISTINCT CAST(ts AS DATE)) AS active_days, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT source) AS sources, CAST(grouping(host) * 2 + grouping(actor) AS BIGINT) AS level FROM ev GROUP BY GROUPING SETS ((host, actor), (host), (actor), ())", ("ev",))
+_USAGE = "SELECT host, actor, count(*) AS events, count(DISTINCT CAST(ts AS DATE)) AS active_days, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT source) AS sources, CAST(grouping(host) * 2 + grouping(actor) AS BIGINT) AS level FROM ev GROUP BY GROUPING SETS ((host, actor), (host), (actor), ())"
+
+
+@register("ag6_usage_pattern", _USAGE, ("ev",))
 def ag6(spark, sf):
-    return timeline.usage_pattern(view(spark, sf, "ev"))
+    return usage.usage_pattern(view(spark, sf, "ev"))
+
+
+@register("ag6_usage_by_days", _USAGE, ("ev",))
+def ag6b(spark, sf):
+    """The state of the days before a date, kept, and that of those from it on."""
+    ev, path = view(spark, sf, "ev"), files.scratch_dir(spark)
+    early, late = ev.filter(F.col("ts") < F.lit(WINDOW[1]).cast("timestamp_ntz")), ev.filter(F.col("ts") >= F.lit(WINDOW[1]).cast("timestamp_ntz"))
+    states = []
+    for part in (early, late):
+        numbers = aliases.extend_map(part.select(F.col("source").alias("id")), path).select("id", "n")
+        states.append(files.stored(spark, usage.usage_state(part, numbers)))
+    return usage.usage_levels(usage.merge_usage(*states))
 
 
 @register("det1_match_rules", """+h AS (SELECT 'high value' AS rule, actor, ts FROM ev WHERE value > 50 UNION ALL SELECT 'archive', actor, ts FROM ev WHERE source = 'archive_log')

@@ -84,6 +84,20 @@ UNION ALL SELECT 'r' || event_id AS rule, 'path' AS field, 'glob' AS op, '*/doc*
 UNION ALL SELECT 'r' || event_id AS rule, 'k' AS field, 'at_least' AS op, CAST(k AS VARCHAR(9)) AS value FROM ev WHERE event_id % 20 = 0
 UNION ALL SELECT 'glob' || event_id AS rule, 'path' AS field, 'glob' AS op, '/home/' || actor || '/doc*' || (event_id % 100) || '.*' AS value FROM ev WHERE event_id % 50 = 7
 UNION ALL SELECT 'never' AS rule, 'colour' AS field, 'eq' AS op, 'red' AS value UNION ALL SELECT 'busy' AS rule, 'k' AS field, 'at_least' AS op, '90' AS value""",
+    # the changes of two zones in a few years
+    "zone_rows": """
+SELECT 'UTC' AS zone, CAST(NULL AS VARCHAR(20)) AS start, CAST(NULL AS VARCHAR(20)) AS stop, 0 AS off
+UNION ALL SELECT 'Europe/Berlin' AS zone, NULL AS start, '2023-03-26 01:00:00' AS stop, 3600 AS off
+UNION ALL SELECT 'Europe/Berlin' AS zone, '2023-03-26 01:00:00' AS start, '2023-10-29 01:00:00' AS stop, 7200 AS off
+UNION ALL SELECT 'Europe/Berlin' AS zone, '2023-10-29 01:00:00' AS start, '2024-03-31 01:00:00' AS stop, 3600 AS off
+UNION ALL SELECT 'Europe/Berlin' AS zone, '2024-03-31 01:00:00' AS start, '2024-10-27 01:00:00' AS stop, 7200 AS off
+UNION ALL SELECT 'Europe/Berlin' AS zone, '2024-10-27 01:00:00' AS start, NULL AS stop, 3600 AS off
+UNION ALL SELECT 'America/New_York' AS zone, NULL AS start, '2024-03-10 07:00:00' AS stop, -18000 AS off
+UNION ALL SELECT 'America/New_York' AS zone, '2024-03-10 07:00:00' AS start, '2024-11-03 06:00:00' AS stop, -14400 AS off
+UNION ALL SELECT 'America/New_York' AS zone, '2024-11-03 06:00:00' AS start, NULL AS stop, -18000 AS off""",
+    "wall_times": """
+SELECT event_id, CASE event_id % 11 WHEN 0 THEN '2024-03-31 02:30:00' WHEN 1 THEN '2024-10-27 02:15:00' WHEN 2 THEN '2024-03-10 02:59:59' WHEN 3 THEN '2024-11-03 01:45:00' WHEN 4 THEN 'unknown' WHEN 5 THEN '2023-12-31 23:59:59' WHEN 6 THEN '1999-07-01 12:00:00' WHEN 7 THEN '2031-07-01 12:00:00' WHEN 8 THEN '2024-03-31 03:00:00' WHEN 9 THEN '2024-01-01 00:00:00' ELSE '2024-0' || (1 + event_id % 9) || '-1' || (event_id % 10) || ' 0' || (event_id % 7) || ':15:00' END || CASE WHEN event_id % 13 = 0 THEN 'Z' ELSE '' END AS local_time,
+CASE event_id % 5 WHEN 0 THEN 'UTC' WHEN 1 THEN 'Mars/Base' WHEN 2 THEN 'America/New_York' ELSE 'Europe/Berlin' END AS zone FROM events""",
     "name_rows": """
 SELECT CASE n WHEN 0 THEN split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) WHEN 1 THEN split_part(text, ' ', 4) || ',' || split_part(text, ' ', 5) || '  ' || split_part(text, ' ', 6) WHEN 2 THEN CASE WHEN length(split_part(text, ' ', 9)) > 7 THEN split_part(text, ' ', 9) END ELSE split_part(text, ' ', 12) || '-' || split_part(text, ' ', 13) END AS name, '<N' || doc_id || '-' || n || '>' AS mark
 FROM documents CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n) t""",
