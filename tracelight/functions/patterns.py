@@ -57,14 +57,15 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9])(?<![0-9]\.){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9]|\.[0-9])"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _LABEL_L, _LABEL_R = r"(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.)", r"(?![A-Za-z0-9-]|\.[A-Za-z0-9-])"
-_PLAIN_OWNER = r"(?!(?:name|user|USER|ANALYST)(?![A-Za-z0-9._-]))[A-Za-z0-9._-]+"
+# a name may hold full stops, but one that follows it ends the sentence
+_PLAIN_OWNER = r"(?!(?:name|user|USER|ANALYST)(?!\.*[A-Za-z0-9_-]))\.*[A-Za-z0-9_-]++(?:\.++[A-Za-z0-9_-]++)*+"
 
 #: What redaction replaces, in this order: class, texts of which every match holds one (lower
 #: case, if letter case is no matter), is it none, pattern, placeholder. Guards on the left keep a
 #: run from being tried at each of its letters.
 REDACTIONS = (
     ("email", ("@",), False, _EMAIL, "<EMAIL>"),
-    ("token", ("token", "password", "secret", "api_key", "akia"), True, r"(?i:token|password|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,}\"?|AKIA[0-9A-Z]{16}", "<TOKEN>"),
+    ("token", ("token", "password", "secret", "api_key", "akia"), True, r"(?i:token|password|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,}\"?|AKIA[0-9A-Z]{16}[0-9A-Za-z]*+", "<TOKEN>"),
     ("ip", (".",), False, _IP, "<IP>"),
     ("workspace_path", ("/workspace/", "/mnt/", "/evidence/", "/analysis/"), False, r"/(?!(?:evidence/image\.E01|analysis/report\.md)(?![A-Za-z0-9._/-]))(?:workspace|mnt/[a-z]|evidence|analysis)/[A-Za-z0-9._/-]+", "<WORKSPACE_PATH>"),
     ("user", ("/home/", "/Users/", ":\\Users\\"), False, rf"/home/{_PLAIN_OWNER}|/Users/{_PLAIN_OWNER}|[A-Za-z]:\\Users\\{_PLAIN_OWNER}", "<USER>"),
@@ -91,21 +92,22 @@ FEATURE_HINTS = {
     "phone": ("+",),
 }
 
-#: Secret leads: type, service guessed, pattern with the value in group 1.
+#: Secret leads: type, service guessed, pattern with the value in group 1. As in REDACTIONS, the
+#: letter case of key words is no matter.
 SECRETS = (
-    ("api_token", "generic", r"token = \"([0-9a-f]{40})\""),
-    ("password", "generic", r"password=([A-Za-z0-9]{8,})"),
-    ("access_key", "cloud", r"(AKIA[0-9A-Z]{16})"),
+    ("api_token", "generic", r"(?i:token) = \"([0-9a-f]{40})\""),
+    ("password", "generic", r"(?i:password)=([A-Za-z0-9]{8,})"),
+    ("access_key", "cloud", r"(AKIA[0-9A-Z]{16}[0-9A-Za-z]*)"),
 )
 
 #: Further leads, for which no SQL is given: the key words and lengths of REDACTIONS where no
 #: pattern of SECRETS finds the same value, and private keys, to their end where they have one.
 _VALUE = r" ?[=:] ?\"?([A-Za-z0-9_-]{8,})"
 MORE_SECRETS = (
-    ("api_token", "generic", r"token(?! = \"[0-9a-f]{40}\")" + _VALUE),
-    ("password", "generic", r"password(?!=[A-Za-z0-9]{8})" + _VALUE),
-    ("secret", "generic", "secret" + _VALUE),
-    ("api_key", "generic", "api_key" + _VALUE),
+    ("api_token", "generic", r"(?i:token)(?! = \"[0-9a-f]{40}\")" + _VALUE),
+    ("password", "generic", r"(?i:password)(?!=[A-Za-z0-9]{8})" + _VALUE),
+    ("secret", "generic", "(?i:secret)" + _VALUE),
+    ("api_key", "generic", "(?i:api_key)" + _VALUE),
     ("private_key", "generic", r"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END)?)"),
 )
 

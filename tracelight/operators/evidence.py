@@ -13,6 +13,13 @@ def verify_hashes(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("item_id", status.alias("status"))
 
 
+def hash_summary(verified: DataFrame) -> DataFrame:
+    """(status, items) for each of the four states, also for those that no item is in, and for all."""
+    count = lambda s: F.struct(F.lit(s).alias("status"), F.count_if(F.col("status") == s).alias("items"))
+    each = [count(s) for s in ("match", "mismatch", "missing", "unexpected")] + [F.struct(F.lit("all").alias("status"), F.count(F.lit(1)).alias("items"))]
+    return verified.agg(F.array(*each).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
 def derived_provenance(derived: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("source_image", "source_hash", "artifact_path", "tool", "version", "command")) -> DataFrame:
     """artifact_id, missing (names of absent fields), source_known."""
     known = sources.select(F.col("sha256").alias("source_hash")).distinct().withColumn("known", F.lit(True))
@@ -68,6 +75,23 @@ def route_artifacts(artifacts: DataFrame, profiles: DataFrame, lanes: list[tuple
     return artifacts.join(profiles.select("evidence_id", "os"), "evidence_id", "left").select("artifact_id", F.explode_outer(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("deferred")))).alias("lane"))
 
 
+def lane_report(artifacts: DataFrame, profiles: DataFrame, lanes: list[tuple[str, str, str, bool]], triage: bool) -> DataFrame:
+    """(evidence_id, lane, artifacts, status): each lane of an evidence's platform. routed, deferred
+    by depth (it has artifacts, but triage keeps priority lanes only), nothing to route; evidence of
+    an unknown platform, or without a profile, has every lane blocked. Artifacts of no evidence
+    are left out. One grouping: each lane is a count."""
+    fits = [F.count_if(F.col("path").rlike(pattern)).alias(f"l{i}") for i, (_, _, pattern, _) in enumerate(lanes)]
+    per = artifacts.filter(F.col("evidence_id").isNotNull()).groupBy("evidence_id").agg(*fits).join(profiles.select("evidence_id", "os"), "evidence_id", "left")
+    known = F.coalesce(F.col("os"), F.lit("unknown")) != "unknown"
+
+    def row(i: int) -> Column:
+        name, platform, _, priority = lanes[i]
+        status = F.when(~known, "blocked").when(F.col(f"l{i}") == 0, "nothing to route").otherwise("routed" if priority or not triage else "deferred by depth")
+        return F.when(~known | (F.col("os") == platform), F.struct(F.lit(name).alias("lane"), F.when(known, F.col(f"l{i}")).otherwise(0).alias("artifacts"), status.alias("status")))
+
+    return per.select("evidence_id", F.explode(F.array_compact(F.array(*[row(i) for i in range(len(lanes))]))).alias("r")).select("evidence_id", "r.*")
+
+
 def finding_support(findings: DataFrame, citations: DataFrame, artifacts: DataFrame) -> DataFrame:
     """finding_id, artifacts, sources, status: supported by two sources or more, challenged with
     one, missing corroboration with none that exists."""

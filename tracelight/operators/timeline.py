@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelight.operators.aliases import numbered_by
+from tracelight.sources.files import scratch_dir
 
 def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -31,6 +33,23 @@ def super_timeline(*sources: DataFrame) -> DataFrame:
     return out.withColumn("status", status).dropDuplicates()
 
 
+def ordered_timeline(df: DataFrame, order: tuple[str, ...] = ("ts", "source", "event_id")) -> DataFrame:
+    """df with number, from 1, its place in the whole order: ranges are sorted on their own and
+    shifted by the rows before them, so no task sees all rows."""
+    return numbered_by(df, list(order), "number")
+
+
+def lay_out(df: DataFrame, name: str, buckets: int, key: str = "actor", order: str = "number") -> DataFrame:
+    """Write df as the table `name`, in buckets by key, each sorted, and return it. What groups or
+    joins by the key, and by the key and a slice of time, reads it without an exchange of its rows:
+    activity_gaps(), trailing rows, corroborate() and staging_without_transfer(). A bucket holds all
+    rows of its keys, so a table in which one actor has very many is better left as it is: those
+    operators then deal it by slices."""
+    spark = df.sparkSession
+    df.write.bucketBy(buckets, key).sortBy(key, order).option("path", scratch_dir(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def source_status(expected: DataFrame, rows: DataFrame, start: str, end: str) -> DataFrame:
     """One row for each expected source, also where the window holds nothing of it. expected
     (source, negative_evidence)."""
@@ -138,25 +157,39 @@ def staging_without_transfer(df: DataFrame, hours: int, accesses: int, seconds:
     archives = seen.filter((F.col("source") == "archive_log") & (F.col("accesses") >= accesses)).select("event_id", "actor", "accesses", micros().alias("us"))
     last = df.filter(F.col("source") == "transfer_log").select("actor", micros().alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
     last = last.groupBy("actor", "bucket").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    asked = archives.withColumn("bucket", F.floor(F.col("us") / width))
-    # a transfer after the event is the bucket's latest, or the next bucket's earliest
-    same = asked.join(last, ["actor", "bucket"], "left_semi").join(last, ["actor", "bucket"]).filter(F.col("high") > F.col("us")).select("event_id")
-    following = asked.withColumn("bucket", F.col("bucket") + 1).join(last, ["actor", "bucket"]).filter(F.col("low") <= F.col("us") + width).select("event_id")
-    return archives.join(same.unionByName(following).distinct(), "event_id", "left_anti").select("event_id", "actor", "accesses", F.lit("staging, not exfiltration").alias("label"))
-
-
-def server_activity_gate(df: DataFrame, servers: DataFrame, minutes: int, web: tuple[str, ...] = ("browser", "file_access"), human: tuple[str, ...] = ("session_log",)) -> DataFrame:
-    """event_id, host, activity. On server hosts, events of the web sources count as human only
-    with a record of the human sources by the same actor within the minutes either side."""
+    # a transfer after the event is its bucket's latest, or the next bucket's earliest: both stand in one row
+    none = F.lit(None).cast("long")
+    ends = F.explode(F.array(F.struct("bucket", F.col("high").alias("high"), none.alias("low")), F.struct((F.col("bucket") - 1).alias("bucket"), none.alias("high"), F.col("low").alias("low"))))
+    after = last.select("actor", ends.alias("e")).groupBy("actor", "e.bucket").agg(F.max("e.high").alias("high"), F.min("e.low").alias("low"))
+    found = archives.withColumn("bucket", F.floor(F.col("us") / width)).join(after, ["actor", "bucket"], "left")
+    moved = F.coalesce(F.col("high") > F.col("us"), F.lit(False)) | F.coalesce(F.col("low") <= F.col("us") + width, F.lit(False))
+    return found.filter(~moved).select("event_id", "actor", "accesses", F.lit("staging, not exfiltration").alias("label"))
+
+
+#: Paths that speak of backups or staging, and files of a shell's profile: neither shows that someone was there.
+BACKUP_PATH = r"(?i)(^|/)(backups?|staging|dumps?|snapshots?)(/|$)|\.(bak|old|dump)$"
+PROFILE_FILE = r"(^|/)\.(bashrc|bash_profile|bash_login|bash_logout|profile|zshrc|zprofile|zshenv|cshrc|kshrc)$"
+#: Records that do.
+HUMAN_SOURCES = ("session_log", "auth_log", "sudo", "shell_history", "cron")
+
+
+def server_activity_gate(df: DataFrame, servers: DataFrame, minutes: int, web: tuple[str, ...] = ("browser", "file_access"), human: tuple[str, ...] = HUMAN_SOURCES) -> DataFrame:
+    """event_id, host, activity. On server hosts, events of the web sources, and those of any source
+    but the human ones whose path is one of a backup or of a shell's profile (where df has paths),
+    count as human only with a record of the human sources by the same actor within the minutes
+    either side."""
     width = minutes * 60_000_000
-    rows = df.select("event_id", "host", "actor", "source", micros().alias("us")).withColumn("bucket", F.floor(F.col("us") / width))
+    doubtful = F.col("source").isin(*web)
+    if "path" in df.columns:
+        doubtful = doubtful | (~F.col("source").isin(*human) & (F.col("path").rlike(BACKUP_PATH) | F.col("path").rlike(PROFILE_FILE)))
+    rows = df.select("event_id", "host", "actor", "source", F.coalesce(doubtful, F.lit(False)).alias("doubtful"), micros().alias("us")).withColumn("bucket", F.floor(F.col("us") / width))
     on = rows.join(servers.select("host").distinct().withColumn("server", F.lit(True)), "host", "left")
     ends = rows.filter(F.col("source").isin(*human)).groupBy("actor", "bucket").agg(F.min("us").alias("low"), F.max("us").alias("high"))
     ends = ends.select("actor", "low", "high", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    asked = on.filter(F.col("server") & F.col("source").isin(*web))
+    asked = on.filter(F.col("server") & F.col("doubtful"))
     near = (F.col("us") - F.col("high")).between(0, width) | (F.col("low") - F.col("us")).between(0, width) | ((F.col("low") <= F.col("us")) & (F.col("us") <= F.col("high")))
     backed = asked.join(ends, ["actor", "bucket"]).filter(near).select("event_id").distinct().withColumn("backed", F.lit(True))
-    gated = F.coalesce("server", F.lit(False)) & F.col("source").isin(*web)
+    gated = F.coalesce("server", F.lit(False)) & F.col("doubtful")
     return on.join(backed, "event_id", "left").select("event_id", "host", F.when(gated & F.col("backed").isNull(), "service_or_unknown").otherwise("human").alias("activity"))
 
 

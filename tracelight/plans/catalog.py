@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,10 +134,10 @@ _RED_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _RED_HOME = r"(/home/|/Users/|[A-Za-z]:\\Users\\)"
 _RED_STEPS = (
     ("EMAIL", [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>", 1)]),
-    ("TOKEN", [(r'([Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_[Kk][Ee][Yy]) ?[:=] ?["]?[A-Za-z0-9_-]{8,}["]?|AKIA[0-9A-Z]{16}', "<TOKEN>", 1)]),
+    ("TOKEN", [(r'([Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_[Kk][Ee][Yy]) ?[:=] ?["]?[A-Za-z0-9_-]{8,}["]?|AKIA[0-9A-Z]{16}[0-9A-Za-z]*', "<TOKEN>", 1)]),
     ("IP", [(rf"(^|[^0-9.]|^\.|[^0-9]\.){_RED_OCTET}(?:\.{_RED_OCTET}){{3}}($|[^0-9.]|\.$|\.[^0-9])", r"\1<IP>\2", 2)]),
     ("WORKSPACE_PATH", [(r"/(evidence/image\.E01|analysis/report\.md)($|[^A-Za-z0-9._/-])", "\\1\x01\\2", 1), (r"/(workspace|mnt/[a-z]|evidence|analysis)/[A-Za-z0-9._/-]+", "<WORKSPACE_PATH>", 1), ("(evidence/image\\.E01|analysis/report\\.md)\x01", r"/\1", 1)]),
-    ("USER", [(rf"{_RED_HOME}(name|user|USER|ANALYST)($|[^A-Za-z0-9._-])", "\\1\x01\\2\\3", 2), (rf"{_RED_HOME}[A-Za-z0-9._-]+", "<USER>", 1), ("\x01", "", 1)]),
+    ("USER", [(rf"{_RED_HOME}(name|user|USER|ANALYST)(\.*(?:$|[^A-Za-z0-9._-]))", "\\1\x01\\2\\3", 2), (rf"{_RED_HOME}\.*[A-Za-z0-9_-]+(?:\.+[A-Za-z0-9_-]+)*", "<USER>", 1), ("\x01", "", 1)]),
     ("HOST", [(r"(^|[^A-Za-z0-9.-]|^\.|[^A-Za-z0-9-]\.)(?:[A-Za-z0-9-]+\.)+(?:internal|local|corp|lan)($|[^A-Za-z0-9.-]|\.$|\.[^A-Za-z0-9-])", r"\1<HOST>\2", 2)]),
 )
 
@@ -198,6 +199,16 @@ def ag9(spark, sf):
     return leaks.secret_leads(_docs(spark, sf))
 
 
+_LEADS_SCAN = " UNION ALL ".join(f"SELECT doc_id % 5 AS source, '{k}' AS secret_type, '{s}' AS service, sha256(unnest(regexp_extract_all(text, '{p}', 1))) AS fingerprint FROM scan_text" for k, s, p in P.SECRETS)
+
+
+@register("ag9_leads_any_case", f"SELECT fingerprint, secret_type, service, count(*) AS sightings, count(DISTINCT source) AS sources FROM ({_LEADS_SCAN}) GROUP BY fingerprint, secret_type, service", ("scan_text",))
+def ag9b(spark, sf):
+    """Key words in capitals, and a key to its end."""
+    scanned = view(spark, sf, "scan_text").withColumn("source", F.col("doc_id") % 5)
+    return leaks.secret_leads(scanned).select("fingerprint", "secret_type", "service", "sightings", "sources")
+
+
 @register("cls6_next_action", f"SELECT fingerprint, use, CASE WHEN use = 'local' AND source_artifact <> 'src0' THEN 'proceed in scope' ELSE 'approval needed' END AS next_action FROM ({_LEAD_ROWS})")
 def cls6(spark, sf):
     return leaks.lead_next_action(leaks.secret_leads(_docs(spark, sf)), F.col("source_artifact") != "src0").select("fingerprint", "use", "next_action")
@@ -413,6 +424,14 @@ def win8(spark, sf):
     return timeline.super_timeline(*parts, ev.filter(F.col("source") == "archive_log")).drop("provisional")
 
 
+@register("win8_ordered_timeline", "SELECT event_id, source, row_number() OVER (ORDER BY ts, source, event_id) AS number, CASE WHEN source = 'browser' THEN 'unverified' ELSE 'verified' END AS status FROM ev", ("ev",))
+def win8b(spark, sf):
+    """The same, numbered, laid out by actor, and read from there."""
+    ev = view(spark, sf, "ev").select("event_id", "ts", "source", "actor").withColumn("provisional", F.col("source") == "browser")
+    table = timeline.lay_out(timeline.ordered_timeline(timeline.super_timeline(ev)), f"timeline_{uuid.uuid4().hex}", 8)
+    return table.select("event_id", "source", "number", "status")
+
+
 _EXPECTED = [*((s, False) for s in _SOURCES), ("registry", False), ("mail", True)]
 
 
@@ -454,6 +473,12 @@ def jn12(spark, sf):
     return timeline.server_activity_gate(view(spark, sf, "ev"), spark.createDataFrame([("host1",), ("host4",)], "host string"), 60)
 
 
+@register("jn12_server_paths", r"""SELECT event_id, host, CASE WHEN host IN ('host1','host4') AND (source IN ('browser','file_access') OR (source NOT IN ('session_log','auth_log','sudo','shell_history','cron') AND (contains(path, '/Backup/') OR ends_with(path, '/.bashrc') OR ends_with(path, '.bak'))))
+AND NOT EXISTS (SELECT 1 FROM server_events h WHERE h.actor = e.actor AND h.source IN ('session_log','auth_log','sudo','shell_history','cron') AND h.ts BETWEEN e.ts - INTERVAL 60 MINUTE AND e.ts + INTERVAL 60 MINUTE) THEN 'service_or_unknown' ELSE 'human' END AS activity FROM server_events e""", ("server_events",))
+def jn12b(spark, sf):
+    return timeline.server_activity_gate(view(spark, sf, "server_events"), spark.createDataFrame([("host1",), ("host4",)], "host string"), 60)
+
+
 _USAGE = "SELECT host, actor, count(*) AS events, count(DISTINCT CAST(ts AS DATE)) AS active_days, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT source) AS sources, CAST(grouping(host) * 2 + grouping(actor) AS BIGINT) AS level FROM ev GROUP BY GROUPING SETS ((host, actor), (host), (actor), ())"
 
 
@@ -487,6 +512,21 @@ def str1(spark, sf):
     return streams.counted(stream_view(spark, sf, "ev", "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_HOURS = "SELECT unnest(generate_series(time_bucket(INTERVAL 60 MINUTE, (SELECT min(ts) FROM ev)), (SELECT max(ts) FROM ev), INTERVAL 1 HOUR)) AS h"
+
+
+@register("str1_silent_sources", f"""+x AS (SELECT unnest({[s for s, _ in _EXPECTED]}) AS source), c AS (SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS h, source, count(*) AS n FROM ev GROUP BY 1, 2)
+SELECT g.h AS window_start, x.source, coalesce(n, 0) AS row_count, CASE WHEN n > 0 THEN 'rows found' WHEN x.source = 'mail' THEN 'no rows: supports negative evidence' ELSE 'no rows: limitation' END AS reason FROM ({_HOURS}) g CROSS JOIN x LEFT JOIN c ON c.h = g.h AND c.source = x.source WHERE g.h + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE""", ("ev",))
+def str1b(spark, sf):
+    """Two streams: the events, and a heartbeat of each expected source for each hour that they span."""
+    expected = spark.createDataFrame(_EXPECTED, "source string, negative_evidence boolean")
+    first, last = view(spark, sf, "ev").agg(F.date_trunc("hour", F.min("ts")).cast("string"), F.date_trunc("hour", F.max("ts")).cast("string")).first()
+    path = files.scratch_dir(spark)
+    streams.beats_of(expected, first, last).write.parquet(path)
+    beats = spark.readStream.schema("source string, ts timestamp").parquet(path)
+    return streams.status_of_sources(stream_view(spark, sf, "ev", "events"), beats, expected)[0].withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @register("str2_leak_gate", f"+{_REDACTED} SELECT doc_id, {_ANY} AS any_leak, redacted FROM red JOIN scan_text USING (doc_id)", ("scan_text",))
 def str2(spark, sf):
     """A stream over the table, parted into two sinks: the rows of both."""
@@ -504,6 +544,12 @@ def jn3(spark, sf):
     return evidence.verify_hashes(own, view(spark, sf, "manifest").select("item_id", F.sha2("text", 256).alias("expected")))
 
 
+@register("jn3_hash_summary", """+v AS (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN m.item_id IS NULL THEN 'unexpected' WHEN d.text = m.text THEN 'match' ELSE 'mismatch' END AS status FROM documents d FULL JOIN manifest m ON d.doc_id = m.item_id)
+SELECT s.status, count(v.status) AS items FROM (VALUES ('match'), ('mismatch'), ('missing'), ('unexpected'), ('all')) s(status) LEFT JOIN v ON s.status = 'all' OR s.status = v.status GROUP BY s.status""", ("manifest",))
+def jn3b(spark, sf):
+    return evidence.hash_summary(jn3(spark, sf))
+
+
 @register("jn10_provenance", """SELECT artifact_id, concat_ws(',', CASE WHEN source_image IS NULL THEN 'source_image' END, CASE WHEN tool = '' THEN 'tool' END, CASE WHEN command IS NULL THEN 'command' END) AS missing, source_hash IN (SELECT sha256 FROM hashes) AS source_known FROM derived""", ("derived", "hashes"))
 def jn10(spark, sf):
     return evidence.derived_provenance(view(spark, sf, "derived"), view(spark, sf, "hashes")).withColumn("missing", _join("missing"))
@@ -539,6 +585,16 @@ def jn5(spark, sf):
     return evidence.route_artifacts(artifacts, profiles, LANES, True)
 
 
+_FITS = "CASE lane WHEN 'event logs' THEN ends_with(path, '.evtx') WHEN 'documents' THEN ends_with(path, '.xlsx') WHEN 'browser' THEN ends_with(path, '.sqlite') ELSE ends_with(path, '.zip') END"
+
+
+@register("jn5_lane_report", f"""+{_PROFILE}, l AS (SELECT * FROM (VALUES ('event logs', 'windows', true), ('documents', 'windows', false), ('browser', 'macos', true), ('archives', 'linux', true)) t(lane, platform, priority)), p AS (SELECT e.evidence_id, coalesce(os, 'unknown') AS os FROM (SELECT DISTINCT evidence_id FROM artifacts WHERE evidence_id IS NOT NULL) e LEFT JOIN (SELECT * FROM prof WHERE evidence_id NOT LIKE '%7') q ON e.evidence_id = q.evidence_id)
+SELECT p.evidence_id, lane, CASE WHEN os = 'unknown' THEN 0 ELSE count(*) FILTER ({_FITS}) END AS artifacts, CASE WHEN os = 'unknown' THEN 'blocked' WHEN count(*) FILTER ({_FITS}) = 0 THEN 'nothing to route' WHEN priority THEN 'routed' ELSE 'deferred by depth' END AS status FROM p JOIN l ON os = 'unknown' OR os = platform JOIN artifacts a ON a.evidence_id = p.evidence_id GROUP BY p.evidence_id, lane, os, priority""", ("artifacts",))
+def jn5b(spark, sf):
+    artifacts = view(spark, sf, "artifacts")
+    return evidence.lane_report(artifacts, evidence.platform_profile(artifacts).filter("evidence_id NOT LIKE '%7'"), LANES, True)
+
+
 LAYERS = [("file system", "any"), ("registry", "windows"), ("unified log", "macos")]
 
 
@@ -633,6 +689,15 @@ def snk1(spark, sf):
     return spark.read.parquet(path).withColumn("row_count", F.lit(status["row_count"]).cast("long"))
 
 
+@register("snk1_status_log", "SELECT s.source, count(doc_id) AS row_count, 'ok' AS status, CASE WHEN count(doc_id) > 0 THEN 'rows found' ELSE 'no rows' END AS reason FROM (SELECT 'documents' AS source UNION ALL SELECT 'lost' AS source) s LEFT JOIN documents ON s.source = 'documents' GROUP BY s.source")
+def snk1b(spark, sf):
+    """Two sources written, one of them empty, and the table of their status records."""
+    log = files.scratch_dir(spark)
+    for source, condition in (("documents", "true"), ("lost", "false")):
+        files.write_logged(_docs(spark, sf).filter(condition).select("doc_id"), files.scratch_dir(spark), log, source)
+    return files.status_log(spark, log).select("source", "row_count", "status", "reason")
+
+
 @register("snk2_bounded_preview", "SELECT doc_id, substr(text, 1, 1200) AS text, (SELECT count(*) FROM documents) AS row_count, true AS has_path FROM documents ORDER BY doc_id LIMIT 20")
 def snk2(spark, sf):
     """All documents written; their path, count and a preview shown. The path is a new one each time."""

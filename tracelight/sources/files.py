@@ -24,19 +24,61 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def file_inventory(spark: SparkSession, root: str, ignored_names: tuple[str, ...] = P.IGNORED_NAMES, ignored_paths: tuple[str, ...] = P.IGNORED_PATHS) -> DataFrame:
-    """(path, length, modified, sha256, content) of the files under root, paths relative to it.
-    Folders of an ignored name, those whose name begins with .git, and ignored relative folders
-    are left out, whole."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: Bytes of a file that are read at a time; files of more than the second have no content column.
+STRETCH, CONTENT_BYTES = 8 << 20, 64 << 20
+
+
+def list_files(spark: SparkSession, root: str, ignored_names: tuple[str, ...] = P.IGNORED_NAMES, ignored_paths: tuple[str, ...] = P.IGNORED_PATHS) -> DataFrame:
+    """(path, uri, length, modified) of the files under root, paths relative to it; no file is
+    opened. Folders of an ignored name, those whose name begins with .git, and ignored relative
+    folders are left out, whole."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    path = F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:(?://[^/]*)?(?=/)", "")
-    df = df.withColumn("path", F.substring_index(path, base, -1))
+    path = F.substring_index(F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:(?://[^/]*)?(?=/)", ""), base, -1)
+    df = df.select(path.alias("path"), F.col("path").alias("uri"), "length", F.col("modificationTime").alias("modified"))
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     bad = F.exists(folders, lambda d: d.isin(*ignored_names) | d.startswith(".git"))
     for p in ignored_paths:
         bad = bad | F.col("path").startswith(p + "/")
-    return df.filter(~bad).select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
+    return df.filter(~bad)
+
+
+def _read(most: int, columns: list[str]):
+    """Hash files in stretches; keep the content of those of at most `most` bytes."""
+
+    def rows(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                uri, length = batch["uri"][i].as_py(), batch["length"][i].as_py()
+                store, place = (fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)) if uri.startswith("file:/") else fs.FileSystem.from_uri(uri)
+                sha, body = hashlib.sha256(), []
+                with store.open_input_stream(place, compression=None) as stream:
+                    while part := stream.read(STRETCH):
+                        sha.update(part)
+                        if length <= most:
+                            body.append(part)
+                # a row at a time, so that a task holds one file's content
+                yield pa.record_batch([*[batch[c].slice(i, 1) for c in columns], pa.array([sha.hexdigest()]), pa.array([b"".join(body) if length <= most else None], pa.binary())], names=[*columns, "sha256", "content"])
+
+    return rows
+
+
+def file_inventory(spark: SparkSession, root: str, ignored_names: tuple[str, ...] = P.IGNORED_NAMES, ignored_paths: tuple[str, ...] = P.IGNORED_PATHS, content_bytes: int = CONTENT_BYTES) -> DataFrame:
+    """(path, length, modified, sha256, content) of what list_files() finds. Only files that are
+    kept are opened. Files of any size are hashed, in stretches; content is null for those of more
+    than content_bytes. This is the one operator that needs Python on executors: Spark's reader of
+    binary files takes no file beyond 2 GB, and reads before it filters by path."""
+    listed = list_files(spark, root, ignored_names, ignored_paths)
+    columns = ["path", "length", "modified"]
+    # files are dealt anew, as listings put many of them in one task
+    dealt = listed.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    return dealt.mapInArrow(_read(content_bytes, columns), "path string, length long, modified timestamp, sha256 string, content binary")
 
 
 def text_files(inventory: DataFrame, keep_bad_bytes: bool = False) -> DataFrame:
@@ -70,6 +112,28 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     return {"path": path, "format": fmt, "row_count": seen.get["row_count"], "status": "ok"}
 
 
+STATUS = "source string, path string, format string, row_count long, status string, reason string"
+
+
+def write_logged(df: DataFrame, path: str, log: str, source: str, fmt: str = "parquet") -> dict:
+    """write_result(), with one row more in the table of status records at log: also for a source
+    that is empty, and for one that could not be written, whose error is raised again. Rows are
+    appended as files of their own, so writers do not disturb each other."""
+    spark = df.sparkSession
+    keep = lambda record: spark.createDataFrame([record], STATUS).coalesce(1).write.mode("append").parquet(log)
+    try:
+        done = write_result(df, path, fmt)
+    except Exception as error:
+        keep((source, path, fmt, None, "failed", type(error).__name__))
+        raise
+    keep((source, path, fmt, done["row_count"], done["status"], "rows found" if done["row_count"] else "no rows"))
+    return done
+
+
+def status_log(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema(STATUS).parquet(log)
+
+
 def bounded_preview(df: DataFrame, text_cols: tuple[str, ...], order_by: str, n: int = 20, max_chars: int = 1200) -> DataFrame:
     """The first n rows, their texts cut."""
     return df.orderBy(order_by).limit(n).withColumns({c: F.substring(c, 1, max_chars) for c in text_cols})

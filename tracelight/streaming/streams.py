@@ -67,3 +67,34 @@ def gated(stream: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFra
     stream_leak_gate(stream, sink(0), sink(1), scratch_dir(spark), id_col).awaitTermination()
     clean, flagged = (spark.read.schema(kind).parquet(path) for kind, path in zip(schemas, paths, strict=True))
     return clean.drop("batch"), flagged.drop("batch")
+
+
+def stream_source_status(stream: DataFrame, beats: DataFrame, expected: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """(window_start, source, row_count, reason) for each window that holds a beat of an expected
+    source. beats (ts, source) is a stream of heartbeats, one for each source and window, that
+    count for nothing themselves: a source that says nothing has its row all the same. expected
+    (source, negative_evidence) is a short table, which decides what silence means. Rows of other
+    sources are left out."""
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "source", F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(beats.select(F.col("ts").cast("timestamp").alias("ts"), "source", F.lit(0).cast("long").alias("n"))).withWatermark("ts", delay)
+    counts = rows.groupBy(F.window("ts", window).alias("w"), "source").agg(F.sum("n").alias("row_count"))
+    reason = F.when(F.col("row_count") > 0, "rows found").when(F.col("negative_evidence"), "no rows: supports negative evidence").otherwise("no rows: limitation")
+    return counts.join(F.broadcast(expected), "source").select(F.col("w.start").alias("window_start"), "source", "row_count", reason.alias("reason"))
+
+
+def beats_of(expected: DataFrame, start: str, end: str, window: str = "1 hour") -> DataFrame:
+    """A heartbeat for each expected source and window from start to end, as a table."""
+    ticks = F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {window}"))
+    return expected.select("source", F.explode(ticks).alias("ts"))
+
+
+def status_of_sources(stream: DataFrame, beats: DataFrame, expected: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> tuple[DataFrame, int]:
+    """Run stream_source_status() over what both streams have now: the rows of the windows that are
+    closed, and how many late groups (a window and source of one batch) the watermark turned away."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_dir(spark), scratch_dir(spark)
+    told = stream_source_status(stream, beats, expected, window, delay)
+    run = told.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    late = sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in run.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(told.schema).parquet(path), late
