@@ -42,7 +42,8 @@ def ordered_timeline(df: DataFrame, order: tuple[str, ...] = ("ts", "source", "e
 def lay_out(df: DataFrame, name: str, buckets: int, key: str = "actor", order: str = "number") -> DataFrame:
     """Write df as the table `name`, in buckets by key, each sorted, and return it. What groups or
     joins by the key, and by the key and a slice of time, reads it without an exchange of its rows:
-    activity_gaps(), trailing rows, corroborate() and staging_without_transfer(). A bucket holds all
+    activity_gaps(), trailing rows, corroborate() and staging_without_transfer(); where what they join
+    is too large to broadcast, spark.sql.requireAllClusterKeysForCoPartition must be off. A bucket holds all
     rows of its keys, so a table in which one actor has very many is better left as it is: those
     operators then deal it by slices."""
     spark = df.sparkSession

@@ -12,9 +12,13 @@ from tracelight.functions import patterns as P
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder's path in the one that the cluster shares: spark.checkpoint.dir, or the
-    warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    warehouse where that is unset. A warehouse on a machine's own disk is refused once there is
+    more than one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named and (root.startswith("/") or root.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {root} is local")
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
