@@ -1,5 +1,6 @@
 """Repeats, near copies and benchmark passages against brute force."""
 
+import time
 import hashlib
 from collections import Counter, defaultdict
 
@@ -208,3 +209,18 @@ def test_a_large_benchmark_is_joined_without_broadcast(spark, monkeypatch):
 def test_native_plans(spark):
     plan = decontam.contaminated(cases.documents(spark), spark.read.parquet(f"{cases.SF}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_texts_without_broadcast(spark, monkeypatch):
+    """Time goes with a text's length on this path too."""
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    passage = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, passage), (2, "common words of a stem that many share " + "end")], "item_id long, text string")
+    words = lambda n: " ".join(f"v{i % 997}" for i in range(n))
+    took = []
+    for n in (8_000, 400_000):
+        docs = spark.createDataFrame([(7, words(n) + " " + passage + " " + words(n)), (8, words(n))], "doc_id long, text string")
+        began = time.time()
+        assert [(r.doc_id, r.item_ids) for r in decontam.contaminated(docs, bench).collect()] == [(7, [1])]
+        took.append(time.time() - began)
+    assert took[1] < 5 * took[0] + 20

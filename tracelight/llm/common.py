@@ -16,8 +16,13 @@ CHUNK_BYTES = 6_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the warehouse where that is
-    unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    unset. A warehouse on a machine's own disk is no such folder once there is more than one
+    machine; it is refused there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    found = (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named and (found.startswith("/") or found.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {found} is local")
+    return found
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -70,15 +75,9 @@ def flat_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def fill_level(lengths: list[int], room: int) -> int:
-    """The greatest length such that texts of these lengths, each cut to it, fit in `room`
-    bytes together; the longest text's length if all fit whole."""
-    left = room
-    for i, length in enumerate(sorted(lengths)):
-        if length * (len(lengths) - i) > left:
-            return left // (len(lengths) - i)
-        left -= length
-    return max(lengths, default=0)
+def that_fit(lengths: list[int], room: int) -> int:
+    """How many texts of these lengths, from the first on, fit whole in `room` bytes together."""
+    return int(np.searchsorted(np.cumsum(np.asarray(lengths, np.int64)), room, "right"))
 
 
 def stretches(offsets: np.ndarray, size: int):

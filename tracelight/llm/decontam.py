@@ -8,7 +8,7 @@ or one in 6 to 9, always leave one mask clear. An overlap is of five tokens at l
 of five must agree whole, and shorter ones overlap with nothing.
 
 Documents meet the benchmark's distinct seeds first, in a broadcast while those are few enough;
-item tokens are fetched for the hits alone.
+item tokens, and where seeds are many the documents' own, are fetched for the hits alone.
 
 Tokens are lower-case words without punctuation. Null or empty texts hold no tokens; texts are
 read whole, however long. Rows without an id, of either table, take no part. Repeated rows count
@@ -53,9 +53,27 @@ def _seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return places.select("id", "tokens", "place", F.explode_outer(each).alias("seed")).filter(F.col("seed").isNotNull())
 
 
-def _around(place: str) -> Column:
+def _around(place: Column | str) -> Column:
     """The tokens from 12 before a place to 13 after it, with nulls outside the text."""
-    return F.array(*[F.get("tokens", F.when(F.col(place) + i >= 0, F.col(place) + i)) for i in range(1 - WINDOW, WINDOW + 1)])
+    at = F.col(place) if isinstance(place, str) else place
+    return F.array(*[F.get("tokens", F.when(at + i >= 0, at + i)) for i in range(1 - WINDOW, WINDOW + 1)])
+
+
+def _found(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
+    """(id, seed, own): the seeds of docs that are among seeds, with the tokens around them.
+
+    A few seeds are broadcast, and all of this is one pass over the texts. Many are met by an
+    exchange of places and seeds alone; what meets comes back to its text, each text once with the
+    list of its places, so that neither way carries a text with each of its places."""
+    if few:
+        return _seeds(docs, id_col, text_col).join(F.broadcast(seeds), "seed", "left_semi").select("id", "seed", _around("place").alias("own"))
+    named = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), named.alias("name")).alias("row"), F.col(text_col).alias("text")).dropDuplicates(["row"])
+    met = _seeds(rows, "row", "text").select(F.col("id").alias("row"), "place", "seed").join(seeds, "seed", "left_semi")
+    met = met.groupBy("row").agg(F.collect_list(F.struct("place", "seed")).alias("met"))
+    tokens = rows.join(met, "row").select("row", "met", tokens_of(F.col("text")).alias("tokens"))
+    each = F.transform("met", lambda m: F.struct(m["seed"].alias("seed"), _around(m["place"]).alias("own")))
+    return tokens.select(F.col("row.id").alias("id"), F.explode(each).alias("m")).select("id", "m.seed", "m.own")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -63,8 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     items = _seeds(benchmark, "item_id", "text").filter(F.size("tokens") >= LEAST_TOKENS)
     items = materialize(items.select("seed", F.col("id").alias("item_id"), F.size("tokens").alias("m"), _around("place").alias("theirs")).distinct(), "seeds")
     seeds = materialize(items.select("seed").distinct(), "distinct")
-    few = seeds.count() <= BROADCAST_SEEDS
-    found = _seeds(docs, id_col, text_col).join(F.broadcast(seeds) if few else seeds, "seed", "left_semi").select("id", "seed", _around("place").alias("own"))
+    found = _found(docs, seeds, id_col, text_col, seeds.count() <= BROADCAST_SEEDS)
     hits = found.distinct().join(items, "seed").drop("seed").distinct()
     # agreement by place, 12 before the hit to 13 after it; null where either text has ended
     both = F.zip_with("own", "theirs", lambda a, b: F.when(a == b, 1).when(a.isNotNull() & b.isNotNull(), 0))

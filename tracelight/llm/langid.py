@@ -1,8 +1,7 @@
 """Language identification by prediction by partial matching.
 
 Each language has a tree of byte contexts up to order 3, learned from a bounded sample of its
-documents: where their bytes are too many, the longest ones are cut to a common length, so that
-no document pushes another out. A text costs, under each tree, the exact code length of its bytes: at every byte the
+documents, taken whole: as many as fit in SAMPLE_BYTES, none of more than LONGEST bytes. A text costs, under each tree, the exact code length of its bytes: at every byte the
 longest known context predicts, or escapes to the next shorter one (escape method C), down to
 256 equal chances. The trees are frozen: scoring changes no count. The shortest code wins.
 
@@ -20,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, fill_level, flat_text, row_sums, stretches, whole_text
+from tracelight.llm.common import doc_crc, that_fit, flat_text, row_sums, stretches, whole_text
 
 ORDER = 3
-#: Documents and bytes that a language's tree learns from at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 600, 3_000_000
+#: Documents and bytes that a language's tree learns from at most, and bytes of one document.
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 600, 3_000_000, 100_000
+#: Languages at most: each has a tree of about 1 MB in the broadcast.
+MOST_LANGUAGES = 500
 #: Distinct byte pairs up to which grams are found by direct addressing; grams kept by a worker.
 DENSE_PAIRS, KEPT_GRAMS = 4096, 1_000_000
 
@@ -116,24 +117,27 @@ class Scorer:
 def learn(docs: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, Tree]:
     """A tree for each language of docs (text, lang, key). key, a hash, decides the sample: the
     documents of the least keys, thinned before they are ranked so that no language's rows meet
-    in one task. Ranks need numbers only; the texts of the chosen ones are fetched afterwards and
-    cut to the length at which they fit in sample_bytes together. Equal texts of one key teach
-    once, empty ones nothing."""
-    named = docs.filter(F.col(lang_col).isNotNull() & (F.octet_length("text") > 0)).select(F.col(lang_col).alias("lang"), "text", "key", F.xxhash64("text").alias("print"))
+    in one task, as many as fit in sample_bytes. Rows of more than LONGEST bytes are never among
+    them. Ranks need numbers only; the texts of the chosen ones are fetched afterwards. Equal texts
+    of one key teach once, empty ones nothing."""
+    length = F.octet_length("text")
+    named = docs.filter(F.col(lang_col).isNotNull() & (length > 0) & (length <= min(LONGEST, sample_bytes))).select(F.col(lang_col).alias("lang"), "text", "key", F.xxhash64("text").alias("print"))
     counts = named.groupBy("lang").count()
+    if counts.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values: it is no column of languages")
     share = F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.col("count"))
-    # one row for each label value
+    # one row for each label value, MOST_LANGUAGES at most
     few = named.join(F.broadcast(counts), "lang").filter(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000)
     numbers = few.select("lang", "key", "print", F.octet_length("text").alias("bytes")).distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_000)), "key", "print")
-    chosen = numbers.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs).drop("n").collect()  # sample_docs rows of numbers for each label value
-    lengths: dict[str, list[int]] = {}
+    chosen = numbers.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs).orderBy("lang", "n").collect()  # sample_docs rows of numbers for each label value
+    by_lang: dict[str, list] = {}
     for r in chosen:
-        lengths.setdefault(r["lang"], []).append(r["bytes"])
-    level = {lang: fill_level(own, sample_bytes) for lang, own in lengths.items()}
-    taken = docs.sparkSession.createDataFrame([(r["lang"], r["key"], r["print"], level[r["lang"]]) for r in chosen], "lang string, key long, print long, level int")
+        by_lang.setdefault(r["lang"], []).append(r)
+    fitting = [r for own in by_lang.values() for r in own[: that_fit([r["bytes"] for r in own], sample_bytes)]]
+    taken = docs.sparkSession.createDataFrame([(r["lang"], r["key"], r["print"]) for r in fitting], "lang string, key long, print long")
     sample = named.join(F.broadcast(taken), ["lang", "key", "print"]).dropDuplicates(["lang", "key", "print"])
-    sample = sample.select("lang", F.substr(F.col("text").cast("binary"), F.lit(1), F.col("level")).alias("text"))
+    sample = sample.select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(table: pa.Table) -> pa.Table:
         code, n = np.unique(grams(*flat_text(table["text"])), return_counts=True)

@@ -3,8 +3,8 @@
 Every word, every run of 3 and of 4 bytes, and a marker for each word or word triple that the
 document has had before, owns a learned vector, found by hashing. A document is the mean of its
 vectors; a softmax over two classes scores it. numpy stochastic gradient descent learns vectors
-and weights in one task from a bounded sample of labelled rows: where their bytes are too many,
-the longest texts are cut to a common length, so that no row pushes another out. Scoring needs
+and weights in one task from a bounded sample of labelled rows, taken whole: as many as fit in
+SAMPLE_BYTES, none of more than LONGEST bytes. Scoring needs
 one number for each bucket, its vector's product with the weights, so the broadcast model has a
 fixed size. A score depends on its text alone, wherever the row stands.
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import doc_crc, fill_level, flat_text, mix64, roll, row_sums, stretches, whole_text, word_hashes, word_spans
+from tracelight.llm.common import doc_crc, that_fit, flat_text, mix64, roll, row_sums, stretches, whole_text, word_hashes, word_spans
 
 BUCKET_BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 4, 0.5, 7
-#: Labelled documents and bytes that the model learns from at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 20_000_000
+#: Labelled documents and bytes that the model learns from at most, and bytes of one of them.
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 6_000, 20_000_000, 200_000
 #: Parts of the hash range by which labelled rows are thinned.
 SHARES = 1 << 40
 #: The last two buckets are kept for the repeat markers.
@@ -121,14 +121,14 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int =
     share = min(1.0, 1.5 * sample_docs / max(1, known.count()))
     few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < math.ceil(share * SHARES)).orderBy(F.xxhash64("doc_id")).limit(sample_docs)
     # at most sample_docs pairs of numbers
-    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("print", F.xxhash64("text"))
+    texts = docs.select("doc_id", whole_text().alias("text")).filter(F.octet_length("text") <= min(LONGEST, sample_bytes)).withColumn("print", F.xxhash64("text"))
     numbers = texts.select("doc_id", "print", F.octet_length("text").alias("bytes")).join(F.broadcast(few), "doc_id").distinct()
     chosen = numbers.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "print").limit(sample_docs).select("doc_id", "print", "label", "bytes")
     rows = chosen.collect()  # sample_docs rows of numbers
-    level = fill_level([r["bytes"] for r in rows], sample_bytes)
+    rows = rows[: that_fit([r["bytes"] for r in rows], sample_bytes)]
     taken = docs.sparkSession.createDataFrame([(*r, n) for n, r in enumerate(rows)], chosen.schema.add("n", "integer"))
-    # the texts of the chosen rows, cut to the length at which they fit in sample_bytes together
-    sample = texts.join(F.broadcast(taken), ["doc_id", "print"]).dropDuplicates(["n"]).select("n", "label", F.substr(F.col("text").cast("binary"), F.lit(1), F.lit(level)).alias("text"))
+    # the texts of the chosen rows that fit in sample_bytes together
+    sample = texts.join(F.broadcast(taken), ["doc_id", "print"]).dropDuplicates(["n"]).select("n", "label", F.col("text").cast("binary").alias("text"))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
