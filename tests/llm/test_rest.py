@@ -64,7 +64,7 @@ def test_top_k(spark, sizes, k):
     odd = [(1000, None), (1001, [None] * 64), (1020, one), (1021, one), (1022, one), (1040, [float("nan")] * 64), (1041, [float("inf")] * 64), (1060, [1.0, 2.0]), (1061, [3.0, 1.0]), (1080, []), (None, one), (1020, one)]
     df = df.unionByName(spark.createDataFrame(odd, df.schema))
     vectors = topk.quantised(df)
-    got = [tuple(r) for r in topk.top_k(vectors, vectors.filter("id % 20 = 0"), k, **sizes).collect()]
+    got = [tuple(r)[:4] for r in topk.top_k(vectors, vectors.filter("id % 20 = 0"), k, **sizes).collect()]
     held = [(r.vec_id, np.floor(np.array(r.embedding, float) * 64).astype(int)) for r in df.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
     want = []
     for own, (q, v) in enumerate(held):
@@ -82,16 +82,30 @@ def test_blocks_find_the_best_by_their_cells(spread):
     rng = np.random.default_rng(5)
     x, q = rng.integers(-spread, spread, (700, 12)), rng.integers(-spread, spread, (9, 12))
     uid, ids = np.arange(700), np.sort(rng.integers(0, 500, 700))
-    asked, found, score = topk.block_top_k(uid, ids, x, np.arange(5, 14), q, 20)
+    asked, found, score, _ = topk.block_top_k(uid, ids, x, np.arange(5, 14), q, 20)
     for n in range(9):
         want = sorted((-int(q[n] @ x[i]), ids[i]) for i in range(700) if i != n + 5)[:20]
         assert [(-s, i) for s, i in zip(score[asked == n + 5].tolist(), found[asked == n + 5].tolist())] == want
 
 
+def test_few_exact_vectors_are_read():
+    """Cells are wider than one value here as in the query, and still most vectors are left unread."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None]).astype(int)
+    assert (topk.cells(x)[2] > 1).all()
+    asked, found, score, read = topk.block_top_k(np.arange(8000), np.arange(8000), x, np.arange(0, 8000, 400), x[::400], 20)
+    assert read.mean() < 250
+    for n in range(20):
+        want = sorted((-int(x[400 * n] @ x[i]), i) for i in range(8000) if i != 400 * n)[:20]
+        assert [(-s, i) for s, i in zip(score[asked == 400 * n].tolist(), found[asked == 400 * n].tolist())] == want
+
+
 def test_cells_bound_every_score():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-5000, 5000, (300, 5)), rng.integers(-50, 50, (40, 5))
-    upper, slack = topk.bounds(*topk.cells(x, 16), q)
+    code, low, width = topk.cells(x, 16)
+    upper, slack = topk.bounds(code.astype(float), low, width, q)
     exact = q @ x.T
     assert (exact <= upper).all() and (upper - slack[:, None] <= exact).all()
 

@@ -51,7 +51,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.filter("id % 20 = 0"), 20)
+    return topk.top_k(vectors, vectors.filter("id % 20 = 0"), 20).drop("read_share")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact top-k inner products through vector-approximation files.
 
-Vectors are dealt into blocks. In each block every dimension is cut into equal cells, and the file
-of cell numbers, a byte a component, is all that a scan reads: one product of a query with the
-numbers gives every vector's score but for a rest, which the query and the cells' widths bound
-from both sides. Exact vectors are then read in order of their upper bounds until no unread one
-can reach the k-th score. A window over the blocks' short lists gives the k best of all.
+Vectors are dealt into blocks. In each block every dimension is cut into 16 equal cells, and the
+file of cell numbers is all that a scan reads: one product of a query with the numbers gives every
+vector's score but for a rest, which the query and the cells' widths bound from both sides. Exact
+vectors are then read in order of their upper bounds until no unread one can reach the k-th score;
+read_share tells how many that were. A window over the blocks' short lists gives the k best of all.
 
 Null vectors, empty ones, ones that hold null or non-finite components, and rows without an id
 take no part. Rows that repeat an id are rows of their own: each is a candidate for all but
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from tracelight.llm.common import materialize
 
 #: Rows of a block of vectors and of a block of queries, cells for each dimension.
-BLOCK_ROWS, QUERY_ROWS, CELLS = 8192, 8192, 256
+BLOCK_ROWS, QUERY_ROWS, CELLS = 8192, 8192, 16
 #: Products beyond this would not be exact as doubles.
 EXACT = 2**53
 #: Scores of a scan, and exact vectors that are read at a time.
-SCANNED, READ = 2_000_000, 64
+SCANNED, READ = 2_000_000, 128
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -67,19 +67,20 @@ def bounds(code: np.ndarray, low: np.ndarray, width: np.ndarray, q: np.ndarray)
     the lower bound lies below the upper one."""
     rest = (width - 1).astype(float)
     wide = q.astype(float)
-    upper = (wide * width) @ code.astype(float).T + (wide @ low.astype(float) + np.maximum(wide, 0) @ rest)[:, None]
+    upper = (wide * width) @ code.T + (wide @ low.astype(float) + np.maximum(wide, 0) @ rest)[:, None]
     return upper, np.abs(wide) @ rest
 
 
-def block_top_k(uid: np.ndarray, ids: np.ndarray, x: np.ndarray, query_uid: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_top_k(uid: np.ndarray, ids: np.ndarray, x: np.ndarray, query_uid: np.ndarray, q: np.ndarray, k: int, n_cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each query the k best of one block (the query's own row left out): number of the query,
-    id, score."""
-    out_q, out_v, out_s = [], [], []
+    id, score, and of how many in a thousand the exact vector was read."""
+    out_q, out_v, out_s, out_r = [], [], [], []
     if not len(ids) or not len(query_uid):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     # beyond this doubles bound nothing, and every vector is read
     exact = float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < EXACT
-    code, low, width = cells(x)
+    code, low, width = cells(x, n_cells)
+    code = code.astype(float)
     place = {u: i for i, u in enumerate(uid.tolist())}
     step = max(1, SCANNED // len(ids))
     for at in range(0, len(query_uid), step):
@@ -93,20 +94,21 @@ def block_top_k(uid: np.ndarray, ids: np.ndarray, x: np.ndarray, query_uid: np.n
             certain = np.partition(u, len(u) - k)[len(u) - k] - slack[i] if exact and len(u) > k else -np.inf
             left = np.flatnonzero((u >= certain) & (u > -np.inf))
             left = left[np.argsort(-u[left], kind="stable")]
-            best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            best_s, best_i, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
             for j in range(0, len(left), READ):
                 if exact and len(best_s) >= k and u[left[j]] < best_s[k - 1]:
                     break  # nothing unread can reach the k-th score
                 rows = left[j : j + READ]
+                read += len(rows)
                 best_s, best_i = np.r_[best_s, x[rows] @ part[i]], np.r_[best_i, rows]
                 top = np.lexsort((best_i, -best_s))[:k]
                 best_s, best_i = best_s[top], best_i[top]
-            out_q.append(np.full(len(best_i), asked)), out_v.append(ids[best_i]), out_s.append(best_s)
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_q, out_v, out_s))
+            out_q.append(np.full(len(best_i), asked)), out_v.append(ids[best_i]), out_s.append(best_s), out_r.append(np.full(len(best_i), 1000 * read // len(ids)))
+    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_q, out_v, out_s, out_r))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) for frames of (uid, id, v, dim) as quantised() makes them.
+    """(query_id, rank, vec_id, score, read_share) for frames of (uid, id, v, dim) as quantised() makes them.
 
     Each pair of a vector block and a query block is one group: bounded, whatever the table's
     size, and its result holds at most k rows for each query. A vector travels once for each block
@@ -122,9 +124,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
         (uid, ids, x), (query_uid, query_ids, q) = _matrix(own), _matrix(asked)
         found = block_top_k(uid, ids, x, query_uid, q, k)
         id_of = dict(zip(query_uid.tolist(), query_ids.tolist(), strict=True))
-        return pa.table({"query_uid": pa.array(found[0], pa.int64()), "query_id": pa.array([id_of[u] for u in found[0].tolist()], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
+        return pa.table({"query_uid": pa.array(found[0], pa.int64()), "query_id": pa.array([id_of[u] for u in found[0].tolist()], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64()), "permille": pa.array(found[3], pa.int64())})
 
     keys = ["block", "stripe", "dim"]
-    short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_uid long, query_id long, vec_id long, score long")
+    short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_uid long, query_id long, vec_id long, score long, permille long")
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
-    return short.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return short.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", (F.col("permille") / 1000).alias("read_share"))
