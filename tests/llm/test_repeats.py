@@ -1,8 +1,9 @@
 """Repeats, near copies and benchmark passages against brute force."""
 
-import time
 import hashlib
+import time
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -224,3 +225,23 @@ def test_long_texts_without_broadcast(spark, monkeypatch):
         assert [(r.doc_id, r.item_ids) for r in decontam.contaminated(docs, bench).collect()] == [(7, [1])]
         took.append(time.time() - began)
     assert took[1] < 5 * took[0] + 20
+
+
+@pytest.mark.parametrize("width", range(5, 14))
+def test_masks_leave_one_clear(width):
+    """Whatever tokens differ, as many as may: one mask keeps none of them."""
+    differ = width - decontam.needed(width)
+    for wrong in combinations(range(width), differ):
+        assert any(not set(kept) & set(wrong) for kept in decontam.masks_of(width))
+
+
+def test_a_common_stem_makes_no_hits(spark):
+    """Documents and items that share five common words only are not compared with each other."""
+    stem = "which of the following is"
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {stem} c{i} d{i} e{i}") for i in range(2000)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(6)) + f" {stem} " + " ".join(f"z{i}y{j}" for j in range(6))) for i in range(400)], "item_id long, text string")
+    found = decontam.overlaps(docs, items)
+    found.collect()
+    assert found.count() == 0
+    seeds = decontam._seeds(items, "item_id", "text", [13]).select("seed").distinct()
+    assert decontam._found(docs, seeds, "doc_id", "text", [13], True).count() == 0

@@ -1,11 +1,12 @@
 """Benchmark passages in documents, found by spaced seeds, with Spark's own functions only.
 
-Fixed masks over token positions ignore the positions marked 0. A document's and a benchmark
-item's seeds join on the hash of the tokens left; around each hit, windows of 13 tokens (the
-whole item, where that is shorter) are compared token by token. An overlap stands if at least
-four tokens in five agree. The masks find every such window: two substitutions in 13 positions,
-or one in 6 to 9, always leave one mask clear. An overlap is of five tokens at least, so an item
-of five must agree whole, and shorter ones overlap with nothing.
+An overlap is a window of 13 tokens, or of a whole item where that is shorter, that a document and
+an item both hold with at least four tokens in five agreeing. Fixed masks over such a window ignore
+all of its positions but two of four blocks (one of two, where only one token may differ), and leave
+one mask clear whatever tokens are substituted. So a document's and an item's windows that overlap
+share the hash of what a mask leaves, six tokens or more of 13; their tokens are then compared one
+by one. An overlap is of five tokens at least, so an item of five must agree whole, and shorter ones
+overlap with nothing.
 
 Documents meet the benchmark's distinct seeds first, in a broadcast while those are few enough;
 item tokens, and where seeds are many the documents' own, are fetched for the hits alone.
@@ -18,12 +19,14 @@ gives an empty result. Columns of other names are ignored, and none is carried o
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm.common import materialize
 
-MASKS = ("11011", "1111")
 WINDOW, SHARE, LEAST_TOKENS = 13, 0.8, 5
 #: Up to this many distinct seeds of a benchmark are broadcast (about 50 bytes each); more are shuffled.
 BROADCAST_SEEDS = 1_000_000
@@ -37,59 +40,80 @@ def tokens_of(text: Column) -> Column:
     return F.split(plain, r"[ \t\n\x0B\f\r]+")
 
 
-def _seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens, place, seed): one row for each mask at each place. Tokens are split once for
-    a text, below explode; what follows is plain columns, made as the rows are. The outer form
-    of explode keeps the optimiser from adding filters that would tokenise once more."""
+def needed(width: int) -> int:
+    """Tokens of a window that must agree."""
+    return math.ceil(width * SHARE - 1e-9) if width > LEAST_TOKENS else width
+
+
+def masks_of(width: int) -> list[tuple[int, ...]]:
+    """The positions that each mask over a window keeps. As many tokens as may differ leave two of
+    two more blocks whole, or, where only one may, one of one more."""
+    differ = width - needed(width)
+    kept = 2 if differ > 1 else 1
+    blocks = differ + kept
+    cut = [round(i * width / blocks) for i in range(blocks + 1)]
+    return [tuple(p for b in chosen for p in range(cut[b], cut[b + 1])) for chosen in combinations(range(blocks), kept)]
+
+
+def _seeds(df: DataFrame, id_col: str, text_col: str, widths: list[int]) -> DataFrame:
+    """(id, tokens, place, seed): one row for each mask of each width at each place. Tokens are
+    split once for a text, below explode; what follows is plain columns, made as the rows are. The
+    outer form of explode keeps the optimiser from adding filters that would tokenise once more."""
     tokens = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("tokens"))
     places = tokens.select("id", "tokens", F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("place"))
 
-    def seed(number: int, mask: str) -> Column:
-        kept = [F.get("tokens", F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
-        # a seed that reaches beyond the end is null
-        return F.when(kept[-1].isNotNull(), F.xxhash64(F.lit(number), *kept))
+    def seed(width: int, number: int, kept: tuple[int, ...]) -> Column:
+        # a window that reaches beyond the end has no seed
+        return F.when(F.col("place") + width <= F.size("tokens"), F.xxhash64(F.lit(100 * width + number), *[F.get("tokens", F.col("place") + i) for i in kept]))
 
-    each = F.array(*[seed(number, mask) for number, mask in enumerate(MASKS)])
+    each = F.array(*[seed(width, number, kept) for width in widths for number, kept in enumerate(masks_of(width))])
     return places.select("id", "tokens", "place", F.explode_outer(each).alias("seed")).filter(F.col("seed").isNotNull())
 
 
-def _around(place: Column | str) -> Column:
-    """The tokens from 12 before a place to 13 after it, with nulls outside the text."""
+def _window(place: Column | str) -> Column:
+    """The 13 tokens from a place on, with nulls beyond the end."""
     at = F.col(place) if isinstance(place, str) else place
-    return F.array(*[F.get("tokens", F.when(at + i >= 0, at + i)) for i in range(1 - WINDOW, WINDOW + 1)])
+    return F.array(*[F.get("tokens", at + i) for i in range(WINDOW)])
 
 
-def _found(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
-    """(id, seed, own): the seeds of docs that are among seeds, with the tokens around them.
+def _found(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str, widths: list[int], few: bool) -> DataFrame:
+    """(id, seed, own): the seeds of docs that are among seeds, with the tokens of their windows.
 
     A few seeds are broadcast, and all of this is one pass over the texts. Many are met by an
     exchange of places and seeds alone; what meets comes back to its text, each text once with the
     list of its places, so that neither way carries a text with each of its places."""
     if few:
-        return _seeds(docs, id_col, text_col).join(F.broadcast(seeds), "seed", "left_semi").select("id", "seed", _around("place").alias("own"))
+        return _seeds(docs, id_col, text_col, widths).join(F.broadcast(seeds), "seed", "left_semi").select("id", "seed", _window("place").alias("own"))
     named = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), named.alias("name")).alias("row"), F.col(text_col).alias("text")).dropDuplicates(["row"])
-    met = _seeds(rows, "row", "text").select(F.col("id").alias("row"), "place", "seed").join(seeds, "seed", "left_semi")
+    met = _seeds(rows, "row", "text", widths).select(F.col("id").alias("row"), "place", "seed").join(seeds, "seed", "left_semi")
     met = met.groupBy("row").agg(F.collect_list(F.struct("place", "seed")).alias("met"))
     tokens = rows.join(met, "row").select("row", "met", tokens_of(F.col("text")).alias("tokens"))
-    each = F.transform("met", lambda m: F.struct(m["seed"].alias("seed"), _around(m["place"]).alias("own")))
+    each = F.transform("met", lambda m: F.struct(m["seed"].alias("seed"), _window(m["place"]).alias("own")))
     return tokens.select(F.col("row.id").alias("id"), F.explode(each).alias("m")).select("id", "m.seed", "m.own")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, item_id, agreeing, of): the best overlap of each document with each item."""
-    items = _seeds(benchmark, "item_id", "text").filter(F.size("tokens") >= LEAST_TOKENS)
-    items = materialize(items.select("seed", F.col("id").alias("item_id"), F.size("tokens").alias("m"), _around("place").alias("theirs")).distinct(), "seeds")
+    size = F.size(tokens_of(F.col("text")))
+    measured = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text", F.least(size, F.lit(WINDOW)).alias("width")).filter(F.col("width") >= LEAST_TOKENS)
+    widths = sorted(r[0] for r in measured.select("width").distinct().collect())  # nine numbers at most
+    parts = []
+    for width in widths or [WINDOW]:
+        # a shorter item is a window itself: its seeds are those at its first token
+        seeds = _seeds(measured.filter(F.col("width") == width), "item_id", "text", [width])
+        parts.append(seeds.select("seed", F.col("id").alias("item_id"), F.lit(width).alias("of"), F.slice(_window("place"), 1, width).alias("theirs")))
+    items = parts[0]
+    for part in parts[1:]:
+        items = items.unionByName(part)
+    items = materialize(items.distinct(), "seeds")
     seeds = materialize(items.select("seed").distinct(), "distinct")
-    found = _found(docs, seeds, id_col, text_col, seeds.count() <= BROADCAST_SEEDS)
-    hits = found.distinct().join(items, "seed").drop("seed").distinct()
-    # agreement by place, 12 before the hit to 13 after it; null where either text has ended
-    both = F.zip_with("own", "theirs", lambda a, b: F.when(a == b, 1).when(a.isNotNull() & b.isNotNull(), 0))
-    width = F.least(F.lit(WINDOW), F.col("m"))
-    hits = hits.select("id", "item_id", width.alias("of"), F.filter(both, lambda x: x.isNotNull()).alias("equal")).filter(F.size("equal") >= F.col("of"))
-    counts = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("of") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("of")), F.lit(0), lambda a, b: a + b))
-    need = F.when(F.col("of") > LEAST_TOKENS, F.ceil(F.col("of") * F.lit(SHARE) - 1e-9)).otherwise(F.col("of"))
-    stands = hits.withColumn("agreeing", F.array_max(counts)).filter(F.col("agreeing") >= need)
+    found = _found(docs, seeds, id_col, text_col, widths or [WINDOW], seeds.count() <= BROADCAST_SEEDS)
+    agreeing = F.aggregate(F.zip_with(F.slice("own", 1, F.col("of")), "theirs", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    need = F
+    for width in widths or [WINDOW]:
+        need = need.when(F.col("of") == width, needed(width))
+    stands = found.join(items, "seed").select("id", "item_id", "of", agreeing.alias("agreeing")).filter(F.col("agreeing") >= need)
     return stands.groupBy("id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("of").alias("of")).withColumnRenamed("id", id_col)
 
 
