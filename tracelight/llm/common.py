@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Lists that tables are entered in while a step() runs.
+_STEPS: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and return a scan of it, so that lost
     executors cost a re-read and not a recomputation."""
@@ -33,9 +38,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for tables in _STEPS:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def step():
+    """The tables that are written while this runs, as a list to discard() once what is made of
+    them is written itself."""
+    tables: list[DataFrame] = []
+    _STEPS.append(tables)
+    try:
+        yield tables
+    finally:
+        _STEPS.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and that nothing reads any more."""
     for table in tables:
@@ -44,6 +63,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(table: DataFrame) -> bool:
+    """Is a table that materialize() wrote still there?"""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def doc_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
