@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelight.llm import decontam, jaccard, langid, packing, pii
-from tracelight.llm.common import materialize, whole_text
+from tracelight.llm.common import discard, exists, materialize, step, whole_text
 from tracelight.llm.queries import tokenizer_path
 
 
@@ -83,7 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; the tables of a stage, and its predecessor's result, are deleted once its own
+    result is written. What remains is the last stage's."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with step() as tables:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*done, *[t for t in tables if t is not docs and exists(t)])
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
