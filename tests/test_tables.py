@@ -65,6 +65,14 @@ def test_names_in_free_text(spark):
     assert aliases.replace_names(docs.limit(0), names).count() == 0
 
 
+def test_names_keep_their_aliases(spark, tmp_path):
+    path = f"file://{tmp_path}/names"
+    docs = spark.createDataFrame([(1, "Bob met Ann Lee."), (2, "ann lee left")], "doc_id long, text string")
+    told = lambda *x: [r.redacted for r in aliases.alias_names(docs, spark.createDataFrame([(n,) for n in x], "name string"), "USER-", path).orderBy("doc_id").collect()]
+    assert told("Bob") == ["USER-001 met Ann Lee.", "ann lee left"]
+    assert told("Ann Lee", "Al") == ["USER-001 met USER-003.", "USER-003 left"]
+
+
 def test_a_hundred_thousand_names(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = spark.range(100_000).select(F.concat(F.lit("host"), "id", F.lit(".example lan")).alias("name"), F.lit("<H>").alias("mark"))

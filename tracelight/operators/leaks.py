@@ -94,8 +94,10 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def release_decision(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     """ready, ready with noted placeholders or blocked, for each document and, under a null key,
-    for the corpus. Rows without a key count for the corpus only."""
-    real = sum((F.col(f"n_{name}") for name, *_ in P.REDACTIONS), F.lit(0))
+    for the corpus. Rows without a key count for the corpus only. Names of a table (n_names), where
+    they were looked for, are identifiers too."""
+    classes = [name for name, *_ in P.REDACTIONS] + [c for c in ("names",) if "n_names" in redacted.columns]
+    real = sum((F.col(f"n_{name}") for name in classes), F.lit(0))
     per = redacted.rollup(key).agg(F.sum(real).alias("identifiers"), F.sum("n_placeholder").alias("placeholders"), F.grouping(key).alias("__all"))
     per = per.filter(F.col(key).isNotNull() | (F.col("__all") == 1)).drop("__all")
     return per.withColumn("decision", F.when(F.col("identifiers") > 0, "blocked").when(F.col("placeholders") > 0, "ready with noted placeholders").otherwise("ready"))
