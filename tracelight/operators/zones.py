@@ -15,12 +15,11 @@ def zone_transitions(spark: SparkSession, zones: list[str], first_year: int = 19
     know are left out."""
     known = spark._jvm.java.time.ZoneId.getAvailableZoneIds()
     days = spark.range(0, 1).select(F.explode(F.sequence(F.lit(f"{first_year}-01-01").cast("date"), F.lit(f"{last_year}-12-31").cast("date"))).alias("day"))
-    named = spark.createDataFrame([(z,) for z in sorted(set(zones)) if known.contains(z)], "zone string")
+    named = F.array(*[F.lit(z) for z in sorted(set(zones)) if known.contains(z)]).cast("array<string>")
     start = F.unix_date("day") * F.lit(86_400).cast("long")
     ahead = lambda seconds: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), F.col("zone"))) - seconds
     by_day = Window.partitionBy("zone").orderBy("second")
-    # a short list of names meets each day
-    daily = days.join(F.broadcast(named)).select("zone", start.alias("second")).withColumn("offset", ahead(F.col("second")))
+    daily = days.select(F.explode(named).alias("zone"), start.alias("second")).withColumn("offset", ahead(F.col("second")))
     first = daily.withColumn("n", F.row_number().over(by_day)).filter("n = 1")
     changed = daily.withColumn("was", F.lag("offset").over(by_day)).filter("was <> offset")
     minutes = changed.select("zone", F.explode(F.sequence(F.col("second") - 86_400, F.col("second"), F.lit(60).cast("long"))).alias("second")).distinct().withColumn("offset", ahead(F.col("second")))

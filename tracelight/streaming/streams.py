@@ -90,7 +90,8 @@ def beats_of(expected: DataFrame, start: str, end: str, window: str = "1 hour")
 
 def status_of_sources(stream: DataFrame, beats: DataFrame, expected: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> tuple[DataFrame, int]:
     """Run stream_source_status() over what both streams have now: the rows of the windows that are
-    closed, and how many late groups (a window and source of one batch) the watermark turned away."""
+    closed, and how many late groups (a window and source of one batch) the watermark turned away, as
+    the progress of the last batches tells (spark.sql.streaming.numRecentProgressUpdates of them)."""
     spark = stream.sparkSession
     path, checkpoint = scratch_dir(spark), scratch_dir(spark)
     told = stream_source_status(stream, beats, expected, window, delay)
