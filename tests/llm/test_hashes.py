@@ -48,3 +48,13 @@ def test_counts_beyond_32_bits():
     words = ctw._combine(key(-1), table(b"a b", counts))
     assert np.frombuffer(words["counts"][0].as_py(), "<u8").tolist() == [6_000_000_000, 2]
     assert ctw._word_total(pa.concat_tables([words, words])) == {b"a": 12_000_000_000, b"b": 4}
+
+
+def test_a_line_in_every_document_is_sent_once_for_each_chunk(spark):
+    line = "licensed to all under the terms of this common licence as is and without warranty of any kind"
+    docs = spark.createDataFrame([(i, i % 5, f"{line} a{i} b{i} {line}") for i in range(500)], "doc_id long, chunk int, text string")
+    sent = [np.frombuffer(r.probes, "<u4").tolist() for r in substring.fingerprints(docs, 0).collect()]
+    most = max(sum(x.count(k) for x in sent) for k in set(sent[0]))
+    assert most == 5
+    got = substring.remove_repeats(docs.drop("chunk"), chunk_bytes=10_000).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0] + [36] * 499

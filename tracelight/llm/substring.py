@@ -11,8 +11,8 @@ apart by 96 bits, made from two hashes of their words that are independent of ea
 are not compared.
 
 Documents travel as chunks of a few MB by a hash of their id; fingerprints travel packed, a row
-for each chunk and range that share any, so never more rows than fingerprints. A window that many
-documents share travels once for each chunk.
+for each gathering of chunks and range that share any, so never more rows than fingerprints. A
+fingerprint and a window that many documents share travel once for each chunk.
 
 Null text has no words; texts are read whole, however long, each in one chunk. Ids that are null
 count as the greatest: such rows lose words to others and others never lose to them. Rows of equal
@@ -48,16 +48,16 @@ def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(np.ascontiguousarray(cut * values.itemsize, np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def by_range(part: np.ndarray, chunk: np.ndarray, key: np.ndarray, aligned: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each range: its keys with their chunks, in order of chunk, and of the keys
-    those that are aligned."""
+def by_range(part: np.ndarray, chunk: np.ndarray, key: np.ndarray, **marks: np.ndarray) -> pa.RecordBatch:
+    """One row for each range: its keys with their chunks, in order of chunk, and for each mark the
+    keys that have it."""
     order = np.argsort(part << 32 | chunk, kind="stable")
     part, chunk, key = part[order], chunk[order].astype(np.uint32), key[order]
     cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
     columns = {"range": pa.array(part[cut[:-1]], pa.int32()), "chunks": _packed(chunk, cut), "probes": _packed(key, cut)}
-    if aligned is not None:
-        aligned = aligned[order]
-        columns["blocks"] = _packed(key[aligned], np.r_[0, np.cumsum(aligned)][cut])
+    for name, mark in marks.items():
+        mark = mark[order]
+        columns[name] = _packed(key[mark], np.r_[0, np.cumsum(mark)][cut])
     return pa.record_batch(list(columns.values()), names=list(columns))
 
 
@@ -81,44 +81,57 @@ class Words:
 
 
 def fingerprints(docs: DataFrame, bits: int) -> DataFrame:
-    """(range, chunks, probes, blocks) from docs (chunk, text): the top `bits` bits of a hash are
-    its range, the next 32 its fingerprint."""
+    """(range, chunks, probes, blocks, twice) from docs (chunk, text): the top `bits` bits of a hash
+    are its range, the next 32 its fingerprint. A chunk sends each of its fingerprints once, with a
+    mark if it has it twice, so that what every document holds is sent for every chunk only."""
+
+    def distinct(chunk, own):
+        key, aligned = (np.concatenate(x) for x in zip(*own, strict=True))
+        key, count = np.unique(key, return_counts=True)
+        return np.full(len(key), chunk, np.int64), key, np.isin(key, np.concatenate([k[a] for k, a in own])), count > 1
 
     def send(held):
-        chunk, probe, aligned = (np.concatenate(x) for x in zip(*held, strict=True))
-        part = (probe >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(probe), np.int64)
-        return by_range(part, chunk, (probe >> np.uint64(32 - bits)).astype(np.uint32), aligned)
+        chunk, key, block, twice = (np.concatenate(x) for x in zip(*held, strict=True))
+        return by_range((key >> np.uint64(32)).astype(np.int64), chunk, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), blocks=block, twice=twice)
 
     def rows(batches):
-        held, size = [], 0
+        held, size, own, current = [], 0, [], None
         for batch in batches:
             data, offsets = flat_text(batch["text"])
-            chunk = batch["chunk"].to_numpy().astype(np.int64)
-            for lo, hi in stretches(offsets, 2_000_000):
-                words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                inside = words.whole(BLOCK)
-                place = np.arange(len(inside)) - words.first[words.doc[: len(inside)]]
-                held.append((chunk[lo:hi][words.doc[: len(inside)][inside]], words.windows(BLOCK)[inside], place[inside] % BLOCK == 0))
-                size += int(inside.sum())
-                if size > GATHERED:
-                    yield send(held)
-                    held, size = [], 0
-        if size:
+            chunk = batch["chunk"].to_numpy()
+            bounds = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else np.zeros(1, np.int64)
+            for first, last in zip(bounds, bounds[1:], strict=False):
+                if chunk[first] != current and own:
+                    held.append(distinct(current, own))
+                    size, own = size + len(held[-1][0]), []
+                    if size > GATHERED:
+                        yield send(held)
+                        held, size = [], 0
+                current = chunk[first]
+                for lo, hi in stretches(offsets[first : last + 1], 2_000_000):
+                    lo, hi = first + lo, first + hi
+                    words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    inside = words.whole(BLOCK)
+                    place = np.arange(len(inside)) - words.first[words.doc[: len(inside)]]
+                    own.append((words.windows(BLOCK)[inside] >> np.uint64(32 - bits), place[inside] % BLOCK == 0))
+        if own:
+            held.append(distinct(current, own))
+        if held:
             yield send(held)
 
-    return docs.select("chunk", "text").mapInArrow(rows, "range int, chunks binary, probes binary, blocks binary")
+    ordered = docs.select("chunk", "text").repartition("chunk").sortWithinPartitions("chunk")
+    return ordered.mapInArrow(rows, "range int, chunks binary, probes binary, blocks binary, twice binary")
 
 
 def _hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one range, the fingerprints that are a block and occur more than once, by chunk."""
-    probe, chunk, block = (_blobs(table[c], "<u4")[0] for c in ("probes", "chunks", "blocks"))
+    probe, chunk, block, twice = (_blobs(table[c], "<u4")[0] for c in ("probes", "chunks", "blocks", "twice"))
     both = np.sort(probe.astype(np.uint64) << np.uint64(32) | chunk.astype(np.uint64))
     own = both >> np.uint64(32)
     first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
     run = np.cumsum(first) - 1
-    often = np.bincount(run)[run] > 1 if len(own) else first
-    fresh = np.r_[True, both[1:] != both[:-1]] if len(own) else first
-    both = both[often & fresh]
+    often = (np.bincount(run)[run] > 1) | np.isin(own, twice.astype(np.uint64)) if len(own) else first
+    both = both[often]
     both = both[np.isin(both >> np.uint64(32), block.astype(np.uint64))]
     chunk, own = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(chunk, kind="stable")
