@@ -21,9 +21,16 @@ def markdown_sections(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def release_recommendation(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, recommendation: the first match in the section of that name; null if there is none."""
-    own = markdown_sections(lines, key).withColumn("found", F.when((F.col("section") == "release recommendation") & ~F.col("heading"), F.nullif(F.lower(F.regexp_extract("line", RELEASE, 1)), F.lit(""))))
-    return own.groupBy(key).agg(F.min(F.when(F.col("found").isNotNull(), F.struct("line_no", "found"))).alias("m")).select(key, F.col("m.found").alias("recommendation"))
+    """key, recommendation: the first match in the section of that name; null if there is none. Of a
+    line only its heading or its match goes through the window, not its text."""
+    line = P.strip("line")
+    heading = F.coalesce(line.startswith("## "), F.lit(False))
+    title = F.when(heading, F.lower(P.strip(F.substr(line, F.lit(4)))))
+    match = F.when(~heading, F.nullif(F.lower(F.regexp_extract("line", RELEASE, 1)), F.lit("")))
+    order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.select(key, "line_no", title.alias("title"), match.alias("match")).withColumn("section", F.last("title", ignorenulls=True).over(order))
+    found = F.when((F.col("section") == "release recommendation") & F.col("match").isNotNull(), F.struct("line_no", F.col("match").alias("found")))
+    return own.groupBy(key).agg(F.min(found).alias("m")).select(key, F.col("m.found").alias("recommendation"))
 
 
 def release_gate(lines: DataFrame, key: str = "doc_id") -> DataFrame:
