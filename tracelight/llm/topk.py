@@ -118,15 +118,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     dealt = lambda count: F.pmod(F.xxhash64("uid"), F.lit(count)).cast("int")
     left = vectors.withColumn("block", dealt(blocks)).withColumn("stripe", every(stripes))
-    right = queries.withColumn("stripe", dealt(stripes)).withColumn("block", every(blocks))
+    # under new names, as both sides may stem from one table
+    names = [*queries.columns, "stripe", "block"]
+    right = queries.withColumn("stripe", dealt(stripes)).withColumn("block", every(blocks)).toDF(*[f"asked_{c}" for c in names])
 
     def pair(key, own: pa.Table, asked: pa.Table) -> pa.Table:
+        asked = asked.rename_columns(names)
         (uid, ids, x), (query_uid, query_ids, q) = _matrix(own), _matrix(asked)
         found = block_top_k(uid, ids, x, query_uid, q, k)
         id_of = dict(zip(query_uid.tolist(), query_ids.tolist(), strict=True))
         return pa.table({"query_uid": pa.array(found[0], pa.int64()), "query_id": pa.array([id_of[u] for u in found[0].tolist()], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64()), "permille": pa.array(found[3], pa.int64())})
 
     keys = ["block", "stripe", "dim"]
-    short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_uid long, query_id long, vec_id long, score long, permille long")
+    short = left.groupBy(*keys).cogroup(right.groupBy(*[f"asked_{c}" for c in keys])).applyInArrow(pair, "query_uid long, query_id long, vec_id long, score long, permille long")
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
     return short.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", (F.col("permille") / 1000).alias("read_share"))
