@@ -6,8 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelight.operators.aliases import sieve_of, sieved
 from tracelight.sources.files import stored
 
+#: Texts of at most so many characters are cut into runs from their start each time, longer ones from a list of letters.
+SHORT = 512
+
 #: Lengths of the literal runs by which globs are found; a glob takes the greatest that it holds.
 RUNS = (8, 4, 2, 1)
 
@@ -38,7 +42,9 @@ def _runs(text: Column, size: int) -> Column:
     """All runs of `size` characters of a text."""
     letters = F.split(text, "")
     n = F.length(text) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(letters, i, F.lit(size)), ""))).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(1), n)
+    cut = F.when(F.length(text) <= SHORT, F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(n > 0, cut.otherwise(F.transform(starts, lambda i: F.array_join(F.slice(letters, i, F.lit(size)), "")))).otherwise(F.array().cast("array<string>"))
 
 
 def glob_keys(glob: Column) -> Column:
@@ -61,7 +67,7 @@ def rarest(keyed: DataFrame, rule: str, keys: list[str]) -> DataFrame:
     """keyed (rule, keys ..) with one row for each rule: the key that fewest rules hold."""
     common = keyed.groupBy(*keys).agg(F.count_distinct(rule).alias("__rules"))
     order = Window.partitionBy(rule).orderBy("__rules", *[F.desc(F.length(k)) for k in keys], *keys)
-    return keyed.join(common, keys).withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at", "__rules")
+    return keyed.join(common.hint("merge"), keys).withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at", "__rules")
 
 
 def sizes_of(index: DataFrame, key: str) -> list[int]:
@@ -73,22 +79,27 @@ def policy_by_rules(df: DataFrame, rules: DataFrame, command_col: str = "command
     """Add action and pattern by rules (pattern, action): of the globs that fit, a deny wins, then
     the longest, then the least; else ask and *. Each command once meets the rules by the runs of
     characters that it holds; a rule is met by the one of its runs that fewest other rules hold, and
-    only what meets is matched. Globs without a character of their own, such as ??*, meet every
+    only what meets is matched. Runs that no rule asks for stay behind a sieve of bits. Globs without a character of their own, such as ??*, meet every
     command; of those alike in least length and end only the first by rank is kept. Rules with a
     null are none; a null command asks."""
     rank = F.struct((F.col("action") != "deny").alias("mild"), (-F.length("pattern")).alias("short"), "pattern", "action")
     table = rules.filter(F.col("pattern").isNotNull() & F.col("action").isNotNull()).distinct().withColumn("rank", rank)
     bare = F.regexp_replace("pattern", r"[*?]", "") == ""
     shape = [F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("least"), F.contains("pattern", F.lit("*")).alias("open")]
-    open_rules = table.filter(bare).groupBy(*shape).agg(F.min("rank").alias("rank")).select("rank")
-    table = stored(df.sparkSession, table.filter(~bare).select("rank").unionByName(open_rules).withColumn("pattern", F.col("rank.pattern")))
+    fits = glob_pattern(F.col("rank.pattern")).alias("fits")
+    # two rules for each length of such a glob at most
+    open_rules = table.filter(bare).groupBy(*shape).agg(F.min("rank").alias("rank")).select(F.regexp_replace("rank.pattern", r"[*?]", "").alias("key"), "rank", fits)
+    table = stored(df.sparkSession, table.filter(~bare).select("rank", "pattern"))
     index = stored(df.sparkSession, rarest(table.select("pattern", F.explode(glob_keys(F.col("pattern"))).alias("key")).distinct(), "pattern", ["key"]))
-    held = index.join(table, "pattern").select("key", "rank", glob_pattern(F.col("pattern")).alias("fits"))
+    # rules and commands are as many as there are: neither is drawn together on the driver
+    held = index.join(table.hint("merge"), "pattern").select("key", "rank", fits)
+    sieve = stored(df.sparkSession, sieve_of(index.select("key")))
     command = F.col(command_col)
     asked = df.filter(command.isNotNull()).select(command.alias("__command")).distinct()
-    met = asked.select("__command", F.explode(text_keys(F.col("__command"), sizes_of(index, "key"))).alias("key")).join(held, "key")
+    runs = sieved(asked.select("__command", F.explode(text_keys(F.col("__command"), sizes_of(index, "key"))).alias("key")), sieve, "key")
+    met = runs.join(held.hint("merge"), "key").unionByName(asked.select("__command", F.explode(text_keys(F.col("__command"), [0])).alias("key")).join(F.broadcast(open_rules), "key"))
     best = met.filter(F.rlike("__command", F.col("fits"))).groupBy("__command").agg(F.min("rank").alias("__rank"))
-    out = df.join(best, command == F.col("__command"), "left")
+    out = df.join(best.hint("merge"), command == F.col("__command"), "left")
     return out.withColumns({"action": F.coalesce("__rank.action", F.lit("ask")), "pattern": F.coalesce("__rank.pattern", F.lit("*"))}).drop("__command", "__rank")
 
 
