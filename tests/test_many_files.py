@@ -37,3 +37,11 @@ def test_thousands_of_files(spark, tmp_path):
     assert time.time() - began < 60
     want = [(i, len(f"é{i}\n".encode()), hashlib.sha256(f"é{i}\n".encode()).hexdigest()) for i in [*range(7500), 0, 1, 2] if i % 9]
     assert sorted((r.doc_id, r.length, r.sha256) for r in got) == sorted(want)
+
+
+def test_thousands_of_expectations(spark, tmp_path):
+    spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = catalog.queries()["src5_load_expectations"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 30
+    assert len(got) == 3200 and {(r.case_id % 4, r.status, r.required, r.forbidden) for r in got} == {(0, "ok", 1, 1), (1, "ok", 2, 0), (2, "blocked", 0, 0), (3, "blocked", 0, 0)}
