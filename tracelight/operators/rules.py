@@ -15,6 +15,9 @@ SHORT = 512
 #: Lengths of the literal runs by which globs are found; a glob takes the greatest that it holds.
 RUNS = (8, 4, 2, 1)
 
+#: So many runs at most are looked for one by one, more by all runs of a text.
+FEW = 64
+
 
 def scope_by_roots(df: DataFrame, roots: DataFrame, path_col: str = "path") -> DataFrame:
     """Add scope: the kind of the longest of roots (kind, root) that holds the path, else
@@ -106,52 +109,107 @@ def policy_by_rules(df: DataFrame, rules: DataFrame, command_col: str = "command
 # --- detection --------------------------------------------------------------------------------
 
 
-def _holds(condition: Column, values: Column) -> Column:
-    value = F.element_at(values, condition["field"])
-    return F.coalesce(
-        F.when(condition["op"] == "eq", value == condition["value"])
-        .when(condition["op"] == "glob", F.rlike(value, condition["fits"]))
-        .when(condition["op"] == "at_least", value.try_cast("double") >= condition["value"].try_cast("double")), F.lit(False))
+def _holds(word: Column, values: Column) -> Column:
+    value = F.element_at(values, word["field"])
+    # patterns of a column are made anew for each row: only where all pieces are there
+    fits = F.forall(word["pieces"], lambda p: F.contains(value, p)) & F.rlike(value, word["fits"])
+    return F.coalesce(F.when(word["op"] == "eq", value == word["value"]).otherwise(fits), F.lit(False))
+
+
+def _number(field: str) -> str:
+    return f"__number_{field}"
+
+
+def _bodies(rules: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(rule, part, body, words, bounds): what the rules that can hold ask for. words are their eq and
+    glob conditions, which part names; bounds are those of at_least; body names both together."""
+    bound = F.col("value").try_cast("double")
+    can = F.col("field").isin(*fields) & F.col("value").isNotNull() & (F.col("op").isin("eq", "glob") | (F.col("op") == "at_least") & bound.isNotNull())
+    # by number, so that rules are not drawn together into a few tasks
+    dealt = rules.filter(F.col("rule").isNotNull()).repartition(int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rule")
+    table = dealt.groupBy("rule").agg(
+        F.min(F.coalesce(can, F.lit(False))).alias("can"),
+        F.array_sort(F.collect_set(F.when(F.col("op") != "at_least", F.struct("field", "op", "value")))).alias("words"),
+        F.array_sort(F.collect_set(F.when(F.col("op") == "at_least", F.struct("field", bound.alias("bound"))))).alias("bounds"))
+    named = lambda *c: F.unhex(F.sha2(F.to_json(F.struct(*c)), 256))
+    return stored(rules.sparkSession, table.filter("can").select("rule", named("words").alias("part"), named("words", "bounds").alias("body"), "words", "bounds"))
+
+
+def _part_hits(events: DataFrame, bodies: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """(keep .., part, numbers ..) for each event that fits a part's words, with the event's numbers in the
+    fields that the part's bodies have bounds for. A part is met by one of the values, or runs of
+    characters, that it asks for, the one that fewest parts ask for; what events hold of them passes a
+    sieve of bits first. A part of no words, or of globs of * and ? alone, is looked at for every event."""
+    spark = events.sparkSession
+    measured = F.array_distinct(F.flatten(F.collect_set(F.transform("bounds", lambda b: b["field"]))))
+    pieces = lambda w: F.filter(F.split(w["value"], r"[*?]+"), lambda p: p != "")
+    fits = F.transform("words", lambda w: F.struct(w["field"].alias("field"), w["op"].alias("op"), w["value"].alias("value"), pieces(w).alias("pieces"), F.when(w["op"] == "glob", glob_pattern(w["value"])).alias("fits")))
+    parts = bodies.groupBy("part").agg(F.first("words").alias("words"), measured.alias("measured")).withColumn("words", fits)
+    parts = stored(spark, parts)
+    # of a word, its field, and the length of a run in a glob, 0 where it is a whole value
+    word = parts.select("part", F.explode("words").alias("w")).select("part", "w.*")
+    place = F.array_position(F.array(*map(F.lit, fields)), F.col("field")).cast("string")
+    asked = word.filter("op = 'eq'").select("part", "field", F.lit(0).alias("size"), F.concat(place, F.lit("="), "value").alias("key"))
+    runs = word.filter("op = 'glob'").select("part", "field", F.explode(glob_keys(F.col("value"))).alias("run")).filter("run != ''")
+    asked = asked.unionByName(runs.select("part", "field", F.length("run").alias("size"), F.concat(place, F.lit("~"), "run").alias("key"))).distinct()
+    index = stored(spark, rarest(asked, "part", ["key"]).join(parts, "part"))
+    # five lengths for each field at most, and runs where they are few
+    sizes: dict[str, set[int]] = {}
+    for r in index.select("field", "size").distinct().collect():
+        sizes.setdefault(r["field"], set()).add(r["size"])
+    runs = [r["key"] for r in index.filter("size > 0").select("key").distinct().limit(FEW + 1).collect()]
+    text = {f: F.col(f).cast("string") for f in fields}
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), text[f])])
+    numbers = [text[f].try_cast("double").alias(_number(f)) for f in fields]
+    held = []
+    for f, lengths in sorted(sizes.items()):
+        sign = str(fields.index(f) + 1)
+        own = [F.array(F.concat(F.lit(sign + "="), text[f]))] if 0 in lengths else []
+        if lengths - {0} and len(runs) <= FEW:
+            own.append(F.array_compact(F.array(*[F.when(F.contains(text[f], F.lit(k[len(sign) + 1 :])), F.lit(k)) for k in runs if k.startswith(sign + "~")])))
+        elif lengths - {0}:
+            own.append(F.transform(text_keys(text[f], sorted(lengths - {0})), lambda k: F.concat(F.lit(sign + "~"), k)))  # noqa: B023
+        held.append(F.when(text[f].isNotNull(), F.concat(*own)).otherwise(F.array().cast("array<string>")))
+    told = [*keep, "__values", *map(_number, fields)]
+    met = []
+    if held:
+        places = events.select(*keep, values.alias("__values"), *numbers, F.explode(F.concat(*held)).alias("key"))
+        met.append(sieved(places, stored(spark, sieve_of(index.select("key"))), "key").join(index.select("key", "part", "words", "measured"), "key"))
+    weak = stored(spark, parts.join(index.select("part"), "part", "left_anti").withColumn("key", F.lit("")))
+    if not held or not weak.isEmpty():
+        # as many as there are sets of such globs
+        every = events.select(*keep, values.alias("__values"), *numbers, F.explode(text_keys(F.lit(""), [0])).alias("key"))
+        met.append(every.join(F.broadcast(weak), "key"))
+    met = [m.filter(F.forall("words", lambda w: _holds(w, F.col("__values")))).select(*told, "part", "measured") for m in met]
+    hits = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    return hits.select(*keep, "part", *[F.when(F.array_contains("measured", f), F.col(_number(f))).alias(_number(f)) for f in fields])
+
+
+def _within(hits: DataFrame, bodies: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """hits of parts, once for each body of the part whose bounds their numbers reach."""
+    numbers = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(_number(f)))])
+    met = hits.join(bodies.select("part", "body", "bounds").distinct(), "part")
+    return met.filter(F.forall("bounds", lambda b: F.coalesce(F.element_at(numbers, b["field"]) >= b["bound"], F.lit(False)))).drop("part", "bounds", *map(_number, fields))
 
 
 def rule_hits(events: DataFrame, rules: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     """(keep .., rule) for each event that meets all conditions of a rule. rules (rule, field, op,
-    value): op is eq, glob or at_least (as numbers). A rule is met by one of the values, or runs
-    of characters, that its eq and glob conditions ask for, the one that fewest rules ask for;
-    conditions are looked at for what meets. Rules of at_least alone are looked at for every event.
+    value): op is eq, glob or at_least (as numbers). Rules that ask for the same are looked at once,
+    and those that differ in their bounds alone are first met by their other conditions, together.
     Conditions on other fields, of other kinds or with nulls never hold."""
-    rules = rules.distinct()
-    field = F.coalesce(F.col("field"), F.lit(""))
-    keys = F.when(F.col("op") == "eq", F.array(F.concat(F.lit("="), F.col("value")))).when(F.col("op") == "glob", F.transform(glob_keys(F.col("value")), lambda k: F.concat(F.lit("~"), k)))
-    asked = rules.select("rule", field.alias("field"), F.explode_outer(keys).alias("key"))
-    # what nothing is asked for, or only an empty run, is met through a key that every event has
-    weak = F.col("key").isNull() | (F.col("key") == "~")
-    asked = asked.select("rule", F.when(weak, "").otherwise(F.col("field")).alias("field"), F.when(weak, "").otherwise(F.col("key")).alias("key"), weak.alias("weak")).distinct()
-    strong = asked.filter("NOT weak").select("rule").distinct()
-    asked = asked.filter("NOT weak").unionByName(asked.filter("weak").join(strong, "rule", "left_anti")).drop("weak")
-    index = stored(events.sparkSession, rarest(asked, "rule", ["field", "key"]))
-    conditions = rules.groupBy("rule").agg(F.collect_list(F.struct(field.alias("field"), "op", "value", F.when(F.col("op") == "glob", glob_pattern(F.col("value"))).alias("fits"))).alias("conditions"))
-    index = stored(events.sparkSession, index.join(conditions, "rule"))
-    # lengths of runs in use by field: five for each field at most
-    sizes: dict[str, set[int]] = {}
-    for r in index.filter(F.startswith("key", F.lit("~"))).select("field", (F.length("key") - 1).alias("size")).distinct().collect():
-        sizes.setdefault(r["field"], set()).add(r["size"])
-    held = [F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("key")))]
-    for f in fields:
-        text = F.col(f).cast("string")
-        own = F.array(F.concat(F.lit("="), text))
-        if f in sizes:
-            own = F.concat(own, F.transform(text_keys(text, sorted(sizes[f])), lambda k: F.concat(F.lit("~"), k)))
-        held.append(F.when(text.isNotNull(), F.transform(own, lambda k: F.struct(F.lit(f).alias("field"), k.alias("key")))).otherwise(F.slice(held[0], 1, 0)))  # noqa: B023
-    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
-    places = events.select(*keep, values.alias("__values"), F.explode(F.concat(*held)).alias("k")).select(*keep, "__values", "k.field", "k.key")
-    met = places.join(index, ["field", "key"])
-    return met.filter(F.forall("conditions", lambda c: _holds(c, F.col("__values")))).select(*keep, "rule")
+    bodies = _bodies(rules, fields)
+    return _within(_part_hits(events, bodies, fields, keep), bodies, fields).join(bodies.select("rule", "body"), "body").select(*keep, "rule")
 
 
 def match_rule_table(events: DataFrame, rules: DataFrame, minutes: int, least: int, fields: tuple[str, ...] = ("actor", "host", "source", "path")) -> DataFrame:
-    """(rule, actor, window_start, hits) of an actor's windows in which a rule has the least hits."""
+    """(rule, actor, window_start, hits) of an actor's windows in which a rule has the least hits.
+    Hits are counted for what rules ask for, and by the numbers that bounds look at, before rules
+    are told: no row is made for an event and a rule."""
     timed = events.withColumn("__ts", F.col("ts").cast("timestamp"))
-    hits = rule_hits(timed, rules, fields, ("actor", "__ts"))
-    found = hits.groupBy("rule", "actor", F.window("__ts", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("hits"))
-    return found.filter(F.col("hits") >= least).select("rule", "actor", F.col("w.start").alias("window_start"), "hits")
+    bodies = _bodies(rules, fields)
+    # actor may be a field as well
+    hits = _part_hits(timed.withColumn("__actor", F.col("actor")), bodies, fields, ("__actor", "__ts"))
+    counted = hits.groupBy("part", "__actor", F.window("__ts", f"{minutes} minutes").alias("w"), *map(_number, fields)).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select("part", "__actor", F.col("w.start").alias("window_start"), "n", *map(_number, fields))
+    found = _within(counted, bodies, fields).groupBy("body", "__actor", "window_start").agg(F.sum("n").alias("hits")).filter(F.col("hits") >= least)
+    return found.join(bodies.select("rule", "body"), "body").select("rule", F.col("__actor").alias("actor"), "window_start", "hits")
