@@ -33,6 +33,16 @@ SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 BLOCK, BLOCK_BYTES = 2000, 8_000_000
 
 
+#: Rows of a grouping that one task writes; a task and a file cost more than the rows of a small table.
+TASK_ROWS = 100_000
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df, which ends in a grouping of at most so many rows, in as many tasks as these are worth, if its
+    shuffle has more. Keys of a grouping are dealt evenly, so tasks that take several parts are even."""
+    return df.coalesce(max(math.ceil(rows / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
     """Bands of `rows` minima that find a pair at the threshold with probability `recall`."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
@@ -105,17 +115,18 @@ def components(edges: DataFrame) -> DataFrame:
     with. Alternates large-star and small-star steps, each a grouping and a join, until the
     edges stay the same. Edges and groupings are written to the shared folder, so that a join
     meets plain tables and a node with very many edges is split over tasks."""
-    least = lambda e: materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least")
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    rows = edges.count()
+    least = lambda e: materialize(fewer(e.groupBy("u").agg(F.min("v").alias("m")), rows), "least")
+    now = materialize(fewer(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), rows), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = least(both)
         low = wide.withColumn("m", F.least("u", "m"))
-        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+        large = materialize(fewer(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), rows), "edges")
         low = least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(small, "edges")
+        new = materialize(fewer(small, rows), "edges")
         discard(now, wide, large, low)
         now = new
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -283,12 +294,13 @@ def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     (a node that names all texts it is connected with), text_id, copies, texts, documents."""
     bands = band_count(threshold, ROWS, recall)
     signed = materialize(signatures(docs, bands), "signatures")
+    n = signed.count()
     classes = signed.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("some").alias("some"))
-    classes = materialize(classes, "classes")
+    classes = materialize(fewer(classes, n), "classes")
     spread = classes.filter("some").select("node", F.posexplode("bands").alias("band", "hash"))
     # written, so that the join below meets two plain tables and can split a hot bucket
-    buckets = materialize(spread.groupBy("band", "hash").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
-    star = spread.join(buckets, ["band", "hash"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    buckets = materialize(fewer(spread.groupBy("band", "hash").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")), n * bands).filter("members > 1"), "buckets")
+    star = materialize(fewer(spread.join(buckets, ["band", "hash"]).filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), n * bands), "star")
     candidates = components(star)
     text = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("text_id"), whole_text().alias("text")).withColumn("node", class_name())
     named = candidates.join(classes.select("node", "text_id", "copies", "bands"), "node")
@@ -315,7 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     signed, linked = linked_texts(docs, threshold, block, block_bytes, recall)
     # written, so that the joins below meet plain tables and a hot component or text is split
     linked = materialize(linked, "linked")
-    heads = materialize(linked.groupBy("root").agg(F.min("text_id").alias("class_id")), "heads")
+    heads = materialize(fewer(linked.groupBy("root").agg(F.min("text_id").alias("class_id")), linked.count()), "heads")
     links, texts = F.col("copies") - 1 + F.coalesce("documents", F.lit(0)), F.coalesce("texts", F.lit(0))
     linked = materialize(linked.join(heads, "root").select("node", "class_id", "text_id", links.alias("n_links"), texts.alias("n_text_links")), "told")
     with_id = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "node").join(linked, "node").drop("node")
